@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalyx.llm import exact_dedup, sharding
+from zonalyx.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, sharding, warc
+
+#: The folder of public vocabulary files; a parameter of the queries that need one.
+TOKENIZER_DIR = "/opt/tokenizers"
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizers(folder: str = TOKENIZER_DIR):
+    """The module that names the vocabulary files and their pattern."""
+    spec = importlib.util.spec_from_file_location("public_tokenizers", os.path.join(folder, "__init__.py"))
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hit_spans")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 16)
     return out.select(
@@ -29,16 +47,128 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, '{"messages": [{"role": "user", "content": "%s"}, {"role": "assistant", "content": "%s"}]}' % (said, said))], "id long, record string")
+    turns = chat_format.turns_from_table(_table(spark, sf_dir, "conversations")).unionByName(chat_format.turns_from_json(extra, "record", "id"))
+    return chat_format.digest(chat_format.format_turns(turns))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep_largest=True)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(language_id.training_rows(docs))
+    said = language_id.predict(docs.select("doc_id", "text"), model)
+    return said.select("doc_id", language_id.held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    public = tokenizers()
+    return bpe.token_digests(_table(spark, sf_dir, "documents"), public.path(BPE_RANKS), public.PATTERN)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_sharding": op2_sharding,
+    "op3_chat_format": op3_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
+    "op9_bpe": op9_bpe,
+    "op10_warc": op10_warc,
 }
 
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _escaped(text: str) -> str:
+    return rf"replace(replace(replace({text}, '\', '\0'), '<turn ', '\1'), '</turn>', '\2')"
+
+
+def _license_sql() -> str:
+    rows = []
+    for k, (name, text) in enumerate(license_scan.TEMPLATES):
+        grams = license_scan.bigram_set(text)
+        if grams:
+            rows.append("(%d, '%s', [%s])" % (k, name, ", ".join("'%s'" % g for g in grams)))
+    return rf"""
+        WITH templates(t, name, grams) AS (VALUES {", ".join(rows)}),
+        docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        pieces AS (
+            SELECT DISTINCT r, unnest(list_concat([text], regexp_split_to_array(text, '\n\n+'), string_split(text, chr(10)))) AS u FROM docs),
+        units AS (SELECT r, u, row_number() OVER () AS n FROM pieces WHERE u <> ''),
+        words AS (SELECT r, n, {_words("u")} AS w FROM units),
+        grams AS (
+            SELECT r, n, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g
+            FROM words WHERE len(w) > 1),
+        found AS (
+            SELECT r, n, t, name, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
+            FROM (SELECT r, n, t, name, g, templates.grams FROM grams JOIN templates
+                  ON len(g) <= 1.3 * len(templates.grams) AND len(templates.grams) <= 1.3 * len(g))
+        ),
+        hits AS (SELECT * FROM found WHERE dice >= {license_scan.THRESHOLD}),
+        best AS (
+            SELECT r, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses,
+                   arg_min(name, (-dice, name)) AS best_license, max(dice) AS best_dice
+            FROM hits GROUP BY r)
+        SELECT doc_id, (SELECT count(*) FROM units WHERE units.r = docs.r) AS n_units,
+               coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, best_license, best_dice
+        FROM docs LEFT JOIN best USING (r)"""
+
+
+def _base32_sha1(data: str) -> str:
+    digits = [
+        f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha1({data}), {5 * k + 1}, 5) AS INTEGER) >> {15 - 5 * j}) & 31), 1)"
+        for k in range(8)
+        for j in range(4)
+    ]
+    return " || ".join(digits)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": rf"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
+        items AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_words("coalesce(text, '')")} AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item, least(10, len(w)) AS k, w[i : i + least(10, len(w)) - 1] AS win
+            FROM (SELECT item, w, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM items WHERE len(w) > 0)),
+        widths AS (SELECT DISTINCT k FROM windows),
+        places AS (
+            SELECT r, k, i, w[i : i + k - 1] AS win
+            FROM (SELECT r, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i FROM docs, widths WHERE len(w) >= k)),
+        found AS (SELECT r, i, places.k, item FROM places JOIN windows ON places.k = windows.k AND places.win = windows.win),
+        hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + k - 1)) AS p FROM found) GROUP BY r),
+        said AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hit USING (r) LEFT JOIN said USING (r)""",
+    "op3_chat_format": rf"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+        named AS (
+            SELECT conv_id, turn, text,
+                   CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant'
+                             WHEN 'model' THEN 'assistant' ELSE role END AS role FROM turns)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(sum(CASE role WHEN 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE role WHEN 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+               CAST(sum(length({_escaped("role")}) + length({_escaped("text")}) + 15) AS BIGINT) AS formatted_chars
+        FROM named GROUP BY conv_id""",
     "op5_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -46,4 +176,12 @@ ORACLE_SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op8_license_scan": _license_sql(),
+    "op10_warc": f"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS lead FROM pages)
+        SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {_base32_sha1("body")} AS payload_digest,
+               CASE WHEN page_id IS DISTINCT FROM lead THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM lead THEN lead END AS refers_to
+        FROM p""",
 }
