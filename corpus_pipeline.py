@@ -1,18 +1,66 @@
-"""The corpus pipeline: stages in order, each written and read again."""
+"""The corpus pipeline: stages in order, each written as Parquet and read again.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns that they were given, without the documents that they reject.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zonalyx.llm import exact_dedup
+from zonalyx.llm import bpe, decontaminate, exact_dedup, language_id, ngram_jaccard
+from zonalyx.llm.queries import BPE_RANKS, tokenizers
 from zonalyx.llm.store import keep
 
+#: A document goes if its language is unknown or less probable than this.
+MIN_LANGUAGE_SCORE = 0.3
+#: Removed ids that may be broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labels name; null and letterless texts go."""
+    model = language_id.train(language_id.training_rows(docs))
+    said = language_id.predict(docs, model)
+    sure = (F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)
+    return said.where(sure).select(*docs.columns)
+
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
     return exact_dedup.drop_exact_duplicates(docs, keep_largest=True)
 
 
-STAGES = [("exact_dedup", exact_dedup_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links join, the one with the smallest doc_id; a null doc_id stays."""
+    found = ngram_jaccard.near_duplicates(docs)
+    gone = keep(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "near-gone")
+    small = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids, ids_sha256, decoded_sha256."""
+    public = tokenizers()
+    got = bpe.tokenise(docs.select("doc_id", "text"), public.path(BPE_RANKS), public.PATTERN)
+    return got.select("doc_id", (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.col("__ids").alias("token_ids"), F.col("__ids_sha256").alias("ids_sha256"), F.col("__decoded_sha256").alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("bpe", encode_stage),
+]
+
+#: SQL can't express the classifier; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 

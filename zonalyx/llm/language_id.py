@@ -230,5 +230,10 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", folds: int = 5) -> Da
     return docs.where(~held_out(id_col, folds))
 
 
+def remainder(id_col: str, folds: int):
+    """crc32 of the id as text, modulo folds; a null id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5):
-    return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
+    return remainder(id_col, folds) == 0

@@ -9,11 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalyx.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, sharding, warc
+from zonalyx.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, lm_score, ngram_jaccard, sharding, warc
 
 #: The folder of public vocabulary files; a parameter of the queries that need one.
 TOKENIZER_DIR = "/opt/tokenizers"
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +55,30 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_turns(turns))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = language_id.remainder("doc_id", 7) == 2
+    model = lm_score.train(docs, ~held, lm_score.read_vocabulary(tokenizers().path(PIECES)))
+    got = lm_score.score(docs, model)
+    return got.select(
+        "doc_id",
+        held.alias("held_out"),
+        F.col("__n_tokens").alias("n_tokens"),
+        F.col("__n_known").alias("n_known"),
+        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
+        F.col("__base").alias("base_score"),
+        F.col("__score").alias("score"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep_largest=True)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(_table(spark, sf_dir, "documents")).drop("class_id")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.train(language_id.training_rows(docs))
@@ -82,7 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sharding": op2_sharding,
     "op3_chat_format": op3_chat_format,
+    "op4_lm_score": op4_lm_score,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
     "op9_bpe": op9_bpe,
@@ -176,6 +199,22 @@ ORACLE_SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op6_ngram_jaccard": r"""
+        WITH RECURSIVE docs AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        sh AS (
+            SELECT DISTINCT r, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s
+            FROM (SELECT r, w, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS i FROM docs WHERE len(w) > 0)),
+        n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+        both_ AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+        links AS (
+            SELECT x, y FROM both_ JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+        reach(r, o) AS (SELECT r, r FROM docs UNION SELECT reach.r, links.y FROM reach JOIN links ON reach.o = links.x),
+        least_ AS (SELECT reach.r, min(docs.doc_id) AS component_id FROM reach JOIN docs ON docs.r = reach.o GROUP BY reach.r)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM docs JOIN least_ USING (r) LEFT JOIN n USING (r)""",
     "op8_license_scan": _license_sql(),
     "op10_warc": f"""
         WITH p AS (
