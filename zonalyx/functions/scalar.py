@@ -85,7 +85,7 @@ def period_fields(key: Column) -> list[Column]:
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / 3.6e9
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 3.6e9
 
 
 def season(month: Column, shift: int = 0) -> list[Column]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("q_windows", "q_frames", "q_aggregates")
+MODULES: tuple[str, ...] = ("q_windows", "q_frames", "q_aggregates", "q_scalar")
 
 
 def _modules() -> list:
