@@ -164,7 +164,10 @@ def additive_index(df: DataFrame, recipe: Recipe) -> DataFrame:
 
 
 def rank_index(df: DataFrame, recipe: Recipe, high: float = 0.9) -> DataFrame:
-    """Variable ranks to domain sums to domain ranks to a total and its rank; flags count ranks of high and more."""
+    """Variable ranks to domain sums to domain ranks to a total and its rank; flags count ranks of high and more.
+
+    Sums are rounded to 12 decimals, so that equal ranks stay equal whatever the order of adding.
+    """
     if recipe.population:
         df = df.where(F.col(recipe.population) > 0)
     domains: dict[str, list[str]] = {}
@@ -175,13 +178,13 @@ def rank_index(df: DataFrame, recipe: Recipe, high: float = 0.9) -> DataFrame:
     for d, names in domains.items():
         parts = [f"pr_{n}" for n in names]
         some = F.coalesce(*parts).isNotNull()
-        df = df.withColumn(f"{d}_sum", F.when(some, combine(parts, "sum")))
+        df = df.withColumn(f"{d}_sum", F.when(some, F.round(combine(parts, "sum"), 12)))
         df = percentile_rank(df, f"{d}_sum", f"{d}_pr")
     ranks = [f"{d}_pr" for d in domains]
     flags = F.lit(0)
     for v in recipe.variables:
         flags = flags + F.col(f"flag_{v.name}")
-    df = df.withColumn("flags", flags).withColumn("total", F.when(F.coalesce(*ranks).isNotNull(), combine(ranks, "sum")))
+    df = df.withColumn("flags", flags).withColumn("total", F.when(F.coalesce(*ranks).isNotNull(), F.round(combine(ranks, "sum"), 12)))
     return percentile_rank(df, "total", "score")
 
 
