@@ -14,10 +14,13 @@ with one and the same set are one class; classes are joined:
    parts bound how much they can have in common.
 4. Verification, once per pair, on the whole sets.
 
-Large groups: before all pairs are looked at, each class is compared with one
-partner, the smallest class among those it shares a prefix with (STAR_ROUNDS
-times). Then only pairs that no chain of links joins yet are candidates; a group
-of near copies costs about as many pairs as it has members, and no link between
+Large groups: before all pairs are looked at, classes that share a shingle which
+CLOSE_GROUP classes at most have are compared, and each class is compared with
+one partner (STAR_ROUNDS times): of the classes that it shares a prefix shingle
+with, one whose own prefix shingles have the most classes in all, which is the one
+least changed of a group of copies. Then only pairs that no chain of links joins
+yet are candidates; a group of near copies, also one in which each is a copy of the
+one before, costs about as many pairs as it has members, and no link between
 different components is left out.
 """
 
@@ -39,6 +42,7 @@ from zonalyx.llm.store import keep
 SHINGLE = 5
 PERCENT = 80
 STAR_ROUNDS = 2
+CLOSE_GROUP = 8
 SKETCH_BITS = 21
 #: Parts of the hash range for the suffix filter.
 PIVOTS = 16
@@ -202,6 +206,13 @@ def _live(entries: DataFrame) -> DataFrame:
     return marked.where("part > 0 or __lo != __hi").drop("__lo", "__hi").dropDuplicates(["sh", "part", "cls"])
 
 
+def _with_degree(live: DataFrame) -> DataFrame:
+    """live with deg: how many classes the class's prefix shingles have in all."""
+    sizes = live.groupBy("sh").agg(F.count(F.lit(1)).alias("m"))
+    degree = live.join(sizes, "sh").groupBy("cls").agg(F.sum("m").alias("deg"))
+    return live.join(degree, "cls")
+
+
 # -- candidates and verification ---------------------------------------------------------------
 
 
@@ -217,7 +228,7 @@ def _lengths_fit(x: str, y: str, percent: int) -> Column:
 
 def _star_pairs(rows: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
     """(a, b): each class with the partner from another component that it shares most prefix shingles with as their centre."""
-    centre = rows.groupBy("sh").agg(F.min(F.struct("comp", "cls", "n")).alias("c"))
+    centre = rows.groupBy("sh").agg(F.max(F.struct("deg", "comp", "cls", "n")).alias("c"))
     pairs = rows.join(centre, "sh").where((F.col("comp") != F.col("c.comp")) & _lengths_fit("n", "c.n", percent))
     pairs = pairs.groupBy(F.col("cls").alias("b"), F.col("c.cls").alias("a")).agg(F.count(F.lit(1)).alias("k"))
     if tried is not None:
@@ -226,12 +237,22 @@ def _star_pairs(rows: DataFrame, tried: DataFrame | None, percent: int) -> DataF
     return best.select(F.least(F.col("m.a"), "b").alias("a"), F.greatest(F.col("m.a"), "b").alias("b")).distinct()
 
 
+def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that meet in a shingle which CLOSE_GROUP classes at most have."""
+    few = rows.groupBy("sh").agg(F.count(F.lit(1)).alias("m")).where(f"m between 2 and {CLOSE_GROUP}").select("sh")
+    return _met(keep(rows.join(few, "sh").select("sh", "cls", "n", "pos", "comp"), "jaccard-close"), percent)
+
+
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from different components that pass the length and positional filters."""
+    """(a, b) from different components that meet in any shingle."""
     mixed = rows.groupBy("sh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sh")
-    open_rows = keep(rows.join(mixed, "sh").select("sh", "cls", "n", "pos", "comp"), "jaccard-open")
-    x = open_rows.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * 2 * percent / F.lit(float(100 + percent)) - 1e-9) + 1).toDF("sh", "a", "an", "ai", "ac")
-    y = open_rows.toDF("sh", "b", "bn", "bi", "bc")
+    return _met(keep(rows.join(mixed, "sh").select("sh", "cls", "n", "pos", "comp"), "jaccard-open"), percent)
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a common prefix shingle, from different components, that pass the length and positional filters."""
+    x = rows.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * 2 * percent / F.lit(float(100 + percent)) - 1e-9) + 1).toDF("sh", "a", "an", "ai", "ac")
+    y = rows.toDF("sh", "b", "bn", "bi", "bc")
     enough = needed(F.col("an"), F.col("bn"), percent)
     shorter = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
     rest = lambda i, j: F.least(F.col("an") - i, F.col("bn") - j) - 1
@@ -310,11 +331,13 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     hot = max(MIN_HOT, rows.count() // HOT_SHARE)
     shared = spark.sparkContext.broadcast(level)
     entries = docs.select("text").mapInArrow(_prefixes(shared, size, percent, int(8 * np.log2(hot + 1))), "sh long, cls long, n int, pos int, part int")
-    live = keep(_live(entries), "jaccard-prefixes")
+    live = keep(_with_degree(keep(_live(entries), "jaccard-prefixes")), "jaccard-prefixes")
     links, labels, tried = None, None, None
     for step in range(star_rounds + 1):
         now = _labelled(live, labels)
         pairs = _star_pairs(now, tried, percent) if step < star_rounds else _all_pairs(now, percent)
+        if step == 0 and star_rounds:
+            pairs = pairs.union(_close_pairs(now, percent)).distinct()
         if step == star_rounds and tried is not None:
             pairs = pairs.join(tried, (F.col("a") == tried.x) & (F.col("b") == tried.y), "left_anti")
         pairs = keep(_suffix_filter(pairs, classes, percent) if step == star_rounds else pairs, "jaccard-pairs")
