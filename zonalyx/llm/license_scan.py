@@ -5,6 +5,9 @@ lines. A unit matches a template if 2|A and B| / (|A| + |B|) >= threshold for th
 sets A, B of their word bigrams. Since |A and B| <= min(|A|, |B|), only templates
 with threshold / (2 - threshold) <= |B| / |A| <= (2 - threshold) / threshold can
 match; sizes outside every template's bounds end the comparison before it starts.
+For the same reason a match shares threshold / (2 - threshold) of B at least, so it
+holds one of a few anchor words without which too few of B's bigrams are left;
+units without any anchor are not cut into words.
 
 Everything is one projection: no shuffle, and a row holds no more than its document.
 """
@@ -35,6 +38,21 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
+def anchors(sets: list[list[str]], threshold: float) -> list[str]:
+    """Words of which every set that matches one of sets has at least one; the longest are taken first."""
+    out: set[str] = set()
+    for grams in sets:
+        spare = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
+        left = [g.split(" ") for g in grams]
+        for word in sorted({w for g in left for w in g}, key=lambda w: (w not in out, -len(w), w)):
+            if len(grams) - len(left) > spare:
+                break
+            if any(word in g for g in left):
+                left = [g for g in left if word not in g]
+                out.add(word)
+    return sorted(w for w in out if not any(v != w and v in w for v in out))
+
+
 def _bigrams(words: Column) -> Column:
     low = F.transform(words, lambda w: F.translate(w, _UPPER, _LOWER))
     pairs = F.zip_with(F.slice(low, 1, F.size(low) - 1), F.slice(low, 2, F.size(low) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -56,7 +74,16 @@ def scan_licenses(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     blocks = F.when(F.contains(text, F.lit("\n\n")), F.split(text, "\n\n+")).otherwise(F.array(F.lit("")))
     units = F.filter(F.array_distinct(F.concat(F.array(text), blocks, F.split(text, "\n"))), lambda u: u != "")
-    base = df.select(F.col(f"`{id_col}`").alias("id"), units.alias("units"))
+    marks = anchors([t[1] for t in table], threshold)
+
+    def anchored(unit: Column) -> Column:
+        low, out = F.lower(unit), F.lit(False)
+        for word in marks:
+            out = out | F.contains(low, F.lit(word))
+        return out
+
+    base = df.select(F.col(f"`{id_col}`").alias("id"), units.alias("all_units"), anchored(text).alias("any"))
+    base = base.select("id", F.size("all_units").alias("n_units"), F.when(F.col("any"), F.filter("all_units", anchored)).otherwise(F.array().cast("array<string>")).alias("units"))
     # a set is never larger than its words less one: units with fewer words than any template allows end here
     words = F.filter(F.transform("units", lambda u: F.regexp_extract_all(u, F.lit(WORD), 0)), lambda w: F.size(w) > least)
     grams = F.filter(F.transform(words, _bigrams), lambda g: F.size(g).between(least, most))
@@ -66,7 +93,7 @@ def scan_licenses(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         return F.transform(fits, lambda t: F.struct((-2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + F.size(t["grams"]))).alias("less"), t["name"].alias("name")))
 
     found = F.filter(F.flatten(F.transform("grams", compare)), lambda m: m["less"] <= -threshold)
-    got = base.select("id", F.size("units").cast("long").alias("n_units"), grams.alias("grams")).select("id", "n_units", found.alias("found"))
+    got = base.select("id", F.col("n_units").cast("long").alias("n_units"), grams.alias("grams")).select("id", "n_units", found.alias("found"))
     best = F.array_min("found")
     return got.select(
         F.col("id").alias(id_col),
