@@ -76,7 +76,11 @@ def groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Lattice:
-    """The lattices of words of one length n (codes: words x n)."""
+    """The lattices of words of one length n (codes: words x n).
+
+    Up to _KEEP_EDGES, each piece length's edges are found at once, for all starts
+    and words; of longer words, edges are found end by end, and again when needed.
+    """
 
     def __init__(self, codes: np.ndarray, pieces: Pieces) -> None:
         self.pieces, (self.m, self.n) = pieces, codes.shape
@@ -84,44 +88,73 @@ class Lattice:
         base = np.uint64(_BASE)
         for j in range(self.n):
             self.hashes[j + 1] = self.hashes[j] * base + codes[:, j] + np.uint64(1)
-        self.kept: dict[int, list] | None = {} if self.n <= _KEEP_EDGES else None
-
-    def edges(self, j: int) -> list[tuple[int, np.ndarray]]:
-        """(start, piece numbers) of the edges that end at j, by length, without lengths that no word has."""
-        if self.kept is not None and j in self.kept:
-            return self.kept[j]
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
+        if self.n <= _KEEP_EDGES:
+            self.kept = {}
+            for size in self.pieces.lengths:
+                if size > self.n:
+                    break
+                ids = self._between(0, self.n - size + 1, size)
+                if (ids >= 0).any():
+                    self.kept[size] = ids, pieces.log_p[ids]
+
+    def _between(self, start: int, stop: int, size: int) -> np.ndarray:
+        """Piece numbers of the substrings of one size that start in start .. stop - 1."""
+        h = self.hashes[start + size : stop + size] - self.hashes[start:stop] * self.pieces.power[size]
+        return self.pieces.find(h.ravel()).reshape(h.shape)
+
+    def _edges(self, j: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(start, piece numbers, their log probabilities) of the edges that end at j."""
+        if self.kept is not None:
+            return [(j - size, ids[j - size], logs[j - size]) for size, (ids, logs) in self.kept.items() if size <= j]
         out = []
         for size in self.pieces.lengths:
             if size > j:
                 break
-            ids = self.pieces.find(self.hashes[j] - self.hashes[j - size] * self.pieces.power[size])
+            ids = self._between(j - size, j - size + 1, size)[0]
             if (ids >= 0).any():
-                out.append((j - size, ids))
-        if self.kept is not None:
-            self.kept[j] = out
+                out.append((j - size, ids, self.pieces.log_p[ids]))
         return out
 
     def forward(self) -> np.ndarray:
         alpha = np.full((self.n + 1, self.m), -np.inf)
         alpha[0] = 0.0
         for j in range(1, self.n + 1):
-            terms = [alpha[i] + self.pieces.log_p[ids] for i, ids in self.edges(j)]
+            terms = [alpha[i] + logs for i, _, logs in self._edges(j)]
             if terms:
                 alpha[j] = _log_sum(terms)
         return alpha
 
+    def _backward(self) -> np.ndarray:
+        beta = np.full((self.n + 1, self.m), -np.inf)
+        beta[self.n] = 0.0
+        for i in range(self.n - 1, -1, -1):
+            terms = [beta[i + size] + logs[i] for size, (_, logs) in self.kept.items() if i + size <= self.n]
+            if terms:
+                beta[i] = _log_sum(terms)
+        return beta
+
     def expect(self, weights: np.ndarray, counts: np.ndarray) -> None:
         """Add the expected piece counts, each word weighted, to counts."""
         alpha = self.forward()
-        beta = np.full((self.n + 1, self.m), -np.inf)
-        beta[self.n] = 0.0
         total = alpha[self.n]
         reached = np.isfinite(total)
+        weights = np.where(reached, weights, 0.0)
+        alpha = alpha - np.where(reached, total, 0.0)
+        if self.kept is not None:
+            beta = self._backward()
+            for size, (ids, logs) in self.kept.items():
+                share = np.exp(alpha[: self.n - size + 1] + logs + beta[size:]) * weights
+                on = ids >= 0
+                counts += np.bincount(ids[on], share[on], len(counts))
+            return
+        beta = np.full((self.n + 1, self.m), -np.inf)
+        beta[self.n] = 0.0
         for j in range(self.n, 0, -1):
-            for i, ids in self.edges(j):
-                step = self.pieces.log_p[ids] + beta[j]
-                ok = reached & np.isfinite(step) & np.isfinite(alpha[i])
-                counts += np.bincount(ids[ok], np.exp(alpha[i][ok] + step[ok] - total[ok]) * weights[ok], len(counts))
+            for i, ids, logs in self._edges(j):
+                step = logs + beta[j]
+                on = (ids >= 0) & np.isfinite(step)
+                counts += np.bincount(ids[on], (np.exp(alpha[i] + step) * weights)[on], len(counts))
                 beta[i] = np.logaddexp(beta[i], step)
 
 

@@ -40,6 +40,7 @@ PRIOR_PIECES = 5_000.0
 #: Added to a piece's place in the vocabulary's order before it becomes a weight 1 / place.
 _PLACE = 50.0
 _FLUSH_WORDS = 400_000
+_BATCH_WORDS = 40_000
 #: Stands for the end of a text among words.
 END = b""
 
@@ -104,9 +105,15 @@ def _expect(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(*shared.value)
         counts = np.zeros(len(pieces.pieces))
+        words: list[bytes] = []
+        weights: list[int] = []
         for batch in batches:
-            words = [b" " + w for w in batch.column(0).to_pylist()]
-            counts += expected_counts(words, batch.column(1).to_numpy(zero_copy_only=False), pieces)
+            words += [b" " + w for w in batch.column(0).to_pylist()]
+            weights += batch.column(1).to_pylist()
+            if len(words) >= _BATCH_WORDS:
+                counts += expected_counts(words, weights, pieces)
+                words, weights = [], []
+        counts += expected_counts(words, weights, pieces)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["piece", "n"])
 
