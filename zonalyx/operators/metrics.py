@@ -49,9 +49,9 @@ def kendall(df: DataFrame, by: list[str], key: str, y: str = "observed", p: str
     """Tau-b inside each group, from the counts of ordered pairs; groups are areas, so pairs stay few."""
     a = finite_pairs(df, y, p).select(*by, F.col(key).alias("k1"), F.col(y).alias("y1"), F.col(p).alias("p1"))
     b = a.toDF(*by, "k2", "y2", "p2")
-    s = a.join(b, by).where("k1 < k2").select(*by, F.signum(F.col("y1") - F.col("y2")).alias("sy"), F.signum(F.col("p1") - F.col("p2")).alias("sp"))
-    g = s.groupBy(*by).agg(F.sum(F.col("sy") * F.col("sp")).alias("c"), F.sum(F.abs("sy")).alias("ny"), F.sum(F.abs("sp")).alias("np"))
-    return g.select(*by, F.try_divide(F.col("c"), F.nullif(F.sqrt(F.col("ny") * F.col("np")), F.lit(0.0))).alias("kendall"))
+    s = a.join(b, by).where("k1 < k2").select(*by, F.signum(F.col("y1") - F.col("y2")).alias("__sy"), F.signum(F.col("p1") - F.col("p2")).alias("__sp"))
+    g = s.groupBy(*by).agg(F.sum(F.col("__sy") * F.col("__sp")).alias("__c"), F.sum(F.abs("__sy")).alias("__ny"), F.sum(F.abs("__sp")).alias("__np"))
+    return g.select(*by, F.try_divide(F.col("__c"), F.nullif(F.sqrt(F.col("__ny") * F.col("__np")), F.lit(0.0))).alias("kendall"))
 
 
 def top_k(df: DataFrame, by: list[str], key: str, k: int | None = None, share: float | None = None, y: str = "observed", p: str = "predicted") -> DataFrame:
@@ -81,8 +81,8 @@ def auroc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     """Rank-sum with average ranks; NULL with one class."""
     r = average_ranks(df, score, "__r", by)
     pos = F.col(label) > 0
-    g = r.groupBy(*by).agg(F.sum(F.when(pos, F.col("__r"))).alias("s"), F.count_if(pos).alias("a"), F.count_if(~pos).alias("b"))
-    return g.select(*by, F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("s") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * F.col("b"))).alias("auroc"))
+    g = r.groupBy(*by).agg(F.sum(F.when(pos, F.col("__r"))).alias("__s"), F.count_if(pos).alias("__a"), F.count_if(~pos).alias("__b"))
+    return g.select(*by, F.when((F.col("__a") > 0) & (F.col("__b") > 0), (F.col("__s") - F.col("__a") * (F.col("__a") + 1) / 2) / (F.col("__a") * F.col("__b"))).alias("auroc"))
 
 
 def average_precision(df: DataFrame, by: list[str], key: str, label: str, score: str) -> DataFrame:
