@@ -3,14 +3,18 @@
 Text is cut by a pattern into pre-tokens. A minimal perfect hash over the
 vocabulary resolves a pre-token that is itself a token with one probe; any other
 one is merged by a heap of (rank, place) over bytes in a doubly linked list, in
-O(n log n) for a pre-token of n bytes. Results are remembered per worker in a
-cache of bounded size, which is emptied when full and changes no result.
+O(n log n) for a pre-token of n bytes. Results are remembered per worker in two
+generations of bounded size, which change no result: when the younger is full, it
+replaces the older, and what is used again moves up.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import re
+import struct
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +25,13 @@ from pyspark.sql import functions as F
 
 from zonalyx.llm.arrow import ship, utf8
 
-CACHE_ENTRIES = 400_000
+#: Pre-tokens remembered in one generation.
+CACHE_ENTRIES = 300_000
 #: Longer pre-tokens are not remembered.
-CACHE_KEY_BYTES = 64
+CACHE_KEY_CHARS = 64
 _KEYS_PER_BUCKET = 4
+_LITTLE = [struct.Struct(f"<{n}I").pack for n in range(16)]
+_NATIVE_LITTLE = sys.byteorder == "little"
 
 #: Code points that newer Unicode versions made letters and numbers,
 #: and that the encoders to be matched still treat as unassigned.
@@ -48,7 +55,7 @@ class PerfectHash:
     def __init__(self, keys: list[bytes]) -> None:
         self.n = max(1, len(keys))
         self.buckets = self.n // _KEYS_PER_BUCKET + 1
-        self.shift = np.zeros(self.buckets, np.int64)
+        self.shift = [0] * self.buckets
         groups: list[list[tuple[int, int]]] = [[] for _ in range(self.buckets)]
         for key in keys:
             a, b, c = self._parts(key)
@@ -72,12 +79,12 @@ class PerfectHash:
                 self.shift[bucket] = -1 - next(free)
 
     def _parts(self, key: bytes) -> tuple[int, int, int]:
-        h = xxhash.xxh3_128_intdigest(key)
-        return (h & 0xFFFFFFFF) % self.buckets, (h >> 32) & 0xFFFFFFFF, ((h >> 64) & 0xFFFFFFFF) | 1
+        h = xxhash.xxh3_64_intdigest(key)
+        return h % self.buckets, h >> 16, (h & 0xFFFFFF) | 1
 
     def place(self, key: bytes) -> int:
         a, b, c = self._parts(key)
-        d = int(self.shift[a])
+        d = self.shift[a]
         if d < 0:
             return -1 - d
         return (b + d * c + d * d) % self.n
@@ -93,7 +100,11 @@ class Vocabulary:
         for key, rank in ranks.items():
             p = self.hash.place(key)
             self.keys[p], self.ranks[p] = key, rank
-        self.tokens = {rank: key for key, rank in ranks.items()}
+        self.pairs = {key: rank for key, rank in ranks.items() if len(key) > 1}
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for key, rank in ranks.items():
+            self.tokens[rank] = key
+        self.bytes = [ranks.get(bytes([b]), -1) for b in range(256)]
 
     def rank(self, key: bytes) -> int:
         """The key's rank, -1 if it is no token."""
@@ -101,45 +112,47 @@ class Vocabulary:
         return self.ranks[p] if self.keys[p] == key else -1
 
     def merge(self, word: bytes) -> list[int]:
-        """Ranks of a word that is no token: the lowest rank merges first, of equal ones the leftmost."""
-        n = len(word)
-        start, end = list(range(n)), list(range(1, n + 1))
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        alive = [True] * n
-        known: dict[bytes, int] = {}
-
-        def rank(key: bytes) -> int:
-            if key not in known:
-                known[key] = self.rank(key)
-            return known[key]
-
+        """Ranks of a word that is no token: the lowest rank merges first, of equal ones the leftmost.
+
+        A part is known by its first byte's place; ends, ranks and links are kept
+        there. A heap entry is out of date if its part is gone or its end is not
+        the end of the part after it.
+        """
+        n, pairs = len(word), self.pairs
+        get = pairs.get
+        ends = list(range(1, n + 1))
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        ranks = [self.bytes[b] for b in word]
         heap = []
         for i in range(n - 1):
-            if (r := rank(word[i : i + 2])) >= 0:
+            r = get(word[i : i + 2])
+            if r is not None:
                 heap.append((r, i, i + 2))
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            r, i, stop = heapq.heappop(heap)
-            if not alive[i]:
-                continue
+            r, i, stop = pop(heap)
             j = right[i]
-            if j < 0 or end[j] != stop:
+            if ends[i] < 0 or j >= n or ends[j] != stop:
                 continue
-            end[i], right[i], alive[j] = stop, right[j], False
-            if right[j] >= 0:
-                left[right[j]] = i
-                k = right[j]
-                if (r := rank(word[start[i] : end[k]])) >= 0:
-                    heapq.heappush(heap, (r, i, end[k]))
-            if (h := left[i]) >= 0 and (r := rank(word[start[h] : stop])) >= 0:
-                heapq.heappush(heap, (r, h, stop))
-        out = []
-        for i in range(n):
-            if alive[i]:
-                r = rank(word[start[i] : end[i]])
-                if r < 0:
-                    raise ValueError(f"the vocabulary lacks the byte {word[start[i] : end[i]]!r}")
-                out.append(r)
+            k = right[j]
+            ends[i], ends[j], right[i], ranks[i] = stop, -1, k, r
+            if k < n:
+                left[k] = i
+                r = get(word[i : ends[k]])
+                if r is not None:
+                    push(heap, (r, i, ends[k]))
+            h = left[i]
+            if h >= 0:
+                r = get(word[h:stop])
+                if r is not None:
+                    push(heap, (r, h, stop))
+        out, i = [], 0
+        while i < n:
+            if ranks[i] < 0:
+                raise ValueError(f"the vocabulary lacks the byte {word[i : ends[i]]!r}")
+            out.append(ranks[i])
+            i = right[i]
         return out
 
 
@@ -156,22 +169,31 @@ class Encoder(dict):
 
         super().__init__()
         self.vocabulary = vocabulary
+        self.older: dict[str, bytes] = {}
         letters, numbers = _set(LATER_LETTERS), _set(LATER_NUMBERS)
-        self.later = regex.compile(f"[{letters}{numbers}]").search
+        self.later = re.compile(f"[{letters}{numbers}]").search
         self.plain = regex.compile(pattern).findall
         older = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{letters}]]").replace(r"\p{N}", rf"[\p{{N}}--[{numbers}]]")
         self.strict = regex.compile(older, regex.V1).findall
 
     def find(self, text: str) -> list[str]:
-        return self.strict(text) if self.later(text) else self.plain(text)
+        try:
+            text.encode("latin-1")  # fast, and none of the later code points is there
+        except UnicodeEncodeError:
+            if self.later(text):
+                return self.strict(text)
+        return self.plain(text)
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece.encode()
-        rank = self.vocabulary.rank(word)
-        ids = [rank] if rank >= 0 else self.vocabulary.merge(word)
-        out = np.array(ids, "<u4").tobytes()
-        if len(word) <= CACHE_KEY_BYTES:
+        out = self.older.pop(piece, None)
+        if out is None:
+            word = piece.encode()
+            rank = self.vocabulary.rank(word)
+            ids = (rank,) if rank >= 0 else self.vocabulary.merge(word)
+            out = _LITTLE[len(ids)](*ids) if len(ids) < len(_LITTLE) else struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= CACHE_KEY_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
@@ -180,7 +202,7 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.find(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.vocabulary.tokens.__getitem__, memoryview(ids).cast("I") if _NATIVE_LITTLE else np.frombuffer(ids, "<u4").tolist()))
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
