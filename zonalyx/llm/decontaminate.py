@@ -13,7 +13,7 @@ bounded however large it grows; each block is one more pass over the documents.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -233,8 +233,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 def _cut(text: str, spans: list[int]) -> str:
     """text without the words of the spans; what stood between hit words goes with them."""
-    import re
-
     at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
     out, last = [], 0
     for start, end in zip(spans[::2], spans[1::2], strict=True):
@@ -261,7 +259,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return got.mapInArrow(cut, got.select(*names).schema).toDF(*docs.columns)
-
-
-def sha256_of_items(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
