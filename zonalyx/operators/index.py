@@ -7,7 +7,6 @@ the variables' size, which one aggregate computes; rows never reach the driver.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -287,7 +286,3 @@ def predict_log_counts(fit: tuple[float, dict[str, float]]) -> Column:
     for c, w in fit[1].items():
         out = out + F.col(c) * w
     return F.when(F.expm1(out) < 0, 0.0).otherwise(F.expm1(out))
-
-
-def spread(values: list[float]) -> float:
-    return math.sqrt(float(np.var(values))) if values else 0.0
