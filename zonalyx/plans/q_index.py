@@ -149,7 +149,7 @@ def _(spark, d):
     return panel(spark, d).select("zone_id", O, sp.temporal(F.col(O), TRAIN_END, VALIDATION_END).alias("split"))
 
 
-@query("r201_random_split", "SELECT 'train' AS split, CAST(round(count(*) * 0.7) AS BIGINT) AS n FROM customer UNION ALL SELECT 'validation', CAST(round(count(*) * 0.15) AS BIGINT) FROM customer UNION ALL SELECT 'test', CAST(count(*) - round(count(*) * 0.7) - round(count(*) * 0.15) AS BIGINT) FROM customer")
+@query("r201_random_split", "SELECT 'train' AS split, CAST(round_even(count(*) * 0.7, 0) AS BIGINT) AS n FROM customer UNION ALL SELECT 'validation', CAST(round_even(count(*) * 0.15, 0) AS BIGINT) FROM customer UNION ALL SELECT 'test', CAST(count(*) - round_even(count(*) * 0.7, 0) - round_even(count(*) * 0.15, 0) AS BIGINT) FROM customer")
 def _(spark, d):
     return sp.random_rows(table(spark, d, "customer"), "c_custkey").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
@@ -225,7 +225,7 @@ def _(spark, d):
     return g.annotate(_edges(spark, d, n), n, "split").select("source", "target", "source_split", "target_split", "crosses_split", "train_train", "touches_test")
 
 
-@query("r084_degrees", f"WITH {_N} SELECT node_id, (SELECT count(*) FROM edges WHERE target = node_id) AS in_degree, (SELECT count(*) FROM edges WHERE source = node_id) AS out_degree, false AS isolated FROM n")
+@query("r084_degrees", f"WITH {_N} SELECT node_id, (SELECT count(*) FROM edges WHERE target = node_id) AS in_degree, (SELECT count(*) FROM edges WHERE source = node_id) AS out_degree, NOT EXISTS (SELECT 1 FROM edges WHERE source = node_id OR target = node_id) AS isolated FROM n")
 def _(spark, d):
     n = _nodes(spark, d)
     return g.degrees(n, _edges(spark, d, n))

@@ -22,7 +22,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, e
     return df.select(*columns) if columns else df
 
 
-def probe_encoding(head: bytes, candidates: tuple[str, ...] = ("utf-8", "utf-8-sig", "cp1252", "latin-1")) -> str:
+def probe_encoding(head: bytes, candidates: tuple[str, ...] = ("utf-8", "latin-1")) -> str:
     """The first encoding that reads the head of a file; a character cut at its end does not count."""
     for e in candidates:
         try:
@@ -48,7 +48,7 @@ def read_csv_probed(spark: SparkSession, path: str) -> DataFrame:
     head = head_of(spark, path)
     encoding = probe_encoding(head)
     line = head.decode(encoding, "ignore").split("\n")[0]
-    spark_name = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-8": "UTF-8"}[encoding]
+    spark_name = {"latin-1": "ISO-8859-1", "utf-8": "UTF-8"}[encoding]
     return spark.read.option("header", True).option("encoding", spark_name).option("sep", probe_separator(line)).option("mode", "DROPMALFORMED").csv(path)
 
 
