@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from zonalyx.llm.arrow import ship, utf8
 from zonalyx.llm.components import components
-from zonalyx.llm.store import keep
+from zonalyx.llm.store import keep, release
 
 SHINGLE = 5
 PERCENT = 80
@@ -331,7 +331,9 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     hot = max(MIN_HOT, rows.count() // HOT_SHARE)
     shared = spark.sparkContext.broadcast(level)
     entries = docs.select("text").mapInArrow(_prefixes(shared, size, percent, int(8 * np.log2(hot + 1))), "sh long, cls long, n int, pos int, part int")
-    live = keep(_with_degree(keep(_live(entries), "jaccard-prefixes")), "jaccard-prefixes")
+    live = keep(_live(entries), "jaccard-prefixes")
+    release(spark)
+    live = keep(_with_degree(live), "jaccard-prefixes")
     links, labels, tried = None, None, None
     for step in range(star_rounds + 1):
         now = _labelled(live, labels)
@@ -346,6 +348,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         links = found if links is None else links.union(found)
         tried = pairs.toDF("x", "y") if tried is None else tried.union(pairs.toDF("x", "y"))
         labels = components(links)
+        release(spark)
     named = classes.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     of_class = named.join(least, "component").select("cls", "least")
