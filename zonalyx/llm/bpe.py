@@ -30,6 +30,7 @@ CACHE_ENTRIES = 300_000
 #: Longer pre-tokens are not remembered.
 CACHE_KEY_CHARS = 64
 _KEYS_PER_BUCKET = 4
+_STEP = 0x9E3779B1
 _LITTLE = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _NATIVE_LITTLE = sys.byteorder == "little"
 
@@ -66,7 +67,7 @@ class PerfectHash:
             if len(group) < 2:
                 break
             while True:
-                places = [(b + d * c + d * d) % self.n for b, c in group]
+                places = [((b ^ d * _STEP) * c >> 7) % self.n for b, c in group]
                 if len(set(places)) == len(places) and not any(taken[p] for p in places):
                     break
                 d += 1
@@ -87,7 +88,7 @@ class PerfectHash:
         d = self.shift[a]
         if d < 0:
             return -1 - d
-        return (b + d * c + d * d) % self.n
+        return ((b ^ d * _STEP) * c >> 7) % self.n
 
 
 class Vocabulary:
