@@ -46,3 +46,10 @@ def test_query(spark, duck, name):
     want = duck.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canon(got) == canon(want)
+
+
+def test_fold_text_whole_takes_every_document_to_its_end(spark, tmp_path):
+    texts = {1: ("en", "Über " + "x " * 300 + "ÉTÉ  End"), 2: ("fr", "À la\tfin " + "é" * 500 + " –Ñ"), 3: (None, " Œuvre "), 4: ("de", ""), 5: ("es", None)}
+    spark.createDataFrame([(k, t, lang) for k, (lang, t) in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.folded for r in registry.queries()["r140_fold_text_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: "uber " + "x " * 300 + "ete end", 2: "a la fin " + "e" * 500 + " -n", 3: "ouvre", 4: "", 5: None}

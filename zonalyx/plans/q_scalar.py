@@ -93,6 +93,11 @@ def _(spark, d):
     return table(spark, d, "documents").where(F.col("lang").isin("fr", "es")).select("doc_id", s.fold(F.left("text", F.lit(200))).alias("folded"))
 
 
+@query("r140_fold_text_whole", "SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿœæ', 'aaaaaaceeeeiiiinooooouuuuyyoa'), '[‐-―−]', '-', 'g'), '[\\s ]+', ' ', 'g')) AS folded FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", s.fold(F.col("text")).alias("folded"))
+
+
 @query("r141_keyword_family", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'gear') THEN 'round' WHEN contains(p_name, 'red') THEN 'red' ELSE 'other' END AS family FROM part")
 def _(spark, d):
     return table(spark, d, "part").select("p_partkey", s.keyword_family(F.col("p_name"), [("round", ["ring", "gear"]), ("red", ["red"])]).alias("family"))
