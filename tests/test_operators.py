@@ -171,3 +171,12 @@ def test_stream_equals_batch(spark, tmp_path):
     q = st.daily_counts(st.read_stream(spark, str(tmp_path / "e"), e.schema), "ts", "kind", "value").writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, st.daily_counts(e, "ts", "kind", "value").collect()))
+
+
+def test_segments_refuse_ids_outside(spark):
+    for bad in (-1, 3):
+        d = spark.createDataFrame([(0, 1.0), (bad, 2.0)], "seg int, v double")
+        with pytest.raises(Exception, match="outside 0 .. 2"):
+            g.segments(d, "seg", "v", 3).collect()
+    d = spark.createDataFrame([(0, 1.0), (None, 2.0)], "seg int, v double")
+    assert sorted(values(g.segments(d, "seg", "v", 2), "segment", "n")) == [(0, 1), (1, 0)]

@@ -53,3 +53,9 @@ def test_fold_text_whole_takes_every_document_to_its_end(spark, tmp_path):
     spark.createDataFrame([(k, t, lang) for k, (lang, t) in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.folded for r in registry.queries()["r140_fold_text_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: "uber " + "x " * 300 + "ete end", 2: "a la fin " + "e" * 500 + " -n", 3: "ouvre", 4: "", 5: None}
+
+
+def test_segments_reach_the_last_user(spark, tmp_path):
+    spark.createDataFrame([(k, k % 300, 1.0) for k in range(600)], "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()["r214_segments"](spark, str(tmp_path)).toPandas()
+    assert sorted(got.segment) == list(range(300)) and got.n.sum() == 600

@@ -118,8 +118,10 @@ def leakage_audit(edges: DataFrame, node_table: DataFrame, ordinal: str, split:
 
 
 def segments(df: DataFrame, seg: str, value: str, n: int) -> DataFrame:
-    """segment, n, present, sum, mean, max for 0 .. n - 1; absent ones are 0."""
-    g = df.groupBy(F.col(seg).cast("long").alias("segment")).agg(F.count(value).alias("n"), F.sum(value).cast("double").alias("sum"), F.avg(value).alias("mean"), F.max(value).cast("double").alias("max"))
+    """segment, n, present, sum, mean, max for 0 .. n - 1; absent ones are 0. Other ids raise an error; a null id is in no segment."""
+    id_ = F.col(seg).cast("long")
+    inside = F.when(id_.between(0, n - 1) | id_.isNull(), id_).otherwise(F.raise_error(F.concat(F.lit("segment "), id_.cast("string"), F.lit(f" is outside 0 .. {n - 1}"))).cast("long"))
+    g = df.groupBy(inside.alias("segment")).agg(F.count(value).alias("n"), F.sum(value).cast("double").alias("sum"), F.avg(value).alias("mean"), F.max(value).cast("double").alias("max"))
     every = df.sparkSession.range(n).withColumnRenamed("id", "segment")
     return every.join(g, "segment", "left").fillna(0).withColumn("present", F.col("n") > 0)
 
