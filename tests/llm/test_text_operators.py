@@ -361,3 +361,53 @@ def test_damaged_archive_ends_at_the_damage():
     one = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     found = warc.candidates(one + one + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nab")
     assert [(c[0], c[1]) for c in found] == [(0, len(one)), (len(one), 2 * len(one))]
+
+
+def test_license_scan_of_notices_inside_other_text(spark):
+    full = dict((n, t) for n, t in license_scan.TEMPLATES if len(t) > 400)
+    code = [f"def f{k}(x):\n    return x + {k}" for k in range(30)]
+
+    def paragraphs(name, size=45, gap="\n\n"):
+        w = full[name].split(" ")
+        return gap.join(" ".join(w[k : k + size]) for k in range(0, len(w), size))
+
+    texts = [
+        *ODD,
+        "\n".join([*code, paragraphs("MIT"), *code]),
+        "\r\n".join([*code, paragraphs("Apache-2.0", gap="\r\n\r\n"), *code]),
+        "# " + paragraphs("ISC", 9, "\n# ") + "\n" + "\n".join(code),
+        "\n".join([*code, "This work is licensed under a Creative Commons", "Attribution 4.0 International License. And more."]),
+        "prose before, released under the MIT License, prose after it",
+        "\n".join([*code, paragraphs("MIT")[:500], *code]),
+        "released under, released under, released under the MIT, the MIT",
+        "\n\n".join([paragraphs("BSD-3-Clause"), *code, paragraphs("Zlib"), *code]),
+        "the gnu " * 40 + "this work is licensed under " + "the gnu " * 60 + "the gnu general public license version 3 " + "end " * 9,
+    ]
+
+    def brute(text):
+        t_ = text or ""
+        units = [u for u in dict.fromkeys([t_, *(t_.split("\n\n") if "\n\n" in t_ else []), *t_.split("\n")]) if u]
+        sets = [set(license_scan.bigram_set(u)) for u in units]
+        low = [w.lower() for w in license_scan.re.findall(license_scan.WORD, t_)]
+        grams = [f"{a} {b}" for a, b in zip(low, low[1:], strict=False)]
+        hits = []
+        for name, t in license_scan.TEMPLATES:
+            b = set(license_scan.bigram_set(t))
+            found = [d for d in (2 * len(a & b) / (len(a) + len(b)) for a in sets) if d >= license_scan.THRESHOLD]
+            if not found and len(b & set(grams)) >= 0.8 * len(b):
+                best = 0.0
+                for i in range(len(grams)):
+                    seen, same = set(), 0
+                    for gram in grams[i:]:
+                        same += gram in b and gram not in seen
+                        seen.add(gram)
+                        best = max(best, 2 * same / (len(seen) + len(b)))
+                found = [best] if best >= license_scan.THRESHOLD else []
+            hits += [(-d, name) for d in found]
+        best = min(hits, default=(None, None))
+        return len(units), len(hits), ",".join(sorted({n for _, n in hits})), best[1], best[0] and round(-best[0], 9)
+
+    got = rows(license_scan.scan_licenses(table(spark, texts)).orderBy("doc_id"), "n_units", "n_matches", "licenses", "best_license", "best_dice")
+    assert [(*g[:4], g[4] and round(g[4], 9)) for g in got] == [brute(t) for t in texts]
+    said = [g[2] for g in got[len(ODD) :]]
+    assert said[:7] == ["MIT", "Apache-2.0", "ISC", "CC-BY-4.0", "MIT", "", ""] and "Zlib" in said[7] and "GPL-3.0" in said[8]

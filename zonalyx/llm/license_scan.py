@@ -1,7 +1,9 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
 A document's units are its whole text, its blocks between blank lines and its
-lines. A unit matches a template if 2|A and B| / (|A| + |B|) >= threshold for the
+lines. Templates that no unit matches are looked for in every run of consecutive
+words, so that a notice of several paragraphs inside other text, a wrapped sentence
+or a block of a CRLF file is found too. A unit matches a template if 2|A and B| / (|A| + |B|) >= threshold for the
 sets A, B of their word bigrams. Since |A and B| <= min(|A|, |B|), only templates
 with threshold / (2 - threshold) <= |B| / |A| <= (2 - threshold) / threshold can
 match; sizes outside every template's bounds end the comparison before it starts.
@@ -9,6 +11,11 @@ For the same reason a match shares threshold / (2 - threshold) of B at least, so
 holds one of a few anchor words without which too few of B's bigrams are left;
 units without any anchor are not cut into words.
 
+Runs of words are compared only where the whole text holds as many of B's bigrams as
+a match needs. The best run begins with one of B's bigrams (else it is no worse
+without its first word), and none has more distinct bigrams than B's bounds allow;
+runs that do so are all compared, so this is exact too.
+
 Everything is one projection: no shuffle, and a row holds no more than its document.
 """
 
@@ -53,16 +60,60 @@ def anchors(sets: list[list[str]], threshold: float) -> list[str]:
     return sorted(w for w in out if not any(v != w and v in w for v in out))
 
 
-def _bigrams(words: Column) -> Column:
+def _let(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _pairs(words: Column) -> Column:
     low = F.transform(words, lambda w: F.translate(w, _UPPER, _LOWER))
-    pairs = F.zip_with(F.slice(low, 1, F.size(low) - 1), F.slice(low, 2, F.size(low) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+    rest = F.greatest(F.size(low) - 1, F.lit(0))
+    return _let(low, lambda v: F.zip_with(F.slice(v, 1, rest), F.slice(v, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def _bigrams(words: Column) -> Column:
+    return F.array_distinct(_pairs(words))
+
+
+def _places(pairs: Column) -> Column:
+    """(p, before, b) of each bigram b in order: its place and the place of the same bigram before it, or -1."""
+
+    def linked(s: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            last = F.get(s, i - 1)
+            return F.struct(e["p"].alias("p"), F.when(last["b"] == e["b"], last["p"]).otherwise(-1).alias("before"), e["b"].alias("b"))
+
+        return F.array_sort(F.transform(s, one))
+
+    return _let(F.array_sort(F.transform(pairs, lambda b, i: F.struct(b.alias("b"), i.alias("p")))), linked)
+
+
+def _best_run(places: Column, t: Column) -> Column:
+    """The least -Dice of template t over all runs of consecutive words; null if no bigram is t's."""
+
+    def search(q: Column) -> Column:
+        def run(start: Column) -> Column:
+            # bigrams that are new since the start; the bound is on these, however many repeats lie between
+            new = lambda n: F.filter(F.slice(q, start["p"] + 1, n), lambda e: e["before"] < start["p"])
+            steps = _let(new(4 * t["hi"]), lambda v: F.when((F.size(v) >= t["hi"]) | (start["p"] + 4 * t["hi"] >= F.size(q)), v).otherwise(new(F.size(q))))
+
+            def step(z: Column, e: Column) -> Column:
+                a, x = z["a"] + 1, z["x"] + e["hit"]
+                return F.struct(a.alias("a"), x.alias("x"), F.least(z["less"], -2.0 * x / (a + F.size(t["grams"]))).alias("less"))
+
+            return F.aggregate(F.slice(steps, 1, t["hi"]), F.struct(F.lit(0).alias("a"), F.lit(0).alias("x"), F.lit(0.0).alias("less")), step)["less"]
+
+        return F.array_min(F.transform(F.filter(q, lambda e: e["hit"] == 1), run))
+
+    return _let(F.transform(places, lambda e: F.struct(e["p"].alias("p"), e["before"].alias("before"), F.array_contains(t["grams"], e["b"]).cast("int").alias("hit"))), search)
 
 
 def scan_licenses(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """One row per input row: id, n_units, n_matches, licenses, best_license, best_dice.
 
-    licenses: identifiers of the matched templates, distinct, sorted, comma-joined
+    n_units counts the whole text, its blocks and its lines; n_matches counts pairs of a
+    unit and a template that match, and one for each template that no unit matches but
+    a run of words does. licenses: identifiers of the matched templates, distinct, sorted, comma-joined
     (empty without a match). best_license is the one with the largest coefficient,
     of equal ones the first by name; null without a match. Null and empty texts
     have no units. Repeated rows are scanned each.
@@ -70,7 +121,8 @@ def scan_licenses(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     sets = [(name, bigram_set(text)) for name, text in templates]
     table = [(name, grams, *size_bounds(len(grams), threshold)) for name, grams in sets if grams]
     least, most = min(t[2] for t in table), max(t[3] for t in table)
-    known = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(g).alias("grams"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, g, lo, hi in table])
+    known = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(g).alias("grams"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(k).alias("k")) for k, (n, g, lo, hi) in enumerate(table)])
+    every = F.lit(sorted({b for t in table for b in t[1]}))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     blocks = F.when(F.contains(text, F.lit("\n\n")), F.split(text, "\n\n+")).otherwise(F.array(F.lit("")))
     units = F.filter(F.array_distinct(F.concat(F.array(text), blocks, F.split(text, "\n"))), lambda u: u != "")
@@ -82,18 +134,28 @@ def scan_licenses(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             out = out | F.contains(low, F.lit(word))
         return out
 
-    base = df.select(F.col(f"`{id_col}`").alias("id"), units.alias("all_units"), anchored(text).alias("any"))
-    base = base.select("id", F.size("all_units").alias("n_units"), F.when(F.col("any"), F.filter("all_units", anchored)).otherwise(F.array().cast("array<string>")).alias("units"))
+    base = df.select(F.col(f"`{id_col}`").alias("id"), units.alias("all_units"), anchored(text).alias("any"), text.alias("text"))
+    base = base.select("id", F.size("all_units").alias("n_units"), F.when(F.col("any"), F.filter("all_units", anchored)).otherwise(F.array().cast("array<string>")).alias("units"), F.when(F.col("any"), F.col("text")).otherwise("").alias("text"))
     # a set is never larger than its words less one: units with fewer words than any template allows end here
     words = F.filter(F.transform("units", lambda u: F.regexp_extract_all(u, F.lit(WORD), 0)), lambda w: F.size(w) > least)
     grams = F.filter(F.transform(words, _bigrams), lambda g: F.size(g).between(least, most))
 
     def compare(g: Column) -> Column:
         fits = F.filter(known, lambda t: F.size(g).between(t["lo"], t["hi"]))
-        return F.transform(fits, lambda t: F.struct((-2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + F.size(t["grams"]))).alias("less"), t["name"].alias("name")))
+        return F.transform(fits, lambda t: F.struct((-2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + F.size(t["grams"]))).alias("less"), t["name"].alias("name"), t["k"].alias("k")))
+
+    def runs(pairs: Column, found: Column) -> Column:
+        """The matches of runs of words with templates that are not among those found."""
+        open_ = F.filter(known, lambda t: ~F.exists(found, lambda m: m["k"] == t["k"]))
+        near = _let(F.array_intersect(pairs, every), lambda c: F.filter(open_, lambda t: F.size(F.array_intersect(c, t["grams"])) >= t["lo"]))
+        search = lambda ts: _let(_places(pairs), lambda p: F.transform(ts, lambda t: F.struct(_best_run(p, t).alias("less"), t["name"].alias("name"), t["k"].alias("k"))))
+        return _let(near, lambda ts: F.when(F.size(ts) > 0, F.filter(search(ts), lambda m: m["less"] <= -threshold)).otherwise(F.slice(found, 1, 0)))
 
     found = F.filter(F.flatten(F.transform("grams", compare)), lambda m: m["less"] <= -threshold)
-    got = base.select("id", F.col("n_units").cast("long").alias("n_units"), grams.alias("grams")).select("id", "n_units", found.alias("found"))
+    got = base.select("id", F.col("n_units").cast("long").alias("n_units"), grams.alias("grams"), "text").select("id", "n_units", found.alias("found"), "text")
+    pairs = _pairs(F.regexp_extract_all("text", F.lit(WORD), 0))
+    both = _let(F.col("found"), lambda f: _let(pairs, lambda p: F.concat(f, runs(p, f))))
+    got = got.select("id", "n_units", F.when(F.col("text") == "", F.col("found")).otherwise(both).alias("found"))
     best = F.array_min("found")
     return got.select(
         F.col("id").alias(id_col),
