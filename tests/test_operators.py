@@ -180,3 +180,20 @@ def test_segments_refuse_ids_outside(spark):
             g.segments(d, "seg", "v", 3).collect()
     d = spark.createDataFrame([(0, 1.0), (None, 2.0)], "seg int, v double")
     assert sorted(values(g.segments(d, "seg", "v", 2), "segment", "n")) == [(0, 1), (1, 0)]
+
+
+def test_placebo_edges_keep_source_degrees(spark):
+    # month 0 has 2 nodes, month 1 has 5, month 2 has 1
+    n = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 2)], "node_id long, m int")
+    pairs = [(a, b, 1.0) for a in range(2) for b in range(2) if a != b] + [(a, b, 0.5) for a in range(2, 7) for b in range(2, 7) if a != b] + [(0, b, 1.0) for b in range(2, 7)] + [(7, 7, 1.0)]
+    e = spark.createDataFrame(pairs, "source long, target long, edge_weight double")
+    month = lambda k: (k > 1) + (k > 6)
+    for seed in range(5):
+        got = values(g.placebo_edges(e, n, "m", seed), "source", "target", "edge_weight")
+        assert all(s_ != t for s_, t, _ in got)
+        want = [(a, month(b), x) for a, b, x in pairs if a != 7]
+        assert sorted((a, month(b), x) for a, b, x in got) == sorted(want)
+    # every other node of the month can be drawn
+    many = spark.range(400).select(F.lit(4).cast("long").alias("source"), (F.col("id") % 5 + 2).alias("target"), F.lit(1.0).alias("edge_weight"))
+    drawn = {t for seed in range(8) for (t,) in values(g.placebo_edges(many, n, "m", seed).distinct(), "target")}
+    assert drawn == {2, 3, 5, 6}

@@ -34,13 +34,21 @@ def month_edges(pairs: DataFrame, node_table: DataFrame, zone: str, ordinal: str
 
 
 def placebo_edges(edges: DataFrame, node_table: DataFrame, ordinal: str, seed: int = 42) -> DataFrame:
-    """Each edge's target replaced by another node of the target's month, drawn by a hash of the edge."""
+    """Each edge's target replaced by a node of the target's month, drawn by a hash of the edge among all but the source.
+
+    An edge goes only where that month has no other node than the source.
+    """
     month = Window.partitionBy(ordinal)
     places = node_table.select(F.col("node_id").alias("new"), F.col(ordinal).alias("m"), (F.row_number().over(month.orderBy("node_id")) - 1).alias("i"))
     of = node_table.select(F.col("node_id").alias("target"), F.col(ordinal).alias("m"))
     sizes = node_table.groupBy(F.col(ordinal).alias("m")).count()
-    e = edges.join(of, "target").join(F.broadcast(sizes), "m").withColumn("i", F.pmod(F.xxhash64("source", "target", F.lit(seed)), F.col("count")).cast("int"))
-    return e.join(places, ["m", "i"]).where("new <> source").select("source", F.col("new").alias("target"), F.lit("placebo").alias("edge_type"), "edge_weight")
+    own = places.select(F.col("new").alias("source"), "m", F.col("i").alias("own"))
+    # the source's own place is left out: places from it on move up by one
+    e = edges.join(of, "target").join(F.broadcast(sizes), "m").join(own, ["source", "m"], "left")
+    e = e.withColumn("count", F.col("count") - F.col("own").isNotNull().cast("int")).where("count > 0")
+    e = e.withColumn("i", F.pmod(F.xxhash64("source", "target", F.lit(seed)), F.col("count")).cast("int"))
+    e = e.withColumn("i", F.col("i") + F.coalesce((F.col("i") >= F.col("own")).cast("int"), F.lit(0)))
+    return e.join(places, ["m", "i"]).select("source", F.col("new").alias("target"), F.lit("placebo").alias("edge_type"), "edge_weight")
 
 
 def edge_table(*families: DataFrame) -> DataFrame:
