@@ -363,6 +363,19 @@ def test_damaged_archive_ends_at_the_damage():
     assert [(c[0], c[1]) for c in found] == [(0, len(one)), (len(one), 2 * len(one))]
 
 
+def test_contamination_of_one_short_document(spark):
+    item = words(12, 7)
+    index = decontaminate.Index([("i", " ".join(item).encode())], 10)
+    for k in range(13):
+        ids = np.array([index.vocabulary[w.encode()] for w in item[:k]], np.int64)
+        hit, docs, items = index.scan(ids, np.array([k]))
+        assert hit.sum() == (k if k >= 10 else 0) and len(docs) == len(items) == max(k - 9, 0)
+    b = spark.createDataFrame([("i", " ".join(item))], "item_id string, text string")
+    for k in (0, 6, 8, 10):
+        got = decontaminate.contamination(table(spark, [" ".join(item[:k])]).coalesce(1), b)
+        assert rows(got, "n_words", "n_hit") == [(k, k if k >= 10 else 0)]
+
+
 def test_license_scan_of_notices_inside_other_text(spark):
     full = dict((n, t) for n, t in license_scan.TEMPLATES if len(t) > 400)
     code = [f"def f{k}(x):\n    return x + {k}" for k in range(30)]

@@ -50,6 +50,8 @@ class _Vocabulary(dict):
 def _hash_windows(ids: np.ndarray, width: int) -> np.ndarray:
     n = len(ids) - width + 1
     out = np.zeros(max(n, 0), np.uint64)
+    if n <= 0:
+        return out
     for k in range(width):
         out = (out + ids[k : k + n].astype(np.uint64)) * _MULTIPLIER
         out ^= out >> np.uint64(29)
