@@ -424,3 +424,17 @@ def test_license_scan_of_notices_inside_other_text(spark):
     assert [(*g[:4], g[4] and round(g[4], 9)) for g in got] == [brute(t) for t in texts]
     said = [g[2] for g in got[len(ODD) :]]
     assert said[:7] == ["MIT", "Apache-2.0", "ISC", "CC-BY-4.0", "MIT", "", ""] and "Zlib" in said[7] and "GPL-3.0" in said[8]
+
+
+def test_lm_score_of_documents_that_training_did_not_see(spark):
+    vocabulary = ([bytes([b]) for b in range(256)] + [b" " + bytes([b]) for b in range(97, 123)], np.full(282, 1 / 282))
+    d = table(spark, ["alpha beta beta", "beta gamma", "delta epsilon alpha", "zeta zeta eta", "", None])
+    old, new = d.where("doc_id < 2"), d.where("doc_id >= 2")
+    both = lm_score.train(d, F.col("doc_id") < 2, vocabulary, rounds=1)
+    alone = lm_score.train(old, F.lit(True), vocabulary, rounds=1)
+    columns = ("doc_id", "__n_tokens", "__n_known", "__base", "__score")
+    want = sorted(rows(lm_score.score(new, both), *columns))
+    for hot in (1, 500_000):
+        got = sorted(rows(lm_score.score(new, alone, hot_words=hot), *columns))
+        assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3:] for g in got], [w[3:] for w in want])
+    assert [w[1:3] for w in want] == [(4, 2), (4, 1), (1, 1), (1, 1)]

@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -206,6 +206,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", hot_words: int
     """docs with __n_tokens, __n_known, __base and __score (log10 of the text's probability).
 
     Null and empty texts are the end alone. Every row is scored, repeated ones too.
+    Words that train() was not given are scored as words of no training text.
     """
     spark: SparkSession = docs.sparkSession
     scored = word_scores(model)
@@ -239,7 +240,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", hot_words: int
     given = docs.select(*columns, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     part = keep(given.mapInArrow(run, T.StructType([*docs.schema.fields, *fields])).withColumn("__uid", F.monotonically_increasing_id()), "lm-docs")
     rest = scored.where(F.col("n") < limit).select("word", "c", "log_p")
-    rare = part.select("__uid", F.explode("__rare").alias("word")).join(rest, "word")
+    rare = part.select("__uid", F.explode("__rare").alias("word"))
+    new = rare.select("word").distinct().join(rest.select("word"), "word", "left_anti")
+    new = word_scores(replace(model, words=new.select("word", F.lit(0).cast("long").alias("c"), F.lit(1).cast("long").alias("n"))))
+    rare = rare.join(rest.unionByName(new.select("word", "c", "log_p")), "word")
     sums = rare.groupBy("__uid").agg(
         F.count_if(F.col("c") > 0).alias("__k"),
         F.sum(F.log10((F.col("c") + 1) / F.lit(float(total)))).alias("__b"),
