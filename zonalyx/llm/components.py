@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalyx.llm.store import keep
+from zonalyx.llm.store import discard, keep
 
 MAX_ROUNDS = 60
 
@@ -36,7 +36,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = keep(e.distinct(), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
-        e = keep(_star(_star(e, small=False), small=True), "edges")
+        e, last = keep(_star(_star(e, small=False), small=True), "edges"), e
+        discard(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -3,29 +3,36 @@
 A document's set are its distinct word SHINGLE-grams, as 64-bit hashes. Documents
 with one and the same set are one class; classes are joined:
 
-1. Frequencies. All shingles of all documents are counted in a sketch of fixed
-   size. Rarest first by that count, then by hash, is one order for everybody.
+1. Frequencies. Every shingle of every class is dealt to the block of its hash,
+   packed many to a row, and counted there exactly. Shingles of one class only are
+   dropped at once: they come first in every set, so their number is all that is
+   needed. A count sketch of fixed size finds shingles that a good part of all
+   documents may have; those are dealt by class instead, have their cell's count,
+   and so come last. Rarest first, then by hash, is one order for everybody.
 2. Prefixes. With T percent, two linked sets x, y share at least
    T (|x| + |y|) / (100 + T) shingles, so they share one within their rarest
    |x| - ceil(T |x| / 100) + 1; the shorter set needs even fewer. Those prefix
    n-grams are what the join is on.
-3. Filters. Length, the position of the common prefix shingles, and the suffix
-   filter: the hash range is cut at fixed pivots, and the sizes of both sets'
-   parts bound how much they can have in common.
+3. Filters, in the join's condition: length, the position of the common prefix
+   shingle, and the suffix filter: the hash range is cut at fixed pivots, and the
+   sizes of both sets' parts bound how much they can have in common.
 4. Verification, once per pair, on the whole sets.
 
-Large groups: before all pairs are looked at, classes that share a shingle which
-CLOSE_GROUP classes at most have are compared, and each class is compared with
-one partner (STAR_ROUNDS times): of the classes that it shares a prefix shingle
-with, one whose own prefix shingles have the most classes in all, which is the one
-least changed of a group of copies. Then only pairs that no chain of links joins
-yet are candidates; a group of near copies, also one in which each is a copy of the
-one before, costs about as many pairs as it has members, and no link between
-different components is left out.
+Large groups: before all pairs are looked at, each class is compared with one
+partner: of the classes that it shares a prefix shingle with, one whose own prefix
+shingles have the most classes in all, which is the one least changed of a group of
+copies. That is repeated while it joins something, STAR_ROUNDS times at most. Then
+only pairs that no chain of links joins yet are candidates, each with at least one
+side outside the largest component of its shingle; a group of near copies costs
+about as many pairs as it has members, and no link between different components is
+left out.
+
+Shuffled tokens have 32 bits more than there are blocks of ENTRIES shingles. Two
+shingles of one token only make a candidate more: a prefix is never shortened by it.
 """
-
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -37,13 +44,16 @@ from pyspark.sql import functions as F
 
 from zonalyx.llm.arrow import ship, utf8
 from zonalyx.llm.components import components
-from zonalyx.llm.store import keep, release
+from zonalyx.llm.store import discard, keep, release
 
 SHINGLE = 5
 PERCENT = 80
-STAR_ROUNDS = 2
-CLOSE_GROUP = 8
+STAR_ROUNDS = 4
 SKETCH_BITS = 21
+#: Shingles of one block, about; a block is counted in memory.
+ENTRIES = 1 << 21
+#: Shuffle partitions that blocks are dealt over, at most; a task takes its blocks one by one.
+MAX_PARTITIONS = 20_000
 #: Parts of the hash range for the suffix filter.
 PIVOTS = 16
 #: Document rows that may be broadcast to find the texts of candidates; beyond, both sides are shuffled.
@@ -52,18 +62,42 @@ BROADCAST_ROWS = 1_000_000
 HOT_SHARE, MIN_HOT, HOT_PARTS = 2000, 1000, 64
 
 _BLOCK = 4096
-_CACHE_WORDS = 500_000
+#: Bytes of words with their hashes, and classes, that a worker remembers.
+_CACHE_BYTES, _WORD_COST, _SEEN = 16 << 20, 120, 100_000
+#: Shingles and sets that a task packs at once; a set's number in a pack is a short.
+_PACK, _PACK_SETS = 1 << 21, 32_000
+_BATCH = 100_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
 class _WordHashes(dict):
+    """Hashes of words, remembered up to _CACHE_BYTES."""
+
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
+        h = xxhash.xxh3_64_intdigest(word)
+        self.held += len(word) + _WORD_COST
+        if self.held > _CACHE_BYTES:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+            self.held = 0
+        elif len(word) < 64:
+            self[word] = h
         return h
 
 
+class _Seen(set):
+    """Classes that a task has met, the last ones."""
+
+    def new(self, cls: int) -> bool:
+        if cls in self:
+            return False
+        if len(self) >= _SEEN:
+            self.clear()
+        self.add(cls)
+        return True
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -102,9 +136,9 @@ def needed(x: Column, y: Column, percent: int) -> Column:
 
 def _first_pass(size: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketch = _WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n", "cls", "parts", "block", "blob"]
-        types = [kind, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+        hashes, seen, sketch = _WordHashes(), _Seen(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        names = ["doc_id", "th", "n", "cls", "parts", "block", "blob"]
+        types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
         todo, held = [], 0
         for batch in batches:
             n, cls, parts = [], [], []
@@ -113,18 +147,19 @@ def _first_pass(size: int, kind: pa.DataType):
                 n.append(len(found))
                 cls.append(class_of(found) if len(found) else None)
                 parts.append(np.bincount((found >> np.uint64(60)).astype(np.int64), minlength=PIVOTS).astype(np.int32))
-                todo.append(found)
-                held += len(found)
+                if len(found) and seen.new(cls[-1]):
+                    todo.append(found)
+                    held += len(found)
                 if held > 1 << 20:
                     sketch += _sketched(todo)
                     todo, held = [], 0
-            empty = [pa.nulls(len(n), t) for t in types[4:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array(n, types[1]), pa.array(cls, types[2]), pa.array(parts, types[3]), *empty], names=names)
+            empty = [pa.nulls(len(n), t) for t in types[5:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), batch.column(2), pa.array(n, types[2]), pa.array(cls, types[3]), pa.array(parts, types[4]), *empty], names=names)
         sketch += _sketched(todo)
         used = [b for b in range(len(sketch) // _BLOCK) if sketch[b * _BLOCK : (b + 1) * _BLOCK].any()]
         blobs = [zlib.compress(sketch[b * _BLOCK : (b + 1) * _BLOCK].tobytes(), 1) for b in used]
-        empty = [pa.nulls(len(used), t) for t in types[:4]]
-        yield pa.RecordBatch.from_arrays([*empty, pa.array(used, types[4]), pa.array(blobs, types[5])], names=names)
+        empty = [pa.nulls(len(used), t) for t in types[:5]]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(used, types[5]), pa.array(blobs, types[6])], names=names)
 
     return run
 
@@ -155,62 +190,146 @@ def _sketch(first: DataFrame) -> np.ndarray:
     return out
 
 
-# -- prefixes ----------------------------------------------------------------------------------
-
-
-def _prefixes(shared, size: int, percent: int, hot_level: int):
-    """(sh, cls, n, pos, part): the prefix of each class once per task; part spreads hot shingles."""
+# -- frequencies and prefixes --------------------------------------------------------------------
+
+
+def _packs(shared, size: int, bits: int, hot_parts: int):
+    """Rows of many shingles each: to (block, or 2 ** bits + part of a hot one), their tokens, and whose they are."""
+
+    def packed(sets: list[np.ndarray], names: list[int], level: np.ndarray) -> pa.RecordBatch:
+        cls, n = np.array(names, np.int64), np.array([len(x) for x in sets])
+        h, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        token = h >> np.uint64(32 - bits)
+        again = np.concatenate(([False], (token[1:] == token[:-1]) & (who[1:] == who[:-1])))
+        token, who, h = token[~again], who[~again], h[~again]
+        n_tokens = np.bincount(who, minlength=len(sets))
+        hot = level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > 0
+        to = np.where(hot, (1 << bits) + cls[who] % hot_parts, (token >> np.uint64(32)).astype(np.int64))
+        order = np.argsort(to.astype(np.uint16) if (1 << bits) + hot_parts < 1 << 16 else to, kind="stable")
+        to, who, token, hot = to[order], who[order], token[order], hot[order]
+        first = np.concatenate(([True], to[1:] != to[:-1]))
+        start = np.append(np.flatnonzero(first), len(to))
+        # within a row sets come in order, so a set's first token there gives its place in the row's list of sets
+        new = first | np.concatenate(([True], who[1:] != who[:-1]))
+        place = np.cumsum(new) - 1
+        listed = who[new]
+        cold = int(np.searchsorted(hot, True))
+        per_row = lambda values, at, kind: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, kind))
+        sets_at = np.append(place[start[:-1]], len(listed))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(to[start[:-1]].astype(np.int32)),
+                per_row((token[:cold] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), np.minimum(start, cold), pa.int32()),
+                per_row(token[cold:].astype(np.int64), np.maximum(start, cold) - cold, pa.int64()),
+                per_row((place - np.repeat(place[start[:-1]], np.diff(start))).astype(np.int16), start, pa.int16()),
+                per_row(cls[listed], sets_at, pa.int64()),
+                per_row(n[listed].astype(np.int32), sets_at, pa.int32()),
+                per_row(n_tokens[listed].astype(np.int32), sets_at, pa.int32()),
+            ],
+            names=["to", "low", "wide", "who", "cls", "n", "n_tokens"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, hashes, seen = shared.value, _WordHashes(), set()
-        names = ["sh", "cls", "n", "pos", "part"]
+        hashes, seen = _WordHashes(), _Seen()
+        sets, names, held = [], [], 0
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            rows = 0
-
-            def made(out: list) -> pa.RecordBatch:
-                columns = [np.concatenate(x) for x in out]
-                return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), *(pa.array(c.astype(np.int32)) for c in columns[2:])], names=names)
-
             for text in utf8(batch.column(0)):
                 found = shingles(text, hashes, size)
-                n = len(found)
-                if not n:
+                if not len(found) or not seen.new(cls := class_of(found)):
                     continue
-                cls = class_of(found)
-                if cls in seen:
-                    continue
-                if len(seen) >= _CACHE_WORDS:
-                    seen.clear()
-                seen.add(cls)
-                rank = level[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.argsort(rank, kind="stable")[: prefix_lengths(n, percent)[0]]
-                k = len(order)
-                hot = rank[order] >= hot_level
-                for to, x in zip(out, (found[order], np.full(k, cls, np.int64), np.full(k, n), np.arange(k), np.where(hot, 1 + cls % HOT_PARTS, 0)), strict=True):
-                    to.append(x)
-                rows += k
-                if rows > 200_000:
-                    yield made(out)
-                    out, rows = [[], [], [], [], []], 0
-            if rows:
-                yield made(out)
+                sets.append(found)
+                names.append(cls)
+                held += len(found)
+                if held >= _PACK or len(sets) >= _PACK_SETS:
+                    yield packed(sets, names, shared.value)
+                    sets, names, held = [], [], 0
+        if sets:
+            yield packed(sets, names, shared.value)
 
     return run
 
 
+def _counted(shared, bits: int):
+    """(sh, cls, n, n_tokens, key) of shingles that several classes have, key their number; of hot ones all, key their cell's count."""
+
+    def taken(to: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        hot = to >= 1 << bits
+        token = np.concatenate([r[1] if hot else r[0].view(np.uint32) for r in rows]).astype(np.int64)
+        sizes = np.cumsum([0, *(len(r[3]) for r in rows)])
+        at = np.concatenate([r[2].astype(np.int32) + s for r, s in zip(rows, sizes, strict=False)])
+        cls, n, n_tokens = (np.concatenate([r[k] for r in rows]) for k in (3, 4, 5))
+        if not hot:
+            order = np.argsort(token, kind="stable")
+            ordered = token[order]
+            same = ordered[1:] == ordered[:-1]
+            order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+            token, at = token[order], at[order]
+        order = np.lexsort((cls[at], token))
+        token, at = token[order], at[order]
+        other = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[at][1:] != cls[at][:-1])))[: len(token)]
+        token, at = token[other], at[other]
+        if hot:
+            key = shared.value[token >> (32 + bits - SKETCH_BITS)].astype(np.int64)
+        else:
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))[: len(token)])
+            runs = np.diff(np.append(start, len(token)))
+            key = np.repeat(runs, runs)
+            token, at, key = token[key > 1] + (to << 32), at[key > 1], key[key > 1]
+        for k in range(0, len(token), _BATCH):
+            p = slice(k, k + _BATCH)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[p], cls[at[p]], n[at[p]], n_tokens[at[p]], key[p])], names=["sh", "cls", "n", "n_tokens", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                to = row[0].as_py()
+                if rows and to != last:
+                    yield from taken(last, rows)
+                    rows = []
+                last = to
+                rows.append(tuple(np.array(x.values) for x in row[1:]))
+        if rows:
+            yield from taken(last, rows)
+
+    return run
+
+
+def _prefixes(docs: DataFrame, counts: np.ndarray, total: int, documents: int, size: int, percent: int) -> DataFrame:
+    """(sh, cls, n, pos, part): the prefix of each class without shingles that no other class has; part spreads hot ones."""
+    bits = max(0, math.ceil(math.log2(max(1, total / ENTRIES))))
+    limit = max(MIN_HOT, documents // HOT_SHARE, 4 * total >> SKETCH_BITS)
+    level = np.where(counts >= limit, counts, 0).astype(np.uint32)
+    hot_parts = int(level.sum(dtype=np.int64)) // ENTRIES + 1
+    shared = docs.sparkSession.sparkContext.broadcast(level)
+    packs = docs.select("text").mapInArrow(_packs(shared, size, bits, hot_parts), "to int, low array<int>, wide array<long>, who array<short>, cls array<long>, n array<int>, n_tokens array<int>")
+    partitions = min(MAX_PARTITIONS, (1 << bits) + hot_parts)
+    dealt = packs.repartitionById(partitions, F.col("to") % partitions).sortWithinPartitions("to")
+    found = dealt.mapInArrow(_counted(shared, bits), "sh long, cls long, n int, n_tokens int, key long")
+    back = F.row_number().over(Window.partitionBy("cls").orderBy(F.col("key").desc(), F.col("sh").desc()))
+    prefix = found.withColumn("pos", F.col("n_tokens") - back).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9))
+    part = F.when(F.col("key") >= limit, F.pmod("cls", F.lit(HOT_PARTS)).cast("int") + 1).otherwise(0)
+    return prefix.select("sh", "cls", "n", "pos", part.alias("part"))
+
+
 def _live(entries: DataFrame) -> DataFrame:
-    """Entries whose shingle more than one class has; of a hot shingle all."""
+    """Entries whose shingle more than one class has in its prefix; of a hot shingle all."""
     group = Window.partitionBy("sh", "part")
-    marked = entries.withColumn("__lo", F.min("cls").over(group)).withColumn("__hi", F.max("cls").over(group))
-    return marked.where("part > 0 or __lo != __hi").drop("__lo", "__hi").dropDuplicates(["sh", "part", "cls"])
+    marked = entries.withColumn("__k", F.count(F.lit(1)).over(group))
+    return marked.where("part > 0 or __k > 1").drop("__k")
+
+
+def _by_part(rows: DataFrame, of_shingle: DataFrame) -> DataFrame:
+    """A row per shingle as a row per shingle and part, so that hot shingles stay dealt over their parts."""
+    return rows.select("sh", "part").distinct().join(of_shingle, "sh")
 
 
 def _with_degree(live: DataFrame) -> DataFrame:
     """live with deg: how many classes the class's prefix shingles have in all."""
-    sizes = live.groupBy("sh").agg(F.count(F.lit(1)).alias("m"))
-    degree = live.join(sizes, "sh").groupBy("cls").agg(F.sum("m").alias("deg"))
-    return live.join(degree, "cls")
+    sizes = live.groupBy("sh").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = live.join(_by_part(live, sizes), ["sh", "part"])
+    degree = shared.groupBy("cls").agg(F.sum("m").alias("deg"))
+    return shared.drop("m").join(degree, "cls")
 
 
 # -- candidates and verification ---------------------------------------------------------------
@@ -226,61 +345,69 @@ def _lengths_fit(x: str, y: str, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    if tried is None:
+        return pairs
+    return pairs.join(tried, (F.least("a", "b") == tried.x) & (F.greatest("a", "b") == tried.y), "left_anti")
+
+
 def _star_pairs(rows: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
     """(a, b): each class with the partner from another component that it shares most prefix shingles with as their centre."""
-    centre = rows.groupBy("sh").agg(F.max(F.struct("deg", "comp", "cls", "n")).alias("c"))
-    pairs = rows.join(centre, "sh").where((F.col("comp") != F.col("c.comp")) & _lengths_fit("n", "c.n", percent))
+    centre = rows.groupBy("sh").agg(F.max(F.struct("deg", "comp", "cls", "n")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    pairs = rows.join(_by_part(rows, centre), ["sh", "part"]).where((F.col("comp") != F.col("c.comp")) & _lengths_fit("n", "c.n", percent))
     pairs = pairs.groupBy(F.col("cls").alias("b"), F.col("c.cls").alias("a")).agg(F.count(F.lit(1)).alias("k"))
-    if tried is not None:
-        pairs = pairs.join(tried, (F.least("a", "b") == tried.x) & (F.greatest("a", "b") == tried.y), "left_anti")
-    best = pairs.groupBy("b").agg(F.max(F.struct("k", "a")).alias("m"))
+    best = _untried(pairs, tried).groupBy("b").agg(F.max(F.struct("k", "a")).alias("m"))
     return best.select(F.least(F.col("m.a"), "b").alias("a"), F.greatest(F.col("m.a"), "b").alias("b")).distinct()
 
 
-def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that meet in a shingle which CLOSE_GROUP classes at most have."""
-    few = rows.groupBy("sh").agg(F.count(F.lit(1)).alias("m")).where(f"m between 2 and {CLOSE_GROUP}").select("sh")
-    return _met(keep(rows.join(few, "sh").select("sh", "cls", "n", "pos", "comp"), "jaccard-close"), percent)
-
+def _open_pairs(rows: DataFrame, tried: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from different components that meet in a prefix shingle and pass the filters.
 
-def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from different components that meet in any shingle."""
-    mixed = rows.groupBy("sh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sh")
-    return _met(keep(rows.join(mixed, "sh").select("sh", "cls", "n", "pos", "comp"), "jaccard-open"), percent)
+    One of the two is outside the shingle's largest component; only those rows are
+    sent to all parts of a hot shingle.
+    """
+    sizes = rows.groupBy("sh", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("sh").agg(F.max(F.struct("m", "comp"))["comp"].alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    index = F.col("n") - F.ceil(F.col("n") * 2 * percent / F.lit(float(100 + percent)) - 1e-9) + 1
+    marked = rows.join(_by_part(rows, mixed), ["sh", "part"]).select("sh", "part", "cls", "n", "pos", "comp", (F.col("comp") != F.col("top")).alias("minor"), (F.col("pos") < index).alias("short"))
+    marked = keep(marked.join(classes.select("cls", "parts"), "cls"), "jaccard-open")
+    x = marked.where("minor").withColumn("part", F.explode(F.when(F.col("part") > 0, F.sequence(F.lit(1), F.lit(HOT_PARTS))).otherwise(F.array(F.lit(0)))))
+    x = x.select("sh", "part", *(F.col(c).alias(f"a_{c}") for c in ("cls", "n", "pos", "comp", "short", "parts")))
+    y = marked.select("sh", "part", *(F.col(c).alias(f"b_{c}") for c in ("cls", "n", "pos", "comp", "short", "parts", "minor")))
+    an, bn, ai, bi = F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos")
+    rest = lambda i, j: F.least(an - i, bn - j) - 1
+    enough = needed(an, bn, percent)
+    fits = (F.col("a_comp") != F.col("b_comp")) & (~F.col("b_minor") | (F.col("a_cls") < F.col("b_cls"))) & _lengths_fit("a_n", "b_n", percent)
+    fits &= F.when((an < bn) | ((an == bn) & (F.col("a_cls") < F.col("b_cls"))), F.col("a_short")).otherwise(F.col("b_short"))
+    fits &= F.least(ai, bi) + 1 + rest(ai, bi) >= enough
+    fits &= _suffix_bound("a_parts", "b_parts") >= enough
+    met = x.join(y, (x.sh == y.sh) & (x.part == y.part) & fits)
+    got = met.groupBy(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), "a_n", "b_n").agg(F.count(F.lit(1)).alias("k"), F.max("a_pos").alias("i"), F.max("b_pos").alias("j"))
+    got = got.where(F.col("k") + rest(F.col("i"), F.col("j")) >= enough)
+    return _untried(got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), tried)
 
 
-def _met(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a common prefix shingle, from different components, that pass the length and positional filters."""
-    x = rows.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * 2 * percent / F.lit(float(100 + percent)) - 1e-9) + 1).toDF("sh", "a", "an", "ai", "ac")
-    y = rows.toDF("sh", "b", "bn", "bi", "bc")
-    enough = needed(F.col("an"), F.col("bn"), percent)
-    shorter = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
-    rest = lambda i, j: F.least(F.col("an") - i, F.col("bn") - j) - 1
-    single = F.least("ai", "bi") + 1 + rest(F.col("ai"), F.col("bi")) >= enough
-    met = x.join(y, (x.sh == y.sh) & (F.col("ac") != F.col("bc")) & shorter & (F.col("an") * 100 >= F.col("bn") * percent) & single)
-    got = met.groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("k"), F.max("ai").alias("i"), F.max("bi").alias("j"))
-    got = got.where(F.col("k") + rest(F.col("i"), F.col("j")) >= enough)
-    return got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _suffix_bound(p: str, q: str) -> Column:
+    """The most that two sets can have in common, by the sizes of their parts between the pivots."""
+    return sum((F.least(F.col(p)[k], F.col(q)[k]) for k in range(1, PIVOTS)), F.least(F.col(p)[0], F.col(q)[0]))
 
 
 def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose parts between the pivots may have enough in common."""
     side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"{k}n"), F.col("parts").alias(f"{k}p"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.aggregate(F.zip_with("ap", "bp", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    return both.where(_lengths_fit("an", "bn", percent) & (common >= needed(F.col("an"), F.col("bn"), percent))).select("a", "b")
+    return both.where(_lengths_fit("an", "bn", percent) & (_suffix_bound("ap", "bp") >= needed(F.col("an"), F.col("bn"), percent))).select("a", "b")
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes, seen = _WordHashes(), _Seen()
         for batch in batches:
             cls, blobs = [], []
             for text, wanted in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                found = shingles(text, hashes, size)
-                if len(found) and class_of(found) == wanted:
+                if seen.new(wanted):
                     cls.append(wanted)
-                    blobs.append(found.tobytes())
+                    blobs.append(shingles(text, hashes, size).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(blobs, pa.binary())], names=["cls", "blob"])
 
     return run
@@ -301,13 +428,67 @@ def _compare(percent: int):
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that link, by their whole sets; written to the shared folder."""
-    wanted = keep(pairs.select("a").union(pairs.select("b")).distinct().toDF("cls").join(classes.select("cls", "rep"), "cls"), "jaccard-wanted")
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("cls").join(classes.select("cls", "rep"), "cls")
+    wanted = keep(wanted.select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "jaccard-wanted")
     small = wanted.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, docs.doc_id.eqNullSafe(wanted.rep))
+    texts = docs.join(F.broadcast(wanted) if small else wanted, (docs.th == wanted.rep_th) & docs.doc_id.eqNullSafe(wanted.rep_id))
     sets = texts.select("text", "cls").mapInArrow(_sets(size), "cls long, blob binary")
     sets = keep(sets.groupBy("cls").agg(F.any_value("blob").alias("blob")), "jaccard-sets")
     both = pairs.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").select("a", "b", "p", "q")
-    return keep(both.mapInArrow(_compare(percent), "a long, b long"), "jaccard-links")
+    links = keep(both.mapInArrow(_compare(percent), "a long, b long"), "jaccard-links")
+    discard(wanted, sets)
+    return links
+
+
+# -- the operator --------------------------------------------------------------------------------
+
+
+def _components_of(docs: DataFrame, first: DataFrame, size: int, percent: int, star_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(cls, rep, copies, n, parts) of every class, and (cls, component) of those that have links."""
+    spark = docs.sparkSession
+    rows = first.where("cls is not null")
+    grouped = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("parts").alias("parts"))
+    classes = keep(grouped, "jaccard-classes")
+    sums = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("documents")).first()
+    entries = keep(_prefixes(docs, _sketch(first), sums.n, sums.documents, size, percent), "jaccard-prefixes")
+    release(spark)
+    live = keep(_with_degree(keep(_live(entries), "jaccard-prefixes")), "jaccard-prefixes")
+    links, labels, tried, step = None, None, None, 0
+    while True:
+        last, now = step >= star_rounds, _labelled(live, labels)
+        pairs = keep(_open_pairs(now, tried, classes, percent) if last else _star_pairs(now, tried, percent), "jaccard-pairs")
+        passed = pairs if last else keep(_suffix_filter(pairs, classes, percent), "jaccard-pairs")
+        found = _verify(passed, docs, classes, size, percent)
+        links = found if links is None else links.union(found)
+        tried = pairs.toDF("x", "y") if tried is None else tried.union(pairs.toDF("x", "y"))
+        labels = components(links)
+        if last:
+            return classes, labels.select(F.col("node").alias("cls"), "component")
+        step = step + 1 if 10 * found.count() > pairs.count() else star_rounds
+
+
+def _found(df: DataFrame, text_col: str, id_col: str, size: int, percent: int, star_rounds: int) -> DataFrame:
+    """(doc_id, th, n, cls, least): of every row, least being the first (id, hash of text) of its component."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    ship(df.sparkSession)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    kind = docs.schema["doc_id"].dataType
+    made = docs.select("doc_id", "text", "th").mapInArrow(_first_pass(size, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, th long, n long, cls long, parts array<int>, block int, blob binary")
+    first = keep(made, "jaccard-docs")
+    rows = first.where("block is null").select("doc_id", "th", "n", "cls")
+    classes, labels = _components_of(docs, first, size, percent, star_rounds)
+    named = classes.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    of_class = keep(named.join(least, "component").select("cls", "copies", "least"), "jaccard-classes")
+    # at most HOT_SHARE classes have so many rows; those without words have none to be joined with
+    most = of_class.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // HOT_SHARE + 1
+    hot = F.broadcast(of_class.where(F.col("copies") >= most).drop("copies"))
+    said = rows.where("cls is not null")
+    rest = said.join(hot.select("cls"), "cls", "left_anti").join(of_class.where(F.col("copies") < most).drop("copies"), "cls")
+    none = rows.where("cls is null").withColumn("least", F.lit(None).cast(of_class.schema["least"].dataType))
+    return said.join(hot, "cls").unionByName(rest).unionByName(none)
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, size: int = SHINGLE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -317,40 +498,34 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     Null, empty and blank texts have no shingles and are linked with nothing, not
     with one another either. Rows that repeat an id are rows of their own; if their
     texts differ, each has its own component. A null id is never the smallest.
+    Columns other than the two named are not read, whatever their names.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
+    got = _found(df, text_col, id_col, size, percent, star_rounds)
+    least = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return got.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), least.alias("component_id"))
 
-    spark = ship(df.sparkSession)
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    kind = docs.schema["doc_id"].dataType
-    first = keep(docs.mapInArrow(_first_pass(size, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n long, cls long, parts array<int>, block int, blob binary"), "jaccard-docs")
-    rows = first.where("block is null").select("doc_id", "n", "cls", "parts")
-    classes = keep(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("parts").alias("parts")), "jaccard-classes")
-    counts = _sketch(first)
-    level = np.minimum(255, 8 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
-    hot = max(MIN_HOT, rows.count() // HOT_SHARE)
-    shared = spark.sparkContext.broadcast(level)
-    entries = docs.select("text").mapInArrow(_prefixes(shared, size, percent, int(8 * np.log2(hot + 1))), "sh long, cls long, n int, pos int, part int")
-    live = keep(_live(entries), "jaccard-prefixes")
-    release(spark)
-    live = keep(_with_degree(live), "jaccard-prefixes")
-    links, labels, tried = None, None, None
-    for step in range(star_rounds + 1):
-        now = _labelled(live, labels)
-        pairs = _star_pairs(now, tried, percent) if step < star_rounds else _all_pairs(now, percent)
-        if step == 0 and star_rounds:
-            pairs = pairs.union(_close_pairs(now, percent)).distinct()
-        if step == star_rounds and tried is not None:
-            pairs = pairs.join(tried, (F.col("a") == tried.x) & (F.col("b") == tried.y), "left_anti")
-        pairs = keep(_suffix_filter(pairs, classes, percent) if step == star_rounds else pairs, "jaccard-pairs")
-        passed = keep(_suffix_filter(pairs, classes, percent), "jaccard-pairs") if step < star_rounds else pairs
-        found = _verify(passed, docs, classes, size, percent)
-        links = found if links is None else links.union(found)
-        tried = pairs.toDF("x", "y") if tried is None else tried.union(pairs.toDF("x", "y"))
-        labels = components(links)
-        release(spark)
-    named = classes.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    of_class = named.join(least, "component").select("cls", "least")
-    out = rows.join(of_class, "cls", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+def drop_near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, size: int = SHINGLE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """df with one row of each component: the smallest id, of equal ids the smallest hash of the text.
+
+    Rows are told apart by id and text, so rows with null or repeated ids are
+    decided one by one; of rows that share both, any one stays. Rows without words
+    all stay. Columns and their names are those of df.
+    """
+    got = _found(df, text_col, id_col, size, percent, star_rounds)
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
+    key = [F.col("doc_id").alias("__id"), F.col("th").alias("__th")]
+    said = keep(got.where("cls is not null").select(*key, first.alias("stays")).groupBy("__id", "__th", "stays").agg(F.count(F.lit(1)).alias("k")), "near-rows")
+    gone, again = said.where(~F.col("stays")).select("__id", "__th"), said.where("stays and k > 1").select("__id", "__th")
+    counts = said.agg(F.count_if(~F.col("stays")), F.count_if(F.expr("stays and k > 1"))).first()
+    gone, again = (F.broadcast(x) if k <= BROADCAST_ROWS else x for x, k in zip((gone, again), counts, strict=True))
+    names = [f"__c{k}" for k in range(len(df.columns))]
+    docs = df.toDF(*names)
+    name = dict(zip(df.columns, names, strict=True))
+    docs = docs.withColumn("__rid", F.col(name[id_col])).withColumn("__rth", F.xxhash64(F.coalesce(F.col(name[text_col]), F.lit(""))))
+    same = lambda x: (F.col("__rth") == x["__th"]) & F.col("__rid").eqNullSafe(x["__id"])
+    out = docs.join(gone, same(gone), "left_anti")
+    if counts[1]:
+        one = out.join(again, same(again), "left_semi").dropDuplicates(["__rid", "__rth"])
+        out = out.join(again, same(again), "left_anti").unionByName(one)
+    return out.select(*names).toDF(*df.columns)

@@ -9,16 +9,22 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used where the session names no folder, as in local tests.
 DEFAULT_DIR = "/tmp/checkpoints"
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or DEFAULT_DIR where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR).rstrip("/")
+    """The folder named in spark.checkpoint.dir; where that is unset DEFAULT_DIR, on one machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return (named or DEFAULT_DIR).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -33,7 +39,17 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that keep() returned and that nothing will read again."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path is not None:
+            _delete(table.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
