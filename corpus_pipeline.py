@@ -15,8 +15,6 @@ from zonalyx.llm.store import keep
 
 #: A document goes if its language is unknown or less probable than this.
 MIN_LANGUAGE_SCORE = 0.3
-#: Removed ids that may be broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +31,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the smallest doc_id; a null doc_id stays."""
-    found = ngram_jaccard.near_duplicates(docs)
-    gone = keep(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "near-gone")
-    small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that links join, the one with the smallest doc_id; rows are told apart by id and text."""
+    return ngram_jaccard.drop_near_duplicates(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
