@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonalyx.llm.arrow import ship, utf8
+from zonalyx.llm.arrow import ship, small_batches, utf8
 from zonalyx.llm.components import components
 from zonalyx.llm.store import discard, keep, release
 
@@ -65,7 +65,7 @@ _BLOCK = 4096
 #: Bytes of words with their hashes, and classes, that a worker remembers.
 _CACHE_BYTES, _WORD_COST, _SEEN = 16 << 20, 120, 100_000
 #: Shingles and sets that a task packs at once; a set's number in a pack is a short.
-_PACK, _PACK_SETS = 1 << 21, 32_000
+_PACK, _PACK_SETS = 3 << 19, 32_000
 _BATCH = 100_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -140,7 +140,7 @@ def _first_pass(size: int, kind: pa.DataType):
         names = ["doc_id", "th", "n", "cls", "parts", "block", "blob"]
         types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
         todo, held = [], 0
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             n, cls, parts = [], [], []
             for text in utf8(batch.column(1)):
                 found = shingles(text, hashes, size)
@@ -232,7 +232,7 @@ def _packs(shared, size: int, bits: int, hot_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _WordHashes(), _Seen()
         sets, names, held = [], [], 0
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             for text in utf8(batch.column(0)):
                 found = shingles(text, hashes, size)
                 if not len(found) or not seen.new(cls := class_of(found)):
@@ -375,16 +375,15 @@ def _open_pairs(rows: DataFrame, tried: DataFrame | None, classes: DataFrame, pe
     x = x.select("sh", "part", *(F.col(c).alias(f"a_{c}") for c in ("cls", "n", "pos", "comp", "short", "parts")))
     y = marked.select("sh", "part", *(F.col(c).alias(f"b_{c}") for c in ("cls", "n", "pos", "comp", "short", "parts", "minor")))
     an, bn, ai, bi = F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos")
-    rest = lambda i, j: F.least(an - i, bn - j) - 1
     enough = needed(an, bn, percent)
     fits = (F.col("a_comp") != F.col("b_comp")) & (~F.col("b_minor") | (F.col("a_cls") < F.col("b_cls"))) & _lengths_fit("a_n", "b_n", percent)
     fits &= F.when((an < bn) | ((an == bn) & (F.col("a_cls") < F.col("b_cls"))), F.col("a_short")).otherwise(F.col("b_short"))
-    fits &= F.least(ai, bi) + 1 + rest(ai, bi) >= enough
+    # at a pair's first common shingle nothing before it is common, so what they share is no more than what is left of either
+    fits &= F.least(an - ai, bn - bi) >= enough
     fits &= _suffix_bound("a_parts", "b_parts") >= enough
     met = x.join(y, (x.sh == y.sh) & (x.part == y.part) & fits)
-    got = met.groupBy(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), "a_n", "b_n").agg(F.count(F.lit(1)).alias("k"), F.max("a_pos").alias("i"), F.max("b_pos").alias("j"))
-    got = got.where(F.col("k") + rest(F.col("i"), F.col("j")) >= enough)
-    return _untried(got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), tried)
+    got = met.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct()
+    return _untried(got, tried)
 
 
 def _suffix_bound(p: str, q: str) -> Column:
@@ -402,7 +401,7 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _WordHashes(), _Seen()
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             cls, blobs = [], []
             for text, wanted in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 if seen.new(wanted):
@@ -443,8 +442,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
 # -- the operator --------------------------------------------------------------------------------
 
 
-def _components_of(docs: DataFrame, first: DataFrame, size: int, percent: int, star_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(cls, rep, copies, n, parts) of every class, and (cls, component) of those that have links."""
+def _components_of(docs: DataFrame, first: DataFrame, size: int, percent: int, star_rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """(cls, rep, copies, n, parts) of every class, and (cls, component) of those that have links, None where none has."""
     spark = docs.sparkSession
     rows = first.where("cls is not null")
     grouped = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("parts").alias("parts"))
@@ -457,14 +456,18 @@ def _components_of(docs: DataFrame, first: DataFrame, size: int, percent: int, s
     while True:
         last, now = step >= star_rounds, _labelled(live, labels)
         pairs = keep(_open_pairs(now, tried, classes, percent) if last else _star_pairs(now, tried, percent), "jaccard-pairs")
-        passed = pairs if last else keep(_suffix_filter(pairs, classes, percent), "jaccard-pairs")
-        found = _verify(passed, docs, classes, size, percent)
-        links = found if links is None else links.union(found)
-        tried = pairs.toDF("x", "y") if tried is None else tried.union(pairs.toDF("x", "y"))
-        labels = components(links)
+        n_pairs, n_links = pairs.count(), 0
+        if n_pairs:
+            passed = pairs if last else keep(_suffix_filter(pairs, classes, percent), "jaccard-pairs")
+            found = _verify(passed, docs, classes, size, percent)
+            n_links = found.count()
+            tried = pairs.toDF("x", "y") if tried is None else tried.union(pairs.toDF("x", "y"))
+        if n_links:
+            links = found if links is None else links.union(found)
+            labels = components(links)
         if last:
-            return classes, labels.select(F.col("node").alias("cls"), "component")
-        step = step + 1 if 10 * found.count() > pairs.count() else star_rounds
+            return classes, labels.select(F.col("node").alias("cls"), "component") if labels is not None else None
+        step = step + 1 if 10 * n_links > n_pairs else star_rounds
 
 
 def _found(df: DataFrame, text_col: str, id_col: str, size: int, percent: int, star_rounds: int) -> DataFrame:
@@ -479,7 +482,10 @@ def _found(df: DataFrame, text_col: str, id_col: str, size: int, percent: int, s
     first = keep(made, "jaccard-docs")
     rows = first.where("block is null").select("doc_id", "th", "n", "cls")
     classes, labels = _components_of(docs, first, size, percent, star_rounds)
-    named = classes.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    if labels is None:
+        named = classes.withColumn("component", F.col("cls"))
+    else:
+        named = classes.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     of_class = keep(named.join(least, "component").select("cls", "copies", "least"), "jaccard-classes")
     # at most HOT_SHARE classes have so many rows; those without words have none to be joined with
