@@ -3,14 +3,21 @@
 The model is a unigram over the pieces of an existing vocabulary and an end. A
 text, its words (white space between them, ASCII letters in lower case) each with
 a blank before it, has the probability of all its segmentations into pieces,
-times that of the end. No piece crosses a blank, so a text's lattice falls apart
-into those of its words, and each distinct word's is computed once.
+times that of the end:
+
+    P(text) = P(end) * product over words w of sum over segmentations s of " w"
+              of product over pieces x in s of p(x)
+
+No piece crosses a blank, so a text's lattice falls apart into those of its words:
+the forward recursion over the whole text is the sum of those over its words, and
+each distinct word's is computed once.
 
 The vocabulary's own scores give the prior weights of the pieces; ROUNDS of
-expectation-maximisation over all training words add what the corpus says. Each
-training word is one more edge across its own lattice, with its share of the
-training tokens; those edges together have the weight N / (N + V) of Witten and
-Bell. The probabilities of all texts sum to 1.
+expectation-maximisation over all training words add what the corpus says.
+
+__mixture is another model beside it: each training word is one more edge across
+its own lattice, with its share of the training tokens; those edges together have
+the weight N / (N + V) of Witten and Bell.
 
 Words that occur often (at most HOT_WORDS of them) are broadcast with their
 scores; the occurrences of all others are joined to their scores by word.
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalyx.llm.arrow import ship, utf8
+from zonalyx.llm.arrow import ship, small_batches, utf8, with_text
 from zonalyx.llm.lattice import Pieces, expected_counts, log_probabilities
 from zonalyx.llm.store import keep
 
@@ -75,7 +82,7 @@ def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word, c (in training texts), n (in all texts), from text and __train; END counts the texts."""
+    """word, c (in training texts), n (in all texts), from text and is_train; END counts the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train, rest = Counter(), Counter()
@@ -97,7 +104,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    got = docs.select("text", "__train").mapInArrow(run, "word binary, c long, n long")
+    got = docs.select("text", "is_train").mapInArrow(run, "word binary, c long, n long")
     return keep(got.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "lm-words")
 
 
@@ -145,7 +152,7 @@ def train(docs: DataFrame, is_train: Column, vocabulary: tuple[list[bytes], np.n
     Null texts count as empty. Without training texts the prior stays as it is.
     """
     spark = ship(docs.sparkSession)
-    words = count_words(docs.select(F.col(f"`{text_col}`").alias("text"), F.coalesce(is_train, F.lit(False)).alias("__train")))
+    words = count_words(docs.select(F.col(f"`{text_col}`").alias("text"), F.coalesce(is_train, F.lit(False)).alias("is_train")))
     stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("texts")).first()
     pieces, prior = vocabulary
     p, end = prior, 0.5
@@ -156,15 +163,15 @@ def train(docs: DataFrame, is_train: Column, vocabulary: tuple[list[bytes], np.n
         counts = np.zeros(len(pieces))
         for r in got:
             counts[r.piece] = r.n
+        end = (stats.texts + 1) / (counts.sum() + stats.texts + 2)
         counts += PRIOR_PIECES * prior
-        end = (stats.texts + 1) / (counts.sum() + stats.texts + 1)
         p = counts / counts.sum()
     starts = float(p[[k for k, x in enumerate(pieces) if x[:1] == b" "]].sum()) * (1 - end)
     return Model(words, pieces, np.log(p) + math.log1p(-end), end / (end + starts), stats.n, stats.v)
 
 
 def word_scores(model: Model) -> DataFrame:
-    """word, c, n, log_p: the marginal natural-log probability of every word and of END."""
+    """word, c, n, log_p, log_mix of every word and of END: natural-log probabilities by the lattice and with whole words."""
     shared = model.words.sparkSession.sparkContext.broadcast((model.pieces, model.log_p))
     log_end, whole, n_tokens = math.log(model.end), model.whole, max(1, model.n_tokens)
 
@@ -176,10 +183,10 @@ def word_scores(model: Model) -> DataFrame:
             log_p[[k for k, w in enumerate(words) if not w]] = log_end
             with np.errstate(divide="ignore"):
                 edge = np.log(whole * batch.column(1).to_numpy(zero_copy_only=False) / n_tokens)
-            log_p = np.logaddexp(edge, log_p + math.log1p(-whole))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_p)], names=["word", "c", "n", "log_p"])
+            mix = np.logaddexp(edge, log_p + math.log1p(-whole))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_p), pa.array(mix)], names=["word", "c", "n", "log_p", "log_mix"])
 
-    return keep(model.words.mapInArrow(run, "word binary, c long, n long, log_p double"), "lm-scores")
+    return keep(model.words.mapInArrow(run, "word binary, c long, n long, log_p double, log_mix double"), "lm-scores")
 
 
 def hot_limit(scored: DataFrame, hot_words: int) -> int:
@@ -202,12 +209,21 @@ class _Index(dict):
         return -1
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
-    """docs with __n_tokens, __n_known, __base and __score (log10 of the text's probability).
+#: What score adds.
+MADE = ("__n_tokens", "__n_known", "__base", "__score", "__mixture")
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", hot_words: int = HOT_WORDS, carry: list[str] | None = None) -> DataFrame:
+    """The columns carry of docs (all, where not given) with __n_tokens, __n_known, __base, __score and __mixture.
 
-    Null and empty texts are the end alone. Every row is scored, repeated ones too.
-    Words that train() was not given are scored as words of no training text.
+    __score is the log10 probability of the text by the lattice of pieces, __mixture
+    that with whole training words, __base that of add-one counts. Null and empty
+    texts are the end alone. Every row is scored, repeated ones too. Words that
+    train() was not given are scored as words of no training text. A column of docs
+    with one of the five names is replaced; other names may be any.
     """
+    from pyspark.sql import types as T
+
     spark: SparkSession = docs.sparkSession
     scored = word_scores(model)
     limit = hot_limit(scored, hot_words)
@@ -215,40 +231,40 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", hot_words: int
     words = hot.column("word").to_pylist()
     total, ten = model.base_total, math.log(10)
     c = hot.column("c").to_numpy()
-    shared = spark.sparkContext.broadcast((words, np.log10((c + 1) / total), (c > 0), hot.column("log_p").to_numpy() / ten))
-    columns = [F.col(f"`{x}`") for x in docs.columns]
-    at_text = len(columns)
+    logs = np.stack([np.log10((c + 1) / total), hot.column("log_p").to_numpy() / ten, hot.column("log_mix").to_numpy() / ten])
+    shared = spark.sparkContext.broadcast((words, c > 0, logs))
+    carry = [x for x in (docs.columns if carry is None else carry) if x.lower() not in MADE]
+    given, names, at_text = with_text(docs, carry, text_col)
+    kinds = {"m_tokens": T.LongType(), "m_known": T.LongType(), "m_base": T.DoubleType(), "m_score": T.DoubleType(), "m_mix": T.DoubleType(), "m_rare": T.ArrayType(T.BinaryType())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base, known, log_p = shared.value
+        words, known, logs = shared.value
         get = _Index(zip(words, range(len(words)), strict=True)).__getitem__
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+        for batch in small_batches(batches, at_text):
+            out: list[list] = [[] for _ in kinds]
             for text in utf8(batch.column(at_text)):
                 found = [*words_of(text), END]
                 at = np.fromiter(map(get, found), np.int64, len(found))
                 ok = at[at >= 0]
                 rare = [found[k] for k in np.flatnonzero(at < 0)]
-                for to, value in zip(out, (len(found), int(known[ok].sum()), float(base[ok].sum()), float(log_p[ok].sum()), rare), strict=True):
+                for to, value in zip(out, (len(found), int(known[ok].sum()), *logs[:, ok].sum(1).tolist(), rare), strict=True):
                     to.append(value)
-            made = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "__n_tokens", "__n_known", "__base", "__score", "__rare"])
-
-    from pyspark.sql import types as T
+            made = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.list_(pa.binary())), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], names=[*names, *kinds])
 
-    fields = [T.StructField("__n_tokens", T.LongType()), T.StructField("__n_known", T.LongType()), T.StructField("__base", T.DoubleType()), T.StructField("__score", T.DoubleType()), T.StructField("__rare", T.ArrayType(T.BinaryType()))]
-    given = docs.select(*columns, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    part = keep(given.mapInArrow(run, T.StructType([*docs.schema.fields, *fields])).withColumn("__uid", F.monotonically_increasing_id()), "lm-docs")
-    rest = scored.where(F.col("n") < limit).select("word", "c", "log_p")
-    rare = part.select("__uid", F.explode("__rare").alias("word"))
+    schema = T.StructType([*given.schema.fields[: len(carry)], *(T.StructField(k, t) for k, t in kinds.items())])
+    part = keep(given.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "lm-docs")
+    rest = scored.where(F.col("n") < limit).select("word", "c", "log_p", "log_mix")
+    rare = part.select("uid", F.explode("m_rare").alias("word"))
     new = rare.select("word").distinct().join(rest.select("word"), "word", "left_anti")
     new = word_scores(replace(model, words=new.select("word", F.lit(0).cast("long").alias("c"), F.lit(1).cast("long").alias("n"))))
-    rare = rare.join(rest.unionByName(new.select("word", "c", "log_p")), "word")
-    sums = rare.groupBy("__uid").agg(
-        F.count_if(F.col("c") > 0).alias("__k"),
-        F.sum(F.log10((F.col("c") + 1) / F.lit(float(total)))).alias("__b"),
-        F.sum(F.col("log_p") / ten).alias("__s"),
+    rare = rare.join(rest.unionByName(new.select("word", "c", "log_p", "log_mix")), "word")
+    sums = rare.groupBy("uid").agg(
+        F.count_if(F.col("c") > 0).alias("k"),
+        F.sum(F.log10((F.col("c") + 1) / F.lit(float(total)))).alias("b"),
+        F.sum(F.col("log_p") / ten).alias("s"),
+        F.sum(F.col("log_mix") / ten).alias("x"),
     )
-    got = part.drop("__rare").join(sums, "__uid", "left")
-    add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    return got.select(*columns, "__n_tokens", add("__n_known", "__k"), add("__base", "__b"), add("__score", "__s"))
+    got = part.drop("m_rare").join(sums, "uid", "left")
+    add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    return got.select(*names, "m_tokens", add("m_known", "k"), add("m_base", "b"), add("m_score", "s"), add("m_mix", "x")).toDF(*carry, *MADE)
