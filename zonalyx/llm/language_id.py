@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalyx.llm.arrow import ship, utf8
+from zonalyx.llm.arrow import ship, small_batches, utf8, with_text
 from zonalyx.llm.store import keep
 
 N_BUCKETS = 1 << 15
@@ -168,10 +168,11 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> Model:
     """Fit on rows with a text and a label; the others are left out.
 
-    IDF covers all of them. The classifier sees about max_train rows: each
-    language's share is the same, and its rows are those with the smallest hash of
-    their text (all of them, if they are fewer). No labelled rows: a model that
-    answers "und".
+    IDF covers all of them. The classifier sees about max_train distinct texts: each
+    language's share is the same, and its texts are those with the smallest hash
+    (all of them, if they are fewer); copies count once. A table has few languages:
+    a number for each comes to the driver. No labelled rows: a model that answers
+    "und".
     """
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text is not null and lang is not null")
@@ -181,7 +182,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     df = np.zeros(N_BUCKETS)
     df[list(seen)] = list(seen.values())
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.lang: max(1, r.n) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], idf, np.zeros((N_BUCKETS, 0)), np.zeros(0))
@@ -189,6 +190,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     order = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     bound = F.element_at(F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(1 << 30, math.ceil((1 << 30) * share / sizes[lang])))]), F.col("lang"))
     sample = rows.withColumn("order", order).where(F.col("order") < bound)
+    sample = sample.groupBy("lang", "order", F.xxhash64("text").alias("h")).agg(F.any_value("text").alias("text"))
     got = sample.select("text", "lang", "order").mapInArrow(_features, "lang string, order long, at array<int>, n array<int>")
     table = keep(got, "language-sample").toArrow().sort_by([("order", "ascending")])
     number = {lang: k for k, lang in enumerate(languages)}
@@ -207,22 +209,37 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     return Model(languages, idf, w, bias, fit_temperature(logits, np.array([y for y, _, _ in kept_out], int)))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with __lang and __score: "und" and 0 for null, empty and letterless texts."""
+#: What predict adds.
+MADE = ("__lang", "__score")
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns carry of docs (all, where not given) with __lang and __score: "und" and 0 for null, empty and letterless texts.
+
+    Every row is answered, repeated ones too; whole texts count, however long. A
+    column of docs with one of the two names is replaced.
+    """
     from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
 
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
-    arrow = to_arrow_schema(schema)
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in MADE]
+    given, names, at_text = with_text(docs, carry, text_col)
+    schema = T.StructType([*given.schema.fields[: len(carry)], T.StructField("m0", T.StringType()), T.StructField("m1", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said = [shared.value.predict(t) for t in utf8(batch.column(batch.schema.names.index(text_col)))]
-            columns = [*batch.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], names=arrow.names)
+        for batch in small_batches(batches, at_text):
+            said = [shared.value.predict(t) for t in utf8(batch.column(at_text))]
+            made = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], names=[*names, "m0", "m1"])
+
+    return given.mapInArrow(run, schema).toDF(*carry, *MADE)
+
 
-    return docs.mapInArrow(run, schema)
+def keep_languages(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
+    """docs without those of an unknown language or one less probable than min_score; columns as in docs, whatever their names."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    said = predict(docs.toDF(*names), model, names[docs.columns.index(text_col)])
+    return said.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score)).select(*names).toDF(*docs.columns)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", folds: int = 5) -> DataFrame:
