@@ -4,8 +4,8 @@ Text is cut by a pattern into pre-tokens. A minimal perfect hash over the
 vocabulary resolves a pre-token that is itself a token with one probe; any other
 one is merged by a heap of (rank, place) over bytes in a doubly linked list, in
 O(n log n) for a pre-token of n bytes. Results are remembered per worker in two
-generations of bounded size, which change no result: when the younger is full, it
-replaces the older, and what is used again moves up.
+generations of CACHE_BYTES each, which change no result: when the younger is full,
+it replaces the older, and what is used again moves up.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalyx.llm.arrow import ship, utf8
+from zonalyx.llm.arrow import ship, small_batches, utf8, with_text
 
-#: Pre-tokens remembered in one generation.
-CACHE_ENTRIES = 300_000
+#: Memory of one generation of remembered pre-tokens, about: an entry's strings and _ENTRY_COST.
+CACHE_BYTES, _ENTRY_COST = 24 << 20, 200
 #: Longer pre-tokens are not remembered.
 CACHE_KEY_CHARS = 64
 _KEYS_PER_BUCKET = 4
@@ -171,6 +171,7 @@ class Encoder(dict):
         super().__init__()
         self.vocabulary = vocabulary
         self.older: dict[str, bytes] = {}
+        self.held = 0
         letters, numbers = _set(LATER_LETTERS), _set(LATER_NUMBERS)
         self.later = re.compile(f"[{letters}{numbers}]").search
         self.plain = regex.compile(pattern).findall
@@ -193,10 +194,12 @@ class Encoder(dict):
             ids = (rank,) if rank >= 0 else self.vocabulary.merge(word)
             out = _LITTLE[len(ids)](*ids) if len(ids) < len(_LITTLE) else struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHE_KEY_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if self.held >= CACHE_BYTES:
                 self.older = dict(self)
                 self.clear()
+                self.held = 0
             self[piece] = out
+            self.held += len(piece) + len(out) + _ENTRY_COST
         return out
 
     def encode(self, text: str) -> bytes:
@@ -216,35 +219,44 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def tokenise(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with __ids (binary: little-endian unsigned 32-bit) and __decoded (binary), the latter decoded from the former.
+#: What tokenise adds.
+MADE = ("__ids", "__decoded_sha256", "__ids_sha256")
 
-    Each match of the pattern is encoded on its own, without special tokens. Null
-    and empty texts have no ids. Text of any length stays whole.
+
+def tokenise(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns carry of docs (all, where not given) with __ids (binary: little-endian unsigned 32-bit), __decoded_sha256 and __ids_sha256.
+
+    Each match of the pattern is encoded on its own, without special tokens, and
+    what is decoded from the ids is digested. Null and empty texts have no ids. Text
+    of any length stays whole, repeated rows stay. A column of docs with one of the
+    three names is replaced.
     """
     import hashlib
 
     from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(Vocabulary(read_ranks(spark, ranks_path)))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__ids", T.BinaryType()), T.StructField("__decoded_sha256", T.StringType()), T.StructField("__ids_sha256", T.StringType())])
-    arrow = to_arrow_schema(schema)
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in MADE]
+    given, names, at_text = with_text(docs, carry, text_col)
+    fields = [*given.schema.fields[: len(carry)], *(T.StructField(f"m{k}", t) for k, t in enumerate((T.BinaryType(), T.StringType(), T.StringType())))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, pattern)
-        for batch in batches:
-            ids = [encoder.encode(t.decode()) for t in utf8(batch.column(batch.schema.names.index(text_col)))]
+        for batch in small_batches(batches, at_text):
+            ids = [encoder.encode(t.decode()) for t in utf8(batch.column(at_text))]
             back = [hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids]
             made = [pa.array(ids, pa.binary()), pa.array(back, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())]
-            columns = [*batch.columns, *made]
-            yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], names=arrow.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], names=[*names, "m0", "m1", "m2"])
 
-    return docs.mapInArrow(run, schema)
+    return given.mapInArrow(run, T.StructType(fields)).toDF(*carry, *MADE)
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: id, n_tokens, ids_sha256, decoded_sha256."""
-    got = tokenise(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), ranks_path, pattern, "text")
-    return got.select(F.col("id").alias(id_col), (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.col("__ids_sha256").alias("ids_sha256"), F.col("__decoded_sha256").alias("decoded_sha256"))
+    """One row per document: id, n_tokens, ids_sha256, decoded_sha256; cases as in tokenise, other columns are not read."""
+    got = tokenise(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), ranks_path, pattern, "text", carry=["id"])
+    return got.select(F.col("id").alias(id_col), n_tokens(), F.col("__ids_sha256").alias("ids_sha256"), F.col("__decoded_sha256").alias("decoded_sha256"))
+
+
+def n_tokens() -> Column:
+    return (F.octet_length("__ids") / 4).cast("long").alias("n_tokens")
