@@ -135,8 +135,8 @@ def test_contamination_against_brute_force(spark):
     items = [(1, " ".join(item)), (2, "Short ITEM, here"), (3, None), (4, ""), (5, " ".join(words(12, 2))), (5, "other text of five")]
     texts = [*ODD, " ".join([*words(30, 3), *item[4:16], *words(9, 4)]), "a short-item; HERE and there", " ".join(words(200, 5)), " ".join(item).upper(), "other text of five other text of five", "short item"]
     b = spark.createDataFrame(items, "item_id long, text string")
-    for block in (1 << 20, 30):
-        got = decontaminate.contamination(table(spark, texts), b, block_bytes=block)
+    for size in (1 << 20, 30):
+        got = decontaminate.contamination(table(spark, texts), b, index_bytes=size)
         assert dict((r[0], r[1:]) for r in rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == {k: brute_contamination(t, items) for k, t in enumerate(texts)}
     left = decontaminate.decontaminate(table(spark, texts), b)
     assert left.columns == table(spark, texts).columns
@@ -179,11 +179,13 @@ def test_scores_by_broadcast_and_by_join_are_the_same(spark):
             seen[w] = seen.get(w, 0) + (k % 3 != 0)
     n, v = sum(seen.values()), sum(c > 0 for c in seen.values())
     assert (model.n_tokens, model.n_types) == (n, v)
-    scores = {bytes(r.word): r.log_p for r in lm_score.word_scores(model).collect()}
+    found = lm_score.word_scores(model).collect()
+    scores, mixed = ({bytes(r.word): r[c] for r in found} for c in ("log_p", "log_mix"))
     pieces = dict(zip(model.pieces, np.exp(model.log_p), strict=True))
     whole = n / (n + v)
     for w in (b"w1", b"one", b"a"):
-        assert math.isclose(math.exp(scores[w]), whole * seen[w] / n + (1 - whole) * brute_probability(b" " + w, pieces), rel_tol=1e-9)
+        assert math.isclose(math.exp(scores[w]), brute_probability(b" " + w, pieces), rel_tol=1e-9)
+        assert math.isclose(math.exp(mixed[w]), whole * seen[w] / n + (1 - whole) * brute_probability(b" " + w, pieces), rel_tol=1e-9)
     for hot in (0, 3, 10**6):
         got = lm_score.score(d, model, hot_words=hot)
         assert got.columns[: len(d.columns)] == d.columns
@@ -192,11 +194,24 @@ def test_scores_by_broadcast_and_by_join_are_the_same(spark):
             assert r["__n_tokens"] == len(found) and r["__n_known"] == sum(seen[w] > 0 for w in found)
             assert math.isclose(r["__base"], sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in found), rel_tol=1e-9)
             assert math.isclose(r["__score"], sum(scores[w] for w in found) / math.log(10), rel_tol=1e-9)
+            assert math.isclose(r["__mixture"], sum(mixed[w] for w in found) / math.log(10), rel_tol=1e-9)
     assert lm_score.score(d.where("false"), model).count() == 0
     empty = lm_score.train(d, F.lit(False), vocabulary, rounds=1)
     assert empty.n_tokens == 0 and lm_score.score(d, empty).count() == len(texts)
 
 
+def test_score_is_the_forward_recursion_over_the_whole_text(spark):
+    vocabulary = ([b" a", b"ab", b" ab", *[bytes([x]) for x in range(256)]], None)
+    vocabulary = (vocabulary[0], np.full(len(vocabulary[0]), 1 / len(vocabulary[0])))
+    d = spark.createDataFrame([(1, "abab a"), (2, "aab  ab\tb"), (3, "ba")], "doc_id long, text string")
+    model = lm_score.train(d, F.lit(True), vocabulary, rounds=2)
+    pieces = dict(zip(model.pieces, np.exp(model.log_p), strict=True))
+    for text, got in rows(lm_score.score(d, model), "text", "__score"):
+        # one lattice for the whole text; pieces hold a blank at their start only
+        whole = b"".join(b" " + w for w in text.encode().split())
+        assert math.isclose(10**got, brute_probability(whole, pieces) * model.end, rel_tol=1e-9)
+
+
 def test_probabilities_of_all_short_texts_sum_to_at_most_one(spark):
     vocabulary = ([b" x", b"x", b" y"], np.array([0.5, 0.2, 0.3]))
     d = spark.createDataFrame([(1, "x y"), (2, "x"), (3, "xx x")], "doc_id long, text string")
@@ -206,7 +221,7 @@ def test_probabilities_of_all_short_texts_sum_to_at_most_one(spark):
     every += level + [f"{a} {b}" for a in level for b in level] + [f"{a} {b} {c}" for a in level for b in level for c in level]
     t = spark.createDataFrame([(k, x) for k, x in enumerate(every)], "doc_id long, text string")
     known = lm_score.train(d.union(t), F.lit(False), vocabulary, rounds=0)
-    total = sum(10 ** r["__score"] for r in lm_score.score(t, lm_score.Model(lm_score.count_words(d.select("text", F.lit(True).alias("__train")).union(t.select("text", F.lit(False)))), model.pieces, model.log_p, model.end, model.n_tokens, model.n_types)).collect())
+    total = sum(10 ** r["__score"] for r in lm_score.score(t, lm_score.Model(lm_score.count_words(d.select("text", F.lit(True).alias("is_train")).union(t.select("text", F.lit(False)))), model.pieces, model.log_p, model.end, model.n_tokens, model.n_types)).collect())
     assert known.n_tokens == 0 and 0.3 < total <= 1 + 1e-9
 
 
@@ -231,6 +246,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert ngram_jaccard.near_duplicates(table(spark, texts).where("false")).count() == 0
 
 
+def test_near_duplicates_in_many_blocks_with_hot_shingles(spark, monkeypatch):
+    for name, value in (("ENTRIES", 64), ("MIN_HOT", 6), ("HOT_SHARE", 20), ("HOT_PARTS", 3), ("_PACK", 500)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    base = words(60, 11)
+    texts = [*ODD, *[" ".join(near_copies(base, k % 5, k)) for k in range(40)], *[" ".join([*words(9, 300 + k), *words(40, 9)]) for k in range(12)]]
+    got = ngram_jaccard.near_duplicates(table(spark, texts).repartition(3))
+    assert sorted(rows(got, "doc_id", "n_shingles", "component_id")) == [(k, len(shingle_set(t)), c) for k, (t, c) in enumerate(zip(texts, components(texts), strict=True))]
+
+
+def test_near_copies_go_row_by_row(spark):
+    a, b = words(40, 1), words(40, 2)
+    copy = " ".join(near_copies(a, 1, 3))
+    data = [(1, " ".join(a)), (2, copy), (2, " ".join(b)), (None, " ".join(words(40, 4))), (None, " ".join(near_copies(words(40, 4), 1, 5))), (7, "same"), (7, "same"), (None, None), (None, None)]
+    d = spark.createDataFrame([(k, t, "clash", "clash", "clash") for k, t in data], "doc_id long, text string, th string, __rid string, cls string")
+    got = ngram_jaccard.drop_near_duplicates(d)
+    assert got.columns == d.columns
+    left = sorted(rows(got, "doc_id", "text"), key=str)
+    assert (1, " ".join(a)) in left and (2, " ".join(b)) in left and (2, copy) not in left
+    assert [k for k, _ in left].count(7) == 1 and left.count((None, None)) == 2 and len(left) == 6
+    assert ngram_jaccard.drop_near_duplicates(d.where("false")).count() == 0
+
+
 def test_sketch_and_prefix_lengths():
     for n in range(1, 200):
         probe, index = ngram_jaccard.prefix_lengths(n, 80)
@@ -325,7 +362,7 @@ def test_perfect_hash_and_cache(monkeypatch):
     h = bpe.PerfectHash(keys)
     assert sorted(map(h.place, keys)) == list(range(3000))
     v = bpe.Vocabulary({**{bytes([b]): b for b in range(256)}, b"ab": 256, b"abc": 257, b"bc": 258})
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 2)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 300)
     e = bpe.Encoder(v, r"\S+|\s+")
     for t in ("abc abcd bcab", "x", ""):
         assert e.decode(e.encode(t)) == t.encode() and len(e) <= 2
@@ -365,11 +402,13 @@ def test_damaged_archive_ends_at_the_damage():
 
 def test_contamination_of_one_short_document(spark):
     item = words(12, 7)
-    index = decontaminate.Index([("i", " ".join(item).encode())], 10)
+    index = decontaminate.Index(10)
+    index.add("i", " ".join(item).encode())
+    index.finish()
     for k in range(13):
-        ids = np.array([index.vocabulary[w.encode()] for w in item[:k]], np.int64)
+        ids = np.array([index.vocabulary[w.encode()] for w in item[:k]], np.int32)
         hit, docs, items = index.scan(ids, np.array([k]))
-        assert hit.sum() == (k if k >= 10 else 0) and len(docs) == len(items) == max(k - 9, 0)
+        assert hit.sum() == (k if k >= 10 else 0) and len(docs) == len(items) == (k >= 10)
     b = spark.createDataFrame([("i", " ".join(item))], "item_id string, text string")
     for k in (0, 6, 8, 10):
         got = decontaminate.contamination(table(spark, [" ".join(item[:k])]).coalesce(1), b)
@@ -432,7 +471,7 @@ def test_lm_score_of_documents_that_training_did_not_see(spark):
     old, new = d.where("doc_id < 2"), d.where("doc_id >= 2")
     both = lm_score.train(d, F.col("doc_id") < 2, vocabulary, rounds=1)
     alone = lm_score.train(old, F.lit(True), vocabulary, rounds=1)
-    columns = ("doc_id", "__n_tokens", "__n_known", "__base", "__score")
+    columns = ("doc_id", "__n_tokens", "__n_known", "__base", "__score", "__mixture")
     want = sorted(rows(lm_score.score(new, both), *columns))
     for hot in (1, 500_000):
         got = sorted(rows(lm_score.score(new, alone, hot_words=hot), *columns))

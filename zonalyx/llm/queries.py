@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,6 @@ from pyspark.sql import functions as F
 
 from zonalyx.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, lm_score, ngram_jaccard, sharding, warc
 
-#: The folder of public vocabulary files; a parameter of the queries that need one.
-TOKENIZER_DIR = "/opt/tokenizers"
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 
@@ -21,19 +18,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizers(folder: str = TOKENIZER_DIR):
-    """The module that names the vocabulary files and their pattern."""
-    spec = importlib.util.spec_from_file_location("public_tokenizers", os.path.join(folder, "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return module
+def tokenizers(module: str = "public_tokenizers"):
+    """The module that names the public vocabulary files and their pattern."""
+    return importlib.import_module(module)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item; null texts have none."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards of near equal bytes. Copies of a text are records of their own and may lie in different shards."""
     out = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 16)
     return out.select(
         F.col("id").alias("doc_id"),
@@ -49,17 +45,20 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, read back from the formatted text; null texts are empty."""
     said = "\\\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, '{"messages": [{"role": "user", "content": "%s"}, {"role": "assistant", "content": "%s"}]}' % (said, said))], "id long, record string")
+    record = '{"messages": [{"role": "user", "content": "%s"}, {"role": "assistant", "content": "%s"}]}' % (said, said)
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("id"), F.lit(record).alias("record"))
     turns = chat_format.turns_from_table(_table(spark, sf_dir, "conversations")).unionByName(chat_format.turns_from_json(extra, "record", "id"))
     return chat_format.digest(chat_format.format_turns(turns))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by the lattice, learned from six of seven; a null text is the end alone."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held = language_id.remainder("doc_id", 7) == 2
     model = lm_score.train(docs, ~held, lm_score.read_vocabulary(tokenizers().path(PIECES)))
-    got = lm_score.score(docs, model)
+    got = lm_score.score(docs, model, carry=["doc_id"])
     return got.select(
         "doc_id",
         held.alias("held_out"),
@@ -68,34 +67,41 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(model.n_tokens).cast("long").alias("train_tokens"),
         F.col("__base").alias("base_score"),
         F.col("__score").alias("score"),
+        F.col("__mixture").alias("word_mixture_score"),
     )
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the largest doc_id of its text; null counts as empty."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep_largest=True)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest doc_id that links of Jaccard 0.8 lead to; texts without words are alone."""
     return ngram_jaccard.near_duplicates(_table(spark, sf_dir, "documents")).drop("class_id")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from four of five; "und" for texts that are null or without a letter."""
     docs = _table(spark, sf_dir, "documents")
     model = language_id.train(language_id.training_rows(docs))
-    said = language_id.predict(docs.select("doc_id", "text"), model)
+    said = language_id.predict(docs.select("doc_id", "text"), model, carry=["doc_id"])
     return said.select("doc_id", language_id.held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document; null texts have none."""
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids and their decoding, as digests; null texts are empty."""
     public = tokenizers()
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public.path(BPE_RANKS), public.PATTERN)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back; null html is empty."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
