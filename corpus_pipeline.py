@@ -20,9 +20,7 @@ MIN_LANGUAGE_SCORE = 0.3
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels name; null and letterless texts go."""
     model = language_id.train(language_id.training_rows(docs))
-    said = language_id.predict(docs, model)
-    sure = (F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)
-    return said.where(sure).select(*docs.columns)
+    return language_id.keep_languages(docs, model, MIN_LANGUAGE_SCORE)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +41,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, ids_sha256, decoded_sha256."""
     public = tokenizers()
-    got = bpe.tokenise(docs.select("doc_id", "text"), public.path(BPE_RANKS), public.PATTERN)
-    return got.select("doc_id", (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.col("__ids").alias("token_ids"), F.col("__ids_sha256").alias("ids_sha256"), F.col("__decoded_sha256").alias("decoded_sha256"))
+    got = bpe.tokenise(docs.select("doc_id", "text"), public.path(BPE_RANKS), public.PATTERN, carry=["doc_id"])
+    digests = F.col("__ids_sha256").alias("ids_sha256"), F.col("__decoded_sha256").alias("decoded_sha256")
+    return got.select("doc_id", bpe.n_tokens(), F.col("__ids").alias("token_ids"), *digests)
 
 
 STAGES = [
