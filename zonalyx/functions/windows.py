@@ -6,37 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from zonalyx.operators.store import dense_id, keep
+
 #: Rows up to which a rank over the whole table is one window.
 SINGLE_WINDOW_ROWS = 100_000
-#: Ranges that a longer table is ranked in.
-RANK_RANGES = 200
 
 
-def rank_over(df: DataFrame, value: str, out: str, by: list[str] | None = None, ascending: bool = True, method: str = "min") -> DataFrame:
+def rank_over(df: DataFrame, value: str, out: str, by: list[str] | None = None, ascending: bool = True, method: str = "min", rows: int | None = None) -> DataFrame:
     """df with the rank (long) of value from 1, NULL for NULL; method min, max, average or dense.
 
-    Inside groups (by) it is a window. Over a whole table longer than
-    SINGLE_WINDOW_ROWS, values are cut into ranges at sampled quantiles, ranked in
-    their range, and shifted by the number of rows in the ranges before it, so no
-    task gets all rows.
+    Inside groups (by) it is a window. A whole table longer than SINGLE_WINDOW_ROWS
+    is range-partitioned by value and written to the shared folder; ranks are those
+    in the range, shifted by the number of rows in the ranges before it, so no task
+    gets all rows. rows: the table's length, where the caller knows it.
     """
     order = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
-    if by or df.count() <= SINGLE_WINDOW_ROWS:
+    if by or (df.count() if rows is None else rows) <= SINGLE_WINDOW_ROWS:
         keys = [F.col(b) for b in by or []]
         return _ranked(df, Window.partitionBy(*keys, F.col(value).isNull()), value, out, order, method, F.lit(0))
-    cuts = sorted(set(df.approxQuantile(value, [k / RANK_RANGES for k in range(1, RANK_RANGES)], 0.001)))
-    found = F.lit(0)
-    for c in cuts:
-        found = found + F.when(F.col(value) >= c, 1).otherwise(0)
-    ranged = df.withColumn("__range", F.when(F.col(value).isNull(), -1).otherwise(found))
+    # equal values share a range
+    ranged = keep(df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "rank")
     unit = F.count_distinct(value) if method == "dense" else F.count(value)
-    sizes = {r[0]: r[1] for r in ranged.groupBy("__range").agg(unit).collect()}
-    total, offsets = 0, {}
-    for k in sorted((x for x in sizes if x >= 0), reverse=not ascending):
-        offsets[k] = total
-        total += sizes[k]
-    offset = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in offsets.items() for v in kv]), F.col("__range")), F.lit(0)) if offsets else F.lit(0)
-    return _ranked(ranged, Window.partitionBy("__range"), value, out, order, method, offset).drop("__range")
+    total, offsets = 0, []
+    for r in sorted(ranged.groupBy("__range").agg(unit).collect()):
+        offsets += [F.lit(r[0]), F.lit(total)]
+        total += r[1]
+    offset = F.element_at(F.create_map(*offsets), F.col("__range"))
+    return _ranked(ranged, Window.partitionBy("__range", F.col(value).isNull()), value, out, order, method, offset).drop("__range")
 
 
 def _ranked(df: DataFrame, part: WindowSpec, value: str, out: str, order: Column, method: str, offset: Column) -> DataFrame:
@@ -52,27 +48,40 @@ def _ranked(df: DataFrame, part: WindowSpec, value: str, out: str, order: Column
     return df.withColumn(out, F.when(F.col(value).isNotNull(), (rank + offset).cast(kind)))
 
 
-def percentile_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, ascending: bool = True, method: str = "min", single: float = 0.0) -> DataFrame:
-    """(rank - 1) / (N - 1) with N the number of values that are not NULL; single if N is 1; NULL stays NULL."""
-    ranked = rank_over(df, value, "__rank", by, ascending, method)
-    if by:
-        n = F.count(value).over(Window.partitionBy(*by))
-    else:
-        n = F.lit(df.agg(F.count(value)).first()[0])
+def _values(df: DataFrame, value: str, by: list[str] | None, rows: int | None) -> Column:
+    """The number of values: of the group, of a short table by a window, else by a pass."""
+    if by or (rows is not None and rows <= SINGLE_WINDOW_ROWS):
+        return F.count(value).over(Window.partitionBy(*(by or [])))
+    return F.lit(df.agg(F.count(value)).first()[0])
+
+
+def percentile_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, ascending: bool = True, method: str = "min", single: float = 0.0, rows: int | None = None) -> DataFrame:
+    """(rank - 1) / (N - 1) with N the number of values that are not NULL; single if N is 1; NULL stays NULL.
+
+    With rows at hand, ranks of a short table are columns only and start no job.
+    """
+    rows = df.count() if rows is None and not by else rows
+    ranked = rank_over(df, value, "__rank", by, ascending, method, rows)
+    n = _values(df, value, by, rows)
     share = F.when(n > 1, (F.col("__rank") - 1) / (n - 1)).otherwise(F.lit(single))
     return ranked.withColumn(out, F.when(F.col(value).isNotNull(), share)).drop("__rank")
 
 
-def competition_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
+def competition_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """Rank of the largest first; all NULLs share the rank after the last value."""
-    ranked = rank_over(df, value, out, by, ascending=False)
-    n = F.count(value).over(Window.partitionBy(*by)) if by else F.lit(df.agg(F.count(value)).first()[0])
-    return ranked.withColumn(out, F.coalesce(F.col(out), n + 1).cast("long"))
+    rows = df.count() if rows is None and not by else rows
+    ranked = rank_over(df, value, out, by, ascending=False, rows=rows)
+    return ranked.withColumn(out, F.coalesce(F.col(out), _values(df, value, by, rows) + 1).cast("long"))
+
+
+def position(value: str, key: str, by: list[str]) -> Column:
+    """1-based place in the group, largest value first, NULLs last, ties by key as text."""
+    return F.row_number().over(Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last(), F.col(key).cast("string"))).cast("long")
 
 
-def position(value: str, key: str, by: list[str] | None = None) -> Column:
-    """1-based place, largest value first, NULLs last, ties by key as text."""
-    return F.row_number().over(Window.partitionBy(*(by or [])).orderBy(F.col(value).desc_nulls_last(), F.col(key).cast("string"))).cast("long")
+def overall_position(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
+    """df with the same place in the whole table, by a sort over all tasks."""
+    return dense_id(df, out, F.col(value).desc_nulls_last(), F.col(key).cast("string")).withColumn(out, F.col(out) + 1)
 
 
 # -- time windows inside a zone -----------------------------------------------------------------
@@ -122,9 +131,12 @@ def quantile_class(df: DataFrame, value: str, key: str, out: str, classes: int =
     """clamp(ceil((r - 1) q / (n - 1)), 1, q) for the place r among n values, q = min(classes, n); ties by key."""
     n, distinct = df.agg(F.count(value), F.count_distinct(value)).first()
     q = min(classes, n)
-    r = F.row_number().over(Window.partitionBy(F.col(value).isNull()).orderBy(value, key))
-    c = F.lit(1) if n < 2 or distinct < 2 else F.greatest(F.least(F.ceil((r - 1) * F.lit(q) / F.lit(float(n - 1))), F.lit(q)), F.lit(1))
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), c.cast("int")))
+    if n < 2 or distinct < 2:
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), 1))
+    # NULLs come last and so do not move the places of values
+    placed = dense_id(df, "__i", F.col(value).asc_nulls_last(), key)
+    c = F.greatest(F.least(F.ceil(F.col("__i") * F.lit(q) / F.lit(float(n - 1))), F.lit(q)), F.lit(1))
+    return placed.withColumn(out, F.when(F.col(value).isNotNull(), c.cast("int"))).drop("__i")
 
 
 def equal_interval_class(df: DataFrame, value: str, out: str, classes: int = 5) -> DataFrame:

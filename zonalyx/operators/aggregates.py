@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonalyx.functions.windows import competition_rank
 from zonalyx.operators.frames import ContractError, assert_unique
 
 
@@ -116,7 +117,7 @@ def burden(df: DataFrame, zone: str, period: str, y: str, score: str, population
     g = df.groupBy(zone).agg(F.sum(y).alias("total"), F.avg(y).alias("mean"), F.count_if(F.col(y) > 0).alias("positive"), F.count_distinct(period).alias("months"), F.first(score, ignorenulls=True).alias("score"), F.max(population).alias("population"))
     g = g.withColumn("rate", F.when(F.col("population") > 0, F.col("total") / F.col("population") * 1000.0))
     for c in ("total", "mean", "rate"):
-        g = g.withColumn(f"{c}_rank", F.rank().over(Window.partitionBy().orderBy(F.col(c).desc_nulls_last())).cast("long"))
+        g = competition_rank(g, c, f"{c}_rank")
     return g
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonalyx.functions.scalar import month_of, month_ordinal, normal_name
+from zonalyx.operators.store import dense_id, keep  # noqa: F401  part of this module's operators
 
 #: Rows of a lookup side that may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -172,9 +173,34 @@ def overlay(df: DataFrame, repairs: DataFrame, key: str, columns: list[str]) ->
     return out.drop(*[f"__{c}" for c in columns])
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Rows of right that hold when left happens: start <= at < end (an open end holds on)."""
-    return left.join(right, keys, "left").where(F.col(start).isNull() | ((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))))
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, end: str, bucket: float | None = None) -> DataFrame:
+    """left joined with the rows of right that hold then: start <= at < end (an open end holds on).
+
+    A left join: a row of left that no interval holds at keeps its place with NULLs,
+    whether its key has other intervals or none. With bucket (of the unit of at, as
+    a number or in seconds), closed intervals meet rows in the buckets that they
+    reach, so a key with many intervals is not compared with all its rows.
+    """
+    holds = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
+    if bucket is None:
+        a, b = left.alias("l"), right.alias("r")
+        same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
+        rest = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+        return a.join(b, [*same, holds], "left").select("l.*", *rest)
+    kinds = {**dict(right.dtypes), **dict(left.dtypes)}
+
+    def at_bucket(c: str) -> Column:
+        x = F.col(c).cast("timestamp") if kinds[c] in ("timestamp", "timestamp_ntz", "date") else F.col(c)
+        return F.floor(x.cast("double") / bucket)
+
+    number = left.withColumn("__uid", F.monotonically_increasing_id())
+    rest = [c for c in right.columns if c not in keys]
+    closed = right.where(F.col(end).isNotNull() & (F.col(start) < F.col(end))).withColumn("__b", F.explode(F.sequence(at_bucket(start), at_bucket(end))))
+    opened = right.where(F.col(end).isNull())
+    met = number.withColumn("__b", at_bucket(at)).join(closed, [*keys, "__b"]).where(holds).drop("__b")
+    met = met.unionByName(number.join(opened, keys).where(holds))
+    alone = number.join(met.select("__uid").distinct(), "__uid", "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True).select(*left.columns, *rest)
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, out: str) -> DataFrame:
@@ -186,39 +212,43 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value
     return both.where("__side = 1").drop("__v", "__side")
 
 
+#: Grids that points are counted in, each with a quarter of the cell size of the one before.
+GRID_LEVELS = 13
+
+
 def nearest(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     """(source, target, distance, knn_rank) of the k nearest other points, ties by target.
 
-    Points meet their own and adjoining cells of a grid whose cells hold about
-    4 k points; where those can't hold the k nearest, the point is compared with
-    cells further out, ring by ring, so no all-pairs join is made.
+    Each point takes the finest of GRID_LEVELS grids whose cell has k other points at
+    least: its neighbours then lie within two cells, and the cell has few more than
+    k points, however unevenly points are spread. Of points at one and the same
+    place, the k + 1 smallest keys can be neighbours. Points without coordinates
+    have none.
     """
+    points = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     n, x0, x1, y0, y1 = points.agg(F.count(F.lit(1)), F.min(x), F.max(x), F.min(y), F.max(y)).first()
     k = min(k, n - 1)
     if k < 1:
         return points.select(F.col(key).alias("source"), F.col(key).alias("target"), F.lit(0.0).alias("distance"), F.lit(1).alias("knn_rank")).limit(0)
-    area = max((x1 - x0) * (y1 - y0), max(x1 - x0, y1 - y0, 1e-9) * 1e-9)
-    size = max((4.0 * k * area / n) ** 0.5, 1e-9)
-    cells = points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.floor(F.col(x) / size).alias("cx"), F.floor(F.col(y) / size).alias("cy"))
-    other = cells.toDF("target", "tx", "ty", "cx", "cy")
-    todo, reach, done = cells, 1, None
-    most = int(max(x1 - x0, y1 - y0) / size) + 2
-    while True:
-        steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-        asked = todo.withColumn("dx", steps).withColumn("dy", steps)
-        near = asked.withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy")).join(other, ["cx", "cy"]).where("id <> target")
-        d = F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2))
-        w = Window.partitionBy("id").orderBy("distance", "target")
-        got = near.withColumn("distance", d).withColumn("knn_rank", F.row_number().over(w)).where(F.col("knn_rank") <= k)
-        far = got.groupBy("id").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("m"))
-        edge = F.lit(reach * size)
-        sure = far.where((F.col("m") == k) & (F.col("far") <= edge)) if reach < most else far
-        part = got.join(sure.select("id"), "id").select(F.col("id").alias("source"), "target", "distance", "knn_rank")
-        done = part if done is None else done.unionByName(part)
-        todo = todo.join(sure.select("id"), "id", "left_anti")
-        if reach >= most or not todo.limit(1).count():
-            return done
-        reach = min(most, reach * 2)
+    extent = max(float(x1) - float(x0), float(y1) - float(y0), 1e-9) * (1 + 1e-9)
+    level = F.explode(F.sequence(F.lit(0), F.lit(GRID_LEVELS - 1)))
+    cell = lambda c, low: F.floor((F.col(c) - low) * F.pow(F.lit(4.0), F.col("level")) / extent)
+    flat = keep(points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "nearest")
+    gridded = flat.withColumn("level", level).withColumn("cx", cell("x", float(x0))).withColumn("cy", cell("y", float(y0)))
+    counts = gridded.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > k)
+    own = gridded.join(counts, ["level", "cx", "cy"]).groupBy("id").agg(F.max(F.struct("level", "x", "y", "cx", "cy")).alias("g")).select("id", "g.*")
+    step = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    asked = keep(own.withColumn("dx", step).withColumn("dy", step).select("id", "x", "y", "level", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy")), "nearest")
+    salt = F.pmod(F.xxhash64("id"), F.lit(64))
+    first = lambda *by: F.row_number().over(Window.partitionBy("x", "y", *by).orderBy("id")) <= k + 1
+    some = flat.withColumn("salt", salt).withColumn("ok", first("salt")).where("ok").withColumn("ok", first()).where("ok").drop("salt", "ok")
+    other = some.withColumn("level", level).withColumn("cx", cell("x", float(x0))).withColumn("cy", cell("y", float(y0)))
+    other = other.join(asked.select("level", "cx", "cy").distinct(), ["level", "cx", "cy"], "left_semi")
+    other = other.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), "level", "cx", "cy")
+    d = F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2))
+    near = asked.join(other, ["level", "cx", "cy"]).where("id <> target").select(F.col("id").alias("source"), "target", d.alias("distance"))
+    w = Window.partitionBy("source").orderBy("distance", "target")
+    return near.withColumn("knn_rank", F.row_number().over(w)).where(F.col("knn_rank") <= k)
 
 
 # -- sets ---------------------------------------------------------------------------------------
@@ -235,22 +265,3 @@ def assert_subset(have: DataFrame, wanted: DataFrame, key: str) -> None:
     missing = [r[0] for r in wanted.select(key).subtract(have.select(key)).limit(20).collect()]
     if missing:
         raise ContractError(f"{key}: missing {missing}")
-
-
-def dense_id(df: DataFrame, out: str, *keys: str) -> DataFrame:
-    """0-based number of each row in the order of keys.
-
-    Rows are range-partitioned by keys; a row's number is its place in its range
-    after the rows of the ranges before, so the sort is spread over all tasks.
-    """
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys]).withColumn("__p", F.spark_partition_id()).persist()
-    sizes = sorted((r[0], r[1]) for r in ranged.groupBy("__p").count().collect())
-    offsets, total = [], 0
-    for p, n in sizes:
-        offsets += [F.lit(p), F.lit(total)]
-        total += n
-    if not offsets:
-        return df.withColumn(out, F.lit(0).cast("long"))
-    w = Window.partitionBy("__p").orderBy(*keys)
-    number = F.element_at(F.create_map(*offsets), F.col("__p")) + F.row_number().over(w) - 1
-    return ranged.withColumn(out, number.cast("long")).drop("__p")

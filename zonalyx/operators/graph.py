@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonalyx.operators.frames import dense_id, union_all
+from zonalyx.operators.components import components
+from zonalyx.operators.frames import dense_id, lookup_side, union_all
+from zonalyx.operators.store import discard, keep
 
 #: What an edge type is.
 KINDS = {"lag_1": "temporal", "lag_12": "temporal", "knn": "spatial", "adjacency": "spatial", "placebo": "placebo"}
@@ -44,7 +44,7 @@ def placebo_edges(edges: DataFrame, node_table: DataFrame, ordinal: str, seed: i
     sizes = node_table.groupBy(F.col(ordinal).alias("m")).count()
     own = places.select(F.col("new").alias("source"), "m", F.col("i").alias("own"))
     # the source's own place is left out: places from it on move up by one
-    e = edges.join(of, "target").join(F.broadcast(sizes), "m").join(own, ["source", "m"], "left")
+    e = edges.join(of, "target").join(lookup_side(sizes), "m").join(own, ["source", "m"], "left")
     e = e.withColumn("count", F.col("count") - F.col("own").isNotNull().cast("int")).where("count > 0")
     e = e.withColumn("i", F.pmod(F.xxhash64("source", "target", F.lit(seed)), F.col("count")).cast("int"))
     e = e.withColumn("i", F.col("i") + F.coalesce((F.col("i") >= F.col("own")).cast("int"), F.lit(0)))
@@ -79,37 +79,64 @@ def degrees(node_table: DataFrame, edges: DataFrame) -> DataFrame:
     return d.withColumn("isolated", (F.col("in_degree") + F.col("out_degree")) == 0)
 
 
-def connected(edges: DataFrame, a: str = "source", b: str = "target", rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reachable, by label passing with pointer jumping.
+def connected(edges: DataFrame, a: str = "source", b: str = "target") -> DataFrame:
+    """(node, component): the smallest node reachable; a node with edges to itself only is its own.
+
+    Rounds go on until nothing changes; an error tells if they never do.
+    """
+    found = components(edges, a, b)
+    alone = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node")).distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.withColumn("component", F.col("node")))
+
+
+def rewire(pairs: DataFrame, seed: int = 42, rounds: int = 5) -> DataFrame:
+    """(source, target), source < target: a random graph in which every node keeps its degree.
 
-    Each round is written to the folder of spark.checkpoint.dir.
+    In each round edges are numbered in the order of a hash and taken two by two; a
+    pair swaps ends unless that makes a loop, an edge that there is, or one that
+    another pair makes. Loops and repeated edges of the input are dropped first.
     """
-    spark = edges.sparkSession
-    home = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/zonalyx/graph-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame, k: str) -> DataFrame:
-        df.write.parquet(f"{home}/{k}")
-        return spark.read.schema(df.schema).parquet(f"{home}/{k}")
-
-    both = kept(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct(), "edges")
-    labels = kept(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "0")
-    for k in range(1, rounds + 1):
-        near = both.join(labels.toDF("v", "c"), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("c"))
-        new = labels.join(near, "node").select("node", F.least("component", "c").alias("component"))
-        jumped = new.join(labels.toDF("component", "next"), "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"))
-        jumped = kept(jumped, str(k))
-        if not jumped.join(labels.toDF("node", "before"), "node").where("component <> before").limit(1).count():
-            break
-        labels = jumped
-    return labels
+    e = pairs.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).where("u <> v").distinct()
+    e = keep(e, "rewire")
+    for k in range(rounds):
+        hashed = e.withColumn("h", F.xxhash64("u", "v", F.lit(seed), F.lit(k)))
+        numbered = dense_id(hashed, "i", "h", "u", "v").withColumn("pair", F.floor(F.col("i") / 2))
+        two = numbered.groupBy("pair").agg(F.min(F.struct("i", "u", "v", "h")).alias("p"), F.max(F.struct("i", "u", "v", "h")).alias("q"), F.count(F.lit(1)).alias("n")).where("n = 2")
+        turn = F.col("p.h") % 2 == 0
+        c, d = F.when(turn, F.col("q.u")).otherwise(F.col("q.v")), F.when(turn, F.col("q.v")).otherwise(F.col("q.u"))
+        made = two.select("pair", "p", "q", F.explode(F.array(F.struct(F.col("p.u").alias("a"), d.alias("b")), F.struct(c.alias("a"), F.col("p.v").alias("b")))).alias("m"))
+        made = keep(made.select("pair", F.col("p.u").alias("pu"), F.col("p.v").alias("pv"), F.col("q.u").alias("qu"), F.col("q.v").alias("qv"), F.least("m.a", "m.b").alias("u"), F.greatest("m.a", "m.b").alias("v")), "rewire")
+        clash = made.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or u = v").select("u", "v").unionByName(e.select("u", "v"))
+        bad = made.join(clash.distinct(), ["u", "v"]).select("pair").distinct()
+        good = made.join(bad, "pair", "left_anti")
+        gone = good.select(F.explode(F.array(F.struct(F.col("pu").alias("u"), F.col("pv").alias("v")), F.struct(F.col("qu").alias("u"), F.col("qv").alias("v")))).alias("g")).select("g.*").distinct()
+        new = keep(e.join(gone, ["u", "v"], "left_anti").unionByName(good.select("u", "v")), "rewire")
+        discard(e, made)
+        e = new
+    return e.toDF("source", "target")
 
 
 def neighbour_mean(edges: DataFrame, features: DataFrame, columns: list[str], weighted: bool = True, by_type: bool = False) -> DataFrame:
-    """Per target node sum(w h) / max(sum(w), 1), w not negative; unweighted sum(h) / max(degree, 1)."""
+    """Per target node sum(w h) / max(sum(w), 1), w not negative; unweighted sum(h) / max(degree, 1).
+
+    features has a row per node; a node without incoming edges (of any type, or of
+    each type that the edges have) gets 0.
+    """
     w = F.greatest(F.col("edge_weight"), F.lit(0.0)) if weighted else F.lit(1.0)
-    keys = [F.col("target").alias("node_id"), *(["edge_type"] if by_type else [])]
-    j = edges.join(features.withColumnRenamed("node_id", "source"), "source")
-    return j.groupBy(*keys).agg(*[(F.sum(w * F.col(c)) / F.greatest(F.sum(w), F.lit(1.0))).alias(f"{c}_near") for c in columns])
+    keys = ["node_id", *(["edge_type"] if by_type else [])]
+    j = edges.withColumnRenamed("node_id", "__n").join(features.withColumnRenamed("node_id", "source"), "source").withColumnRenamed("target", "node_id")
+    got = j.groupBy(*keys).agg(*[(F.sum(w * F.col(c)) / F.greatest(F.sum(w), F.lit(1.0))).alias(f"{c}_near") for c in columns])
+    every = features.select("node_id")
+    if by_type:
+        # as many types as the registry names, not as there are edges
+        types = [F.lit(r[0]) for r in edges.select("edge_type").distinct().orderBy("edge_type").collect()]
+        every = every.withColumn("edge_type", F.explode(F.array(*types).cast("array<string>")))
+    return every.join(got, keys, "left").fillna(0.0, subset=[f"{c}_near" for c in columns])
+
+
+def edge_masks(annotated: DataFrame, scheme: str) -> DataFrame:
+    """<scheme>_all, _train_train and _no_test for edges that annotate() has given split columns of that scheme."""
+    return annotated.withColumns({f"{scheme}_all": F.lit(True), f"{scheme}_train_train": F.col("train_train"), f"{scheme}_no_test": ~F.col("touches_test")})
 
 
 def leakage_audit(edges: DataFrame, node_table: DataFrame, ordinal: str, split: str) -> DataFrame:
@@ -157,3 +184,108 @@ def gate(left: Column, right: Column, bias: float = 0.0) -> Column:
     """The sigmoid of the scaled dot product of two arrays."""
     dot = F.aggregate(F.zip_with(left, right, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
     return 1 / (1 + F.exp(-(dot / F.sqrt(F.size(left).cast("double")) + bias)))
+
+
+# -- message passing ----------------------------------------------------------------------------
+
+
+def target_aggregate(edges: DataFrame, node_table: DataFrame, columns: list[str]) -> DataFrame:
+    """node_id, n_in, and <column>_sum, _mean of the messages on incoming edges.
+
+    Every edge counts, parallel ones and loops too; nodes without any have 0.
+    """
+    made = [f(c).cast("double").alias(f"{c}_{name}") for c in columns for name, f in (("sum", F.sum), ("mean", F.avg))]
+    g = edges.groupBy(F.col("target").alias("node_id")).agg(F.count(F.lit(1)).alias("n_in"), *made)
+    return node_table.select("node_id").join(g, "node_id", "left").fillna(0)
+
+
+#: Coefficients of an edge by the degrees of its ends.
+EDGE_NORMALS = {
+    "none": lambda out_source, in_target: F.lit(1.0),
+    "target_degree": lambda out_source, in_target: 1.0 / in_target,
+    "source_degree": lambda out_source, in_target: 1.0 / out_source,
+    "symmetric_degree": lambda out_source, in_target: 1.0 / F.sqrt(out_source.cast("double") * in_target),
+}
+
+
+def normalise_edges(edges: DataFrame, kind: str = "none", by: list[str] | None = None) -> DataFrame:
+    """edges with source_degree, target_degree (of edges in the same group `by`) and coefficient."""
+    by = by or []
+    n = lambda end: F.count(F.lit(1)).over(Window.partitionBy(end, *by))
+    e = edges.withColumn("source_degree", n("source")).withColumn("target_degree", n("target"))
+    return e.withColumn("coefficient", EDGE_NORMALS[kind](F.col("source_degree"), F.col("target_degree")))
+
+
+def attention(edges: DataFrame, logits: str, out: str, relation: str = "edge_type") -> DataFrame:
+    """A row per edge and head (0-based) of the array logits, with its softmax among edges of the same target, relation and head."""
+    heads = edges.select("*", F.posexplode(logits).alias("head", "__logit")).drop(logits)
+    return softmax(heads, "__logit", ["target", relation, "head"], out).drop("__logit")
+
+
+def pool_history(values: list[str], masks: list[str], kind: str, empty: float | None = None) -> Column:
+    """last_valid, masked_mean or masked_max over slots from the oldest to the newest; `empty` where no slot is valid."""
+    on = [F.coalesce(F.col(m).cast("boolean"), F.lit(False)) & F.col(v).isNotNull() for v, m in zip(values, masks, strict=True)]
+    shown = [F.when(o, F.col(v).cast("double")) for o, v in zip(on, values, strict=True)]
+    if kind == "last_valid":
+        found = F.coalesce(*reversed(shown))
+    elif kind == "masked_max":
+        found = F.array_max(F.array(*shown))
+    elif kind == "masked_mean":
+        found = F.aggregate(F.filter(F.array(*shown), lambda x: x.isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.try_divide(a["s"], F.nullif(a["n"], F.lit(0))))
+    else:
+        raise ValueError(f"unknown pooling {kind!r}")
+    return F.coalesce(found, F.lit(empty).cast("double"))
+
+
+# -- registries ---------------------------------------------------------------------------------
+
+#: Names of relations, in the order of their indices.
+RELATIONS = (
+    "identity_no_edge",
+    "random_placebo",
+    "centroid_knn",
+    "spatial_adjacency",
+    "administrative_membership",
+    "temporal_memory",
+    "historical_event_propagation",
+    "hydrological_exposure",
+    "flood_zone_exposure",
+    "low_elevation_exposure",
+    "heat_exposure",
+    "impervious_surface_exposure",
+    "canopy_protection",
+    "cooling_access",
+    "service_access",
+    "road_access",
+    "drainage_dependency",
+    "infrastructure_dependency",
+    "critical_facility_dependency",
+    "reporting_similarity",
+    "socioeconomic_similarity",
+    "cross_scale_parent",
+    "cross_scale_child",
+)
+#: Relations that are controls, not mechanisms.
+CONTROLS = ("identity_no_edge", "random_placebo", "centroid_knn")
+
+
+def relation_table(spark) -> DataFrame:
+    """relation_index (dense from 0), relation, is_control: the dimension that edges are checked against and encoded by."""
+    rows = ", ".join(f"({k}, '{name}', {str(name in CONTROLS).lower()})" for k, name in enumerate(RELATIONS))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(relation_index, relation, is_control)")
+
+
+def encode_relations(edges: DataFrame, relation: str = "relation") -> DataFrame:
+    """edges with relation_index; an unknown relation raises an error."""
+    known = F.create_map(*[F.lit(x) for k, name in enumerate(RELATIONS) for x in (name, k)])
+    found = F.element_at(known, F.col(relation))
+    unknown = F.raise_error(F.concat(F.lit("unknown relation "), F.coalesce(F.col(relation), F.lit("NULL")))).cast("int")
+    return edges.withColumn("relation_index", F.coalesce(found, unknown))
+
+
+def prior_matrix(priors: DataFrame, hazards: list[str], hazard: str = "hazard", relation: str = "relation", prior: str = "prior") -> DataFrame:
+    """A row per relation of the registry and a column per hazard; pairs that are not given are 0, repeated ones an error."""
+    checked = priors.groupBy(relation, hazard).agg(F.count(F.lit(1)).alias("n"), F.first(prior).alias("p"))
+    one = F.when(F.col("n") == 1, F.col("p")).otherwise(F.raise_error(F.lit("a prior is given twice")).cast("double"))
+    wide = checked.withColumn("p", one).groupBy(F.col(relation).alias("relation")).pivot(hazard, hazards).agg(F.first("p"))
+    return relation_table(priors.sparkSession).join(wide, "relation", "left").fillna(0.0, subset=hazards)

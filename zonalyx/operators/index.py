@@ -67,8 +67,9 @@ def normalise(df: DataFrame, columns: list[str], method: str = "minmax", params:
     if method == "none":
         return df
     if method == "percentile_rank":
+        rows = df.count()
         for c in columns:
-            df = percentile_rank(df, c, c + suffix)
+            df = percentile_rank(df, c, c + suffix, rows=rows)
         return df
     params = params or fit_normaliser(df, columns, method)
     for c in columns:
@@ -137,7 +138,8 @@ def standard_output(df: DataFrame, id_column: str, score: str, index_name: str,
     p = fit_normaliser(out, [score], "minmax")[score]
     flat = p["max"] is None or p["max"] - p["min"] <= TINY
     out = out.withColumn("__unit", F.when(F.col(score).isNotNull(), F.lit(0.0) if flat else (F.col(score) - p["min"]) / (p["max"] - p["min"])))
-    out = competition_rank(percentile_rank(out, score, "__pct"), score, "__rank")
+    rows = out.count()
+    out = competition_rank(percentile_rank(out, score, "__pct", rows=rows), score, "__rank", rows=rows)
     return out.select(F.col(id_column).cast("string").alias("zone_id"), F.lit(index_name).alias("index_name"), F.lit(run_id).alias("run_id"), F.col(score).cast("double").alias("score_raw"), F.col("__unit").alias("score_normalized_0_1"), F.lit(direction).alias("score_direction"), F.col("__rank").alias("rank"), F.col("__pct").alias("percentile"), F.col("__missing").cast("long").alias("missing_count"), F.col("__flag").alias("quality_flag"), F.lit(level).alias("reproduction_level"))
 
 
@@ -169,22 +171,23 @@ def rank_index(df: DataFrame, recipe: Recipe, high: float = 0.9) -> DataFrame:
     """
     if recipe.population:
         df = df.where(F.col(recipe.population) > 0)
+    rows = df.count()
     domains: dict[str, list[str]] = {}
     for v in recipe.variables:
-        df = percentile_rank(df, v.name, f"pr_{v.name}", ascending=v.direction != "negative")
+        df = percentile_rank(df, v.name, f"pr_{v.name}", ascending=v.direction != "negative", rows=rows)
         df = df.withColumn(f"flag_{v.name}", F.coalesce((F.col(f"pr_{v.name}") >= high).cast("int"), F.lit(0)))
         domains.setdefault(v.domain or "all", []).append(v.name)
     for d, names in domains.items():
         parts = [f"pr_{n}" for n in names]
         some = F.coalesce(*parts).isNotNull()
         df = df.withColumn(f"{d}_sum", F.when(some, F.round(combine(parts, "sum"), 12)))
-        df = percentile_rank(df, f"{d}_sum", f"{d}_pr")
+        df = percentile_rank(df, f"{d}_sum", f"{d}_pr", rows=rows)
     ranks = [f"{d}_pr" for d in domains]
     flags = F.lit(0)
     for v in recipe.variables:
         flags = flags + F.col(f"flag_{v.name}")
     df = df.withColumn("flags", flags).withColumn("total", F.when(F.coalesce(*ranks).isNotNull(), F.round(combine(ranks, "sum"), 12)))
-    return percentile_rank(df, "total", "score")
+    return percentile_rank(df, "total", "score", rows=rows)
 
 
 def covariance(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -197,37 +200,88 @@ def covariance(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarra
     return np.array([row[f"m{i}"] for i in range(p)], float), cov, row.n
 
 
+def retain(eigenvalues: np.ndarray, keep: int | float = 1.0) -> int:
+    """How many factors stay: those above keep if it is a float, as many as keep says if an int; none, or more than there are, is an error."""
+    k = keep if isinstance(keep, int) else int((np.asarray(eigenvalues) > keep).sum())
+    if not 0 < k <= len(eigenvalues):
+        raise ContractError(f"{k} factors of {len(eigenvalues)} variables")
+    return k
+
+
 def principal_factors(cov: np.ndarray, keep: int | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(loadings, eigenvalues): those above keep if it is a float, the first keep if an int; largest entry positive."""
+    """(loadings of the factors that retain() keeps, all eigenvalues); each factor's largest entry is positive."""
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)
     values, vectors = values[order], vectors[:, order]
-    k = keep if isinstance(keep, int) else int((values > keep).sum())
-    if not 0 < k <= len(values):
-        raise ContractError(f"{k} factors of {len(values)} variables")
+    k = retain(values, keep)
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(vectors.shape[1])])
     return vectors[:, :k] * np.sqrt(np.maximum(values[:k], 0)), values
 
 
-def varimax(loadings: np.ndarray, tolerance: float = 1e-6, most: int = 500) -> np.ndarray:
-    """Rotated loadings, rows scaled to length 1 while rotating."""
+@dataclass(frozen=True)
+class Rotation:
+    loadings: np.ndarray
+    turn: np.ndarray
+    rounds: int
+    converged: bool
+
+
+def rotate(loadings: np.ndarray, tolerance: float = 1e-6, most: int = 500) -> Rotation:
+    """Varimax, with rows scaled to length 1 while rotating: loadings, the orthogonal turn, and whether it settled."""
     p, k = loadings.shape
     if k < 2:
-        return loadings.copy()
+        return Rotation(loadings.copy(), np.eye(k), 0, True)
     length = np.sqrt((loadings**2).sum(1, keepdims=True))
     length[length < TINY] = 1.0
     a, turn, before = loadings / length, np.eye(k), 0.0
-    for _ in range(most):
+    for n in range(1, most + 1):
         b = a @ turn
         u, s, vt = np.linalg.svd(a.T @ (b**3 - b @ np.diag((b**2).sum(0)) / p))
         turn = u @ vt
         if s.sum() - before <= tolerance * max(1.0, s.sum()):
-            break
+            return Rotation((a @ turn) * length, turn, n, True)
         before = s.sum()
-    return (a @ turn) * length
+    return Rotation((a @ turn) * length, turn, most, False)
 
 
-def factor_index(df: DataFrame, recipe: Recipe, keep: int | float = 1.0, orientation: dict[int, str] | None = None) -> tuple[DataFrame, dict]:
+def varimax(loadings: np.ndarray, tolerance: float = 1e-6, most: int = 500) -> np.ndarray:
+    return rotate(loadings, tolerance, most).loadings
+
+
+METHODS = ("positive", "negative", "absolute", "none", "anchor")
+
+
+def orientation_of(given: dict, loadings: np.ndarray, used: list[str], unconfigured: str = "none") -> list[dict]:
+    """What is done with each factor: method, sign, configured, rationale, anchor.
+
+    given: factor number to a method, or to a mapping with method, anchor (a
+    variable whose loading is to be positive) and rationale. A factor that is not
+    given is an error, left as it is with a warning, or left as it is (none).
+    """
+    out = []
+    for k in range(loadings.shape[1]):
+        said = given.get(k + 1)
+        if said is None and unconfigured == "error":
+            raise ContractError(f"no orientation for factor_{k + 1}")
+        spec = {"method": "none", "rationale": "not configured"} if said is None else {"method": said} if isinstance(said, str) else dict(said)
+        method, anchor = spec.get("method", "none"), spec.get("anchor")
+        if method not in METHODS:
+            raise ContractError(f"unknown orientation {method!r} for factor_{k + 1}")
+        sign = -1.0 if method == "negative" else 1.0
+        if method == "anchor":
+            if anchor not in used:
+                raise ContractError(f"the anchor {anchor!r} of factor_{k + 1} is no variable in use")
+            sign = 1.0 if loadings[used.index(anchor), k] >= 0 else -1.0
+        out.append({"method": method, "sign": sign, "configured": said is not None, "rationale": spec.get("rationale"), "anchor": anchor, "warning": said is None and unconfigured == "warn"})
+    return out
+
+
+def score_weights(rotated: np.ndarray) -> np.ndarray:
+    """What each standardised variable counts in each rotated factor's score."""
+    return rotated @ np.linalg.pinv(rotated.T @ rotated)
+
+
+def factor_index(df: DataFrame, recipe: Recipe, keep: int | float = 1.0, orientation: dict | None = None, unconfigured: str = "none") -> tuple[DataFrame, dict]:
     """Impute, standardise, factors, varimax, scores, orient, sum: factor_<k>, score and band; and what was fitted."""
     names = [v.name for v in recipe.variables]
     df, filled = impute(df, names, recipe.missing, recipe.flags)
@@ -237,22 +291,34 @@ def factor_index(df: DataFrame, recipe: Recipe, keep: int | float = 1.0, orienta
     z = [f"{c}__z" for c in used]
     _, cov, n = covariance(df, z)
     loadings, values = principal_factors(cov, keep)
-    rotated = varimax(loadings)
-    weights = rotated @ np.linalg.pinv(rotated.T @ rotated)
+    rotation = rotate(loadings)
+    rotated, weights = rotation.loadings, score_weights(rotation.loadings)
+    turned = orientation_of(orientation or {}, rotated, used, unconfigured)
     total = F.lit(0.0)
     for k in range(weights.shape[1]):
         score = F.lit(0.0)
         for c, w in zip(z, weights[:, k], strict=True):
             score = score + F.col(c) * float(w)
-        how = (orientation or {}).get(k + 1, "positive")
-        score = {"positive": score, "none": score, "negative": -score, "absolute": F.abs(score)}[how]
+        score = F.abs(score) if turned[k]["method"] == "absolute" else score * turned[k]["sign"]
         df = df.withColumn(f"factor_{k + 1}", score)
         total = total + F.col(f"factor_{k + 1}")
     df = df.withColumn("score", total)
     s = fit_normaliser(df, ["score"], "zscore")["score"]
     band = F.lit(0.0) if (s["sd"] or 0) <= TINY else (F.col("score") - s["mean"]) / s["sd"]
-    top = {k + 1: used[int(np.abs(rotated[:, k]).argmax())] for k in range(rotated.shape[1])}
-    return df.withColumn("band", deviation_band(band)), {"loadings": rotated, "eigenvalues": values, "used": used, "dropped": [c for c in names if c not in used], "imputed": filled, "rows": n, "leading": top}
+    info = {"loadings": rotated, "unrotated": loadings, "eigenvalues": values, "used": used, "dropped": [c for c in names if c not in used], "imputed": filled, "rows": n, "orientation": turned, "rounds": rotation.rounds, "converged": rotation.converged}
+    return df.withColumn("band", deviation_band(band)), info
+
+
+def factor_summary(info: dict) -> list[dict]:
+    """A row per factor: eigenvalue and its share, the leading variables by size and by sign, and its orientation."""
+    values, out = np.asarray(info["eigenvalues"]), []
+    for k in range(info["loadings"].shape[1]):
+        x = info["loadings"][:, k]
+        said = lambda order: "; ".join(f"{info['used'][i]}:{x[i]:.4f}" for i in order)  # noqa: B023, E731
+        size, falling, rising = np.argsort(-np.abs(x), kind="stable"), np.argsort(-x, kind="stable"), np.argsort(x, kind="stable")
+        o = info["orientation"][k]
+        out.append({"factor": f"factor_{k + 1}", "eigenvalue": float(values[k]), "explained": float(values[k] / values.sum()), "leading": said(size[:5]), "leading_positive": said(falling[:3]), "leading_negative": said(rising[:3]), "orientation": o["method"], "rationale": o["rationale"], "configured": o["configured"]})
+    return out
 
 
 INDICES: dict[str, Callable] = {"additive": additive_index, "rank_based": rank_index, "factor_based": factor_index}

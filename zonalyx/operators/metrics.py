@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonalyx.operators.frames import lookup_side
+from zonalyx.operators.store import dense_id
+
 EPS = 1e-9
 
 
@@ -15,12 +18,18 @@ def finite_pairs(df: DataFrame, y: str = "observed", p: str = "predicted") -> Da
     return df.where(ok(y) & ok(p))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r; NULL where either side does not vary."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def regression(y: str = "observed", p: str = "predicted") -> list[Column]:
     """mae, rmse, bias, mape over positive y, Poisson deviance, r, n."""
     e = F.col(p) - F.col(y)
     mu = F.greatest(F.col(p).cast("double"), F.lit(EPS))
     dev = 2 * (mu - F.col(y) + F.when(F.col(y) > 0, F.col(y) * F.ln(F.col(y) / mu)).otherwise(0.0))
-    return [F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.avg(F.when(F.col(y) > 0, F.abs(e) / F.col(y))).alias("mape"), F.avg(dev).alias("poisson_deviance"), F.corr(F.col(y).cast("double"), F.col(p).cast("double")).alias("pearson"), F.count(F.lit(1)).alias("n")]
+    return [F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.avg(F.when(F.col(y) > 0, F.abs(e) / F.col(y))).alias("mape"), F.avg(dev).alias("poisson_deviance"), correlation(y, p).alias("pearson"), F.count(F.lit(1)).alias("n")]
 
 
 def negative_binomial_log_likelihood(df: DataFrame, y: str, mu: str, alpha: float) -> float | None:
@@ -42,15 +51,29 @@ def average_ranks(df: DataFrame, column: str, out: str, by: list[str]) -> DataFr
 
 def spearman(df: DataFrame, by: list[str], y: str = "observed", p: str = "predicted") -> DataFrame:
     r = average_ranks(average_ranks(finite_pairs(df, y, p), y, "__y", by), p, "__p", by)
-    return r.groupBy(*by).agg(F.corr("__y", "__p").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return r.groupBy(*by).agg(correlation("__y", "__p").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def kendall(df: DataFrame, by: list[str], key: str, y: str = "observed", p: str = "predicted") -> DataFrame:
-    """Tau-b inside each group, from the counts of ordered pairs; groups are areas, so pairs stay few."""
-    a = finite_pairs(df, y, p).select(*by, F.col(key).alias("k1"), F.col(y).alias("y1"), F.col(p).alias("p1"))
-    b = a.toDF(*by, "k2", "y2", "p2")
-    s = a.join(b, by).where("k1 < k2").select(*by, F.signum(F.col("y1") - F.col("y2")).alias("__sy"), F.signum(F.col("p1") - F.col("p2")).alias("__sp"))
-    g = s.groupBy(*by).agg(F.sum(F.col("__sy") * F.col("__sp")).alias("__c"), F.sum(F.abs("__sy")).alias("__ny"), F.sum(F.abs("__sp")).alias("__np"))
+    """Tau-b inside each group of two rows at least, without looking at pairs.
+
+    Two rows with different ranks of p differ first in one bit of them. So for each
+    bit, rows that agree in the bits above it are sorted by y, and those with the bit
+    count those without it before them (and the other way round): concordant and
+    discordant pairs, in n log n.
+    """
+    w = lambda c: Window.partitionBy(*by).orderBy(c)
+    r = finite_pairs(df, y, p).select(*by, y, p, F.dense_rank().over(w(y)).cast("long").alias("__y"), (F.dense_rank().over(w(p)) - 1).cast("long").alias("__p"))
+    # as many bits as the longest group needs
+    bits = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("__top") + 1.0)).cast("int") - 1, F.lit(0)))
+    b = r.withColumn("__top", F.max("__p").over(Window.partitionBy(*by))).withColumn("__b", F.explode(bits)).withColumn("__on", F.getbit("__p", F.col("__b")).cast("long"))
+    same = Window.partitionBy(*by, "__b", F.expr("shiftright(__p, __b + 1)")).orderBy("__y").rangeBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.when(F.col("__on") == 1, F.sum(1 - F.col("__on")).over(same)).otherwise(-F.sum("__on").over(same)), F.lit(0))
+    score = b.withColumn("__s", before).groupBy(*by).agg(F.sum("__s").cast("double").alias("__c"))
+    n = F.count(F.lit(1))
+    ties = lambda c, out: r.groupBy(*by, c).agg(n.alias("t")).groupBy(*by).agg((F.sum("t") * (F.sum("t") - 1) / 2 - F.sum(F.col("t") * (F.col("t") - 1) / 2)).alias(out))
+    some = r.groupBy(*by).agg(n.alias("__n")).where("__n > 1").drop("__n")
+    g = score.join(some, by).join(ties(y, "__ny"), by).join(ties(p, "__np"), by)
     return g.select(*by, F.try_divide(F.col("__c"), F.nullif(F.sqrt(F.col("__ny") * F.col("__np")), F.lit(0.0))).alias("kendall"))
 
 
@@ -120,11 +143,11 @@ def permutation_p(df: DataFrame, key: str, x: str, y: str, n: int = 200, seed: i
     pairs equal numbers; replicates are dealt over tasks.
     """
     rows = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    many = _draw(df.sparkSession, n).repartition("replicate").join(F.broadcast(rows))
+    many = _draw(df.sparkSession, n).repartition("replicate").crossJoin(lookup_side(rows))  # n copies of the rows, which is what is asked for
     a = many.select("replicate", "x", F.row_number().over(Window.partitionBy("replicate").orderBy("k")).alias("i"))
     b = many.select("replicate", "y", F.row_number().over(Window.partitionBy("replicate").orderBy(F.xxhash64("replicate", "k", F.lit(seed)), "k")).alias("i"))
-    null = a.join(b, ["replicate", "i"]).groupBy("replicate").agg(F.corr("x", "y").alias("r"))
-    seen = rows.agg(F.corr("x", "y").alias("observed"))
+    null = a.join(b, ["replicate", "i"]).groupBy("replicate").agg(correlation("x", "y").alias("r"))
+    seen = rows.agg(correlation("x", "y").alias("observed"))
     both = null.crossJoin(F.broadcast(seen))
     exceed = F.count_if(F.abs("r") >= F.abs("observed"))
     return both.agg(F.first("observed").alias("observed"), exceed.alias("exceed"), F.count(F.lit(1)).alias("permutations"), ((exceed + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
@@ -132,10 +155,75 @@ def permutation_p(df: DataFrame, key: str, x: str, y: str, n: int = 200, seed: i
 
 def bootstrap_mean(df: DataFrame, key: str, value: str, n: int = 200, seed: int = 42) -> DataFrame:
     """low, middle and high (2.5, 50, 97.5 percent) of the mean under n resamplings with replacement."""
-    rows = df.select(F.row_number().over(Window.partitionBy().orderBy(key)).alias("i"), F.col(value).cast("double").alias("v"))
+    rows = dense_id(df.select(key, F.col(value).cast("double").alias("v")), "i", key).select((F.col("i") + 1).alias("i"), "v")
     size = df.count()
     draws = _draw(df.sparkSession, n).repartition("replicate").withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(max(size, 1)))))
-    draws = draws.withColumn("i", (F.pmod(F.xxhash64("replicate", "d", F.lit(seed)), F.lit(max(size, 1))) + 1).cast("int"))
-    means = draws.join(F.broadcast(rows), "i").groupBy("replicate").agg(F.avg("v").alias("m"))
+    draws = draws.withColumn("i", (F.pmod(F.xxhash64("replicate", "d", F.lit(seed)), F.lit(max(size, 1))) + 1))
+    means = draws.join(lookup_side(rows), "i").groupBy("replicate").agg(F.avg("v").alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return means.agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"))
+
+
+# -- rankings of zones ----------------------------------------------------------------------------
+
+
+def ranking_scores(df: DataFrame, key: str, scorers: dict[str, str], seed: int = 42) -> DataFrame:
+    """A row per zone and scorer (scorer, score): named columns, and "random" by a hash of the key."""
+    given = [F.struct(F.lit(name).alias("scorer"), F.col(c).cast("double").alias("score")) for name, c in scorers.items()]
+    drawn = F.struct(F.lit("random").alias("scorer"), (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).alias("score"))
+    return df.withColumn("__s", F.explode(F.array(*given, drawn))).select("*", "__s.*").drop("__s")
+
+
+def ranking_evaluation(scored: DataFrame, key: str, targets: list[str], k: int = 10) -> DataFrame:
+    """scorer, target, n, spearman, kendall, overlap (of the k largest) and ndcg for each scorer and target.
+
+    NULL instead of a figure where fewer than three zones, or fewer than two distinct
+    values of either side, are there.
+    """
+    rows = [F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("observed")) for t in targets]
+    long = finite_pairs(scored.withColumn("__t", F.explode(F.array(*rows))).select(key, "scorer", F.col("score").alias("predicted"), "__t.*"))
+    by = ["scorer", "target"]
+    sizes = long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("observed").alias("__a"), F.count_distinct("predicted").alias("__b"))
+    out = sizes.join(spearman(long, by).drop("n"), by, "left").join(kendall(long, by, key), by, "left")
+    out = out.join(top_k(long, by, key, k=k).select(*by, "overlap"), by, "left").join(ndcg(long, by, key, k).select(*by, "ndcg"), by, "left")
+    enough = (F.col("n") >= 3) & (F.col("__a") >= 2) & (F.col("__b") >= 2)
+    return out.select(*by, "n", *[F.when(enough, F.col(c)).alias(c) for c in ("spearman", "kendall", "overlap", "ndcg")])
+
+
+def audit(df: DataFrame, reported: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """metric_name, reported, recomputed, difference, agrees: figures of one plan against those of sums made anew.
+
+    df has observed and predicted; reported has metric_name and metric_value.
+    """
+    d = finite_pairs(df).select(F.col("observed").cast("double").alias("y"), F.col("predicted").cast("double").alias("p"))
+    s = d.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(n) for n, c in {"sy": F.col("y"), "sp": F.col("p"), "syy": F.col("y") * F.col("y"), "spp": F.col("p") * F.col("p"), "syp": F.col("y") * F.col("p"), "ae": F.abs(F.col("p") - F.col("y"))}.items()])
+    n = F.col("n")
+    anew = {
+        "mae": F.col("ae") / n,
+        "rmse": F.sqrt((F.col("spp") - 2 * F.col("syp") + F.col("syy")) / n),
+        "bias": (F.col("sp") - F.col("sy")) / n,
+        "pearson": F.try_divide(n * F.col("syp") - F.col("sy") * F.col("sp"), F.nullif(F.sqrt(n * F.col("syy") - F.col("sy") * F.col("sy")) * F.sqrt(n * F.col("spp") - F.col("sp") * F.col("sp")), F.lit(0.0))),
+    }
+    long = s.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric_name"), v.alias("recomputed")) for k, v in anew.items()])).alias("m")).select("m.*")
+    gap = F.abs(F.col("metric_value") - F.col("recomputed"))
+    return reported.join(long, "metric_name").select("metric_name", F.col("metric_value").alias("reported"), "recomputed", gap.alias("difference"), (gap <= tolerance * F.greatest(F.abs("recomputed"), F.lit(1.0))).alias("agrees"))
+
+
+def permutation_importance(df: DataFrame, model, features: list[str], observed: str, key: str, seed: int = 42) -> DataFrame:
+    """feature, rise: how much the mean squared error of a fitted pipeline rises when the feature's values are dealt anew by a hash."""
+    def error(d: DataFrame) -> float:
+        return model.transform(d).agg(F.avg(F.pow(F.col("prediction") - F.col(observed), F.lit(2)))).first()[0] or 0.0
+
+    base, rows = error(df), []
+    for k, f in enumerate(features):
+        a = dense_id(df.drop(f), "__i", key)
+        b = dense_id(df.select(f, F.xxhash64(F.col(key), F.lit(seed + k)).alias("__h"), F.col(key).alias("__k")), "__i", "__h", "__k").select("__i", f)
+        rows.append((f, float(error(a.join(b, "__i")) - base)))
+    return df.sparkSession.createDataFrame(rows, "feature string, rise double")
+
+
+def partial_dependence(df: DataFrame, model, feature: str, grid: list[float]) -> DataFrame:
+    """value, mean, low and high (10 and 90 percent) of predictions with the feature set to each value of the grid."""
+    many = df.drop(feature).withColumn(feature, F.explode(F.array(*[F.lit(float(g)) for g in grid])))
+    q = F.percentile("prediction", F.array(F.lit(0.1), F.lit(0.9)))
+    return model.transform(many).groupBy(F.col(feature).alias("value")).agg(F.avg("prediction").alias("mean"), q[0].alias("low"), q[1].alias("high"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonalyx.operators.store import dense_id
+
 
 def temporal(period: Column, train_end: str, validation_end: str, test_end: str | None = None) -> Column:
     """By month (yyyy-MM), ends included; after test_end NULL."""
@@ -16,26 +18,44 @@ def random_rows(df: DataFrame, key: str, parts: tuple[float, float] = (0.70, 0.1
     """round(70 %) train, round(15 %) validation and the rest test, in the order of a hash of the key."""
     n = df.count()
     a, b = round(n * parts[0]), round(n * parts[1])
-    place = F.row_number().over(Window.partitionBy().orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return df.withColumn(out, F.when(place <= a, "train").when(place <= a + b, "validation").otherwise("test"))
+    placed = dense_id(df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), "__i", "__h", key)
+    return placed.withColumn(out, F.when(F.col("__i") < a, "train").when(F.col("__i") < a + b, "validation").otherwise("test")).drop("__h", "__i")
 
 
 def spatial_blocks(df: DataFrame, zone: str, x: str, y: str, bins: int = 5, parts: tuple[float, float] = (0.70, 0.15), seed: int = 42) -> DataFrame:
     """zone, block, split: whole blocks of a bins x bins quantile grid, in hashed order, until the parts are full."""
     z = df.select(zone, x, y).dropDuplicates([zone])
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    cell = lambda c: F.floor((F.row_number().over(Window.partitionBy().orderBy(c, zone)) - 1) * bins / n)
-    z = z.withColumn("block", (cell(x) * bins + cell(y)).cast("long"))
+    n = z.count()
+    for c, i in ((x, "__ix"), (y, "__iy")):
+        z = dense_id(z, i, c, zone)
+    cell = lambda i: F.floor(F.col(i) * bins / F.lit(max(n, 1)))
+    z = z.withColumn("block", (cell("__ix") * bins + cell("__iy")).cast("long"))
     sizes = z.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
+    # bins x bins blocks at most, so a window over all of them is small
     order = Window.partitionBy().orderBy(F.xxhash64("block", F.lit(seed)), "block")
     before = F.coalesce(F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / F.sum("m").over(Window.partitionBy())
     split = F.when(before < parts[0], "train").when(before < sum(parts), "validation").otherwise("test")
     return z.join(F.broadcast(sizes.withColumn("split", split).select("block", "split")), "block").select(zone, "block", "split")
 
 
-#: Marks of columns that tell the target or the future.
-FORBIDDEN = ("target", "future", "next_", "_complete", "observed", "predicted")
+#: Columns of the panel that may never be features.
+FORBIDDEN = (
+    "svi_score_raw",
+    "sovi_score_raw",
+    "sovi_rank",
+    "sovi_percentile",
+)
+#: Marks of names that tell the target or the future.
+MARKS = ("target", "future", "next_", "_complete", "observed", "predicted")
+
+
+def leaking_columns(columns: list[str], target: str, forbidden: tuple[str, ...] = (), marks: tuple[str, ...] = MARKS) -> list[str]:
+    """The target, columns that are forbidden, and those whose name has a mark."""
+    deny = {target.lower(), *(f.lower() for f in forbidden)}
+    return [c for c in columns if c.lower() in deny or any(m in c.lower() for m in marks)]
 
 
-def leaking_columns(columns: list[str], target: str) -> list[str]:
-    return [c for c in columns if c == target or any(m in c.lower() for m in FORBIDDEN)]
+def leaking_lineage(lineage: DataFrame, target: str, feature: str = "feature", source: str = "source", lag: str = "lag") -> DataFrame:
+    """feature, reason of rows of a lineage table that break the rules: a feature made from the target of its own month or a later one."""
+    bad = F.when((F.col(source) == target) & (F.coalesce(lag, F.lit(0)) < 1), F.concat(F.lit("uses "), F.lit(target), F.lit(" without a lag"))).when(F.col(lag) < 0, "looks ahead")
+    return lineage.withColumn("reason", bad).where("reason is not null").select(feature, "reason")

@@ -14,51 +14,116 @@ def _issues(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, ISSUE)
 
 
+NUMERIC = ("int", "bigint", "smallint", "tinyint", "float", "double")
+
+
+def is_numeric(kind: str) -> bool:
+    return kind in NUMERIC or kind.startswith("decimal")
+
+
 def feature_table(df: DataFrame, zone: str, variables: dict[str, str], required: set[str] | None = None, strategy: str = "error", high: float = 0.2) -> DataFrame:
-    """code, column, severity, n of a table with a row per zone. variables: name to number, proportion or percentage."""
+    """code, column, severity, n of a table with a row per zone.
+
+    variables: name to number, nonnegative, proportion or percentage (text for those
+    that need not be numbers). Values that fall outside their kind's range, or look
+    as if they were on the other scale, are warnings; structure is an error for
+    required variables. One pass over the table.
+    """
     spark, rows = df.sparkSession, []
-    rows += [("duplicate_columns", c, "error", n) for c, n in Counter(x.lower() for x in df.columns).items() if n > 1]
+    rows += [("duplicate_columns", c, "error", n) for c, n in Counter(df.columns).items() if n > 1]
     required = set(variables) if required is None else required
-    if zone not in df.columns:
-        return _issues(spark, [*rows, ("missing_spatial_id_column", zone, "error", 1)])
-    kinds = dict(df.dtypes)
-    numeric = ("int", "bigint", "smallint", "tinyint", "float", "double")
+    kinds, severe = dict(df.dtypes), (lambda v: "error" if v in required else "warning")
+    twice = {c for _, c, _, _ in rows}
     for v in variables:
         if v not in kinds:
-            rows.append(("missing_required_variable" if v in required else "missing_optional_variable", v, "error" if v in required else "warning", 1))
-        elif not kinds[v].startswith("decimal") and kinds[v] not in numeric:
-            rows.append(("nonnumeric_variable", v, "error", 1))
-    have = [v for v in variables if v in kinds and (kinds[v] in numeric or kinds[v].startswith("decimal"))]
-    stats = [F.count(F.lit(1)).alias("n"), F.count(zone).alias("ids"), F.count_distinct(zone).alias("distinct")]
+            rows.append(("missing_required_variable" if v in required else "missing_optional_variable", v, severe(v), 1))
+        elif variables[v] != "text" and not is_numeric(kinds[v]):
+            rows.append(("nonnumeric_variable", v, severe(v), 1))
+    have = [v for v in variables if v in kinds and v not in twice and (variables[v] == "text" or is_numeric(kinds[v]))]
+    stats = [F.count(F.lit(1)).alias("n")]
+    known = zone in kinds and zone not in twice
+    if known:
+        stats += [F.count(zone).alias("ids"), F.count_distinct(zone).alias("distinct")]
+    elif zone not in kinds:
+        rows.append(("missing_spatial_id_column", zone, "error", 1))
     for i, v in enumerate(have):
-        c = F.col(v)
-        stats += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}"), F.count_if(c < 0).alias(f"neg{i}"), F.count_if((c < 0) | (c > 1)).alias(f"out{i}"), F.count_if((c < 0) | (c > 100)).alias(f"pct{i}"), F.max(c).cast("double").alias(f"max{i}")]
+        c = F.col(f"`{v}`")
+        value = c.cast("double") if variables[v] != "text" else F.lit(None).cast("double")
+        stats += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}"), F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}")]
+        stats += [F.count_if(value < 0).alias(f"neg{i}"), F.count_if((value < 0) | (value > 1)).alias(f"out{i}"), F.count_if((value < 0) | (value > 100)).alias(f"pct{i}")]
     r = df.agg(*stats).first()
-    if r.n > r.ids:
+    if known and r.n > r.ids:
         rows.append(("missing_spatial_id_values", zone, "error", r.n - r.ids))
-    if r.ids > r.distinct:
+    if known and r.ids > r.distinct:
         rows.append(("duplicate_spatial_ids", zone, "error", r.ids - r.distinct))
     for i, v in enumerate(have):
-        absent = r.n - r[f"n{i}"]
+        absent, present, low, top = r.n - r[f"n{i}"], r[f"n{i}"], r[f"min{i}"], r[f"max{i}"]
         if absent:
             rows.append(("missing_values_detected", v, "error" if v in required and strategy == "error" else "warning", absent))
-        if r.n and absent / r.n >= high:
+        if absent and absent / r.n >= high:
             rows.append(("high_missingness", v, "warning", absent))
-        if r.n and not r[f"n{i}"]:
-            rows.append(("all_null_variable", v, "error", r.n))
-        elif r[f"d{i}"] == 1:
-            rows.append(("constant_column", v, "warning", r[f"n{i}"]))
-        if variables[v] != "number" and r[f"neg{i}"]:
-            rows.append(("negative_values", v, "error", r[f"neg{i}"]))
-        if variables[v] == "proportion" and r[f"out{i}"]:
-            rows.append(("proportion_out_of_range", v, "error", r[f"out{i}"]))
-        if variables[v] == "percentage" and r[f"pct{i}"]:
-            rows.append(("percentage_out_of_range", v, "error", r[f"pct{i}"]))
-        if variables[v] == "percentage" and r[f"max{i}"] is not None and r[f"max{i}"] <= 1:
-            rows.append(("suspicious_percentage_scale", v, "warning", r[f"n{i}"]))
+        if not present:
+            rows.append(("all_null_variable", v, severe(v), r.n))
+            continue
+        if r[f"d{i}"] <= 1:
+            rows.append(("constant_column", v, "warning", present))
+        if variables[v] in ("nonnegative", "proportion", "percentage") and low is not None and low < 0:
+            rows.append(("negative_values_for_nonnegative_variable", v, "warning", r[f"neg{i}"]))
+        if variables[v] == "proportion":
+            if r[f"out{i}"]:
+                rows.append(("proportion_out_of_range", v, "warning", r[f"out{i}"]))
+            if 1 < top <= 100:
+                rows.append(("suspicious_percentage_scale", v, "warning", present))
+        if variables[v] == "percentage":
+            if r[f"pct{i}"]:
+                rows.append(("percent_out_of_range", v, "warning", r[f"pct{i}"]))
+            if low >= 0 and top <= 1:
+                rows.append(("suspicious_proportion_scale", v, "warning", present))
     return _issues(spark, rows)
 
 
+def _partial(issues: DataFrame, label: str, partial: bool) -> DataFrame:
+    """Where an index may be partial, an absent variable is a warning under a code of its own."""
+    if not partial:
+        return issues
+    absent = F.col("code") == "missing_required_variable"
+    return issues.withColumn("severity", F.when(absent, "warning").otherwise(F.col("severity"))).withColumn("code", F.when(absent, f"missing_required_variable_partial_{label}").otherwise(F.col("code")))
+
+
+def rank_index_table(df: DataFrame, zone: str, variables: dict[str, str], population: str | None = None, groups: list[str] | None = None, partial: bool = False, expected: list[str] | None = None, **options) -> DataFrame:
+    """feature_table's issues, and those of a rank-based index: population, columns of comparison groups, completeness.
+
+    expected: the variables that a full index has; any that variables lacks is an error unless the index may be partial.
+    """
+    rows, kinds = [], dict(df.dtypes)
+    if population:
+        if population not in kinds:
+            rows.append(("missing_population_column", population, "error", 1))
+        elif not is_numeric(kinds[population]):
+            rows.append(("nonnumeric_population_column", population, "error", 1))
+        else:
+            n = df.where(F.col(population) <= 0).count()
+            if n:
+                rows.append(("nonpositive_population_units", population, "warning", n))
+    rows += [("missing_comparison_group_column", g, "error", 1) for g in groups or [] if g not in kinds]
+    rows += [("missing_expected_variable", v, "error", 1) for v in expected or [] if v not in variables and not partial]
+    return _partial(feature_table(df, zone, variables, **options), "svi_like", partial).unionByName(_issues(df.sparkSession, rows))
+
+
+def factor_index_table(df: DataFrame, zone: str, variables: dict[str, str], partial: bool = False, **options) -> DataFrame:
+    """feature_table's issues, and those of a factor-based index: enough rows and numeric variables, and more rows than variables."""
+    n, kinds = df.count(), dict(df.dtypes)
+    usable = sum(v in kinds and is_numeric(kinds[v]) for v in variables)
+    rows = []
+    if n < 2:
+        rows.append(("too_few_observations", "", "error", n))
+    if usable < 2:
+        rows.append(("too_few_usable_variables", "", "error", usable))
+    if n <= usable:
+        rows.append(("small_n_relative_to_variables", "", "warning", n))
+    return _partial(feature_table(df, zone, variables, **options), "sovi_like", partial).unionByName(_issues(df.sparkSession, rows))
+
+
 def panel(df: DataFrame, zone: str, period: str, target: str) -> DataFrame:
     """check, n (0 is fine): repeated keys, missing cells of the grid, negative and missing targets."""
     r = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(zone, period).alias("k"), F.count_distinct(zone).alias("z"), F.count_distinct(period).alias("p"), F.count_if(F.col(target) < 0).alias("neg"), F.count_if(F.col(target).isNull()).alias("nul"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonalyx.operators import aggregates as ag
+from zonalyx.operators import frames as fr
 from zonalyx.plans.base import PANEL, SPLIT, TRAIN_END, VALIDATION_END, ZONES, Register, panel, r6, table, zones
 from zonalyx.operators import splits as sp
 
@@ -164,10 +165,9 @@ def _(spark, d):
 @query("r080_residual_deciles", f"""WITH {PANEL}, r AS (SELECT y, y - 7.0 AS e, least(floor((row_number() OVER (ORDER BY y, zone_id, period_month) - 1) * 10.0 / count(*) OVER ()), 9) AS decile FROM panel)
     SELECT CAST(decile AS BIGINT) AS decile, count(*) AS n, round(avg(e), 6) AS mean, round(quantile_cont(e, 0.1), 6) AS q10, round(quantile_cont(e, 0.9), 6) AS q90 FROM r GROUP BY 1""")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    r = panel(spark, d).withColumn("e", F.col("y") - 7.0).withColumn("decile", F.least(F.floor((F.row_number().over(Window.partitionBy().orderBy("y", "zone_id", O)) - 1) * 10.0 / n), F.lit(9)).cast("long"))
+    p = panel(spark, d).withColumn("e", F.col("y") - 7.0)
+    n = p.count()
+    r = fr.dense_id(p, "i", "y", "zone_id", O).withColumn("decile", F.least(F.floor(F.col("i") * 10.0 / F.lit(n)), F.lit(9)).cast("long"))
     return r.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("e"), "mean"), r6(F.percentile("e", F.lit(0.1)), "q10"), r6(F.percentile("e", F.lit(0.9)), "q90"))
 
 

@@ -205,8 +205,7 @@ def _(spark, d):
 
 
 @query("r054_interval_join", """WITH b AS (SELECT user_id, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to, event_id AS period_id FROM events WHERE event_type = 'signup')
-    SELECT e.event_id, b.period_id FROM events e JOIN b ON e.user_id = b.user_id AND b.valid_from <= e.ts AND (b.valid_to IS NULL OR e.ts < b.valid_to) WHERE e.event_type = 'purchase'
-    UNION ALL SELECT e.event_id, NULL FROM events e WHERE e.event_type = 'purchase' AND e.user_id NOT IN (SELECT user_id FROM b)""")
+    SELECT e.event_id, b.period_id FROM events e LEFT JOIN b ON e.user_id = b.user_id AND b.valid_from <= e.ts AND (b.valid_to IS NULL OR e.ts < b.valid_to) WHERE e.event_type = 'purchase'""")
 def _(spark, d):
     from pyspark.sql import Window
 
@@ -216,6 +215,16 @@ def _(spark, d):
     return fr.interval_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), b, ["user_id"], "ts", "valid_from", "valid_to").select("event_id", "period_id")
 
 
+@query("r054_interval_join_bucketed", """WITH b AS (SELECT user_id, event_id AS period_id, ts AS valid_from, CASE WHEN event_id % 3 <> 0 THEN ts + INTERVAL 40 DAY END AS valid_to FROM events WHERE event_type = 'signup')
+    SELECT e.event_id, b.period_id FROM events e LEFT JOIN b ON e.user_id = b.user_id AND b.valid_from <= e.ts AND (b.valid_to IS NULL OR e.ts < b.valid_to) WHERE e.event_type = 'purchase'""")
+def _(spark, d):
+    """Intervals that overlap and leave gaps, met in buckets of 30 days."""
+    e = table(spark, d, "events")
+    until = F.when(F.col("event_id") % 3 != 0, F.col("ts") + F.expr("INTERVAL 40 DAY"))
+    b = e.where("event_type = 'signup'").select("user_id", F.col("ts").alias("valid_from"), until.alias("valid_to"), F.col("event_id").alias("period_id"))
+    return fr.interval_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), b, ["user_id"], "ts", "valid_from", "valid_to", bucket=30 * 86400.0).select("event_id", "period_id")
+
+
 @query("r113_union_by_name", "SELECT n_nationkey AS id, n_name AS name, NULL AS segment FROM nation UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def _(spark, d):
     a = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))

@@ -267,13 +267,13 @@ def _(spark, d):
     return g.regime(_edges(spark, d, n), "temporal").select("source", "target")
 
 
-@query("r166_weighted_neighbour_mean", f"WITH {_N} SELECT target AS node_id, edge_type, round(sum(greatest(edge_weight, 0) * y) / greatest(sum(greatest(edge_weight, 0)), 1.0), 6) AS y_near FROM edges JOIN n ON n.node_id = source GROUP BY 1, 2")
+@query("r166_weighted_neighbour_mean", f"WITH {_N} SELECT t.node_id, k.edge_type, round(coalesce(sum(greatest(edge_weight, 0) * s.y) / greatest(sum(greatest(edge_weight, 0)), 1.0), 0), 6) AS y_near FROM n t CROSS JOIN (VALUES ('knn'), ('lag_1')) k(edge_type) LEFT JOIN edges e ON e.target = t.node_id AND e.edge_type = k.edge_type LEFT JOIN n s ON s.node_id = e.source GROUP BY 1, 2")
 def _(spark, d):
     n = _nodes(spark, d)
     return g.neighbour_mean(_edges(spark, d, n), n.select("node_id", "y"), ["y"], by_type=True).withColumn("y_near", r6("y_near"))
 
 
-@query("r167_neighbour_mean", f"WITH {_N} SELECT target AS node_id, round(sum(y) / greatest(count(*), 1), 6) AS y_near FROM edges JOIN n ON n.node_id = source GROUP BY 1")
+@query("r167_neighbour_mean", f"WITH {_N} SELECT t.node_id, round(coalesce(sum(s.y), 0) / greatest(count(s.y), 1), 6) AS y_near FROM n t LEFT JOIN edges e ON e.target = t.node_id LEFT JOIN n s ON s.node_id = e.source GROUP BY 1")
 def _(spark, d):
     n = _nodes(spark, d)
     return g.neighbour_mean(_edges(spark, d, n), n.select("node_id", "y"), ["y"], weighted=False).withColumn("y_near", r6("y_near"))
@@ -285,7 +285,7 @@ def _(spark, d):
     return va.edges(_edges(spark, d, n), n)
 
 
-@query("r214_segments", "SELECT CAST(i AS BIGINT) AS segment, count(value) AS n, round(coalesce(sum(value), 0), 2) AS sum, round(coalesce(avg(value), 0), 6) AS mean, coalesce(max(value), 0) AS max, count(value) > 0 AS present FROM generate_series(0, 199) t(i) LEFT JOIN events ON user_id = i GROUP BY 1")
+@query("r214_segments", "SELECT CAST(i AS BIGINT) AS segment, count(value) AS n, round(coalesce(sum(value), 0), 2) AS sum, round(coalesce(avg(value), 0), 6) AS mean, coalesce(max(value), 0) AS max, count(value) > 0 AS present FROM (SELECT unnest(generate_series(0, greatest(199, (SELECT max(user_id) FROM events)))) AS i) LEFT JOIN events ON user_id = i GROUP BY 1")
 def _(spark, d):
     e = table(spark, d, "events")
     last = e.agg(F.max("user_id")).first()[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonalyx.functions import scalar as s
+from zonalyx.operators.spatial import point_in_polygon
 from zonalyx.plans.base import PANEL, Register, panel, r6, table
 
 query = Register()
@@ -88,12 +89,15 @@ def _(spark, d):
     return c.select("c_custkey", "cell", x.alias("x0"), y.alias("y0"))
 
 
-@query("r140_fold_text", "SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(left(text, 200)), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿœæ', 'aaaaaaceeeeiiiinooooouuuuyyoa'), '[‐-―−]', '-', 'g'), '[\\s ]+', ' ', 'g')) AS folded FROM documents WHERE lang IN ('fr', 'es')")
+_FOLDED = "SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿœæ', 'aaaaaaceeeeiiiinooooouuuuyyoa'), '[‐-―−]', '-', 'g'), '[\\s\u00a0]+', ' ', 'g')) AS folded FROM documents"
+
+
+@query("r140_fold_text", _FOLDED)
 def _(spark, d):
-    return table(spark, d, "documents").where(F.col("lang").isin("fr", "es")).select("doc_id", s.fold(F.left("text", F.lit(200))).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", s.fold(F.col("text")).alias("folded"))
 
 
-@query("r140_fold_text_whole", "SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿœæ', 'aaaaaaceeeeiiiinooooouuuuyyoa'), '[‐-―−]', '-', 'g'), '[\\s ]+', ' ', 'g')) AS folded FROM documents")
+@query("r140_fold_text_whole", _FOLDED)
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", s.fold(F.col("text")).alias("folded"))
 
@@ -205,14 +209,9 @@ def _(spark, d):
 
 @query("r040_point_in_polygon", "SELECT c_custkey, CAST(floor(c_acctbal / 1000) AS BIGINT) AS zone FROM customer")
 def _(spark, d):
-    # each polygon's bounds are cut into cells, and points meet the polygons of their cell only
-    ring = _cells(spark, d)
-    size = 1000.0
-    b = s.ring_bounds(F.col("ring"))
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
-    polygons = ring.select("cell", "ring", *b).withColumn("gx", span(F.col("min_x"), F.col("max_x"))).withColumn("gy", span(F.col("min_y"), F.col("max_y")))
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y")).withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size))
-    hit = c.join(polygons.drop("min_x", "min_y", "max_x", "max_y"), ["gx", "gy"]).where(s.in_ring(F.col("x"), F.col("y"), F.col("ring")))
+    squares = _cells(spark, d).select("cell", F.array("ring").alias("rings"))
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y"))
+    hit = point_in_polygon(c, squares, "c_custkey", "cell", size=1000.0)
     x0, _y0 = s.grid_corner(F.col("cell"))
     return hit.select("c_custkey", (x0 / 1000).cast("long").alias("zone"))
 

@@ -135,9 +135,8 @@ def _(spark, d):
 
 @query("r106_multi_key_sort", f"WITH {ZONES} SELECT zone_id, CAST(row_number() OVER (ORDER BY population DESC, balance ASC, zone_id) AS BIGINT) AS place FROM zones")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    return zones(spark, d).select("zone_id", F.row_number().over(Window.partitionBy().orderBy(F.desc("population"), F.asc("balance"), "zone_id")).cast("long").alias("place"))
+    placed = fr.dense_id(zones(spark, d), "i", F.desc("population"), F.asc("balance"), "zone_id")
+    return placed.select("zone_id", (F.col("i") + 1).alias("place"))
 
 
 @query("r107_top_share", "SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r, greatest(1, ceil(count(*) OVER (PARTITION BY c_nationkey) * 0.1)) AS k FROM customer) WHERE r <= k")
@@ -174,7 +173,7 @@ def _(spark, d):
     t = panel(spark, d).groupBy("zone_id").agg(F.sum("y").alias("y"))
     b = zones(spark, d).select("zone_id", "balance").join(t, "zone_id")
     b = w.competition_rank(w.competition_rank(b, "balance", "score_rank"), "y", "target_rank")
-    return b.select("zone_id", "score_rank", "target_rank", (w.position("balance", "zone_id") <= 10).alias("top_10"))
+    return w.overall_position(b, "balance", "zone_id", "place").select("zone_id", "score_rank", "target_rank", (F.col("place") <= 10).alias("top_10"))
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("q_windows", "q_frames", "q_aggregates", "q_scalar", "q_index", "q_metrics")
+MODULES: tuple[str, ...] = ("q_windows", "q_frames", "q_aggregates", "q_scalar", "q_index", "q_metrics", "q_spatial", "q_more", "q_sources")
 
 
 def _modules() -> list:
