@@ -1,67 +1,5 @@
-"""Tables kept between stages in the folder that the whole cluster shares.
+"""Tables kept between stages, as everywhere in the library."""
 
-A written table cuts the lineage: when an executor is lost, what was written is
-read again instead of computed again, and no state lives on one machine only.
-"""
+from zonalyx.operators.store import DEFAULT_DIR, discard, keep, new_path, release, shared_dir
 
-from __future__ import annotations
-
-import atexit
-import gc
-import uuid
-import weakref
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: Used where the session names no folder, as in local tests.
-DEFAULT_DIR = "/tmp/checkpoints"
-
-_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset DEFAULT_DIR, on one machine only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return (named or DEFAULT_DIR).rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/zonalyx/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that keep() returned and that nothing will read again."""
-    for table in tables:
-        path = _paths.pop(table, None)
-        if path is not None:
-            _delete(table.sparkSession, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what has been written; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session has ended already
-        return
+__all__ = ["DEFAULT_DIR", "discard", "keep", "new_path", "release", "shared_dir"]
