@@ -315,6 +315,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, st.daily_counts(e, "ts", "kind", "value").collect()))
 
 
+def test_windows_of_a_stream_equal_batch(spark, tmp_path):
+    from zonalyx.streaming import events as st
+
+    e = spark.sql("select timestamp'2024-01-30 00:00:00' + make_interval(0,0,0,0,id * (1 + id % 3)) as ts, concat('u', id % 4) as user from range(90)")
+    # the last row closes all windows before it
+    e = e.union(spark.sql("select timestamp'2025-01-01 00:00:00', 'late'"))
+    e.coalesce(1).write.parquet(str(tmp_path / "e"))
+    for name, f in {"months": lambda d: st.monthly_counts(d, "ts", "user"), "sliding": lambda d: st.sliding_counts(d, "ts"), "sessions": lambda d: st.sessions(d, "ts", "user")}.items():
+        mode = "complete" if name == "months" else "append"
+        q = f(st.read_stream(spark, str(tmp_path / "e"), e.schema)).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        want = f(e if name == "months" else e.where("user <> 'late'")).collect()
+        assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, want)), name
+
+
 def test_segments_refuse_ids_outside(spark):
     for bad in (-1, 3):
         d = spark.createDataFrame([(0, 1.0), (bad, 2.0)], "seg int, v double")

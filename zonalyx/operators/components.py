@@ -35,9 +35,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = keep(e.distinct(), "edges")
     before = None
-    for _ in range(MAX_ROUNDS):
+    for k in range(MAX_ROUNDS):
         e, last = keep(_star(_star(e, small=False), small=True), "edges"), e
         discard(last)
+        if k == 0:
+            continue
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
