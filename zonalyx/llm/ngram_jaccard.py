@@ -391,11 +391,11 @@ def _suffix_bound(p: str, q: str) -> Column:
     return sum((F.least(F.col(p)[k], F.col(q)[k]) for k in range(1, PIVOTS)), F.least(F.col(p)[0], F.col(q)[0]))
 
 
-def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose parts between the pivots may have enough in common."""
+def _with_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs with ok: whether lengths and the parts between the pivots let them have enough in common."""
     side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"{k}n"), F.col("parts").alias(f"{k}p"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(_lengths_fit("an", "bn", percent) & (_suffix_bound("ap", "bp") >= needed(F.col("an"), F.col("bn"), percent))).select("a", "b")
+    return both.select("a", "b", (_lengths_fit("an", "bn", percent) & (_suffix_bound("ap", "bp") >= needed(F.col("an"), F.col("bn"), percent))).alias("ok"))
 
 
 def _sets(size: int):
@@ -455,13 +455,14 @@ def _components_of(docs: DataFrame, first: DataFrame, size: int, percent: int, s
     links, labels, tried, step = None, None, None, 0
     while True:
         last, now = step >= star_rounds, _labelled(live, labels)
-        pairs = keep(_open_pairs(now, tried, classes, percent) if last else _star_pairs(now, tried, percent), "jaccard-pairs")
+        pairs = _open_pairs(now, tried, classes, percent).withColumn("ok", F.lit(True)) if last else _with_bound(_star_pairs(now, tried, percent), classes, percent)
+        pairs = keep(pairs, "jaccard-pairs")
         n_pairs, n_links = pairs.count(), 0
         if n_pairs:
-            passed = pairs if last else keep(_suffix_filter(pairs, classes, percent), "jaccard-pairs")
-            found = _verify(passed, docs, classes, size, percent)
+            found = _verify(pairs.where("ok").select("a", "b"), docs, classes, size, percent)
             n_links = found.count()
-            tried = pairs.toDF("x", "y") if tried is None else tried.union(pairs.toDF("x", "y"))
+            met = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+            tried = met if tried is None else tried.union(met)
         if n_links:
             links = found if links is None else links.union(found)
             labels = components(links)
