@@ -81,7 +81,12 @@ def month_of(ordinal: Column) -> Column:
 def period_fields(key: Column) -> list[Column]:
     """year, month, period_start and period_end of a yyyy-MM key."""
     first = F.to_date(F.concat(key, F.lit("-01")))
-    return [F.year(first).alias("year"), F.month(first).alias("month"), F.date_format(first, "yyyy-MM-dd").alias("period_start"), F.date_format(F.last_day(first), "yyyy-MM-dd").alias("period_end")]
+    return [
+        F.year(first).alias("year"),
+        F.month(first).alias("month"),
+        F.date_format(first, "yyyy-MM-dd").alias("period_start"),
+        F.date_format(F.last_day(first), "yyyy-MM-dd").alias("period_end"),
+    ]
 
 
 def hours_between(start: Column, end: Column) -> Column:
@@ -246,7 +251,10 @@ def ring_valid(ring: Column) -> Column:
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Whether a point is inside, by ray casting; of the boundary, lower and left edges count as inside."""
-    crosses = lambda p, q: F.when(((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]), 1.0).otherwise(0.0)
+    crosses = lambda p, q: F.when(
+        ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]),
+        1.0,
+    ).otherwise(0.0)
     return _cross(ring, crosses) % 2 == 1
 
 

@@ -12,7 +12,15 @@ from zonalyx.operators.store import dense_id, keep
 SINGLE_WINDOW_ROWS = 100_000
 
 
-def rank_over(df: DataFrame, value: str, out: str, by: list[str] | None = None, ascending: bool = True, method: str = "min", rows: int | None = None) -> DataFrame:
+def rank_over(
+    df: DataFrame,
+    value: str,
+    out: str,
+    by: list[str] | None = None,
+    ascending: bool = True,
+    method: str = "min",
+    rows: int | None = None,
+) -> DataFrame:
     """df with the rank (long) of value from 1, NULL for NULL; method min, max, average or dense.
 
     Inside groups (by) it is a window. A whole table longer than SINGLE_WINDOW_ROWS
@@ -55,7 +63,16 @@ def _values(df: DataFrame, value: str, by: list[str] | None, rows: int | None) -
     return F.lit(df.agg(F.count(value)).first()[0])
 
 
-def percentile_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, ascending: bool = True, method: str = "min", single: float = 0.0, rows: int | None = None) -> DataFrame:
+def percentile_rank(
+    df: DataFrame,
+    value: str,
+    out: str,
+    by: list[str] | None = None,
+    ascending: bool = True,
+    method: str = "min",
+    single: float = 0.0,
+    rows: int | None = None,
+) -> DataFrame:
     """(rank - 1) / (N - 1) with N the number of values that are not NULL; single if N is 1; NULL stays NULL.
 
     With rows at hand, ranks of a short table are columns only and start no job.

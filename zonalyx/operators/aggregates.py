@@ -89,12 +89,25 @@ def missingness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or df.columns
     one = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(c) for c in columns])
     flat = one.select("__n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("non_missing")) for c in columns])).alias("s"))
-    return flat.select("s.column", "s.non_missing", (F.col("__n") - F.col("s.non_missing")).alias("missing"), F.try_divide((F.col("__n") - F.col("s.non_missing")).cast("double"), F.col("__n")).alias("missing_share"))
+    return flat.select(
+        "s.column",
+        "s.non_missing",
+        (F.col("__n") - F.col("s.non_missing")).alias("missing"),
+        F.try_divide((F.col("__n") - F.col("s.non_missing")).cast("double"), F.col("__n")).alias("missing_share"),
+    )
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, non_missing, missing, min, max, mean, median; one pass."""
-    stats = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("non_missing"), (F.count(F.lit(1)) - F.count(c)).alias("missing"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.median(c).alias("median"))
+    stats = lambda c: F.struct(
+        F.lit(c).alias("column"),
+        F.count(c).alias("non_missing"),
+        (F.count(F.lit(1)) - F.count(c)).alias("missing"),
+        F.min(c).cast("double").alias("min"),
+        F.max(c).cast("double").alias("max"),
+        F.avg(c).alias("mean"),
+        F.median(c).alias("median"),
+    )
     one = df.agg(*[stats(c).alias(c) for c in columns])
     return one.select(F.explode(F.array(*columns)).alias("s")).select("s.*")
 
@@ -114,7 +127,14 @@ def hierarchical_means(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def burden(df: DataFrame, zone: str, period: str, y: str, score: str, population: str) -> DataFrame:
     """Per zone: total, mean, positive months, months, score, rate per 1000 and ranks of the three."""
-    g = df.groupBy(zone).agg(F.sum(y).alias("total"), F.avg(y).alias("mean"), F.count_if(F.col(y) > 0).alias("positive"), F.count_distinct(period).alias("months"), F.first(score, ignorenulls=True).alias("score"), F.max(population).alias("population"))
+    g = df.groupBy(zone).agg(
+        F.sum(y).alias("total"),
+        F.avg(y).alias("mean"),
+        F.count_if(F.col(y) > 0).alias("positive"),
+        F.count_distinct(period).alias("months"),
+        F.first(score, ignorenulls=True).alias("score"),
+        F.max(population).alias("population"),
+    )
     g = g.withColumn("rate", F.when(F.col("population") > 0, F.col("total") / F.col("population") * 1000.0))
     for c in ("total", "mean", "rate"):
         g = competition_rank(g, c, f"{c}_rank")
@@ -125,6 +145,18 @@ def winners(df: DataFrame, by: list[str], name: str, value: str, higher_is_bette
     """Best and second of each group, direction-aware, with absolute and relative margin."""
     key = F.when(F.col(higher_is_better), -F.col(value)).otherwise(F.col(value))
     w = Window.partitionBy(*by).orderBy(key.asc_nulls_last(), name)
-    r = df.withColumn("__n", F.row_number().over(w)).withColumn("second", F.lead(name).over(w)).withColumn("second_value", F.lead(value).over(w)).withColumn("compared", F.count(value).over(Window.partitionBy(*by)))
+    r = df.withColumn("__n", F.row_number().over(w)).withColumn("second", F.lead(name).over(w)).withColumn("second_value", F.lead(value).over(w)).withColumn(
+        "compared",
+        F.count(value).over(Window.partitionBy(*by)),
+    )
     margin = F.abs(F.col(value) - F.col("second_value"))
-    return r.where("__n = 1").select(*by, F.col(name).alias("best"), F.col(value).alias("best_value"), "second", "second_value", margin.alias("margin"), F.try_divide(margin, F.nullif(F.abs("second_value"), F.lit(0.0))).alias("relative_margin"), "compared")
+    return r.where("__n = 1").select(
+        *by,
+        F.col(name).alias("best"),
+        F.col(value).alias("best_value"),
+        "second",
+        "second_value",
+        margin.alias("margin"),
+        F.try_divide(margin, F.nullif(F.abs("second_value"), F.lit(0.0))).alias("relative_margin"),
+        "compared",
+    )

@@ -130,7 +130,15 @@ def outer_audit(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return a.join(b, keys, "full_outer").select(*keys, side.alias("side"))
 
 
-def complete_grid(df: DataFrame, zone: str, period: str, zones: DataFrame | None = None, start: str | None = None, end: str | None = None, zeros: list[str] | None = None) -> DataFrame:
+def complete_grid(
+    df: DataFrame,
+    zone: str,
+    period: str,
+    zones: DataFrame | None = None,
+    start: str | None = None,
+    end: str | None = None,
+    zeros: list[str] | None = None,
+) -> DataFrame:
     """Every zone in every month (yyyy-MM): those from start to end, or those the table has; zeros are filled with 0."""
     zones = (zones if zones is not None else df).select(zone).distinct()
     if start and end:
@@ -238,7 +246,17 @@ def nearest(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     counts = gridded.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > k)
     own = gridded.join(counts, ["level", "cx", "cy"]).groupBy("id").agg(F.max(F.struct("level", "x", "y", "cx", "cy")).alias("g")).select("id", "g.*")
     step = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    asked = keep(own.withColumn("dx", step).withColumn("dy", step).select("id", "x", "y", "level", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy")), "nearest")
+    asked = keep(
+        own.withColumn("dx", step).withColumn("dy", step).select(
+            "id",
+            "x",
+            "y",
+            "level",
+            (F.col("cx") + F.col("dx")).alias("cx"),
+            (F.col("cy") + F.col("dy")).alias("cy"),
+        ),
+        "nearest",
+    )
     salt = F.pmod(F.xxhash64("id"), F.lit(64))
     first = lambda *by: F.row_number().over(Window.partitionBy("x", "y", *by).orderBy("id")) <= k + 1
     some = flat.withColumn("salt", salt).withColumn("ok", first("salt")).where("ok").withColumn("ok", first()).where("ok").drop("salt", "ok")

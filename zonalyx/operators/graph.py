@@ -11,7 +11,15 @@ from zonalyx.operators.store import discard, keep
 
 #: What an edge type is.
 KINDS = {"lag_1": "temporal", "lag_12": "temporal", "knn": "spatial", "adjacency": "spatial", "placebo": "placebo"}
-REGIMES = {"none": (), "temporal": ("temporal",), "spatial": ("spatial",), "spatial_temporal": ("spatial", "temporal"), "placebo": ("placebo",), "temporal_placebo": ("temporal", "placebo"), "all": ("spatial", "temporal", "placebo")}
+REGIMES = {
+    "none": (),
+    "temporal": ("temporal",),
+    "spatial": ("spatial",),
+    "spatial_temporal": ("spatial", "temporal"),
+    "placebo": ("placebo",),
+    "temporal_placebo": ("temporal", "placebo"),
+    "all": ("spatial", "temporal", "placebo"),
+}
 
 
 def nodes(panel: DataFrame, zone: str, ordinal: str) -> DataFrame:
@@ -30,7 +38,12 @@ def month_edges(pairs: DataFrame, node_table: DataFrame, zone: str, ordinal: str
     """Zone pairs (source, target, edge_weight) in every month that has both ends."""
     a = node_table.select(F.col("node_id").alias("s"), F.col(zone).alias("source"), ordinal)
     b = node_table.select(F.col("node_id").alias("t"), F.col(zone).alias("target"), ordinal)
-    return pairs.join(a, "source").join(b, ["target", ordinal]).select(F.col("s").alias("source"), F.col("t").alias("target"), F.lit(edge_type).alias("edge_type"), "edge_weight")
+    return pairs.join(a, "source").join(b, ["target", ordinal]).select(
+        F.col("s").alias("source"),
+        F.col("t").alias("target"),
+        F.lit(edge_type).alias("edge_type"),
+        "edge_weight",
+    )
 
 
 def placebo_edges(edges: DataFrame, node_table: DataFrame, ordinal: str, seed: int = 42) -> DataFrame:
@@ -59,7 +72,10 @@ def annotate(edges: DataFrame, node_table: DataFrame, split: str) -> DataFrame:
     """source_split, target_split (NULL is missing) and crosses_split, train_train, touches_test."""
     of = lambda end: node_table.select(F.col("node_id").alias(end), F.coalesce(split, F.lit("missing")).alias(f"{end}_split"))
     e = edges.join(of("source"), "source", "left").join(of("target"), "target", "left").fillna("missing", subset=["source_split", "target_split"])
-    return e.withColumn("crosses_split", F.col("source_split") != F.col("target_split")).withColumn("train_train", (F.col("source_split") == "train") & (F.col("target_split") == "train")).withColumn("touches_test", (F.col("source_split") == "test") | (F.col("target_split") == "test"))
+    return e.withColumn("crosses_split", F.col("source_split") != F.col("target_split")).withColumn("train_train", (F.col("source_split") == "train") & (F.col("target_split") == "train")).withColumn(
+        "touches_test",
+        (F.col("source_split") == "test") | (F.col("target_split") == "test"),
+    )
 
 
 def regime(edges: DataFrame, name: str) -> DataFrame:
@@ -101,15 +117,37 @@ def rewire(pairs: DataFrame, seed: int = 42, rounds: int = 5) -> DataFrame:
     for k in range(rounds):
         hashed = e.withColumn("h", F.xxhash64("u", "v", F.lit(seed), F.lit(k)))
         numbered = dense_id(hashed, "i", "h", "u", "v").withColumn("pair", F.floor(F.col("i") / 2))
-        two = numbered.groupBy("pair").agg(F.min(F.struct("i", "u", "v", "h")).alias("p"), F.max(F.struct("i", "u", "v", "h")).alias("q"), F.count(F.lit(1)).alias("n")).where("n = 2")
+        two = numbered.groupBy("pair").agg(
+            F.min(F.struct("i", "u", "v", "h")).alias("p"),
+            F.max(F.struct("i", "u", "v", "h")).alias("q"),
+            F.count(F.lit(1)).alias("n"),
+        ).where("n = 2")
         turn = F.col("p.h") % 2 == 0
         c, d = F.when(turn, F.col("q.u")).otherwise(F.col("q.v")), F.when(turn, F.col("q.v")).otherwise(F.col("q.u"))
-        made = two.select("pair", "p", "q", F.explode(F.array(F.struct(F.col("p.u").alias("a"), d.alias("b")), F.struct(c.alias("a"), F.col("p.v").alias("b")))).alias("m"))
-        made = keep(made.select("pair", F.col("p.u").alias("pu"), F.col("p.v").alias("pv"), F.col("q.u").alias("qu"), F.col("q.v").alias("qv"), F.least("m.a", "m.b").alias("u"), F.greatest("m.a", "m.b").alias("v")), "rewire")
+        made = two.select(
+            "pair",
+            "p",
+            "q",
+            F.explode(F.array(F.struct(F.col("p.u").alias("a"), d.alias("b")), F.struct(c.alias("a"), F.col("p.v").alias("b")))).alias("m"),
+        )
+        made = keep(
+            made.select(
+                "pair",
+                F.col("p.u").alias("pu"),
+                F.col("p.v").alias("pv"),
+                F.col("q.u").alias("qu"),
+                F.col("q.v").alias("qv"),
+                F.least("m.a", "m.b").alias("u"),
+                F.greatest("m.a", "m.b").alias("v"),
+            ),
+            "rewire",
+        )
         clash = made.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or u = v").select("u", "v").unionByName(e.select("u", "v"))
         bad = made.join(clash.distinct(), ["u", "v"]).select("pair").distinct()
         good = made.join(bad, "pair", "left_anti")
-        gone = good.select(F.explode(F.array(F.struct(F.col("pu").alias("u"), F.col("pv").alias("v")), F.struct(F.col("qu").alias("u"), F.col("qv").alias("v")))).alias("g")).select("g.*").distinct()
+        gone = good.select(
+            F.explode(F.array(F.struct(F.col("pu").alias("u"), F.col("pv").alias("v")), F.struct(F.col("qu").alias("u"), F.col("qv").alias("v")))).alias("g")
+        ).select("g.*").distinct()
         new = keep(e.join(gone, ["u", "v"], "left_anti").unionByName(good.select("u", "v")), "rewire")
         discard(e, made)
         e = new
@@ -144,7 +182,11 @@ def leakage_audit(edges: DataFrame, node_table: DataFrame, ordinal: str, split:
     of = lambda end: node_table.select(F.col("node_id").alias(end), F.col(ordinal).alias(f"{end}_m"), F.col(split).alias(f"{end}_s"))
     e = edges.join(of("source"), "source").join(of("target"), "target")
     spatial = F.col("edge_type").isin([t for t, k in KINDS.items() if k == "spatial"])
-    checks = {"future_to_past": F.col("source_m") > F.col("target_m"), "spatial_across_months": spatial & (F.col("source_m") != F.col("target_m")), "test_into_train": (F.col("source_s") == "test") & (F.col("target_s") == "train")}
+    checks = {
+        "future_to_past": F.col("source_m") > F.col("target_m"),
+        "spatial_across_months": spatial & (F.col("source_m") != F.col("target_m")),
+        "test_into_train": (F.col("source_s") == "test") & (F.col("target_s") == "train"),
+    }
     one = e.agg(*[F.count_if(c).alias(n) for n, c in checks.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in checks])).alias("c")).select("c.*")
 
@@ -155,8 +197,15 @@ def leakage_audit(edges: DataFrame, node_table: DataFrame, ordinal: str, split:
 def segments(df: DataFrame, seg: str, value: str, n: int) -> DataFrame:
     """segment, n, present, sum, mean, max for 0 .. n - 1; absent ones are 0. Other ids raise an error; a null id is in no segment."""
     id_ = F.col(seg).cast("long")
-    inside = F.when(id_.between(0, n - 1) | id_.isNull(), id_).otherwise(F.raise_error(F.concat(F.lit("segment "), id_.cast("string"), F.lit(f" is outside 0 .. {n - 1}"))).cast("long"))
-    g = df.groupBy(inside.alias("segment")).agg(F.count(value).alias("n"), F.sum(value).cast("double").alias("sum"), F.avg(value).alias("mean"), F.max(value).cast("double").alias("max"))
+    inside = F.when(id_.between(0, n - 1) | id_.isNull(), id_).otherwise(
+        F.raise_error(F.concat(F.lit("segment "), id_.cast("string"), F.lit(f" is outside 0 .. {n - 1}"))).cast("long")
+    )
+    g = df.groupBy(inside.alias("segment")).agg(
+        F.count(value).alias("n"),
+        F.sum(value).cast("double").alias("sum"),
+        F.avg(value).alias("mean"),
+        F.max(value).cast("double").alias("max"),
+    )
     every = df.sparkSession.range(n).withColumnRenamed("id", "segment")
     return every.join(g, "segment", "left").fillna(0).withColumn("present", F.col("n") > 0)
 
@@ -231,7 +280,12 @@ def pool_history(values: list[str], masks: list[str], kind: str, empty: float |
     elif kind == "masked_max":
         found = F.array_max(F.array(*shown))
     elif kind == "masked_mean":
-        found = F.aggregate(F.filter(F.array(*shown), lambda x: x.isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.try_divide(a["s"], F.nullif(a["n"], F.lit(0))))
+        found = F.aggregate(
+            F.filter(F.array(*shown), lambda x: x.isNotNull()),
+            F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+            lambda a, x: F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")),
+            lambda a: F.try_divide(a["s"], F.nullif(a["n"], F.lit(0))),
+        )
     else:
         raise ValueError(f"unknown pooling {kind!r}")
     return F.coalesce(found, F.lit(empty).cast("double"))

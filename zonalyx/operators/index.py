@@ -47,7 +47,11 @@ class Recipe:
         """From what a YAML or JSON recipe holds; unknown keys are kept in extra."""
         known = {"name", "id_column", "normalise", "aggregate", "missing", "flags", "classes", "population"}
         variables = tuple(Variable(name, **{k: v for k, v in (spec or {}).items() if k in ("direction", "weight", "domain", "kind")}) for name, spec in given["variables"].items())
-        return Recipe(variables=variables, extra={k: v for k, v in given.items() if k not in known | {"variables"}}, **{k: v for k, v in given.items() if k in known})
+        return Recipe(
+            variables=variables,
+            extra={k: v for k, v in given.items() if k not in known | {"variables"}},
+            **{k: v for k, v in given.items() if k in known},
+        )
 
 
 # -- one variable -------------------------------------------------------------------------------
@@ -57,12 +61,27 @@ def fit_normaliser(df: DataFrame, columns: list[str], method: str) -> dict[str,
     """What normalise needs to know of each column, by one pass."""
     parts = []
     for c in columns:
-        parts.append(F.struct(F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), F.sqrt(F.sum(F.col(c).cast("double") * F.col(c))).alias("norm")).alias(c))
+        parts.append(
+            F.struct(
+                F.min(c).cast("double").alias("min"),
+                F.max(c).cast("double").alias("max"),
+                F.avg(c).alias("mean"),
+                F.stddev_pop(c).alias("sd"),
+                F.sqrt(F.sum(F.col(c).cast("double") * F.col(c))).alias("norm"),
+            ).alias(c)
+        )
     row = df.agg(*parts).first()
     return {c: row[c].asDict() for c in columns}
 
 
-def normalise(df: DataFrame, columns: list[str], method: str = "minmax", params: dict | None = None, constant: float | None = 0.0, suffix: str = "") -> DataFrame:
+def normalise(
+    df: DataFrame,
+    columns: list[str],
+    method: str = "minmax",
+    params: dict | None = None,
+    constant: float | None = 0.0,
+    suffix: str = "",
+) -> DataFrame:
     """Columns by method; a constant column becomes `constant`. params: those of an earlier fit."""
     if method == "none":
         return df
@@ -74,7 +93,11 @@ def normalise(df: DataFrame, columns: list[str], method: str = "minmax", params:
     params = params or fit_normaliser(df, columns, method)
     for c in columns:
         p = params[c]
-        shift, scale = {"minmax": (p["min"], None if p["max"] is None else p["max"] - p["min"]), "zscore": (p["mean"], p["sd"]), "vector": (0.0, p["norm"])}[method]
+        shift, scale = {
+            "minmax": (p["min"], None if p["max"] is None else p["max"] - p["min"]),
+            "zscore": (p["mean"], p["sd"]),
+            "vector": (0.0, p["norm"]),
+        }[method]
         flat = scale is None or scale <= TINY
         value = F.lit(constant).cast("double") if flat else (F.col(c).cast("double") - shift) / scale
         df = df.withColumn(c + suffix, F.when(F.col(c).isNotNull(), value))
@@ -132,7 +155,17 @@ def combine(columns: list[str], how: str, weights: list[float | None] | None = N
 # -- standard output ----------------------------------------------------------------------------
 
 
-def standard_output(df: DataFrame, id_column: str, score: str, index_name: str, missing: Column | None = None, flag: Column | None = None, run_id: str = "run", level: str = "full", direction: str = "higher_is_worse") -> DataFrame:
+def standard_output(
+    df: DataFrame,
+    id_column: str,
+    score: str,
+    index_name: str,
+    missing: Column | None = None,
+    flag: Column | None = None,
+    run_id: str = "run",
+    level: str = "full",
+    direction: str = "higher_is_worse",
+) -> DataFrame:
     """The fixed columns of every index's result."""
     out = df.withColumn("__missing", missing if missing is not None else F.lit(0)).withColumn("__flag", flag if flag is not None else F.lit("ok"))
     p = fit_normaliser(out, [score], "minmax")[score]
@@ -140,7 +173,19 @@ def standard_output(df: DataFrame, id_column: str, score: str, index_name: str,
     out = out.withColumn("__unit", F.when(F.col(score).isNotNull(), F.lit(0.0) if flat else (F.col(score) - p["min"]) / (p["max"] - p["min"])))
     rows = out.count()
     out = competition_rank(percentile_rank(out, score, "__pct", rows=rows), score, "__rank", rows=rows)
-    return out.select(F.col(id_column).cast("string").alias("zone_id"), F.lit(index_name).alias("index_name"), F.lit(run_id).alias("run_id"), F.col(score).cast("double").alias("score_raw"), F.col("__unit").alias("score_normalized_0_1"), F.lit(direction).alias("score_direction"), F.col("__rank").alias("rank"), F.col("__pct").alias("percentile"), F.col("__missing").cast("long").alias("missing_count"), F.col("__flag").alias("quality_flag"), F.lit(level).alias("reproduction_level"))
+    return out.select(
+        F.col(id_column).cast("string").alias("zone_id"),
+        F.lit(index_name).alias("index_name"),
+        F.lit(run_id).alias("run_id"),
+        F.col(score).cast("double").alias("score_raw"),
+        F.col("__unit").alias("score_normalized_0_1"),
+        F.lit(direction).alias("score_direction"),
+        F.col("__rank").alias("rank"),
+        F.col("__pct").alias("percentile"),
+        F.col("__missing").cast("long").alias("missing_count"),
+        F.col("__flag").alias("quality_flag"),
+        F.lit(level).alias("reproduction_level"),
+    )
 
 
 def explain(output: DataFrame, zone: str) -> dict:
@@ -272,7 +317,16 @@ def orientation_of(given: dict, loadings: np.ndarray, used: list[str], unconfigu
             if anchor not in used:
                 raise ContractError(f"the anchor {anchor!r} of factor_{k + 1} is no variable in use")
             sign = 1.0 if loadings[used.index(anchor), k] >= 0 else -1.0
-        out.append({"method": method, "sign": sign, "configured": said is not None, "rationale": spec.get("rationale"), "anchor": anchor, "warning": said is None and unconfigured == "warn"})
+        out.append(
+            {
+                "method": method,
+                "sign": sign,
+                "configured": said is not None,
+                "rationale": spec.get("rationale"),
+                "anchor": anchor,
+                "warning": said is None and unconfigured == "warn",
+            }
+        )
     return out
 
 
@@ -305,7 +359,18 @@ def factor_index(df: DataFrame, recipe: Recipe, keep: int | float = 1.0, orienta
     df = df.withColumn("score", total)
     s = fit_normaliser(df, ["score"], "zscore")["score"]
     band = F.lit(0.0) if (s["sd"] or 0) <= TINY else (F.col("score") - s["mean"]) / s["sd"]
-    info = {"loadings": rotated, "unrotated": loadings, "eigenvalues": values, "used": used, "dropped": [c for c in names if c not in used], "imputed": filled, "rows": n, "orientation": turned, "rounds": rotation.rounds, "converged": rotation.converged}
+    info = {
+        "loadings": rotated,
+        "unrotated": loadings,
+        "eigenvalues": values,
+        "used": used,
+        "dropped": [c for c in names if c not in used],
+        "imputed": filled,
+        "rows": n,
+        "orientation": turned,
+        "rounds": rotation.rounds,
+        "converged": rotation.converged,
+    }
     return df.withColumn("band", deviation_band(band)), info
 
 
@@ -317,7 +382,19 @@ def factor_summary(info: dict) -> list[dict]:
         said = lambda order: "; ".join(f"{info['used'][i]}:{x[i]:.4f}" for i in order)  # noqa: B023, E731
         size, falling, rising = np.argsort(-np.abs(x), kind="stable"), np.argsort(-x, kind="stable"), np.argsort(x, kind="stable")
         o = info["orientation"][k]
-        out.append({"factor": f"factor_{k + 1}", "eigenvalue": float(values[k]), "explained": float(values[k] / values.sum()), "leading": said(size[:5]), "leading_positive": said(falling[:3]), "leading_negative": said(rising[:3]), "orientation": o["method"], "rationale": o["rationale"], "configured": o["configured"]})
+        out.append(
+            {
+                "factor": f"factor_{k + 1}",
+                "eigenvalue": float(values[k]),
+                "explained": float(values[k] / values.sum()),
+                "leading": said(size[:5]),
+                "leading_positive": said(falling[:3]),
+                "leading_negative": said(rising[:3]),
+                "orientation": o["method"],
+                "rationale": o["rationale"],
+                "configured": o["configured"],
+            }
+        )
     return out
 
 

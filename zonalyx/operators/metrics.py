@@ -29,13 +29,24 @@ def regression(y: str = "observed", p: str = "predicted") -> list[Column]:
     e = F.col(p) - F.col(y)
     mu = F.greatest(F.col(p).cast("double"), F.lit(EPS))
     dev = 2 * (mu - F.col(y) + F.when(F.col(y) > 0, F.col(y) * F.ln(F.col(y) / mu)).otherwise(0.0))
-    return [F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.avg(F.when(F.col(y) > 0, F.abs(e) / F.col(y))).alias("mape"), F.avg(dev).alias("poisson_deviance"), correlation(y, p).alias("pearson"), F.count(F.lit(1)).alias("n")]
+    return [
+        F.avg(F.abs(e)).alias("mae"),
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.avg(e).alias("bias"),
+        F.avg(F.when(F.col(y) > 0, F.abs(e) / F.col(y))).alias("mape"),
+        F.avg(dev).alias("poisson_deviance"),
+        correlation(y, p).alias("pearson"),
+        F.count(F.lit(1)).alias("n"),
+    ]
 
 
 def negative_binomial_log_likelihood(df: DataFrame, y: str, mu: str, alpha: float) -> float | None:
     """Sum of NB2 log likelihoods; the counts' ln(gamma) terms come from a table of the distinct counts."""
     r = 1 / alpha
-    rows = df.groupBy(F.col(y).alias("k")).agg(F.sum(-r * F.ln(1 + alpha * F.col(mu)) + F.col(y) * (F.ln(alpha * F.col(mu)) - F.ln(1 + alpha * F.col(mu)))).alias("s"), F.count(F.lit(1)).alias("n"))
+    rows = df.groupBy(F.col(y).alias("k")).agg(
+        F.sum(-r * F.ln(1 + alpha * F.col(mu)) + F.col(y) * (F.ln(alpha * F.col(mu)) - F.ln(1 + alpha * F.col(mu)))).alias("s"),
+        F.count(F.lit(1)).alias("n"),
+    )
     total = None
     for row in rows.toLocalIterator():
         k = float(row.k)
@@ -66,12 +77,17 @@ def kendall(df: DataFrame, by: list[str], key: str, y: str = "observed", p: str
     r = finite_pairs(df, y, p).select(*by, y, p, F.dense_rank().over(w(y)).cast("long").alias("__y"), (F.dense_rank().over(w(p)) - 1).cast("long").alias("__p"))
     # as many bits as the longest group needs
     bits = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("__top") + 1.0)).cast("int") - 1, F.lit(0)))
-    b = r.withColumn("__top", F.max("__p").over(Window.partitionBy(*by))).withColumn("__b", F.explode(bits)).withColumn("__on", F.getbit("__p", F.col("__b")).cast("long"))
+    b = r.withColumn("__top", F.max("__p").over(Window.partitionBy(*by))).withColumn("__b", F.explode(bits)).withColumn(
+        "__on",
+        F.getbit("__p", F.col("__b")).cast("long"),
+    )
     same = Window.partitionBy(*by, "__b", F.expr("shiftright(__p, __b + 1)")).orderBy("__y").rangeBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.when(F.col("__on") == 1, F.sum(1 - F.col("__on")).over(same)).otherwise(-F.sum("__on").over(same)), F.lit(0))
     score = b.withColumn("__s", before).groupBy(*by).agg(F.sum("__s").cast("double").alias("__c"))
     n = F.count(F.lit(1))
-    ties = lambda c, out: r.groupBy(*by, c).agg(n.alias("t")).groupBy(*by).agg((F.sum("t") * (F.sum("t") - 1) / 2 - F.sum(F.col("t") * (F.col("t") - 1) / 2)).alias(out))
+    ties = lambda c, out: r.groupBy(*by, c).agg(n.alias("t")).groupBy(*by).agg(
+        (F.sum("t") * (F.sum("t") - 1) / 2 - F.sum(F.col("t") * (F.col("t") - 1) / 2)).alias(out)
+    )
     some = r.groupBy(*by).agg(n.alias("__n")).where("__n > 1").drop("__n")
     g = score.join(some, by).join(ties(y, "__ny"), by).join(ties(p, "__np"), by)
     return g.select(*by, F.try_divide(F.col("__c"), F.nullif(F.sqrt(F.col("__ny") * F.col("__np")), F.lit(0.0))).alias("kendall"))
@@ -85,8 +101,21 @@ def top_k(df: DataFrame, by: list[str], key: str, k: int | None = None, share: f
     limit = F.least(F.lit(k), n) if k else F.greatest(F.lit(1), F.ceil(n * share))
     r = d.withColumn("__ry", place(y)).withColumn("__rp", place(p)).withColumn("__k", limit)
     hit = (F.col("__ry") <= F.col("__k")) & (F.col("__rp") <= F.col("__k"))
-    g = r.groupBy(*by).agg(F.max("__k").cast("long").alias("k"), F.count_if(hit).alias("hits"), F.count_if((F.col("__rp") <= F.col("__k")) & (F.col(y) > 0)).alias("relevant_hits"), F.count_if(F.col(y) > 0).alias("relevant"))
-    return g.select(*by, "k", "hits", (F.col("hits") / F.col("k")).alias("overlap"), (F.col("relevant_hits") / F.col("k")).alias("precision"), F.try_divide(F.col("relevant_hits").cast("double"), F.nullif(F.col("relevant"), F.lit(0))).alias("recall"), (F.col("hits") / (2 * F.col("k") - F.col("hits"))).alias("jaccard"))
+    g = r.groupBy(*by).agg(
+        F.max("__k").cast("long").alias("k"),
+        F.count_if(hit).alias("hits"),
+        F.count_if((F.col("__rp") <= F.col("__k")) & (F.col(y) > 0)).alias("relevant_hits"),
+        F.count_if(F.col(y) > 0).alias("relevant"),
+    )
+    return g.select(
+        *by,
+        "k",
+        "hits",
+        (F.col("hits") / F.col("k")).alias("overlap"),
+        (F.col("relevant_hits") / F.col("k")).alias("precision"),
+        F.try_divide(F.col("relevant_hits").cast("double"), F.nullif(F.col("relevant"), F.lit(0))).alias("recall"),
+        (F.col("hits") / (2 * F.col("k") - F.col("hits"))).alias("jaccard"),
+    )
 
 
 def ndcg(df: DataFrame, by: list[str], key: str, k: int, y: str = "observed", p: str = "predicted") -> DataFrame:
@@ -105,7 +134,10 @@ def auroc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     r = average_ranks(df, score, "__r", by)
     pos = F.col(label) > 0
     g = r.groupBy(*by).agg(F.sum(F.when(pos, F.col("__r"))).alias("__s"), F.count_if(pos).alias("__a"), F.count_if(~pos).alias("__b"))
-    return g.select(*by, F.when((F.col("__a") > 0) & (F.col("__b") > 0), (F.col("__s") - F.col("__a") * (F.col("__a") + 1) / 2) / (F.col("__a") * F.col("__b"))).alias("auroc"))
+    return g.select(
+        *by,
+        F.when((F.col("__a") > 0) & (F.col("__b") > 0), (F.col("__s") - F.col("__a") * (F.col("__a") + 1) / 2) / (F.col("__a") * F.col("__b"))).alias("auroc"),
+    )
 
 
 def average_precision(df: DataFrame, by: list[str], key: str, label: str, score: str) -> DataFrame:
@@ -119,16 +151,44 @@ def classification(label: str, score: str, threshold: float = 0.5) -> list[Colum
     y, p = F.col(label) > 0, F.col(score) >= threshold
     tp, fp, fn, tn = F.count_if(y & p), F.count_if(~y & p), F.count_if(y & ~p), F.count_if(~y & ~p)
     rate = lambda a, b: F.try_divide(a.cast("double"), F.nullif(b, F.lit(0)))
-    return [tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"), rate(2 * tp, 2 * tp + fp + fn).alias("f1"), ((rate(tp, tp + fn) + rate(tn, tn + fp)) / 2).alias("balanced_accuracy"), F.avg(F.pow(F.col(score) - y.cast("double"), F.lit(2))).alias("brier")]
+    return [
+        tp.alias("tp"),
+        fp.alias("fp"),
+        fn.alias("fn"),
+        tn.alias("tn"),
+        rate(tp, tp + fp).alias("precision"),
+        rate(tp, tp + fn).alias("recall"),
+        rate(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        ((rate(tp, tp + fn) + rate(tn, tn + fp)) / 2).alias("balanced_accuracy"),
+        F.avg(F.pow(F.col(score) - y.cast("double"), F.lit(2))).alias("brier"),
+    ]
 
 
 #: Whether larger is better.
-DIRECTION = {"mae": False, "rmse": False, "bias": False, "mape": False, "poisson_deviance": False, "pearson": True, "spearman": True, "ndcg": True, "auroc": True}
+DIRECTION = {
+    "mae": False,
+    "rmse": False,
+    "bias": False,
+    "mape": False,
+    "poisson_deviance": False,
+    "pearson": True,
+    "spearman": True,
+    "ndcg": True,
+    "auroc": True,
+}
 
 
 def long_metrics(wide: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     """metric_name, metric_value, higher_is_better and the group, from a row per group."""
-    rows = F.array(*[F.struct(F.lit(m).alias("metric_name"), F.col(m).cast("double").alias("metric_value"), F.lit(DIRECTION.get(m, False)).alias("higher_is_better")) for m in names])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(m).alias("metric_name"),
+                F.col(m).cast("double").alias("metric_value"),
+                F.lit(DIRECTION.get(m, False)).alias("higher_is_better"),
+            ) for m in names
+        ]
+    )
     return wide.select(*by, F.explode(rows).alias("m")).select(*by, "m.*")
 
 
@@ -150,7 +210,12 @@ def permutation_p(df: DataFrame, key: str, x: str, y: str, n: int = 200, seed: i
     seen = rows.agg(correlation("x", "y").alias("observed"))
     both = null.crossJoin(F.broadcast(seen))
     exceed = F.count_if(F.abs("r") >= F.abs("observed"))
-    return both.agg(F.first("observed").alias("observed"), exceed.alias("exceed"), F.count(F.lit(1)).alias("permutations"), ((exceed + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    return both.agg(
+        F.first("observed").alias("observed"),
+        exceed.alias("exceed"),
+        F.count(F.lit(1)).alias("permutations"),
+        ((exceed + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"),
+    )
 
 
 def bootstrap_mean(df: DataFrame, key: str, value: str, n: int = 200, seed: int = 42) -> DataFrame:
@@ -202,11 +267,20 @@ def audit(df: DataFrame, reported: DataFrame, tolerance: float = 1e-9) -> DataFr
         "mae": F.col("ae") / n,
         "rmse": F.sqrt((F.col("spp") - 2 * F.col("syp") + F.col("syy")) / n),
         "bias": (F.col("sp") - F.col("sy")) / n,
-        "pearson": F.try_divide(n * F.col("syp") - F.col("sy") * F.col("sp"), F.nullif(F.sqrt(n * F.col("syy") - F.col("sy") * F.col("sy")) * F.sqrt(n * F.col("spp") - F.col("sp") * F.col("sp")), F.lit(0.0))),
+        "pearson": F.try_divide(
+            n * F.col("syp") - F.col("sy") * F.col("sp"),
+            F.nullif(F.sqrt(n * F.col("syy") - F.col("sy") * F.col("sy")) * F.sqrt(n * F.col("spp") - F.col("sp") * F.col("sp")), F.lit(0.0)),
+        ),
     }
     long = s.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric_name"), v.alias("recomputed")) for k, v in anew.items()])).alias("m")).select("m.*")
     gap = F.abs(F.col("metric_value") - F.col("recomputed"))
-    return reported.join(long, "metric_name").select("metric_name", F.col("metric_value").alias("reported"), "recomputed", gap.alias("difference"), (gap <= tolerance * F.greatest(F.abs("recomputed"), F.lit(1.0))).alias("agrees"))
+    return reported.join(long, "metric_name").select(
+        "metric_name",
+        F.col("metric_value").alias("reported"),
+        "recomputed",
+        gap.alias("difference"),
+        (gap <= tolerance * F.greatest(F.abs("recomputed"), F.lit(1.0))).alias("agrees"),
+    )
 
 
 def permutation_importance(df: DataFrame, model, features: list[str], observed: str, key: str, seed: int = 42) -> DataFrame:

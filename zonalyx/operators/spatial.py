@@ -64,7 +64,9 @@ def edges_meet(a: Column, b: Column) -> Column:
     """Whether two edges have a point in common, ends included."""
     a0, a1, b0, b1 = _side(b, a["x0"], a["y0"]), _side(b, a["x1"], a["y1"]), _side(a, b["x0"], b["y0"]), _side(a, b["x1"], b["y1"])
     cross = (a0 * a1 < 0) & (b0 * b1 < 0)
-    touch = ((a0 == 0) & _in_box(b, a["x0"], a["y0"])) | ((a1 == 0) & _in_box(b, a["x1"], a["y1"])) | ((b0 == 0) & _in_box(a, b["x0"], b["y0"])) | ((b1 == 0) & _in_box(a, b["x1"], b["y1"]))
+    touch = ((a0 == 0) & _in_box(b, a["x0"], a["y0"])) | ((a1 == 0) & _in_box(b, a["x1"], a["y1"])) | ((b0 == 0) & _in_box(a, b["x0"], b["y0"])) | (
+        (b1 == 0) & _in_box(a, b["x1"], b["y1"])
+    )
     return cross | touch
 
 
@@ -164,7 +166,12 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, key: str, zone: str
     edge = on_boundary(F.col("__x"), F.col("__y"), F.col("rings"))
     met = p.join(z, ["gx", "gy"]).select(key, "__zone", edge.alias("__edge"), inside(F.col("__x"), F.col("__y"), F.col("rings")).alias("__in"))
     met = met.where("__edge or __in")
-    g = met.groupBy(key).agg(F.min(F.when(~F.col("__edge"), F.col("__zone"))).alias("__a"), F.count_if(~F.col("__edge")).alias("__n"), F.min(F.when(F.col("__edge"), F.col("__zone"))).alias("__b"), F.count_if("__edge").alias("__m"))
+    g = met.groupBy(key).agg(
+        F.min(F.when(~F.col("__edge"), F.col("__zone"))).alias("__a"),
+        F.count_if(~F.col("__edge")).alias("__n"),
+        F.min(F.when(F.col("__edge"), F.col("__zone"))).alias("__b"),
+        F.count_if("__edge").alias("__m"),
+    )
     out = points.join(g, key, "left")
     method = F.when(F.col("__n") > 0, WITHIN).when(F.col("__m") > 0, FALLBACK).otherwise(UNMATCHED)
     n = F.coalesce(F.when(F.col("__n") > 0, F.col("__n")).otherwise(F.col("__m")), F.lit(0))
@@ -190,7 +197,10 @@ def assignment_summary(assigned: DataFrame, zone: str, units: str | None = None)
 
 def _candidates(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """(a_id, a_rings, b_id, b_rings) whose bounds meet, each pair once: in the first cell that both reach."""
-    box = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "rings")], *[c.alias(f"{p}_{n}") for c, n in zip(bounds(F.col("rings")), ("x0", "y0", "x1", "y1"), strict=True)])
+    box = lambda df, p: df.select(
+        *[F.col(c).alias(f"{p}_{c}") for c in ("id", "rings")],
+        *[c.alias(f"{p}_{n}") for c, n in zip(bounds(F.col("rings")), ("x0", "y0", "x1", "y1"), strict=True)],
+    )
 
     def cells(df: DataFrame, p: str) -> DataFrame:
         spread = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
@@ -198,7 +208,12 @@ def _candidates(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
 
     low = lambda c: F.floor(F.greatest(f"a_{c}", f"b_{c}") / size)
     meet = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
-    return cells(a, "a").join(cells(b, "b"), ["gx", "gy"]).where(meet & (F.col("gx") == low("x0")) & (F.col("gy") == low("y0"))).select("a_id", "a_rings", "b_id", "b_rings")
+    return cells(a, "a").join(cells(b, "b"), ["gx", "gy"]).where(meet & (F.col("gx") == low("x0")) & (F.col("gy") == low("y0"))).select(
+        "a_id",
+        "a_rings",
+        "b_id",
+        "b_rings",
+    )
 
 
 def _named(df: DataFrame, key: str) -> DataFrame:
@@ -288,12 +303,25 @@ def overlay(sources: DataFrame, targets: DataFrame, source: str, target: str, si
 
     def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.DataFrame({"s": part.a_id, "t": part.b_id, "overlap": [overlap_area(p, q) for p, q in zip(part.a_rings, part.b_rings, strict=True)], "area": [overlap_area(p, p) for p in part.a_rings]})
+            yield pd.DataFrame(
+                {
+                    "s": part.a_id,
+                    "t": part.b_id,
+                    "overlap": [overlap_area(p, q) for p, q in zip(part.a_rings, part.b_rings, strict=True)],
+                    "area": [overlap_area(p, p) for p in part.a_rings],
+                }
+            )
 
     kinds = dict(a.dtypes)["id"], dict(b.dtypes)["id"]
     got = met.mapInPandas(areas, f"s {kinds[0]}, t {kinds[1]}, overlap double, area double").where(F.col("overlap") > TOLERANCE * F.col("area"))
     of_target = F.sum("overlap").over(Window.partitionBy("t"))
-    return got.select(F.col("s").alias(source), F.col("t").alias(target), "overlap", (F.col("overlap") / of_target).alias("share_of_target"), (F.col("overlap") / F.col("area")).alias("share_of_source"))
+    return got.select(
+        F.col("s").alias(source),
+        F.col("t").alias(target),
+        "overlap",
+        (F.col("overlap") / of_target).alias("share_of_target"),
+        (F.col("overlap") / F.col("area")).alias("share_of_source"),
+    )
 
 
 def pairwise_distances(points: DataFrame, key: str, x: str = "x", y: str = "y", most: int = 5_000) -> DataFrame:
@@ -301,7 +329,11 @@ def pairwise_distances(points: DataFrame, key: str, x: str = "x", y: str = "y",
     small = points.select(key, x, y).limit(most + 1)
     if small.count() > most:
         raise ContractError(f"distances of all pairs of more than {most} points; use nearest")
-    a, b = points.select(F.col(key).alias("source"), F.col(x).alias("ax"), F.col(y).alias("ay")), points.select(F.col(key).alias("target"), F.col(x).alias("bx"), F.col(y).alias("by"))
+    a, b = points.select(F.col(key).alias("source"), F.col(x).alias("ax"), F.col(y).alias("ay")), points.select(
+        F.col(key).alias("target"),
+        F.col(x).alias("bx"),
+        F.col(y).alias("by"),
+    )
     return a.crossJoin(F.broadcast(b)).select("source", "target", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("distance"))
 
 
@@ -320,7 +352,9 @@ def lambert_conic(lon: Column, lat: Column, p: dict = STATCAN_LAMBERT) -> tuple[
     a, f = GRS80
     e = math.sqrt(f * (2 - f))
     m = lambda d: math.cos(math.radians(d)) / math.sqrt(1 - (e * math.sin(math.radians(d))) ** 2)
-    t = lambda d: math.tan(math.pi / 4 - math.radians(d) / 2) / ((1 - e * math.sin(math.radians(d))) / (1 + e * math.sin(math.radians(d)))) ** (e / 2)
+    t = lambda d: math.tan(math.pi / 4 - math.radians(d) / 2) / (
+        (1 - e * math.sin(math.radians(d))) / (1 + e * math.sin(math.radians(d)))
+    ) ** (e / 2)
     n = math.log(m(p["lat1"]) / m(p["lat2"])) / math.log(t(p["lat1"]) / t(p["lat2"]))
     scale = a * m(p["lat1"]) / (n * t(p["lat1"]) ** n)
     rho0 = scale * t(p["lat0"]) ** n

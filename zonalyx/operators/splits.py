@@ -57,5 +57,8 @@ def leaking_columns(columns: list[str], target: str, forbidden: tuple[str, ...]
 
 def leaking_lineage(lineage: DataFrame, target: str, feature: str = "feature", source: str = "source", lag: str = "lag") -> DataFrame:
     """feature, reason of rows of a lineage table that break the rules: a feature made from the target of its own month or a later one."""
-    bad = F.when((F.col(source) == target) & (F.coalesce(lag, F.lit(0)) < 1), F.concat(F.lit("uses "), F.lit(target), F.lit(" without a lag"))).when(F.col(lag) < 0, "looks ahead")
+    bad = F.when((F.col(source) == target) & (F.coalesce(lag, F.lit(0)) < 1), F.concat(F.lit("uses "), F.lit(target), F.lit(" without a lag"))).when(
+        F.col(lag) < 0,
+        "looks ahead",
+    )
     return lineage.withColumn("reason", bad).where("reason is not null").select(feature, "reason")

@@ -21,7 +21,14 @@ def is_numeric(kind: str) -> bool:
     return kind in NUMERIC or kind.startswith("decimal")
 
 
-def feature_table(df: DataFrame, zone: str, variables: dict[str, str], required: set[str] | None = None, strategy: str = "error", high: float = 0.2) -> DataFrame:
+def feature_table(
+    df: DataFrame,
+    zone: str,
+    variables: dict[str, str],
+    required: set[str] | None = None,
+    strategy: str = "error",
+    high: float = 0.2,
+) -> DataFrame:
     """code, column, severity, n of a table with a row per zone.
 
     variables: name to number, nonnegative, proportion or percentage (text for those
@@ -50,7 +57,11 @@ def feature_table(df: DataFrame, zone: str, variables: dict[str, str], required:
         c = F.col(f"`{v}`")
         value = c.cast("double") if variables[v] != "text" else F.lit(None).cast("double")
         stats += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}"), F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}")]
-        stats += [F.count_if(value < 0).alias(f"neg{i}"), F.count_if((value < 0) | (value > 1)).alias(f"out{i}"), F.count_if((value < 0) | (value > 100)).alias(f"pct{i}")]
+        stats += [
+            F.count_if(value < 0).alias(f"neg{i}"),
+            F.count_if((value < 0) | (value > 1)).alias(f"out{i}"),
+            F.count_if((value < 0) | (value > 100)).alias(f"pct{i}"),
+        ]
     r = df.agg(*stats).first()
     if known and r.n > r.ids:
         rows.append(("missing_spatial_id_values", zone, "error", r.n - r.ids))
@@ -87,10 +98,22 @@ def _partial(issues: DataFrame, label: str, partial: bool) -> DataFrame:
     if not partial:
         return issues
     absent = F.col("code") == "missing_required_variable"
-    return issues.withColumn("severity", F.when(absent, "warning").otherwise(F.col("severity"))).withColumn("code", F.when(absent, f"missing_required_variable_partial_{label}").otherwise(F.col("code")))
-
-
-def rank_index_table(df: DataFrame, zone: str, variables: dict[str, str], population: str | None = None, groups: list[str] | None = None, partial: bool = False, expected: list[str] | None = None, **options) -> DataFrame:
+    return issues.withColumn("severity", F.when(absent, "warning").otherwise(F.col("severity"))).withColumn(
+        "code",
+        F.when(absent, f"missing_required_variable_partial_{label}").otherwise(F.col("code")),
+    )
+
+
+def rank_index_table(
+    df: DataFrame,
+    zone: str,
+    variables: dict[str, str],
+    population: str | None = None,
+    groups: list[str] | None = None,
+    partial: bool = False,
+    expected: list[str] | None = None,
+    **options,
+) -> DataFrame:
     """feature_table's issues, and those of a rank-based index: population, columns of comparison groups, completeness.
 
     expected: the variables that a full index has; any that variables lacks is an error unless the index may be partial.
@@ -126,14 +149,30 @@ def factor_index_table(df: DataFrame, zone: str, variables: dict[str, str], part
 
 def panel(df: DataFrame, zone: str, period: str, target: str) -> DataFrame:
     """check, n (0 is fine): repeated keys, missing cells of the grid, negative and missing targets."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(zone, period).alias("k"), F.count_distinct(zone).alias("z"), F.count_distinct(period).alias("p"), F.count_if(F.col(target) < 0).alias("neg"), F.count_if(F.col(target).isNull()).alias("nul"))
-    checks = {"repeated_keys": F.col("n") - F.col("k"), "missing_cells": F.col("z") * F.col("p") - F.col("k"), "negative_target": F.col("neg"), "missing_target": F.col("nul")}
+    r = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct(zone, period).alias("k"),
+        F.count_distinct(zone).alias("z"),
+        F.count_distinct(period).alias("p"),
+        F.count_if(F.col(target) < 0).alias("neg"),
+        F.count_if(F.col(target).isNull()).alias("nul"),
+    )
+    checks = {
+        "repeated_keys": F.col("n") - F.col("k"),
+        "missing_cells": F.col("z") * F.col("p") - F.col("k"),
+        "negative_target": F.col("neg"),
+        "missing_target": F.col("nul"),
+    }
     return r.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), x.cast("long").alias("n")) for c, x in checks.items()])).alias("c")).select("c.*")
 
 
 def splits(df: DataFrame, zone: str, period: str, split: str, constant_in_zone: bool = False) -> DataFrame:
     """check, n: repeated keys, missing split, absent parts, zones in more than one part."""
-    parts = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(zone, period).alias("k"), F.count_if(F.col(split).isNull()).alias("nul"), F.size(F.collect_set(split)).alias("s")).select((F.col("n") - F.col("k")).alias("repeated_keys"), F.col("nul").alias("missing_split"), (3 - F.col("s")).cast("long").alias("absent_parts"))
+    parts = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(zone, period).alias("k"), F.count_if(F.col(split).isNull()).alias("nul"), F.size(F.collect_set(split)).alias("s")).select(
+        (F.col("n") - F.col("k")).alias("repeated_keys"),
+        F.col("nul").alias("missing_split"),
+        (3 - F.col("s")).cast("long").alias("absent_parts"),
+    )
     mixed = df.groupBy(zone).agg(F.count_distinct(split).alias("m")).agg(F.count_if(F.col("m") > 1).alias("mixed_zones"))
     one = parts.crossJoin(F.broadcast(mixed)) if constant_in_zone else parts
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("long").alias("n")) for c in one.columns])).alias("c")).select("c.*")
@@ -144,7 +183,14 @@ def edges(df: DataFrame, node_table: DataFrame) -> DataFrame:
     from zonalyx.operators.graph import KINDS
 
     known = node_table.select("node_id").distinct()
-    flat = df.agg(F.count_if(F.col("source") == F.col("target")).alias("self_loops"), (F.count(F.lit(1)) - F.count_distinct("source", "target", "edge_type")).alias("repeated_edges"), F.count_if(F.col("edge_weight").isNull() | (F.col("edge_weight") < 0) | F.isnan("edge_weight")).alias("bad_weights"), F.count_if(~F.col("edge_type").isin(list(KINDS))).alias("unknown_types"))
-    ends = df.select(F.col("source").alias("node_id")).union(df.select("target")).join(known, "node_id", "left_anti").agg(F.count(F.lit(1)).alias("unknown_ends"))
+    flat = df.agg(
+        F.count_if(F.col("source") == F.col("target")).alias("self_loops"),
+        (F.count(F.lit(1)) - F.count_distinct("source", "target", "edge_type")).alias("repeated_edges"),
+        F.count_if(F.col("edge_weight").isNull() | (F.col("edge_weight") < 0) | F.isnan("edge_weight")).alias("bad_weights"),
+        F.count_if(~F.col("edge_type").isin(list(KINDS))).alias("unknown_types"),
+    )
+    ends = df.select(F.col("source").alias("node_id")).union(df.select("target")).join(known, "node_id", "left_anti").agg(
+        F.count(F.lit(1)).alias("unknown_ends")
+    )
     one = flat.crossJoin(F.broadcast(ends))
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("long").alias("n")) for c in one.columns])).alias("c")).select("c.*")

@@ -30,29 +30,45 @@ def _(spark, d):
     return z.select("zone_id", r6("balance_n", "minmax"), r6("spread_n", "zscore"), r6("population_n", "vector"))
 
 
-@query("r126_standardise_many", f"WITH {ZONES} SELECT zone_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in FOUR) + " FROM zones")
+@query(
+    "r126_standardise_many",
+    f"WITH {ZONES} SELECT zone_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in FOUR) + " FROM zones",
+)
 def _(spark, d):
     return ix.normalise(zones(spark, d), FOUR, "zscore").select("zone_id", *[r6(c, c) for c in FOUR])
 
 
 @query("r127_orient", f"WITH {ZONES} SELECT zone_id, round(1 - debt_share, 6) AS turned, round(-balance, 6) AS minus FROM zones")
 def _(spark, d):
-    return zones(spark, d).select("zone_id", r6(ix.orient(F.col("debt_share"), "negative"), "turned"), r6(ix.orient(F.col("balance"), "negative", unit=False), "minus"))
+    return zones(spark, d).select(
+        "zone_id",
+        r6(ix.orient(F.col("debt_share"), "negative"), "turned"),
+        r6(ix.orient(F.col("balance"), "negative", unit=False), "minus"),
+    )
 
 
-@query("r128_row_aggregate", "SELECT event_id, coalesce(CASE WHEN value > 10 THEN value END, 0) + coalesce(CASE WHEN value < 50 THEN value END, 0) AS total, (coalesce(CASE WHEN value > 10 THEN value END, 0) + coalesce(CASE WHEN value < 50 THEN value END, 0)) / nullif(CAST(value > 10 AS INTEGER) + CAST(value < 50 AS INTEGER), 0) AS mean FROM events")
+@query(
+    "r128_row_aggregate",
+    "SELECT event_id, coalesce(CASE WHEN value > 10 THEN value END, 0) + coalesce(CASE WHEN value < 50 THEN value END, 0) AS total, (coalesce(CASE WHEN value > 10 THEN value END, 0) + coalesce(CASE WHEN value < 50 THEN value END, 0)) / nullif(CAST(value > 10 AS INTEGER) + CAST(value < 50 AS INTEGER), 0) AS mean FROM events",
+)
 def _(spark, d):
     e = table(spark, d, "events").withColumn("a", F.when(F.col("value") > 10, F.col("value"))).withColumn("b", F.when(F.col("value") < 50, F.col("value")))
     return e.select("event_id", ix.combine(["a", "b"], "sum").alias("total"), ix.combine(["a", "b"], "mean").alias("mean"))
 
 
-@query("r129_impute_median", "WITH e AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS v FROM events) SELECT event_id, coalesce(v, (SELECT median(v) FROM e)) AS v, v IS NULL AS v__missing_flag FROM e")
+@query(
+    "r129_impute_median",
+    "WITH e AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS v FROM events) SELECT event_id, coalesce(v, (SELECT median(v) FROM e)) AS v, v IS NULL AS v__missing_flag FROM e",
+)
 def _(spark, d):
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("v"))
     return ix.impute(e, ["v"], "median")[0]
 
 
-@query("r130_train_only_scaler", f"WITH {PANEL}, m AS (SELECT avg(y) AS a, stddev_pop(y) AS sd FROM panel WHERE period_month <= '{TRAIN_END}') SELECT zone_id, period_month, round((y - a) / sd, 6) AS z FROM panel, m")
+@query(
+    "r130_train_only_scaler",
+    f"WITH {PANEL}, m AS (SELECT avg(y) AS a, stddev_pop(y) AS sd FROM panel WHERE period_month <= '{TRAIN_END}') SELECT zone_id, period_month, round((y - a) / sd, 6) AS z FROM panel, m",
+)
 def _(spark, d):
     p = panel(spark, d)
     fit = ix.fit_normaliser(p.where(F.col(O) <= TRAIN_END), ["y"], "zscore")
@@ -67,12 +83,24 @@ def _(spark, d):
 
 
 _PR = lambda c, up=True: f"(rank() OVER (ORDER BY {c} {'ASC' if up else 'DESC'}) - 1) / (count({c}) OVER () - 1.0)"
-RANK_RECIPE = ix.Recipe("rank", (ix.Variable("balance", "negative", domain="money"), ix.Variable("debt_share", domain="money"), ix.Variable("building_share", domain="market"), ix.Variable("spread", domain="market")), population="population")
+RANK_RECIPE = ix.Recipe(
+    "rank",
+    (
+        ix.Variable("balance", "negative", domain="money"),
+        ix.Variable("debt_share", domain="money"),
+        ix.Variable("building_share", domain="market"),
+        ix.Variable("spread", domain="market"),
+    ),
+    population="population",
+)
 _RANK_SQL = f"""WITH {ZONES}, v AS (SELECT zone_id, {_PR("balance", False)} AS a, {_PR("debt_share")} AS b, {_PR("building_share")} AS c, {_PR("spread")} AS d FROM zones),
     s AS (SELECT *, round(a + b, 12) AS money, round(c + d, 12) AS market FROM v), p AS (SELECT *, {_PR("money")} AS mp, {_PR("market")} AS kp FROM s), t AS (SELECT *, round(mp + kp, 12) AS total FROM p)"""
 
 
-@query("r188_rank_index", f"{_RANK_SQL} SELECT zone_id, CAST(a >= 0.9 AS INTEGER) + CAST(b >= 0.9 AS INTEGER) + CAST(c >= 0.9 AS INTEGER) + CAST(d >= 0.9 AS INTEGER) AS flags, round(total, 6) AS total, round({_PR('total')}, 6) AS score FROM t")
+@query(
+    "r188_rank_index",
+    f"{_RANK_SQL} SELECT zone_id, CAST(a >= 0.9 AS INTEGER) + CAST(b >= 0.9 AS INTEGER) + CAST(c >= 0.9 AS INTEGER) + CAST(d >= 0.9 AS INTEGER) AS flags, round(total, 6) AS total, round({_PR('total')}, 6) AS score FROM t",
+)
 def _(spark, d):
     return ix.get_index("rank-based")(zones(spark, d), RANK_RECIPE).select("zone_id", "flags", r6("total", "total"), r6("score", "score"))
 
@@ -80,7 +108,9 @@ def _(spark, d):
 @query("r190_additive_index", f"""WITH {ZONES}, m AS (SELECT min(balance) AS a0, max(balance) AS a1, min(debt_share) AS b0, max(debt_share) AS b1, min(spread) AS c0, max(spread) AS c1 FROM zones)
     SELECT zone_id, round(0.4 * (1 - (balance - a0) / (a1 - a0)) + 0.3 * (debt_share - b0) / (b1 - b0) + 0.3 * (spread - c0) / (c1 - c0), 6) AS score FROM zones, m""")
 def _(spark, d):
-    recipe = ix.Recipe.from_mapping({"name": "additive", "variables": {"balance": {"direction": "negative", "weight": 0.4}, "debt_share": {"weight": 0.3}, "spread": {"weight": 0.3}}})
+    recipe = ix.Recipe.from_mapping(
+        {"name": "additive", "variables": {"balance": {"direction": "negative", "weight": 0.4}, "debt_share": {"weight": 0.3}, "spread": {"weight": 0.3}}}
+    )
     return ix.get_index("additive")(zones(spark, d), recipe).select("zone_id", r6("score", "score"))
 
 
@@ -100,7 +130,10 @@ def _(spark, d):
     return spark.createDataFrame([(int(row["zone_id"]), round(row["score_raw"], 6))], "zone_id int, balance double")
 
 
-@query("r183_covariance", f"WITH {ZONES} SELECT round(covar_samp(balance, debt_share), 4) AS ab, round(var_samp(balance), 3) AS aa, round(covar_samp(spread, building_share), 4) AS cd FROM zones")
+@query(
+    "r183_covariance",
+    f"WITH {ZONES} SELECT round(covar_samp(balance, debt_share), 4) AS ab, round(var_samp(balance), 3) AS aa, round(covar_samp(spread, building_share), 4) AS cd FROM zones",
+)
 def _(spark, d):
     _, cov, _n = ix.covariance(zones(spark, d), FOUR)
     return spark.createDataFrame([(round(float(cov[0, 1]), 4), round(float(cov[0, 0]), 3), round(float(cov[3, 2]), 4))], "ab double, aa double, cd double")
@@ -112,7 +145,10 @@ def _(spark, d):
     return ix.get_index("factor_based")(zones(spark, d), recipe, keep=2)[0].select("zone_id", "factor_1", "factor_2", "score", "band")
 
 
-@query("r194_ridge", f"WITH {PANEL}, {ZONES}, t AS (SELECT population AS x, ln(1 + y) AS v FROM panel JOIN zones USING (zone_id)), c AS (SELECT covar_samp(x, v) * (count(*) - 1) / (var_samp(x) * (count(*) - 1) + 1.0) AS w, avg(x) AS mx, avg(v) AS mv FROM t) SELECT round(w, 6) AS slope, round(mv - w * mx, 6) AS intercept FROM c")
+@query(
+    "r194_ridge",
+    f"WITH {PANEL}, {ZONES}, t AS (SELECT population AS x, ln(1 + y) AS v FROM panel JOIN zones USING (zone_id)), c AS (SELECT covar_samp(x, v) * (count(*) - 1) / (var_samp(x) * (count(*) - 1) + 1.0) AS w, avg(x) AS mx, avg(v) AS mv FROM t) SELECT round(w, 6) AS slope, round(mv - w * mx, 6) AS intercept FROM c",
+)
 def _(spark, d):
     j = panel(spark, d).join(zones(spark, d).select("zone_id", "population"), "zone_id")
     intercept, w = ix.ridge_log_counts(j, ["population"], "y")
@@ -149,7 +185,10 @@ def _(spark, d):
     return panel(spark, d).select("zone_id", O, sp.temporal(F.col(O), TRAIN_END, VALIDATION_END).alias("split"))
 
 
-@query("r201_random_split", "SELECT 'train' AS split, CAST(round_even(count(*) * 0.7, 0) AS BIGINT) AS n FROM customer UNION ALL SELECT 'validation', CAST(round_even(count(*) * 0.15, 0) AS BIGINT) FROM customer UNION ALL SELECT 'test', CAST(count(*) - round_even(count(*) * 0.7, 0) - round_even(count(*) * 0.15, 0) AS BIGINT) FROM customer")
+@query(
+    "r201_random_split",
+    "SELECT 'train' AS split, CAST(round_even(count(*) * 0.7, 0) AS BIGINT) AS n FROM customer UNION ALL SELECT 'validation', CAST(round_even(count(*) * 0.15, 0) AS BIGINT) FROM customer UNION ALL SELECT 'test', CAST(count(*) - round_even(count(*) * 0.7, 0) - round_even(count(*) * 0.15, 0) AS BIGINT) FROM customer",
+)
 def _(spark, d):
     return sp.random_rows(table(spark, d, "customer"), "c_custkey").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
@@ -168,13 +207,19 @@ def _(spark, d):
 # -- validators ---------------------------------------------------------------------------------
 
 
-@query("r205_feature_table_issues", "SELECT * FROM (VALUES ('missing_values_detected', 'value', 'error', (SELECT count(*) FROM events WHERE value <= 10)), ('nonnumeric_variable', 'event_type', 'error', 1), ('duplicate_spatial_ids', 'user_id', 'error', (SELECT count(*) - count(DISTINCT user_id) FROM events)), ('missing_required_variable', 'absent', 'error', 1)) t(code, \"column\", severity, n) UNION ALL SELECT 'high_missingness', 'value', 'warning', count(*) FROM events WHERE value <= 10 HAVING count(*) >= 0.2 * (SELECT count(*) FROM events)")
+@query(
+    "r205_feature_table_issues",
+    "SELECT * FROM (VALUES ('missing_values_detected', 'value', 'error', (SELECT count(*) FROM events WHERE value <= 10)), ('nonnumeric_variable', 'event_type', 'error', 1), ('duplicate_spatial_ids', 'user_id', 'error', (SELECT count(*) - count(DISTINCT user_id) FROM events)), ('missing_required_variable', 'absent', 'error', 1)) t(code, \"column\", severity, n) UNION ALL SELECT 'high_missingness', 'value', 'warning', count(*) FROM events WHERE value <= 10 HAVING count(*) >= 0.2 * (SELECT count(*) FROM events)",
+)
 def _(spark, d):
     e = table(spark, d, "events").withColumn("value", F.when(F.col("value") > 10, F.col("value")))
     return va.feature_table(e, "user_id", {"value": "number", "event_type": "number", "absent": "number"})
 
 
-@query("r208_panel_checks", f"WITH {PANEL} SELECT * FROM (VALUES ('repeated_keys', 0), ('missing_cells', (SELECT count(DISTINCT zone_id) * count(DISTINCT period_month) - count(*) FROM panel)), ('negative_target', 0), ('missing_target', 0)) t(\"check\", n)")
+@query(
+    "r208_panel_checks",
+    f"WITH {PANEL} SELECT * FROM (VALUES ('repeated_keys', 0), ('missing_cells', (SELECT count(DISTINCT zone_id) * count(DISTINCT period_month) - count(*) FROM panel)), ('negative_target', 0), ('missing_target', 0)) t(\"check\", n)",
+)
 def _(spark, d):
     return va.panel(panel(spark, d), "zone_id", O, "y")
 
@@ -195,7 +240,10 @@ def _nodes(spark, d):
 
 def _pairs(spark, d):
     n = spark.range(25).select(F.col("id").cast("int").alias("source"))
-    return n.withColumn("target", F.explode(F.array((F.col("source") + 1) % 25, (F.col("source") + 5) % 25))).withColumn("edge_weight", F.when(F.col("target") == (F.col("source") + 1) % 25, 1.0).otherwise(0.5))
+    return n.withColumn("target", F.explode(F.array((F.col("source") + 1) % 25, (F.col("source") + 5) % 25))).withColumn(
+        "edge_weight",
+        F.when(F.col("target") == (F.col("source") + 1) % 25, 1.0).otherwise(0.5),
+    )
 
 
 _N = f"""{PANEL}, nodes AS (SELECT *, CAST(left(period_month, 4) AS INTEGER) * 12 + CAST(right(period_month, 2) AS INTEGER) - 1 AS m, {SPLIT} AS split FROM panel), n AS (SELECT *, CAST(m * 100 + zone_id AS BIGINT) AS node_id FROM nodes),
@@ -219,25 +267,45 @@ def _(spark, d):
     return g.lag_edges(_nodes(spark, d), "zone_id", "m", 1)
 
 
-@query("r048_annotated_edges", f"WITH {_N} SELECT e.source, e.target, a.split AS source_split, b.split AS target_split, a.split <> b.split AS crosses_split, a.split = 'train' AND b.split = 'train' AS train_train, a.split = 'test' OR b.split = 'test' AS touches_test FROM edges e JOIN n a ON a.node_id = e.source JOIN n b ON b.node_id = e.target")
+@query(
+    "r048_annotated_edges",
+    f"WITH {_N} SELECT e.source, e.target, a.split AS source_split, b.split AS target_split, a.split <> b.split AS crosses_split, a.split = 'train' AND b.split = 'train' AS train_train, a.split = 'test' OR b.split = 'test' AS touches_test FROM edges e JOIN n a ON a.node_id = e.source JOIN n b ON b.node_id = e.target",
+)
 def _(spark, d):
     n = _nodes(spark, d)
-    return g.annotate(_edges(spark, d, n), n, "split").select("source", "target", "source_split", "target_split", "crosses_split", "train_train", "touches_test")
-
-
-@query("r084_degrees", f"WITH {_N} SELECT node_id, (SELECT count(*) FROM edges WHERE target = node_id) AS in_degree, (SELECT count(*) FROM edges WHERE source = node_id) AS out_degree, NOT EXISTS (SELECT 1 FROM edges WHERE source = node_id OR target = node_id) AS isolated FROM n")
+    return g.annotate(_edges(spark, d, n), n, "split").select(
+        "source",
+        "target",
+        "source_split",
+        "target_split",
+        "crosses_split",
+        "train_train",
+        "touches_test",
+    )
+
+
+@query(
+    "r084_degrees",
+    f"WITH {_N} SELECT node_id, (SELECT count(*) FROM edges WHERE target = node_id) AS in_degree, (SELECT count(*) FROM edges WHERE source = node_id) AS out_degree, NOT EXISTS (SELECT 1 FROM edges WHERE source = node_id OR target = node_id) AS isolated FROM n",
+)
 def _(spark, d):
     n = _nodes(spark, d)
     return g.degrees(n, _edges(spark, d, n))
 
 
-@query("r104_mutual_flag", "WITH p AS (SELECT i AS source, (i + k) % 25 AS target FROM generate_series(0, 24) t(i), (VALUES (1), (5), (24)) u(k)) SELECT source, target, EXISTS (SELECT 1 FROM p q WHERE q.source = p.target AND q.target = p.source) AS mutual FROM p")
+@query(
+    "r104_mutual_flag",
+    "WITH p AS (SELECT i AS source, (i + k) % 25 AS target FROM generate_series(0, 24) t(i), (VALUES (1), (5), (24)) u(k)) SELECT source, target, EXISTS (SELECT 1 FROM p q WHERE q.source = p.target AND q.target = p.source) AS mutual FROM p",
+)
 def _(spark, d):
     p = spark.range(25).select(F.col("id").alias("source")).withColumn("target", F.explode(F.array(*[(F.col("source") + k) % 25 for k in (1, 5, 24)])))
     return g.mutual(p)
 
 
-@query("r114_edge_table", f"WITH {_N} SELECT source, target, edge_type, CAST(row_number() OVER (ORDER BY edge_type, source, target) - 1 AS BIGINT) AS edge_id FROM edges")
+@query(
+    "r114_edge_table",
+    f"WITH {_N} SELECT source, target, edge_type, CAST(row_number() OVER (ORDER BY edge_type, source, target) - 1 AS BIGINT) AS edge_id FROM edges",
+)
 def _(spark, d):
     n = _nodes(spark, d)
     return g.edge_table(_edges(spark, d, n)).select("source", "target", "edge_type", "edge_id")
@@ -249,13 +317,19 @@ def _(spark, d):
     return g.placebo_edges(g.month_edges(_pairs(spark, d), n, "zone_id", "m", "knn"), n, "m")
 
 
-@query("r162_connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey // 7 * 7 AS b FROM orders WHERE o_custkey % 7 <> 0) SELECT a AS node, b AS component FROM e UNION SELECT b, b FROM e")
+@query(
+    "r162_connected_components",
+    "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey // 7 * 7 AS b FROM orders WHERE o_custkey % 7 <> 0) SELECT a AS node, b AS component FROM e UNION SELECT b, b FROM e",
+)
 def _(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("source"), (F.floor(F.col("o_custkey") / 7) * 7).alias("target")).where("source <> target")
     return g.connected(o)
 
 
-@query("r164_leakage_audit", f"WITH {_N} SELECT 'future_to_past' AS \"check\", 0 AS violations UNION ALL SELECT 'spatial_across_months', 0 UNION ALL SELECT 'test_into_train', 0")
+@query(
+    "r164_leakage_audit",
+    f"WITH {_N} SELECT 'future_to_past' AS \"check\", 0 AS violations UNION ALL SELECT 'spatial_across_months', 0 UNION ALL SELECT 'test_into_train', 0",
+)
 def _(spark, d):
     n = _nodes(spark, d)
     return g.leakage_audit(_edges(spark, d, n), n, "m", "split")
@@ -267,25 +341,37 @@ def _(spark, d):
     return g.regime(_edges(spark, d, n), "temporal").select("source", "target")
 
 
-@query("r166_weighted_neighbour_mean", f"WITH {_N} SELECT t.node_id, k.edge_type, round(coalesce(sum(greatest(edge_weight, 0) * s.y) / greatest(sum(greatest(edge_weight, 0)), 1.0), 0), 6) AS y_near FROM n t CROSS JOIN (VALUES ('knn'), ('lag_1')) k(edge_type) LEFT JOIN edges e ON e.target = t.node_id AND e.edge_type = k.edge_type LEFT JOIN n s ON s.node_id = e.source GROUP BY 1, 2")
+@query(
+    "r166_weighted_neighbour_mean",
+    f"WITH {_N} SELECT t.node_id, k.edge_type, round(coalesce(sum(greatest(edge_weight, 0) * s.y) / greatest(sum(greatest(edge_weight, 0)), 1.0), 0), 6) AS y_near FROM n t CROSS JOIN (VALUES ('knn'), ('lag_1')) k(edge_type) LEFT JOIN edges e ON e.target = t.node_id AND e.edge_type = k.edge_type LEFT JOIN n s ON s.node_id = e.source GROUP BY 1, 2",
+)
 def _(spark, d):
     n = _nodes(spark, d)
     return g.neighbour_mean(_edges(spark, d, n), n.select("node_id", "y"), ["y"], by_type=True).withColumn("y_near", r6("y_near"))
 
 
-@query("r167_neighbour_mean", f"WITH {_N} SELECT t.node_id, round(coalesce(sum(s.y), 0) / greatest(count(s.y), 1), 6) AS y_near FROM n t LEFT JOIN edges e ON e.target = t.node_id LEFT JOIN n s ON s.node_id = e.source GROUP BY 1")
+@query(
+    "r167_neighbour_mean",
+    f"WITH {_N} SELECT t.node_id, round(coalesce(sum(s.y), 0) / greatest(count(s.y), 1), 6) AS y_near FROM n t LEFT JOIN edges e ON e.target = t.node_id LEFT JOIN n s ON s.node_id = e.source GROUP BY 1",
+)
 def _(spark, d):
     n = _nodes(spark, d)
     return g.neighbour_mean(_edges(spark, d, n), n.select("node_id", "y"), ["y"], weighted=False).withColumn("y_near", r6("y_near"))
 
 
-@query("r211_edge_checks", "SELECT * FROM (VALUES ('self_loops', 0), ('repeated_edges', 0), ('bad_weights', 0), ('unknown_types', 0), ('unknown_ends', 0)) t(\"check\", n)")
+@query(
+    "r211_edge_checks",
+    "SELECT * FROM (VALUES ('self_loops', 0), ('repeated_edges', 0), ('bad_weights', 0), ('unknown_types', 0), ('unknown_ends', 0)) t(\"check\", n)",
+)
 def _(spark, d):
     n = _nodes(spark, d)
     return va.edges(_edges(spark, d, n), n)
 
 
-@query("r214_segments", "SELECT CAST(i AS BIGINT) AS segment, count(value) AS n, round(coalesce(sum(value), 0), 2) AS sum, round(coalesce(avg(value), 0), 6) AS mean, coalesce(max(value), 0) AS max, count(value) > 0 AS present FROM (SELECT unnest(generate_series(0, greatest(199, (SELECT max(user_id) FROM events)))) AS i) LEFT JOIN events ON user_id = i GROUP BY 1")
+@query(
+    "r214_segments",
+    "SELECT CAST(i AS BIGINT) AS segment, count(value) AS n, round(coalesce(sum(value), 0), 2) AS sum, round(coalesce(avg(value), 0), 6) AS mean, coalesce(max(value), 0) AS max, count(value) > 0 AS present FROM (SELECT unnest(generate_series(0, greatest(199, (SELECT max(user_id) FROM events)))) AS i) LEFT JOIN events ON user_id = i GROUP BY 1",
+)
 def _(spark, d):
     e = table(spark, d, "events")
     last = e.agg(F.max("user_id")).first()[0]
@@ -293,7 +379,10 @@ def _(spark, d):
     return x.withColumn("sum", F.round("sum", 2)).withColumn("mean", r6("mean"))
 
 
-@query("r215_grouped_softmax", "SELECT event_id, round(exp(value / 100 - max(value / 100) OVER w) / sum(e) OVER w, 6) AS p FROM (SELECT *, exp(value / 100 - max(value / 100) OVER (PARTITION BY user_id)) AS e FROM events) WINDOW w AS (PARTITION BY user_id)")
+@query(
+    "r215_grouped_softmax",
+    "SELECT event_id, round(exp(value / 100 - max(value / 100) OVER w) / sum(e) OVER w, 6) AS p FROM (SELECT *, exp(value / 100 - max(value / 100) OVER (PARTITION BY user_id)) AS e FROM events) WINDOW w AS (PARTITION BY user_id)",
+)
 def _(spark, d):
     e = table(spark, d, "events").withColumn("x", F.col("value") / 100)
     return g.softmax(e, "x", ["user_id"], "p").select("event_id", r6("p", "p"))
@@ -305,7 +394,10 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", r6(g.gate(left, F.array(F.lit(0.1), F.lit(0.001)), 0.5), "gate"))
 
 
-@query("r220_masked_mean", f"WITH {PANEL}, l AS (SELECT zone_id, period_month, lag(y, 1) OVER z AS a, lag(y, 12) OVER z AS b FROM panel WINDOW z AS (PARTITION BY zone_id ORDER BY period_month)) SELECT zone_id, period_month, round((coalesce(a, 0) + coalesce(b, 0)) / nullif(CAST(a IS NOT NULL AS INTEGER) + CAST(b IS NOT NULL AS INTEGER), 0), 6) AS mean FROM l")
+@query(
+    "r220_masked_mean",
+    f"WITH {PANEL}, l AS (SELECT zone_id, period_month, lag(y, 1) OVER z AS a, lag(y, 12) OVER z AS b FROM panel WINDOW z AS (PARTITION BY zone_id ORDER BY period_month)) SELECT zone_id, period_month, round((coalesce(a, 0) + coalesce(b, 0)) / nullif(CAST(a IS NOT NULL AS INTEGER) + CAST(b IS NOT NULL AS INTEGER), 0), 6) AS mean FROM l",
+)
 def _(spark, d):
     from zonalyx.functions.windows import lag
 
@@ -314,23 +406,36 @@ def _(spark, d):
     return p.select("zone_id", O, r6(g.masked_mean(["a", "b"], ["am", "bm"]), "mean"))
 
 
-@query("r222_horizon_features", "SELECT CAST(h AS BIGINT) AS h, round(ln(1 + h), 6) AS h_log, round(sin(ln(1 + h)), 6) AS h_sin_0, round(cos(ln(1 + h) / 2), 6) AS h_cos_1 FROM generate_series(1, 12) t(h)")
+@query(
+    "r222_horizon_features",
+    "SELECT CAST(h AS BIGINT) AS h, round(ln(1 + h), 6) AS h_log, round(sin(ln(1 + h)), 6) AS h_sin_0, round(cos(ln(1 + h) / 2), 6) AS h_cos_1 FROM generate_series(1, 12) t(h)",
+)
 def _(spark, d):
     f = s.horizon_features(F.col("h"))
     return spark.range(1, 13).withColumnRenamed("id", "h").select("h", r6(f[0], "h_log"), r6(f[1], "h_sin_0"), r6(f[4], "h_cos_1"))
 
 
-@query("r223_state_fusion", f"WITH {ZONES} SELECT zone_id, CAST(4 AS BIGINT) AS width, round(population + balance + debt_share + spread, 4) AS total FROM zones")
+@query(
+    "r223_state_fusion",
+    f"WITH {ZONES} SELECT zone_id, CAST(4 AS BIGINT) AS width, round(population + balance + debt_share + spread, 4) AS total FROM zones",
+)
 def _(spark, d):
     z = zones(spark, d)
-    a, b = fr.feature_vector(z, ["population", "balance"], "a").select("zone_id", "a"), fr.feature_vector(z, ["debt_share", "spread"], "b").select("zone_id", "b")
+    a, b = fr.feature_vector(z, ["population", "balance"], "a").select("zone_id", "a"), fr.feature_vector(
+        z,
+        ["debt_share", "spread"],
+        "b",
+    ).select("zone_id", "b")
     v = fr.left_join(a, b, ["zone_id"], "1:1").withColumn("v", F.concat("a", "b"))
     return v.select("zone_id", F.size("v").cast("long").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda x, y: x + y), 4).alias("total"))
 
 
 @query("r225_content_fingerprint", "SELECT n_nationkey, sha256('{\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}') AS fingerprint FROM nation")
 def _(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.sha2(F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))), 256).alias("fingerprint"))
+    return table(spark, d, "nation").select(
+        "n_nationkey",
+        F.sha2(F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))), 256).alias("fingerprint"),
+    )
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -31,12 +31,18 @@ def _(spark, d):
     return g.select("split", *[r6(c, c) for c in ("mae", "rmse", "bias", "mape", "pearson")], "n")
 
 
-@query("r169_poisson_deviance", f"WITH {PRED}, m AS (SELECT *, greatest(CAST(predicted AS DOUBLE), 1e-9) AS mu FROM pred) SELECT split, round(avg(2 * (mu - observed + CASE WHEN observed > 0 THEN observed * ln(observed / mu) ELSE 0 END)), 5) AS poisson_deviance FROM m GROUP BY 1")
+@query(
+    "r169_poisson_deviance",
+    f"WITH {PRED}, m AS (SELECT *, greatest(CAST(predicted AS DOUBLE), 1e-9) AS mu FROM pred) SELECT split, round(avg(2 * (mu - observed + CASE WHEN observed > 0 THEN observed * ln(observed / mu) ELSE 0 END)), 5) AS poisson_deviance FROM m GROUP BY 1",
+)
 def _(spark, d):
     return predictions(spark, d).groupBy("split").agg(*me.regression()).select("split", F.round("poisson_deviance", 5).alias("poisson_deviance"))
 
 
-@query("r170_negative_binomial", f"WITH {PRED}, m AS (SELECT observed AS k, predicted + 1.0 AS mu FROM pred) SELECT round(sum(-2 * ln(1 + 0.5 * mu) + k * (ln(0.5 * mu) - ln(1 + 0.5 * mu)) + lgamma(k + 2.0) - lgamma(2.0) - lgamma(k + 1.0)), 3) AS log_likelihood FROM m")
+@query(
+    "r170_negative_binomial",
+    f"WITH {PRED}, m AS (SELECT observed AS k, predicted + 1.0 AS mu FROM pred) SELECT round(sum(-2 * ln(1 + 0.5 * mu) + k * (ln(0.5 * mu) - ln(1 + 0.5 * mu)) + lgamma(k + 2.0) - lgamma(2.0) - lgamma(k + 1.0)), 3) AS log_likelihood FROM m",
+)
 def _(spark, d):
     p = predictions(spark, d).withColumn("mu", F.col("predicted") + 1.0)
     return spark.createDataFrame([(round(me.negative_binomial_log_likelihood(p, "observed", "mu", 0.5), 3),)], "log_likelihood double")
@@ -45,7 +51,10 @@ def _(spark, d):
 _R = lambda c: f"rank() OVER (PARTITION BY split ORDER BY {c}) + (count(*) OVER (PARTITION BY split, {c}) - 1) / 2.0"
 
 
-@query("r171_spearman", f"WITH {PRED}, r AS (SELECT split, {_R('observed')} AS a, {_R('predicted')} AS b FROM pred) SELECT split, round(corr(a, b), 6) AS spearman, count(*) AS n FROM r GROUP BY 1")
+@query(
+    "r171_spearman",
+    f"WITH {PRED}, r AS (SELECT split, {_R('observed')} AS a, {_R('predicted')} AS b FROM pred) SELECT split, round(corr(a, b), 6) AS spearman, count(*) AS n FROM r GROUP BY 1",
+)
 def _(spark, d):
     return me.spearman(predictions(spark, d), ["split"]).select("split", r6("spearman", "spearman"), "n")
 
@@ -81,7 +90,10 @@ def labelled(spark, d):
     return predictions(spark, d).withColumn("label", (F.col("observed") > 7).cast("int")).withColumn("score", F.col("predicted") / 20.0)
 
 
-@query("r174_auroc", f"WITH {_LAB}, r AS (SELECT split, label, {_R('score')} AS r FROM lab) SELECT split, round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS auroc FROM r GROUP BY 1")
+@query(
+    "r174_auroc",
+    f"WITH {_LAB}, r AS (SELECT split, label, {_R('score')} AS r FROM lab) SELECT split, round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS auroc FROM r GROUP BY 1",
+)
 def _(spark, d):
     return me.auroc(labelled(spark, d), ["split"], "label", "score").select("split", r6("auroc", "auroc"))
 
@@ -100,13 +112,19 @@ def _(spark, d):
     return g.select("split", "tp", "fp", "fn", "tn", r6("f1", "f1"), r6("balanced_accuracy", "balanced_accuracy"), r6("brier", "brier"))
 
 
-@query("r177_long_metrics", f"WITH {PRED}, m AS (SELECT split, avg(abs(predicted - observed)) AS mae, corr(observed, predicted) AS pearson FROM pred GROUP BY 1) SELECT split, 'mae' AS metric_name, round(mae, 6) AS metric_value, false AS higher_is_better FROM m UNION ALL SELECT split, 'pearson', round(pearson, 6), true FROM m")
+@query(
+    "r177_long_metrics",
+    f"WITH {PRED}, m AS (SELECT split, avg(abs(predicted - observed)) AS mae, corr(observed, predicted) AS pearson FROM pred GROUP BY 1) SELECT split, 'mae' AS metric_name, round(mae, 6) AS metric_value, false AS higher_is_better FROM m UNION ALL SELECT split, 'pearson', round(pearson, 6), true FROM m",
+)
 def _(spark, d):
     g = predictions(spark, d).groupBy("split").agg(*me.regression())
     return me.long_metrics(g, ["split"], ["mae", "pearson"]).withColumn("metric_value", r6("metric_value"))
 
 
-@query("r179_permutation_null", f"WITH {PANEL}, {ZONES}, t AS (SELECT zone_id, sum(y) AS y FROM panel GROUP BY 1) SELECT round(corr(population, y), 6) AS observed, CAST(100 AS BIGINT) AS permutations FROM zones JOIN t USING (zone_id)")
+@query(
+    "r179_permutation_null",
+    f"WITH {PANEL}, {ZONES}, t AS (SELECT zone_id, sum(y) AS y FROM panel GROUP BY 1) SELECT round(corr(population, y), 6) AS observed, CAST(100 AS BIGINT) AS permutations FROM zones JOIN t USING (zone_id)",
+)
 def _(spark, d):
     t = panel(spark, d).groupBy("zone_id").agg(F.sum("y").alias("y")).join(zones(spark, d), "zone_id")
     return me.permutation_p(t, "zone_id", "population", "y", 100).select(r6("observed", "observed"), "permutations")
@@ -120,10 +138,17 @@ def _(spark, d):
 @query("r182_prediction_contract", "SELECT CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS missing, CAST(3 AS BIGINT) AS parts")
 def _(spark, d):
     p = predictions(spark, d)
-    return p.agg((F.count(F.lit(1)) - F.count_distinct("zone_id", O)).alias("repeated"), F.count_if(F.col("observed").isNull() | F.col("predicted").isNull()).alias("missing"), F.count_distinct("split").alias("parts"))
+    return p.agg(
+        (F.count(F.lit(1)) - F.count_distinct("zone_id", O)).alias("repeated"),
+        F.count_if(F.col("observed").isNull() | F.col("predicted").isNull()).alias("missing"),
+        F.count_distinct("split").alias("parts"),
+    )
 
 
-@query("r204_model_selection", f"""WITH {PRED}, m AS (SELECT 'last' AS model, avg(abs(predicted - observed)) AS mae FROM pred WHERE split = 'validation' UNION ALL SELECT 'zero', avg(abs(observed)) FROM pred WHERE split = 'validation') SELECT model AS best, round(mae, 6) AS mae FROM m ORDER BY mae LIMIT 1""")
+@query(
+    "r204_model_selection",
+    f"""WITH {PRED}, m AS (SELECT 'last' AS model, avg(abs(predicted - observed)) AS mae FROM pred WHERE split = 'validation' UNION ALL SELECT 'zero', avg(abs(observed)) FROM pred WHERE split = 'validation') SELECT model AS best, round(mae, 6) AS mae FROM m ORDER BY mae LIMIT 1""",
+)
 def _(spark, d):
     p = predictions(spark, d).where("split = 'validation'")
     both = p.withColumn("model", F.lit("last")).unionByName(p.withColumn("model", F.lit("zero")).withColumn("predicted", F.lit(0).cast("long")))
@@ -141,12 +166,18 @@ def _(spark, d):
     return st.monthly_counts(table(spark, d, "events"), "ts", "event_type")
 
 
-@query("s003_sliding_events", "SELECT strftime(d, '%Y-%m-%d') AS start, count(*) AS n FROM events, LATERAL (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS d FROM generate_series(0, 2) t(k)) GROUP BY 1")
+@query(
+    "s003_sliding_events",
+    "SELECT strftime(d, '%Y-%m-%d') AS start, count(*) AS n FROM events, LATERAL (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS d FROM generate_series(0, 2) t(k)) GROUP BY 1",
+)
 def _(spark, d):
     return st.sliding_counts(table(spark, d, "events"), "ts")
 
 
-@query("s004_sessions", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k")
+@query(
+    "s004_sessions",
+    "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k",
+)
 def _(spark, d):
     return st.sessions(table(spark, d, "events"), "ts", "user_id").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 

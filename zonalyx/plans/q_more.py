@@ -19,7 +19,13 @@ FACTORS = ix.Recipe("factors", tuple(ix.Variable(c) for c in FOUR), missing="med
 
 
 def _fitted(spark, d):
-    return ix.get_index("factor_based")(zones(spark, d), FACTORS, keep=2, orientation={1: {"method": "anchor", "anchor": "balance"}, 2: "absolute"}, unconfigured="error")
+    return ix.get_index("factor_based")(
+        zones(spark, d),
+        FACTORS,
+        keep=2,
+        orientation={1: {"method": "anchor", "anchor": "balance"}, 2: "absolute"},
+        unconfigured="error",
+    )
 
 
 # -- factors --------------------------------------------------------------------------------------
@@ -35,7 +41,10 @@ def _(spark, d):
     return spark.createDataFrame(rows, "fixed int, most int")
 
 
-@query("r185_varimax_keeps", f"WITH {ZONES}, v AS (SELECT {_CORR}, count(*) / (count(*) - 1.0) AS s FROM zones) SELECT round(4 * s, 6) AS total_variance, round(2 * s * s * (2 + c01 * c01 + c02 * c02 + c03 * c03 + c12 * c12 + c13 * c13 + c23 * c23), 6) AS sum_of_squares, true AS orthogonal, true AS communalities_kept, true AS converged FROM v")
+@query(
+    "r185_varimax_keeps",
+    f"WITH {ZONES}, v AS (SELECT {_CORR}, count(*) / (count(*) - 1.0) AS s FROM zones) SELECT round(4 * s, 6) AS total_variance, round(2 * s * s * (2 + c01 * c01 + c02 * c02 + c03 * c03 + c12 * c12 + c13 * c13 + c23 * c23), 6) AS sum_of_squares, true AS orthogonal, true AS communalities_kept, true AS converged FROM v",
+)
 def _(spark, d):
     """The trace and the squared entries of the covariance that the eigenvalues must add up to; a rotation keeps communalities."""
     _, i = _fitted(spark, d)
@@ -57,10 +66,18 @@ def _(spark, d):
 def _(spark, d):
     s, i = _fitted(spark, d)
     anchor = bool(i["loadings"][i["used"].index("balance"), 0] * i["orientation"][0]["sign"] >= 0)
-    return s.agg(F.lit(anchor).alias("anchor_positive"), F.bool_and(F.col("factor_2") >= 0).alias("absolute_positive"), F.bool_and(F.abs(F.col("factor_1") + F.col("factor_2") - F.col("score")) < 1e-9).alias("sum_is_score"), F.count(F.lit(1)).alias("n"))
+    return s.agg(
+        F.lit(anchor).alias("anchor_positive"),
+        F.bool_and(F.col("factor_2") >= 0).alias("absolute_positive"),
+        F.bool_and(F.abs(F.col("factor_1") + F.col("factor_2") - F.col("score")) < 1e-9).alias("sum_is_score"),
+        F.count(F.lit(1)).alias("n"),
+    )
 
 
-@query("r110_leading_variables", "SELECT * FROM (VALUES ('factor_1', 4, 3, 3, 'anchor', true), ('factor_2', 4, 3, 3, 'absolute', true)) t(factor, n_leading, n_positive, n_negative, orientation, configured)")
+@query(
+    "r110_leading_variables",
+    "SELECT * FROM (VALUES ('factor_1', 4, 3, 3, 'anchor', true), ('factor_2', 4, 3, 3, 'absolute', true)) t(factor, n_leading, n_positive, n_negative, orientation, configured)",
+)
 def _(spark, d):
     _, i = _fitted(spark, d)
     n = lambda text: len(text.split("; "))
@@ -71,7 +88,10 @@ def _(spark, d):
 @query("r110_factor_summary")
 def _(spark, d):
     _, i = _fitted(spark, d)
-    return spark.createDataFrame(ix.factor_summary(i), "factor string, eigenvalue double, explained double, leading string, leading_positive string, leading_negative string, orientation string, rationale string, configured boolean")
+    return spark.createDataFrame(
+        ix.factor_summary(i),
+        "factor string, eigenvalue double, explained double, leading string, leading_positive string, leading_negative string, orientation string, rationale string, configured boolean",
+    )
 
 
 @query("r191_index_registry", "SELECT * FROM (VALUES ('additive'), ('factor_based'), ('rank_based')) t(name)")
@@ -100,8 +120,25 @@ def _(spark, d):
     UNION ALL SELECT 'nonnumeric_variable', 'word', 'error', 1""",
 )
 def _(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("a"), (F.col("c_custkey") % 50 / 49.0).alias("share"), (F.col("c_custkey") % 50).cast("double").alias("pct"), F.lit(1).alias("one"), F.lit(None).cast("double").alias("none"), F.lit("x").alias("word"))
-    kinds = {"a": "nonnegative", "share": "percentage", "pct": "proportion", "one": "number", "none": "number", "gone": "number", "lost": "number", "word": "number"}
+    c = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("k"),
+        F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("a"),
+        (F.col("c_custkey") % 50 / 49.0).alias("share"),
+        (F.col("c_custkey") % 50).cast("double").alias("pct"),
+        F.lit(1).alias("one"),
+        F.lit(None).cast("double").alias("none"),
+        F.lit("x").alias("word"),
+    )
+    kinds = {
+        "a": "nonnegative",
+        "share": "percentage",
+        "pct": "proportion",
+        "one": "number",
+        "none": "number",
+        "gone": "number",
+        "lost": "number",
+        "word": "number",
+    }
     return va.feature_table(c, "k", kinds, required={"a", "share", "pct", "one", "lost", "word"})
 
 
@@ -114,10 +151,20 @@ def _(spark, d):
 )
 def _(spark, d):
     z = zones(spark, d).withColumn("people", F.when(F.col("zone_id") < 3, 0).otherwise(F.col("population")))
-    return va.rank_index_table(z, "zone_id", {"balance": "number", "debt_share": "number", "absent": "number"}, population="people", groups=["province", "zone_id"], partial=True)
+    return va.rank_index_table(
+        z,
+        "zone_id",
+        {"balance": "number", "debt_share": "number", "absent": "number"},
+        population="people",
+        groups=["province", "zone_id"],
+        partial=True,
+    )
 
 
-@query("r207_factor_index_codes", "SELECT * FROM (VALUES ('too_few_observations', '', 'error', 1), ('small_n_relative_to_variables', '', 'warning', 1), ('constant_column', 'balance', 'warning', 1), ('constant_column', 'spread', 'warning', 1)) t(code, \"column\", severity, n)")
+@query(
+    "r207_factor_index_codes",
+    "SELECT * FROM (VALUES ('too_few_observations', '', 'error', 1), ('small_n_relative_to_variables', '', 'warning', 1), ('constant_column', 'balance', 'warning', 1), ('constant_column', 'spread', 'warning', 1)) t(code, \"column\", severity, n)",
+)
 def _(spark, d):
     one = zones(spark, d).where("zone_id = 3")
     return va.factor_index_table(one, "zone_id", {"balance": "number", "spread": "number"})
@@ -172,19 +219,32 @@ def _(spark, d):
     return va.splits(s.unionByName(s.where("zone_id = 1")), "zone_id", O, "split", constant_in_zone=True)
 
 
-@query("r203_lineage_leaks", "SELECT 'f' || user_id AS feature, CASE WHEN user_id % 3 = 0 AND event_id % 5 < 1 THEN 'uses y without a lag' ELSE 'looks ahead' END AS reason FROM events WHERE (user_id % 3 = 0 AND event_id % 5 < 1) OR (event_id % 5 = 4 AND user_id % 3 <> 0)")
+@query(
+    "r203_lineage_leaks",
+    "SELECT 'f' || user_id AS feature, CASE WHEN user_id % 3 = 0 AND event_id % 5 < 1 THEN 'uses y without a lag' ELSE 'looks ahead' END AS reason FROM events WHERE (user_id % 3 = 0 AND event_id % 5 < 1) OR (event_id % 5 = 4 AND user_id % 3 <> 0)",
+)
 def _(spark, d):
     e = table(spark, d, "events")
     lag = F.when(F.col("event_id") % 5 == 4, F.when(F.col("user_id") % 3 == 0, 1).otherwise(-1)).otherwise(F.col("event_id") % 5)
-    lineage = e.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("feature"), F.when(F.col("user_id") % 3 == 0, "y").otherwise("x").alias("source"), lag.alias("lag"))
+    lineage = e.select(
+        F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("feature"),
+        F.when(F.col("user_id") % 3 == 0, "y").otherwise("x").alias("source"),
+        lag.alias("lag"),
+    )
     return sp.leaking_lineage(lineage, "y")
 
 
-@query("r162_chains", "SELECT node, node // 40 * 40 AS component FROM (SELECT o_custkey AS node FROM orders UNION SELECT o_custkey + 1 FROM orders WHERE o_custkey % 40 <> 39 UNION SELECT x FROM (SELECT unnest(generate_series(o_custkey // 40 * 40, o_custkey // 40 * 40 + 39)) AS x FROM orders))")
+@query(
+    "r162_chains",
+    "SELECT node, node // 40 * 40 AS component FROM (SELECT o_custkey AS node FROM orders UNION SELECT o_custkey + 1 FROM orders WHERE o_custkey % 40 <> 39 UNION SELECT x FROM (SELECT unnest(generate_series(o_custkey // 40 * 40, o_custkey // 40 * 40 + 39)) AS x FROM orders))",
+)
 def _(spark, d):
     """Chains of 40 nodes, as long as no node has more than two neighbours."""
     first = table(spark, d, "orders").select((F.floor(F.col("o_custkey") / 40) * 40).alias("a")).distinct()
-    e = first.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(38)))).select((F.col("a") + F.col("k")).alias("source"), (F.col("a") + F.col("k") + 1).alias("target"))
+    e = first.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(38)))).select(
+        (F.col("a") + F.col("k")).alias("source"),
+        (F.col("a") + F.col("k") + 1).alias("target"),
+    )
     return g.connected(e)
 
 
@@ -252,10 +312,17 @@ def _(spark, d):
 def _(spark, d):
     names = F.array(*map(F.lit, g.RELATIONS))
     p = table(spark, d, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 23 + 1).cast("int")).alias("relation"))
-    return g.encode_relations(p).join(F.broadcast(g.relation_table(spark).select("relation", "is_control")), "relation").select("p_partkey", "relation_index", "is_control")
+    return g.encode_relations(p).join(F.broadcast(g.relation_table(spark).select("relation", "is_control")), "relation").select(
+        "p_partkey",
+        "relation_index",
+        "is_control",
+    )
 
 
-@query("r213_prior_matrix", "SELECT CAST(i AS INTEGER) AS relation_index, CASE WHEN i < 10 THEN i / 10.0 ELSE 0.0 END AS flood, CASE WHEN i BETWEEN 5 AND 20 THEN 0.5 ELSE 0.0 END AS heat FROM generate_series(0, 22) t(i)")
+@query(
+    "r213_prior_matrix",
+    "SELECT CAST(i AS INTEGER) AS relation_index, CASE WHEN i < 10 THEN i / 10.0 ELSE 0.0 END AS flood, CASE WHEN i BETWEEN 5 AND 20 THEN 0.5 ELSE 0.0 END AS heat FROM generate_series(0, 22) t(i)",
+)
 def _(spark, d):
     r = g.relation_table(spark)
     i = F.col("relation_index")
@@ -264,21 +331,30 @@ def _(spark, d):
     return g.prior_matrix(flood.unionByName(heat), ["flood", "heat"]).select("relation_index", "flood", "heat")
 
 
-@query("r216_target_aggregate", f"WITH {_N} SELECT node_id, count(e.source) AS n_in, CAST(coalesce(sum(CASE WHEN e.source IS NOT NULL THEN s.y END), 0) AS DOUBLE) AS y_sum, round(coalesce(avg(CASE WHEN e.source IS NOT NULL THEN s.y END), 0), 6) AS y_mean FROM n t LEFT JOIN (SELECT * FROM edges WHERE edge_type = 'lag_1') e ON e.target = t.node_id LEFT JOIN (SELECT node_id AS k, y FROM n) s ON s.k = e.source GROUP BY 1")
+@query(
+    "r216_target_aggregate",
+    f"WITH {_N} SELECT node_id, count(e.source) AS n_in, CAST(coalesce(sum(CASE WHEN e.source IS NOT NULL THEN s.y END), 0) AS DOUBLE) AS y_sum, round(coalesce(avg(CASE WHEN e.source IS NOT NULL THEN s.y END), 0), 6) AS y_mean FROM n t LEFT JOIN (SELECT * FROM edges WHERE edge_type = 'lag_1') e ON e.target = t.node_id LEFT JOIN (SELECT node_id AS k, y FROM n) s ON s.k = e.source GROUP BY 1",
+)
 def _(spark, d):
     n = _nodes(spark, d)
     e = _edges(spark, d, n).where("edge_type = 'lag_1'").join(n.select(F.col("node_id").alias("source"), "y"), "source")
     return g.target_aggregate(e, n, ["y"]).select("node_id", "n_in", "y_sum", r6("y_mean", "y_mean"))
 
 
-@query("r217_edge_normalisation", f"WITH {_N} SELECT source, target, edge_type, count(*) OVER (PARTITION BY source, edge_type) AS source_degree, count(*) OVER (PARTITION BY target, edge_type) AS target_degree, round(1 / sqrt(count(*) OVER (PARTITION BY source, edge_type) * count(*) OVER (PARTITION BY target, edge_type)), 6) AS coefficient FROM edges")
+@query(
+    "r217_edge_normalisation",
+    f"WITH {_N} SELECT source, target, edge_type, count(*) OVER (PARTITION BY source, edge_type) AS source_degree, count(*) OVER (PARTITION BY target, edge_type) AS target_degree, round(1 / sqrt(count(*) OVER (PARTITION BY source, edge_type) * count(*) OVER (PARTITION BY target, edge_type)), 6) AS coefficient FROM edges",
+)
 def _(spark, d):
     n = _nodes(spark, d)
     e = g.normalise_edges(_edges(spark, d, n), "symmetric_degree", ["edge_type"])
     return e.select("source", "target", "edge_type", "source_degree", "target_degree", r6("coefficient", "coefficient"))
 
 
-@query("r218_attention", f"WITH {_N}, h AS (SELECT source, target, edge_type, head, CASE head WHEN 0 THEN edge_weight ELSE source % 7 / 7.0 END AS x FROM edges, (VALUES (0), (1)) t(head)) SELECT source, target, edge_type, head, round(exp(x) / sum(exp(x)) OVER (PARTITION BY target, edge_type, head), 6) AS weight FROM h")
+@query(
+    "r218_attention",
+    f"WITH {_N}, h AS (SELECT source, target, edge_type, head, CASE head WHEN 0 THEN edge_weight ELSE source % 7 / 7.0 END AS x FROM edges, (VALUES (0), (1)) t(head)) SELECT source, target, edge_type, head, round(exp(x) / sum(exp(x)) OVER (PARTITION BY target, edge_type, head), 6) AS weight FROM h",
+)
 def _(spark, d):
     n = _nodes(spark, d)
     e = _edges(spark, d, n).withColumn("logits", F.array(F.col("edge_weight"), F.col("source") % 7 / 7.0))
@@ -300,7 +376,13 @@ def _(spark, d):
         p = p.withColumn(name, lag("y", k, ["zone_id"], O))
     p = p.withColumn("am", F.lit(True)).withColumn("bm", F.col("b") % 2 == 0).withColumn("cm", F.lit(True))
     v, m = ["a", "b", "c"], ["am", "bm", "cm"]
-    return p.select("zone_id", O, g.pool_history(v, m, "last_valid").alias("last"), g.pool_history(v, m, "masked_max", 0.0).alias("most"), r6(g.pool_history(v, m, "masked_mean"), "mean"))
+    return p.select(
+        "zone_id",
+        O,
+        g.pool_history(v, m, "last_valid").alias("last"),
+        g.pool_history(v, m, "masked_max", 0.0).alias("most"),
+        r6(g.pool_history(v, m, "masked_mean"), "mean"),
+    )
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -12,16 +12,29 @@ query = Register()
 O = "period_month"
 
 
-@query("r119_safe_number", "SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 10 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS VARCHAR) END AS DOUBLE) AS price FROM orders")
+@query(
+    "r119_safe_number",
+    "SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 10 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS VARCHAR) END AS DOUBLE) AS price FROM orders",
+)
 def _(spark, d):
     text = F.when(F.col("o_orderkey") % 10 == 0, "n/a").otherwise(F.concat(F.lit(" $"), F.format_number("o_totalprice", 2)))
     return table(spark, d, "orders").select("o_orderkey", s.safe_number(text).alias("price"))
 
 
-@query("r120_safe_divide", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, round(l_discount / nullif(l_tax, 0), 6) AS ratio, round(CASE WHEN l_tax > 0 THEN l_discount / l_tax * 1000 END, 6) AS rate FROM lineitem")
+@query(
+    "r120_safe_divide",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, round(l_discount / nullif(l_tax, 0), 6) AS ratio, round(CASE WHEN l_tax > 0 THEN l_discount / l_tax * 1000 END, 6) AS rate FROM lineitem",
+)
 def _(spark, d):
     a, b = F.col("l_discount"), F.col("l_tax")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", r6(s.safe_divide(a, b), "ratio"), r6(s.safe_rate(a, b, 1000), "rate"))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_quantity",
+        r6(s.safe_divide(a, b), "ratio"),
+        r6(s.safe_rate(a, b, 1000), "rate"),
+    )
 
 
 @query("r121_bounded_proportion", "SELECT event_id, CASE WHEN value <> 0 THEN greatest(least(round(value / 100, 6), 1), 0) END AS p FROM events")
@@ -36,12 +49,21 @@ def _(spark, d):
 
 @query("r124_rate_per", "SELECT c_nationkey, round(count(*) FILTER (c_acctbal < 0) / count(*) * 100000, 4) AS per_100k FROM customer GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.round(s.safe_rate(F.count_if(F.col("c_acctbal") < 0), F.count(F.lit(1)), 100000), 4).alias("per_100k"))
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(
+        F.round(s.safe_rate(F.count_if(F.col("c_acctbal") < 0), F.count(F.lit(1)), 100000), 4).alias("per_100k")
+    )
 
 
-@query("r132_log_and_clip", "SELECT c_custkey, round(ln(1 + greatest(c_acctbal, 0)), 6) AS logged, round(greatest(exp(c_acctbal / 10000) - 1, 0), 6) AS back FROM customer")
+@query(
+    "r132_log_and_clip",
+    "SELECT c_custkey, round(ln(1 + greatest(c_acctbal, 0)), 6) AS logged, round(greatest(exp(c_acctbal / 10000) - 1, 0), 6) AS back FROM customer",
+)
 def _(spark, d):
-    return table(spark, d, "customer").select("c_custkey", r6(s.log1p_floor(F.col("c_acctbal")), "logged"), r6(s.expm1_floor(F.col("c_acctbal") / 10000), "back"))
+    return table(spark, d, "customer").select(
+        "c_custkey",
+        r6(s.log1p_floor(F.col("c_acctbal")), "logged"),
+        r6(s.expm1_floor(F.col("c_acctbal") / 10000), "back"),
+    )
 
 
 @query("r133_poisson_any", "SELECT l_orderkey, l_linenumber, l_partkey, round(1 - exp(-greatest(l_discount * 10, 0)), 6) AS p FROM lineitem")
@@ -49,15 +71,28 @@ def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r6(s.poisson_any(F.col("l_discount") * 10), "p"))
 
 
-@query("r134_calendar_features", "SELECT o_orderkey, CAST(month(o_orderdate) = 2 AS INTEGER) AS month_2, CAST(month(o_orderdate) = 12 AS INTEGER) AS month_12, round(sin(month(o_orderdate) * 2 * pi() / 12), 6) + 0 AS month_sin, round(cos(month(o_orderdate) * 2 * pi() / 12), 6) + 0 AS month_cos, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 - 1995 * 12 AS INTEGER) AS period_index FROM orders")
+@query(
+    "r134_calendar_features",
+    "SELECT o_orderkey, CAST(month(o_orderdate) = 2 AS INTEGER) AS month_2, CAST(month(o_orderdate) = 12 AS INTEGER) AS month_12, round(sin(month(o_orderdate) * 2 * pi() / 12), 6) + 0 AS month_sin, round(cos(month(o_orderdate) * 2 * pi() / 12), 6) + 0 AS month_cos, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 - 1995 * 12 AS INTEGER) AS period_index FROM orders",
+)
 def _(spark, d):
     m = F.month("o_orderdate")
     sin, cos = s.season(m)
     ind = s.month_indicators(m)
-    return table(spark, d, "orders").select("o_orderkey", ind[0], ind[10], r6(sin, "month_sin"), r6(cos, "month_cos"), (s.month_ordinal(F.date_format("o_orderdate", "yyyy-MM")) - 1995 * 12).alias("period_index"))
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        ind[0],
+        ind[10],
+        r6(sin, "month_sin"),
+        r6(cos, "month_cos"),
+        (s.month_ordinal(F.date_format("o_orderdate", "yyyy-MM")) - 1995 * 12).alias("period_index"),
+    )
 
 
-@query("r135_season_shifted", "SELECT o_orderkey, round(sin((month(o_orderdate) - 1) * 2 * pi() / 12), 6) + 0 AS month_sin, round(cos((month(o_orderdate) - 1) * 2 * pi() / 12), 6) + 0 AS month_cos FROM orders")
+@query(
+    "r135_season_shifted",
+    "SELECT o_orderkey, round(sin((month(o_orderdate) - 1) * 2 * pi() / 12), 6) + 0 AS month_sin, round(cos((month(o_orderdate) - 1) * 2 * pi() / 12), 6) + 0 AS month_cos FROM orders",
+)
 def _(spark, d):
     sin, cos = s.season(F.month("o_orderdate"), 1)
     return table(spark, d, "orders").select("o_orderkey", r6(sin, "month_sin"), r6(cos, "month_cos"))
@@ -69,12 +104,18 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", s.month_key(text).alias(O))
 
 
-@query("r137_period_fields", f"WITH {PANEL} SELECT DISTINCT period_month, CAST(year(f) AS INTEGER) AS year, CAST(month(f) AS INTEGER) AS month, strftime(f, '%Y-%m-%d') AS period_start, strftime(last_day(f), '%Y-%m-%d') AS period_end FROM (SELECT period_month, CAST(period_month || '-01' AS DATE) AS f FROM panel)")
+@query(
+    "r137_period_fields",
+    f"WITH {PANEL} SELECT DISTINCT period_month, CAST(year(f) AS INTEGER) AS year, CAST(month(f) AS INTEGER) AS month, strftime(f, '%Y-%m-%d') AS period_start, strftime(last_day(f), '%Y-%m-%d') AS period_end FROM (SELECT period_month, CAST(period_month || '-01' AS DATE) AS f FROM panel)",
+)
 def _(spark, d):
     return panel(spark, d).select(O).distinct().select(O, *s.period_fields(F.col(O)))
 
 
-@query("r138_hours_between", "SELECT event_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 3.6e9, 6) AS hours FROM events")
+@query(
+    "r138_hours_between",
+    "SELECT event_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 3.6e9, 6) AS hours FROM events",
+)
 def _(spark, d):
     from pyspark.sql import Window
 
@@ -82,7 +123,10 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", r6(s.hours_between(before, F.col("ts")), "hours"))
 
 
-@query("r139_grid_id", "SELECT c_custkey, 'grid25m_' || CAST(CAST(floor(c_acctbal / 25) * 25 AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(floor(-c_custkey / 25.0) * 25 AS BIGINT) AS VARCHAR) AS cell, CAST(floor(c_acctbal / 25) * 25 AS BIGINT) AS x0, CAST(floor(-c_custkey / 25.0) * 25 AS BIGINT) AS y0 FROM customer")
+@query(
+    "r139_grid_id",
+    "SELECT c_custkey, 'grid25m_' || CAST(CAST(floor(c_acctbal / 25) * 25 AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(floor(-c_custkey / 25.0) * 25 AS BIGINT) AS VARCHAR) AS cell, CAST(floor(c_acctbal / 25) * 25 AS BIGINT) AS x0, CAST(floor(-c_custkey / 25.0) * 25 AS BIGINT) AS y0 FROM customer",
+)
 def _(spark, d):
     c = table(spark, d, "customer").withColumn("cell", s.grid_id(F.col("c_acctbal"), -F.col("c_custkey")))
     x, y = s.grid_corner(F.col("cell"))
@@ -102,7 +146,10 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", s.fold(F.col("text")).alias("folded"))
 
 
-@query("r141_keyword_family", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'gear') THEN 'round' WHEN contains(p_name, 'red') THEN 'red' ELSE 'other' END AS family FROM part")
+@query(
+    "r141_keyword_family",
+    "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'gear') THEN 'round' WHEN contains(p_name, 'red') THEN 'red' ELSE 'other' END AS family FROM part",
+)
 def _(spark, d):
     return table(spark, d, "part").select("p_partkey", s.keyword_family(F.col("p_name"), [("round", ["ring", "gear"]), ("red", ["red"])]).alias("family"))
 
@@ -112,7 +159,10 @@ def _(spark, d):
     return table(spark, d, "part").where(F.contains("p_name", F.lit("ring"))).groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("r143_canonical_ids", "SELECT c_custkey, printf('%.2f', CAST(c_custkey AS DOUBLE)) AS tract, right(lpad(CAST(c_custkey AS VARCHAR), 4, '0'), 4) AS code FROM customer")
+@query(
+    "r143_canonical_ids",
+    "SELECT c_custkey, printf('%.2f', CAST(c_custkey AS DOUBLE)) AS tract, right(lpad(CAST(c_custkey AS VARCHAR), 4, '0'), 4) AS code FROM customer",
+)
 def _(spark, d):
     c = table(spark, d, "customer")
     return c.select("c_custkey", s.decimal_id(F.col("c_custkey")).alias("tract"), s.code_id(F.concat(F.col("c_custkey"), F.lit(".0"))).alias("code"))
@@ -126,7 +176,10 @@ def _(spark, d):
     return n.select("n_nationkey", s.better_name(bad, good).alias("name"))
 
 
-@query("r145_split_suffix", "SELECT p_partkey, CASE WHEN p_name LIKE '% ring' THEN left(p_name, length(p_name) - 5) ELSE p_name END AS body, CASE WHEN p_name LIKE '% ring' THEN 'ring' END AS suffix FROM part")
+@query(
+    "r145_split_suffix",
+    "SELECT p_partkey, CASE WHEN p_name LIKE '% ring' THEN left(p_name, length(p_name) - 5) ELSE p_name END AS body, CASE WHEN p_name LIKE '% ring' THEN 'ring' END AS suffix FROM part",
+)
 def _(spark, d):
     body, tail = s.split_suffix(F.col("p_name"), ["ring"])
     return table(spark, d, "part").select("p_partkey", body.alias("body"), tail.alias("suffix"))
@@ -141,21 +194,45 @@ def _(spark, d):
 @query("r147_orient_rank", "SELECT p_partkey, -p_size AS size_rank, p_size AS size_percentile_rank FROM part")
 def _(spark, d):
     x = F.col("p_size")
-    return table(spark, d, "part").select("p_partkey", s.orient_rank(x, "size_rank").alias("size_rank"), s.orient_rank(x, "size_percentile_rank").alias("size_percentile_rank"))
+    return table(spark, d, "part").select(
+        "p_partkey",
+        s.orient_rank(x, "size_rank").alias("size_rank"),
+        s.orient_rank(x, "size_percentile_rank").alias("size_percentile_rank"),
+    )
 
 
-@query("r148_spatial_weight", "SELECT event_id, round(1 / greatest(value, 1e-6), 6) AS inverse, round(exp(-value / 50), 6) AS rbf, 1.0 AS \"binary\" FROM events")
+@query(
+    "r148_spatial_weight",
+    "SELECT event_id, round(1 / greatest(value, 1e-6), 6) AS inverse, round(exp(-value / 50), 6) AS rbf, 1.0 AS \"binary\" FROM events",
+)
 def _(spark, d):
     v = F.col("value")
-    return table(spark, d, "events").select("event_id", r6(s.spatial_weight(v, "inverse"), "inverse"), r6(s.spatial_weight(v, "rbf", 50.0), "rbf"), s.spatial_weight(v).alias("binary"))
+    return table(spark, d, "events").select(
+        "event_id",
+        r6(s.spatial_weight(v, "inverse"), "inverse"),
+        r6(s.spatial_weight(v, "rbf", 50.0), "rbf"),
+        s.spatial_weight(v).alias("binary"),
+    )
 
 
-@query("r149_pair_id", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) || '__' || greatest(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS pair FROM lineitem")
+@query(
+    "r149_pair_id",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) || '__' || greatest(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS pair FROM lineitem",
+)
 def _(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", s.pair_id(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("pair"))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        s.pair_id(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("pair"),
+    )
 
 
-@query("r150_share_colour", "SELECT event_id, CASE least(floor(value / 500 * 5), 4) WHEN 0 THEN '#ffffb2' WHEN 1 THEN '#fecc5c' WHEN 2 THEN '#fd8d3c' WHEN 3 THEN '#f03b20' ELSE '#bd0026' END AS colour FROM events")
+@query(
+    "r150_share_colour",
+    "SELECT event_id, CASE least(floor(value / 500 * 5), 4) WHEN 0 THEN '#ffffb2' WHEN 1 THEN '#fecc5c' WHEN 2 THEN '#fd8d3c' WHEN 3 THEN '#f03b20' ELSE '#bd0026' END AS colour FROM events",
+)
 def _(spark, d):
     return table(spark, d, "events").select("event_id", s.share_colour(F.col("value") / 500).alias("colour"))
 
@@ -165,10 +242,16 @@ def _(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(r6(F.median("value"), "median"), r6(F.percentile("value", F.lit(0.9)), "p90"))
 
 
-@query("r152_json_safe", """SELECT event_id, '{"id":' || event_id || ',"k":' || CASE WHEN event_id % 5 = 0 THEN 'null' ELSE json_extract_string(props, '$.k') END || '}' AS j FROM events""")
+@query(
+    "r152_json_safe",
+    """SELECT event_id, '{"id":' || event_id || ',"k":' || CASE WHEN event_id % 5 = 0 THEN 'null' ELSE json_extract_string(props, '$.k') END || '}' AS j FROM events""",
+)
 def _(spark, d):
     k = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.get_json_object("props", "$.k").cast("double"))
-    return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), s.finite(k).cast("int").alias("k")), {"ignoreNullFields": "false"}).alias("j"))
+    return table(spark, d, "events").select(
+        "event_id",
+        F.to_json(F.struct(F.col("event_id").alias("id"), s.finite(k).cast("int").alias("k")), {"ignoreNullFields": "false"}).alias("j"),
+    )
 
 
 @query("r153_joined_lists", "SELECT user_id, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS kinds FROM events GROUP BY 1")
@@ -176,20 +259,29 @@ def _(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ";").alias("kinds"))
 
 
-@query("r154_reprojection", "SELECT c_custkey, round(radians(c_acctbal / 100) * 6378137.0, 3) + 0 AS x, round(ln(tan(pi() / 4 + radians(c_nationkey) / 2)) * 6378137.0, 3) + 0 AS y FROM customer")
+@query(
+    "r154_reprojection",
+    "SELECT c_custkey, round(radians(c_acctbal / 100) * 6378137.0, 3) + 0 AS x, round(ln(tan(pi() / 4 + radians(c_nationkey) / 2)) * 6378137.0, 3) + 0 AS y FROM customer",
+)
 def _(spark, d):
     x, y = s.web_mercator(F.col("c_acctbal") / 100, F.col("c_nationkey").cast("double"))
     return table(spark, d, "customer").select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
 def _cells(spark, d):
-    return table(spark, d, "customer").select(s.grid_id(F.col("c_acctbal"), F.col("c_custkey").cast("double"), 1000).alias("cell")).distinct().withColumn("ring", s.grid_ring(F.col("cell"), 1000))
+    return table(spark, d, "customer").select(s.grid_id(F.col("c_acctbal"), F.col("c_custkey").cast("double"), 1000).alias("cell")).distinct().withColumn(
+        "ring",
+        s.grid_ring(F.col("cell"), 1000),
+    )
 
 
 _CELLS = "cells AS (SELECT DISTINCT CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT) AS x0, CAST(floor(c_custkey / 1000) * 1000 AS BIGINT) AS y0 FROM customer)"
 
 
-@query("r155_centroid_area_bounds", f"WITH {_CELLS} SELECT 'grid1000m_' || x0 || '_' || y0 AS cell, 1000000.0 AS area, CAST(x0 + 500 AS DOUBLE) AS cx, CAST(y0 + 500 AS DOUBLE) AS cy, CAST(x0 AS DOUBLE) AS min_x, CAST(y0 + 1000 AS DOUBLE) AS max_y FROM cells")
+@query(
+    "r155_centroid_area_bounds",
+    f"WITH {_CELLS} SELECT 'grid1000m_' || x0 || '_' || y0 AS cell, 1000000.0 AS area, CAST(x0 + 500 AS DOUBLE) AS cx, CAST(y0 + 500 AS DOUBLE) AS cy, CAST(x0 AS DOUBLE) AS min_x, CAST(y0 + 1000 AS DOUBLE) AS max_y FROM cells",
+)
 def _(spark, d):
     r = F.col("ring")
     cx, cy = s.ring_centroid(r)

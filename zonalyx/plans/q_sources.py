@@ -44,15 +44,24 @@ def _(spark, d):
     return src.read_csv_probed(spark, path)
 
 
-@query("r003_csv_filtered_aggregate", "SELECT l_returnflag AS flag, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
+@query(
+    "r003_csv_filtered_aggregate",
+    "SELECT l_returnflag AS flag, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1",
+)
 def _(spark, d):
     path = new_path(spark, "csv")
     _write_csv(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"), path)
     rows = src.read_csv(spark, path, all_columns=["l_returnflag", "l_linestatus", "l_linenumber"], multi_line=False)
-    return rows.where("l_linestatus = 'F'").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("try_cast(l_linenumber as bigint)")).alias("lines"))
+    return rows.where("l_linestatus = 'F'").groupBy(F.col("l_returnflag").alias("flag")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.expr("try_cast(l_linenumber as bigint)")).alias("lines"),
+    )
 
 
-@query("r004_csv_separator", f"SELECT key, name, size, CAST(NULL AS VARCHAR) AS bad FROM ({_NAMED}) UNION ALL SELECT 'short', NULL, NULL, 'short' UNION ALL SELECT 'long', 'x', '1', 'long;x;1;more'")
+@query(
+    "r004_csv_separator",
+    f"SELECT key, name, size, CAST(NULL AS VARCHAR) AS bad FROM ({_NAMED}) UNION ALL SELECT 'short', NULL, NULL, 'short' UNION ALL SELECT 'long', 'x', '1', 'long;x;1;more'",
+)
 def _(spark, d):
     """Separated by semicolons; rows with too few or too many fields stay, and are told."""
     path = new_path(spark, "csv")
@@ -66,7 +75,10 @@ def _(spark, d):
     return src.read_csv_probed(spark, path, corrupt="bad")
 
 
-@query("r006_excel", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, CASE WHEN n_nationkey % 3 <> 0 THEN CAST(n_regionkey AS VARCHAR) END AS region FROM nation")
+@query(
+    "r006_excel",
+    "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, CASE WHEN n_nationkey % 3 <> 0 THEN CAST(n_regionkey AS VARCHAR) END AS region FROM nation",
+)
 def _(spark, d):
     """A workbook with a title above its header, shared and inline strings, and empty cells."""
     rows = [(r.n_nationkey, r.n_name, r.n_regionkey if r.n_nationkey % 3 else None) for r in table(spark, d, "nation").collect()]
@@ -77,7 +89,10 @@ def _(spark, d):
 
 
 
-@query("r007_geojson", "SELECT CAST(n_nationkey AS VARCHAR) AS zone, CASE WHEN n_nationkey % 2 = 0 THEN 'Polygon' ELSE 'MultiPolygon' END AS kind, 'EPSG:3347' AS crs, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 2 END AS BIGINT) AS rings, CASE WHEN n_nationkey % 2 = 0 THEN 84.0 ELSE 200.0 END AS area FROM nation")
+@query(
+    "r007_geojson",
+    "SELECT CAST(n_nationkey AS VARCHAR) AS zone, CASE WHEN n_nationkey % 2 = 0 THEN 'Polygon' ELSE 'MultiPolygon' END AS kind, 'EPSG:3347' AS crs, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 2 END AS BIGINT) AS rings, CASE WHEN n_nationkey % 2 = 0 THEN 84.0 ELSE 200.0 END AS area FROM nation",
+)
 def _(spark, d):
     """Even nations are squares with a hole, odd ones two squares."""
     from zonalyx.functions.scalar import ring_area
@@ -91,16 +106,29 @@ def _(spark, d):
         return {"type": "MultiPolygon", "coordinates": [[square(x, 0, 10)], [square(x + 20, 0, 10)]]}
 
     keys = [r.n_nationkey for r in table(spark, d, "nation").select("n_nationkey").collect()]
-    made = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "EPSG:3347"}}, "features": [{"type": "Feature", "properties": {"zone": str(k)}, "geometry": shape(k)} for k in keys]}
+    made = {
+        "type": "FeatureCollection",
+        "crs": {"type": "name", "properties": {"name": "EPSG:3347"}},
+        "features": [{"type": "Feature", "properties": {"zone": str(k)}, "geometry": shape(k)} for k in keys],
+    }
     path = new_path(spark, "geojson")
     src.write_bytes(spark, f"{path}/zones.geojson", json.dumps(made).encode())
     g = src.read_geojson(spark, f"{path}/zones.geojson")
     areas = F.transform("rings", ring_area)
     total = F.when(F.col("geometry_type") == "Polygon", areas[0] - areas[1]).otherwise(F.aggregate(areas, F.lit(0.0), lambda a, x: a + x))
-    return g.select(F.col("properties")["zone"].alias("zone"), F.col("geometry_type").alias("kind"), "crs", F.size("rings").cast("long").alias("rings"), total.alias("area"))
+    return g.select(
+        F.col("properties")["zone"].alias("zone"),
+        F.col("geometry_type").alias("kind"),
+        "crs",
+        F.size("rings").cast("long").alias("rings"),
+        total.alias("area"),
+    )
 
 
-@query("r007_geoparquet", "SELECT n_nationkey, CAST(1 AS BIGINT) AS rings, CAST(n_nationkey + 3 AS DOUBLE) AS max_x, CAST(n_nationkey AS DOUBLE) AS px FROM nation")
+@query(
+    "r007_geoparquet",
+    "SELECT n_nationkey, CAST(1 AS BIGINT) AS rings, CAST(n_nationkey + 3 AS DOUBLE) AS max_x, CAST(n_nationkey AS DOUBLE) AS px FROM nation",
+)
 def _(spark, d):
     """Well-known binary of a triangle and of a point, little-endian, made and read back through Parquet."""
     n = table(spark, d, "nation").select("n_nationkey")
@@ -118,7 +146,12 @@ def _(spark, d):
     n.mapInPandas(made, "n_nationkey int, geometry binary, centre binary").write.parquet(path)
     g = src.read_wkb(spark.read.parquet(path), "geometry").withColumnRenamed("point", "none")
     g = src.read_wkb(g.drop("none").withColumnRenamed("rings", "outline"), "centre")
-    return g.select("n_nationkey", F.size("outline").cast("long").alias("rings"), F.array_max(F.transform(F.col("outline")[0], lambda q: q["x"])).alias("max_x"), F.col("point.x").alias("px"))
+    return g.select(
+        "n_nationkey",
+        F.size("outline").cast("long").alias("rings"),
+        F.array_max(F.transform(F.col("outline")[0], lambda q: q["x"])).alias("max_x"),
+        F.col("point.x").alias("px"),
+    )
 
 
 @query("r008_json_lines", "SELECT event_id, event_type, value FROM events")
@@ -128,7 +161,10 @@ def _(spark, d):
     return src.read_table(spark, f"{path}/events.jsonl").select("event_id", "event_type", "value")
 
 
-@query("r009_arrays_by_key", "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width, round(CAST(embedding[1] AS DOUBLE), 5) AS first, label = 1 AS mask FROM embeddings")
+@query(
+    "r009_arrays_by_key",
+    "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width, round(CAST(embedding[1] AS DOUBLE), 5) AS first, label = 1 AS mask FROM embeddings",
+)
 def _(spark, d):
     """Dense arrays and masks live in a table by key instead of in an archive by row order."""
     path = new_path(spark, "arrays")
@@ -153,7 +189,11 @@ def _(spark, d):
     path = new_path(spark, "both")
     src.write_both(table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), path)
     a, b = spark.read.parquet(f"{path}.parquet"), src.read_csv(spark, f"{path}.csv")
-    return b.join(a.select(F.col("key").cast("string").alias("key"), F.col("name").alias("other")), "key").select("key", "name", (F.col("name") == F.col("other")).alias("same"))
+    return b.join(a.select(F.col("key").cast("string").alias("key"), F.col("name").alias("other")), "key").select(
+        "key",
+        "name",
+        (F.col("name") == F.col("other")).alias("same"),
+    )
 
 
 @query("r014_partitions", "SELECT o_orderstatus AS split, count(*) AS n FROM orders GROUP BY 1")
@@ -163,17 +203,28 @@ def _(spark, d):
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("r015_geojson_sink", "SELECT CAST(zone_id AS VARCHAR) AS zone, CAST(5 AS BIGINT) AS points, CASE WHEN zone_id % 4 = 0 THEN NULL ELSE CAST(zone_id AS VARCHAR) END AS size FROM (SELECT DISTINCT c_nationkey AS zone_id FROM customer)")
+@query(
+    "r015_geojson_sink",
+    "SELECT CAST(zone_id AS VARCHAR) AS zone, CAST(5 AS BIGINT) AS points, CASE WHEN zone_id % 4 = 0 THEN NULL ELSE CAST(zone_id AS VARCHAR) END AS size FROM (SELECT DISTINCT c_nationkey AS zone_id FROM customer)",
+)
 def _(spark, d):
     """Features with NaN for every fourth value, read back from their lines."""
     from zonalyx.functions.scalar import grid_ring
 
-    z = zones(spark, d).select(F.col("zone_id").cast("string").alias("zone"), F.when(F.col("zone_id") % 4 == 0, float("nan")).otherwise(F.col("zone_id").cast("double")).alias("size"), F.array(grid_ring(F.concat(F.lit("grid25m_"), F.col("zone_id") * 25, F.lit("_0")))).alias("rings"))
+    z = zones(spark, d).select(
+        F.col("zone_id").cast("string").alias("zone"),
+        F.when(F.col("zone_id") % 4 == 0, float("nan")).otherwise(F.col("zone_id").cast("double")).alias("size"),
+        F.array(grid_ring(F.concat(F.lit("grid25m_"), F.col("zone_id") * 25, F.lit("_0")))).alias("rings"),
+    )
     path = new_path(spark, "geojson")
     legend = spark.createDataFrame([("low", "#ffffb2"), ("high", "#bd0026")], "label string, colour string")
     src.write_geojson(z, path, "rings", ["zone", "size"], legend)
     g = src.read_geojson(spark, f"{path}/features", multi_line=False)
-    return g.select(F.col("properties")["zone"].alias("zone"), F.size(F.col("rings")[0]).cast("long").alias("points"), F.regexp_replace(F.col("properties")["size"], r"\.0$", "").alias("size"))
+    return g.select(
+        F.col("properties")["zone"].alias("zone"),
+        F.size(F.col("rings")[0]).cast("long").alias("points"),
+        F.regexp_replace(F.col("properties")["size"], r"\.0$", "").alias("size"),
+    )
 
 
 @query("r016_text_sink", "SELECT 'zones: 25' AS text")
@@ -183,7 +234,10 @@ def _(spark, d):
     return spark.read.text(f"{path}/said.txt").select(F.col("value").alias("text"))
 
 
-@query("r018_index_outputs", "SELECT * FROM (VALUES ('intermediate_output'), ('metadata_json'), ('metadata_yaml'), ('missing_data_report_json'), ('run_report'), ('standard_output'), ('factor_summary'), ('validation_report_json'), ('validation_report_yaml')) t(label)")
+@query(
+    "r018_index_outputs",
+    "SELECT * FROM (VALUES ('intermediate_output'), ('metadata_json'), ('metadata_yaml'), ('missing_data_report_json'), ('run_report'), ('standard_output'), ('factor_summary'), ('validation_report_json'), ('validation_report_yaml')) t(label)",
+)
 def _(spark, d):
     from zonalyx.operators import aggregates as ag
     from zonalyx.operators import index as ix
@@ -193,7 +247,10 @@ def _(spark, d):
 
     z = zones(spark, d)
     scored, info = ix.get_index("factor_based")(z, FACTORS, keep=2)
-    summary = spark.createDataFrame(ix.factor_summary(info), "factor string, eigenvalue double, explained double, leading string, leading_positive string, leading_negative string, orientation string, rationale string, configured boolean")
+    summary = spark.createDataFrame(
+        ix.factor_summary(info),
+        "factor string, eigenvalue double, explained double, leading string, leading_positive string, leading_negative string, orientation string, rationale string, configured boolean",
+    )
     files = src.write_index(
         ix.standard_output(scored, "zone_id", "score", "factors"),
         new_path(spark, "index"),
@@ -220,7 +277,10 @@ def _(spark, d):
     return table(spark, d, "orders").limit(100).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("r017_content_hash", "SELECT sha256(string_agg(CAST(n_nationkey AS VARCHAR) || ',' || n_name || chr(10), '' ORDER BY n_nationkey)) AS sha256 FROM nation")
+@query(
+    "r017_content_hash",
+    "SELECT sha256(string_agg(CAST(n_nationkey AS VARCHAR) || ',' || n_name || chr(10), '' ORDER BY n_nationkey)) AS sha256 FROM nation",
+)
 def _(spark, d):
     path = new_path(spark, "manifest")
     n = table(spark, d, "nation").orderBy("n_nationkey").coalesce(1).sortWithinPartitions("n_nationkey")

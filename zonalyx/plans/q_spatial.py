@@ -33,13 +33,20 @@ def _triangles(spark, d):
     x, y = F.col("x0"), F.col("y0")
     a, b, c, e = _point(x, y), _point(x + SIDE, y), _point(x, y + SIDE), _point(x + SIDE, y + SIDE)
     name = lambda k: F.concat(x.cast("string"), F.lit("_"), y.cast("string"), F.lit(k))
-    both = F.array(F.struct(name("L").alias("zone"), F.array(F.array(a, b, c, a)).alias("rings")), F.struct(name("U").alias("zone"), F.array(F.array(b, e, c, b)).alias("rings")))
+    both = F.array(
+        F.struct(name("L").alias("zone"), F.array(F.array(a, b, c, a)).alias("rings")),
+        F.struct(name("U").alias("zone"), F.array(F.array(b, e, c, b)).alias("rings")),
+    )
     return _squares(spark, d).select(F.explode(both).alias("t")).select("t.*")
 
 
 def _points(spark, d):
     c = table(spark, d, "customer")
-    return c.select("c_custkey", F.when(F.col("c_custkey") % 50 != 7, F.round("c_acctbal", -1)).alias("x"), (F.col("c_custkey") * 10 % 1500).cast("double").alias("y"))
+    return c.select(
+        "c_custkey",
+        F.when(F.col("c_custkey") % 50 != 7, F.round("c_acctbal", -1)).alias("x"),
+        (F.col("c_custkey") * 10 % 1500).cast("double").alias("y"),
+    )
 
 
 _SQ = f"""sq AS (SELECT DISTINCT CAST(floor(c_acctbal / {SIDE}) * {SIDE} AS BIGINT) AS x0, CAST(floor(c_custkey / {SIDE}.0) * {SIDE} AS BIGINT) AS y0 FROM customer),
@@ -143,19 +150,32 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.round(x, 3).alias("x_on_axis"), (y > 1.0).alias("north"))
 
 
-@query("r156_repair", "SELECT n_nationkey, n_nationkey % 4 <> 3 AS valid_before, n_nationkey % 4 <> 1 AS valid_after, CASE WHEN n_nationkey % 4 = 2 THEN CAST(NULL AS DOUBLE) WHEN n_nationkey % 4 = 1 THEN 0.0 ELSE 16.0 END AS area FROM (SELECT n_nationkey, n_nationkey % 4 AS k FROM nation) WHERE k <> 2 AND k <> 1 UNION ALL SELECT n_nationkey, false, false, NULL FROM nation WHERE n_nationkey % 4 IN (1, 2)")
+@query(
+    "r156_repair",
+    "SELECT n_nationkey, n_nationkey % 4 <> 3 AS valid_before, n_nationkey % 4 <> 1 AS valid_after, CASE WHEN n_nationkey % 4 = 2 THEN CAST(NULL AS DOUBLE) WHEN n_nationkey % 4 = 1 THEN 0.0 ELSE 16.0 END AS area FROM (SELECT n_nationkey, n_nationkey % 4 AS k FROM nation) WHERE k <> 2 AND k <> 1 UNION ALL SELECT n_nationkey, false, false, NULL FROM nation WHERE n_nationkey % 4 IN (1, 2)",
+)
 def _(spark, d):
     # 0: a square; 1: a ring that crosses itself; 2: a line there and back; 3: a square not closed, with a repeated point
     at = lambda *xy: F.array(*[_point(F.lit(x), F.lit(y)) for x, y in xy])
     k = F.col("n_nationkey") % 4
-    ring = F.when(k == 0, at((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))).when(k == 1, at((0, 0), (4, 4), (4, 0), (0, 3), (0, 0))).when(k == 2, at((0, 0), (4, 0), (0, 0))).otherwise(at((0, 0), (4, 0), (4, 0), (4, 4), (0, 4)))
+    ring = F.when(k == 0, at((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))).when(k == 1, at((0, 0), (4, 4), (4, 0), (0, 3), (0, 0))).when(k == 2, at((0, 0), (4, 0), (0, 0))).otherwise(
+        at((0, 0), (4, 0), (4, 0), (4, 4), (0, 4))
+    )
     n = table(spark, d, "nation").select("n_nationkey", F.array(ring).alias("rings"))
     n = n.withColumn("after", sp.repair(F.col("rings")))
     ok = sp.valid_polygon(F.col("after"))
-    return n.select("n_nationkey", sp.valid_polygon(F.col("rings")).alias("valid_before"), F.coalesce(ok, F.lit(False)).alias("valid_after"), F.when(ok, s.ring_area(F.col("after")[0])).alias("area"))
+    return n.select(
+        "n_nationkey",
+        sp.valid_polygon(F.col("rings")).alias("valid_before"),
+        F.coalesce(ok, F.lit(False)).alias("valid_after"),
+        F.when(ok, s.ring_area(F.col("after")[0])).alias("area"),
+    )
 
 
-@query("r159_pairwise_distances", "WITH z AS (SELECT c_nationkey AS zone_id, CAST(count(*) AS DOUBLE) AS x, avg(c_acctbal) AS y FROM customer GROUP BY 1) SELECT a.zone_id AS source, b.zone_id AS target, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM z a, z b")
+@query(
+    "r159_pairwise_distances",
+    "WITH z AS (SELECT c_nationkey AS zone_id, CAST(count(*) AS DOUBLE) AS x, avg(c_acctbal) AS y FROM customer GROUP BY 1) SELECT a.zone_id AS source, b.zone_id AS target, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM z a, z b",
+)
 def _(spark, d):
     z = zones(spark, d).select("zone_id", F.col("population").cast("double").alias("x"), F.col("balance").alias("y"))
     return sp.pairwise_distances(z, "zone_id").withColumn("distance", r6("distance"))
@@ -168,12 +188,21 @@ def _random_pairs(spark, d):
     return table(spark, d, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 997).alias("target"))
 
 
-@query("r160_rewire_degrees", f"WITH {_PAIRS} SELECT node, count(*) AS degree, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS repeats FROM (SELECT u AS node FROM p UNION ALL SELECT v FROM p) GROUP BY 1")
+@query(
+    "r160_rewire_degrees",
+    f"WITH {_PAIRS} SELECT node, count(*) AS degree, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS repeats FROM (SELECT u AS node FROM p UNION ALL SELECT v FROM p) GROUP BY 1",
+)
 def _(spark, d):
     """What a rewired graph must keep: each node's degree; and it has no loops and no repeated edges."""
     e = g.rewire(_random_pairs(spark, d))
-    ends = e.select(F.col("source").alias("node"), F.col("target").alias("other")).unionByName(e.select(F.col("target").alias("node"), F.col("source").alias("other")))
-    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.count_if(F.col("node") == F.col("other")).alias("loops"), (F.count(F.lit(1)) - F.count_distinct("other")).alias("repeats"))
+    ends = e.select(F.col("source").alias("node"), F.col("target").alias("other")).unionByName(
+        e.select(F.col("target").alias("node"), F.col("source").alias("other"))
+    )
+    return ends.groupBy("node").agg(
+        F.count(F.lit(1)).alias("degree"),
+        F.count_if(F.col("node") == F.col("other")).alias("loops"),
+        (F.count(F.lit(1)) - F.count_distinct("other")).alias("repeats"),
+    )
 
 
 @query("r160_rewire")
@@ -181,14 +210,21 @@ def _(spark, d):
     return g.rewire(_random_pairs(spark, d))
 
 
-@query("r161_placebo_degrees", f"WITH {_N} SELECT source, count(*) AS out_degree, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS other_months FROM edges WHERE edge_type = 'knn' GROUP BY 1")
+@query(
+    "r161_placebo_degrees",
+    f"WITH {_N} SELECT source, count(*) AS out_degree, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS other_months FROM edges WHERE edge_type = 'knn' GROUP BY 1",
+)
 def _(spark, d):
     """What placebo edges must keep: each source's out-degree; no loops, and targets of the source's month."""
     n = _nodes(spark, d)
     e = g.placebo_edges(g.month_edges(_pairs(spark, d), n, "zone_id", "m", "knn"), n, "m")
     of = lambda end: n.select(F.col("node_id").alias(end), F.col("m").alias(f"{end}_m"))
     e = e.join(of("source"), "source").join(of("target"), "target")
-    return e.groupBy("source").agg(F.count(F.lit(1)).alias("out_degree"), F.count_if(F.col("source") == F.col("target")).alias("loops"), F.count_if(F.col("source_m") != F.col("target_m")).alias("other_months"))
+    return e.groupBy("source").agg(
+        F.count(F.lit(1)).alias("out_degree"),
+        F.count_if(F.col("source") == F.col("target")).alias("loops"),
+        F.count_if(F.col("source_m") != F.col("target_m")).alias("other_months"),
+    )
 
 
 @query(

@@ -18,17 +18,26 @@ def _(spark, d):
     return w.percentile_rank(table(spark, d, "part"), "p_size", "pr").select("p_partkey", r6("pr", "pr"))
 
 
-@query("r086_percentile_rank_desc_average", "SELECT p_partkey, round((rank() OVER (ORDER BY p_size DESC) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 - 1) / (count(p_size) OVER () - 1.0), 6) AS pr FROM part")
+@query(
+    "r086_percentile_rank_desc_average",
+    "SELECT p_partkey, round((rank() OVER (ORDER BY p_size DESC) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 - 1) / (count(p_size) OVER () - 1.0), 6) AS pr FROM part",
+)
 def _(spark, d):
     return w.percentile_rank(table(spark, d, "part"), "p_size", "pr", ascending=False, method="average").select("p_partkey", r6("pr", "pr"))
 
 
-@query("r087_competition_rank", "SELECT c_custkey, c_mktsegment, CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) AS BIGINT) AS place FROM customer")
+@query(
+    "r087_competition_rank",
+    "SELECT c_custkey, c_mktsegment, CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) AS BIGINT) AS place FROM customer",
+)
 def _(spark, d):
     return w.competition_rank(table(spark, d, "customer"), "c_acctbal", "place", by=["c_mktsegment"]).select("c_custkey", "c_mktsegment", "place")
 
 
-@query("r088_average_rank", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS mid FROM part")
+@query(
+    "r088_average_rank",
+    "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS mid FROM part",
+)
 def _(spark, d):
     return w.rank_over(table(spark, d, "part"), "p_size", "mid", by=["p_brand"], method="average").select("p_partkey", "mid")
 
@@ -43,12 +52,18 @@ def _(spark, d):
     return p.select("p_partkey", "most", "dense", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")).cast("long").alias("first"))
 
 
-@query("r090_ordinal_position", "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, CAST(c_custkey AS VARCHAR)) AS BIGINT) AS pos FROM customer")
+@query(
+    "r090_ordinal_position",
+    "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, CAST(c_custkey AS VARCHAR)) AS BIGINT) AS pos FROM customer",
+)
 def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", w.position("c_acctbal", "c_custkey", ["c_nationkey"]).alias("pos"))
 
 
-@query("r091_lag_features", f"WITH {PANEL} SELECT zone_id, period_month, lag(y, 1) OVER z AS y_lag_1, lag(y, 12) OVER z AS y_lag_12 FROM panel WINDOW z AS (PARTITION BY zone_id ORDER BY period_month)")
+@query(
+    "r091_lag_features",
+    f"WITH {PANEL} SELECT zone_id, period_month, lag(y, 1) OVER z AS y_lag_1, lag(y, 12) OVER z AS y_lag_12 FROM panel WINDOW z AS (PARTITION BY zone_id ORDER BY period_month)",
+)
 def _(spark, d):
     return panel(spark, d).select("zone_id", O, w.lag("y", 1, Z, O).alias("y_lag_1"), w.lag("y", 12, Z, O).alias("y_lag_12"))
 
@@ -59,7 +74,10 @@ def _(spark, d):
     return panel(spark, d).select("zone_id", O, r6(w.rolling_before("y", 3, Z, O), "mean_3"), w.rolling_before("y", 12, Z, O, "sum").alias("sum_12"))
 
 
-@query("r093_expanding_before", f"WITH {PANEL} SELECT zone_id, period_month, round(avg(y) OVER (PARTITION BY zone_id ORDER BY period_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS mean_before FROM panel")
+@query(
+    "r093_expanding_before",
+    f"WITH {PANEL} SELECT zone_id, period_month, round(avg(y) OVER (PARTITION BY zone_id ORDER BY period_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS mean_before FROM panel",
+)
 def _(spark, d):
     return panel(spark, d).select("zone_id", O, r6(w.expanding_before("y", Z, O), "mean_before"))
 
@@ -73,7 +91,12 @@ def _(spark, d):
 @query("r095_future_targets", f"""WITH {PANEL}, f AS (SELECT zone_id, period_month, sum(y) OVER w AS s, count(*) OVER w AS n FROM panel WINDOW w AS (PARTITION BY zone_id ORDER BY period_month ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))
     SELECT zone_id, period_month, CAST(CASE WHEN n = 3 THEN s END AS BIGINT) AS target_next_3, n = 3 AS target_next_3_complete FROM f""")
 def _(spark, d):
-    return panel(spark, d).withColumn("target_next_3", w.future_sum("y", 3, Z, O)).select("zone_id", O, "target_next_3", F.col("target_next_3").isNotNull().alias("target_next_3_complete"))
+    return panel(spark, d).withColumn("target_next_3", w.future_sum("y", 3, Z, O)).select(
+        "zone_id",
+        O,
+        "target_next_3",
+        F.col("target_next_3").isNotNull().alias("target_next_3_complete"),
+    )
 
 
 @query("r096_seasonal_prior_mean", f"""WITH {PANEL} SELECT zone_id, period_month, round(coalesce(avg(y) OVER (PARTITION BY zone_id, right(period_month, 2) ORDER BY period_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
@@ -84,7 +107,10 @@ def _(spark, d):
     return p.crossJoin(whole).select("zone_id", O, r6(F.coalesce(w.expanding_before("y", ["zone_id", "m"], O), "whole"), "prior"))
 
 
-@query("r097_target_window", f"WITH {PANEL} SELECT DISTINCT period_month, strftime(CAST(period_month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS window_start, strftime(CAST(period_month || '-01' AS DATE) + INTERVAL 6 MONTH, '%Y-%m') AS window_end FROM panel")
+@query(
+    "r097_target_window",
+    f"WITH {PANEL} SELECT DISTINCT period_month, strftime(CAST(period_month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS window_start, strftime(CAST(period_month || '-01' AS DATE) + INTERVAL 6 MONTH, '%Y-%m') AS window_end FROM panel",
+)
 def _(spark, d):
     o = s.month_ordinal(F.col(O))
     return panel(spark, d).select(O).distinct().select(O, s.month_of(o + 1).alias("window_start"), s.month_of(o + 6).alias("window_end"))
@@ -95,7 +121,10 @@ def _(spark, d):
     return panel(spark, d).select("zone_id", O, r6(w.share_of_total("y", [O]), "share"))
 
 
-@query("r099_running_sum", f"WITH {PANEL} SELECT zone_id, period_month, CAST(sum(y) OVER (PARTITION BY zone_id ORDER BY period_month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS so_far FROM panel")
+@query(
+    "r099_running_sum",
+    f"WITH {PANEL} SELECT zone_id, period_month, CAST(sum(y) OVER (PARTITION BY zone_id ORDER BY period_month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS so_far FROM panel",
+)
 def _(spark, d):
     return panel(spark, d).select("zone_id", O, w.running_sum("y", Z, F.col(O)).alias("so_far"))
 
@@ -133,22 +162,34 @@ def _(spark, d):
     return fr.dense_id(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "id", "o_orderdate", "o_orderkey").select("o_orderkey", "id")
 
 
-@query("r106_multi_key_sort", f"WITH {ZONES} SELECT zone_id, CAST(row_number() OVER (ORDER BY population DESC, balance ASC, zone_id) AS BIGINT) AS place FROM zones")
+@query(
+    "r106_multi_key_sort",
+    f"WITH {ZONES} SELECT zone_id, CAST(row_number() OVER (ORDER BY population DESC, balance ASC, zone_id) AS BIGINT) AS place FROM zones",
+)
 def _(spark, d):
     placed = fr.dense_id(zones(spark, d), "i", F.desc("population"), F.asc("balance"), "zone_id")
     return placed.select("zone_id", (F.col("i") + 1).alias("place"))
 
 
-@query("r107_top_share", "SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r, greatest(1, ceil(count(*) OVER (PARTITION BY c_nationkey) * 0.1)) AS k FROM customer) WHERE r <= k")
+@query(
+    "r107_top_share",
+    "SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r, greatest(1, ceil(count(*) OVER (PARTITION BY c_nationkey) * 0.1)) AS k FROM customer) WHERE r <= k",
+)
 def _(spark, d):
     from pyspark.sql import Window
 
     c = table(spark, d, "customer")
     k = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("c_nationkey")) * 0.1))
-    return c.withColumn("k", k).withColumn("r", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))).where("r <= k").select("c_custkey", "c_nationkey")
+    return c.withColumn("k", k).withColumn("r", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))).where("r <= k").select(
+        "c_custkey",
+        "c_nationkey",
+    )
 
 
-@query("r108_top_ids_joined", f"WITH {PANEL}, r AS (SELECT *, row_number() OVER (PARTITION BY period_month ORDER BY y DESC, zone_id) AS r FROM panel) SELECT period_month, string_agg(CAST(zone_id AS VARCHAR), ';' ORDER BY r) AS top_zones FROM r WHERE r <= 3 GROUP BY 1")
+@query(
+    "r108_top_ids_joined",
+    f"WITH {PANEL}, r AS (SELECT *, row_number() OVER (PARTITION BY period_month ORDER BY y DESC, zone_id) AS r FROM panel) SELECT period_month, string_agg(CAST(zone_id AS VARCHAR), ';' ORDER BY r) AS top_zones FROM r WHERE r <= 3 GROUP BY 1",
+)
 def _(spark, d):
     from pyspark.sql import Window
 
@@ -157,9 +198,15 @@ def _(spark, d):
     return r.groupBy(O).agg(F.array_join(ids, ";").alias("top_zones"))
 
 
-@query("r109_best_row_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+@query(
+    "r109_best_row_per_group",
+    "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1",
+)
 def _(spark, d):
-    return fr.first_per_key(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], F.desc("o_totalprice"), F.col("o_orderkey")).select("o_custkey", "o_orderkey")
+    return fr.first_per_key(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], F.desc("o_totalprice"), F.col("o_orderkey")).select(
+        "o_custkey",
+        "o_orderkey",
+    )
 
 
 @query("r111_limit_head", "SELECT p_partkey, p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")

@@ -22,7 +22,15 @@ from pyspark.sql import types as T
 ENCODINGS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252", "utf-16": "UTF-16"}
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "UTF-8", sep: str = ",", all_columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    columns: list[str] | None = None,
+    encoding: str = "UTF-8",
+    sep: str = ",",
+    all_columns: list[str] | None = None,
+    multi_line: bool = True,
+) -> DataFrame:
     """A CSV with header as text columns; the columns named, all if none are.
 
     Quoted fields may hold line feeds, for which a file is read by one task; with
@@ -146,7 +154,13 @@ def read_geojson(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
 def read_wkb(df: DataFrame, wkb: str = "geometry") -> DataFrame:
     """df with rings (polygons and multipolygons) and point, from a column of well-known binary, as GeoParquet has it."""
-    schema = T.StructType([*df.schema.fields, T.StructField("rings", T._parse_datatype_string(f"array<array<{_POINT}>>")), T.StructField("point", T._parse_datatype_string(_POINT))])
+    schema = T.StructType(
+        [
+            *df.schema.fields,
+            T.StructField("rings", T._parse_datatype_string(f"array<array<{_POINT}>>")),
+            T.StructField("point", T._parse_datatype_string(_POINT)),
+        ]
+    )
     names = df.columns
 
     def run(batches):
@@ -362,7 +376,12 @@ def features(df: DataFrame, rings: str, properties: list[str]) -> DataFrame:
     clean = [F.when(finite(c), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in properties]
     pairs = F.transform(F.col(rings), lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
     geometry = F.when(F.col(rings).isNotNull(), F.struct(F.lit("Polygon").alias("type"), pairs.alias("coordinates")))
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*clean).alias("properties"), geometry.alias("geometry")), {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(
+        F.to_json(
+            F.struct(F.lit("Feature").alias("type"), F.struct(*clean).alias("properties"), geometry.alias("geometry")),
+            {"ignoreNullFields": "false"},
+        ).alias("value")
+    )
 
 
 def write_geojson(df: DataFrame, path: str, rings: str, properties: list[str], legend: DataFrame | None = None) -> None:
@@ -417,7 +436,16 @@ def report(title: str, df: DataFrame, order: list[str], n: int = 10) -> str:
     return "\n".join([*lines, ""])
 
 
-def write_index(df: DataFrame, path: str, metadata: dict, order: list[str], intermediate: DataFrame | None = None, issues: DataFrame | None = None, missing: DataFrame | None = None, extra: dict[str, DataFrame] | None = None) -> dict[str, str]:
+def write_index(
+    df: DataFrame,
+    path: str,
+    metadata: dict,
+    order: list[str],
+    intermediate: DataFrame | None = None,
+    issues: DataFrame | None = None,
+    missing: DataFrame | None = None,
+    extra: dict[str, DataFrame] | None = None,
+) -> dict[str, str]:
     """All outputs of an index run; label to path.
 
     standard_output and intermediate_output (each Parquet and CSV), metadata and
@@ -433,7 +461,10 @@ def write_index(df: DataFrame, path: str, metadata: dict, order: list[str], inte
         table.write.mode("overwrite").option("header", True).csv(f"{path}/{label}.csv")
         files[label] = f"{path}/{label}.csv"
     found = [r.asDict() for r in issues.collect()] if issues is not None else []
-    reports = {"metadata": {**metadata, "fingerprint": fingerprint(metadata)}, "validation_report": {"is_valid": not any(i["severity"] == "error" for i in found), "issues": found}}
+    reports = {
+        "metadata": {**metadata, "fingerprint": fingerprint(metadata)},
+        "validation_report": {"is_valid": not any(i["severity"] == "error" for i in found), "issues": found},
+    }
     for label, value in reports.items():
         files[f"{label}_json"], files[f"{label}_yaml"] = f"{path}/{label}.json", f"{path}/{label}.yaml"
         write_text(files[f"{label}_json"], canonical_json(value))
