@@ -153,7 +153,13 @@ def turns_from_table(df: DataFrame, id_col: str = "id") -> DataFrame:
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     if layout.rows:
         conv, turn, role, body = layout.rows
-        return df.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), _role(F.col(role)).alias("role"), text(F.col(body)).alias("text"), name)
+        return df.select(
+            F.col(conv).alias("conv_id"),
+            F.col(turn).cast("long").alias("turn"),
+            _role(F.col(role)).alias("role"),
+            text(F.col(body)).alias("text"),
+            name,
+        )
     if layout.items:
         field, role, body = layout.items
         flat = df.select(F.col(f"`{id_col}`").alias("conv_id"), F.posexplode(field).alias("turn", "__t"))
@@ -193,7 +199,14 @@ def format_turns(turns: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "head", "body")
     width = F.octet_length("head") + F.octet_length("body") + len(CLOSE) + 1
     start = F.coalesce(F.sum(width).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.octet_length("head")
-    rows = rows.select("conv_id", F.row_number().over(order).alias("no"), "loss", start.alias("start"), F.octet_length("body").cast("long").alias("length"), F.concat("head", "body", F.lit(CLOSE + "\n")).alias("part"))
+    rows = rows.select(
+        "conv_id",
+        F.row_number().over(order).alias("no"),
+        "loss",
+        start.alias("start"),
+        F.octet_length("body").cast("long").alias("length"),
+        F.concat("head", "body", F.lit(CLOSE + "\n")).alias("part"),
+    )
     parts = F.sort_array(F.collect_list(F.struct("no", "start", "length", "loss", "part"))).alias("parts")
     got = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), parts)
     spans = F.transform(F.filter("parts", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
@@ -222,7 +235,12 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What reading the output back gives, as counts and digests."""
-    got = formatted.select("conv_id", read_turns(F.col("formatted")).alias("turns"), F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    got = formatted.select(
+        "conv_id",
+        read_turns(F.col("formatted")).alias("turns"),
+        F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return got.select(
         "conv_id",

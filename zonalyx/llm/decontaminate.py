@@ -181,7 +181,11 @@ def _scanner(shared, names: list[str], carry: int, at_text: int):
             for d, i in zip(docs.tolist(), found.tolist(), strict=True):
                 items[d].append(index.names[i])
             spans = [_spans(hit[end - len(x) : end]) if i else [] for x, end, i in zip(todo, ends.tolist(), items, strict=True)]
-            made = [pa.array([len(x) for x in todo], pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+            made = [
+                pa.array([len(x) for x in todo], pa.int64()),
+                pa.array(spans, pa.list_(pa.int32())),
+                pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+            ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:carry], *made], names=[*names, "m0", "m1", "m2"])
 
     return run
@@ -225,7 +229,17 @@ def _blocks(benchmark: DataFrame, text_col: str, id_col: str, window: int, index
 MADE = ("__n_words", "__spans", "__items")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", *, item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, index_bytes: int = INDEX_BYTES, carry: list[str] | None = None) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    *,
+    item_text: str = "text",
+    item_id: str = "item_id",
+    window: int = WINDOW,
+    index_bytes: int = INDEX_BYTES,
+    carry: list[str] | None = None,
+) -> DataFrame:
     """The columns carry of docs (all, where not given) with __n_words, __spans (word numbers: start, end, ...) and __items (sorted ids).
 
     Null and empty texts have no words, hence no spans. An item without words has

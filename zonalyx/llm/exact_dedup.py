@@ -39,7 +39,11 @@ def collapse(text: Column) -> Column:
 
 def _groups(df: DataFrame, text_col: str, id_col: str, normalise, keep_largest: bool, carry: list[str]) -> DataFrame:
     """carry plus the helper columns __xd_id, __xd_sha, __xd_keep, __xd_size, __xd_rank (1: the row that stays)."""
-    base = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{id_col}`").alias(_P + "id"), F.coalesce(normalise(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), F.lit("")).alias(_P + "text"))
+    base = df.select(
+        *[F.col(f"`{c}`") for c in carry],
+        F.col(f"`{id_col}`").alias(_P + "id"),
+        F.coalesce(normalise(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), F.lit("")).alias(_P + "text"),
+    )
     base = base.withColumn(_P + "hash", F.xxhash64(_P + "text"))
     limit = max(MIN_HOT_ROWS, df.count() // HOT_SHARE)
     hot = base.groupBy(_P + "hash").agg(F.count(F.lit(1)).alias(_P + "n")).where(F.col(_P + "n") > limit)

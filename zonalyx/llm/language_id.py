@@ -122,10 +122,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.flatnonzero(c)
             at.append(found)
             n.append(c[found])
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["lang", "order", "at", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(1), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))],
+            names=["lang", "order", "at", "n"],
+        )
 
 
-def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], n_classes: int, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], n_classes: int, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, epochs: int = 4) -> tuple[
+    np.ndarray,
+    np.ndarray,
+]:
     """FTRL-proximal over (class, buckets, TF-IDF values); elastic net by l1 and l2. Weights (buckets x classes) and bias."""
     z, n = np.zeros((N_BUCKETS + 1, n_classes)), np.zeros((N_BUCKETS + 1, n_classes))
 
@@ -177,7 +183,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text is not null and lang is not null")
     # a row per bucket and task, summed by bucket: at most N_BUCKETS + 1 rows come back
-    seen = {r.bucket: r.n for r in rows.select("text").mapInArrow(_document_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    seen = {
+        r.bucket: r.n for r in rows.select("text").mapInArrow(_document_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    }
     n_docs = seen.pop(-1, 0)
     df = np.zeros(N_BUCKETS)
     df[list(seen)] = list(seen.values())
@@ -188,7 +196,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
         return Model([], idf, np.zeros((N_BUCKETS, 0)), np.zeros(0))
     share = max(1, max_train // len(languages))
     order = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    bound = F.element_at(F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(1 << 30, math.ceil((1 << 30) * share / sizes[lang])))]), F.col("lang"))
+    bound = F.element_at(
+        F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(1 << 30, math.ceil((1 << 30) * share / sizes[lang])))]),
+        F.col("lang"),
+    )
     sample = rows.withColumn("order", order).where(F.col("order") < bound)
     sample = sample.groupBy("lang", "order", F.xxhash64("text").alias("h")).agg(F.any_value("text").alias("text"))
     got = sample.select("text", "lang", "order").mapInArrow(_features, "lang string, order long, at array<int>, n array<int>")

@@ -105,10 +105,19 @@ def _best_run(places: Column, t: Column) -> Column:
 
         return F.array_min(F.transform(F.filter(q, lambda e: e["hit"] == 1), run))
 
-    return _let(F.transform(places, lambda e: F.struct(e["p"].alias("p"), e["before"].alias("before"), F.array_contains(t["grams"], e["b"]).cast("int").alias("hit"))), search)
+    return _let(
+        F.transform(places, lambda e: F.struct(e["p"].alias("p"), e["before"].alias("before"), F.array_contains(t["grams"], e["b"]).cast("int").alias("hit"))),
+        search,
+    )
 
 
-def scan_licenses(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def scan_licenses(
+    df: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    threshold: float = THRESHOLD,
+    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+) -> DataFrame:
     """One row per input row: id, n_units, n_matches, licenses, best_license, best_dice.
 
     n_units counts the whole text, its blocks and its lines; n_matches counts pairs of a
@@ -135,20 +144,35 @@ def scan_licenses(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         return out
 
     base = df.select(F.col(f"`{id_col}`").alias("id"), units.alias("all_units"), anchored(text).alias("any"), text.alias("text"))
-    base = base.select("id", F.size("all_units").alias("n_units"), F.when(F.col("any"), F.filter("all_units", anchored)).otherwise(F.array().cast("array<string>")).alias("units"), F.when(F.col("any"), F.col("text")).otherwise("").alias("text"))
+    base = base.select(
+        "id",
+        F.size("all_units").alias("n_units"),
+        F.when(F.col("any"), F.filter("all_units", anchored)).otherwise(F.array().cast("array<string>")).alias("units"),
+        F.when(F.col("any"), F.col("text")).otherwise("").alias("text"),
+    )
     # a set is never larger than its words less one: units with fewer words than any template allows end here
     words = F.filter(F.transform("units", lambda u: F.regexp_extract_all(u, F.lit(WORD), 0)), lambda w: F.size(w) > least)
     grams = F.filter(F.transform(words, _bigrams), lambda g: F.size(g).between(least, most))
 
     def compare(g: Column) -> Column:
         fits = F.filter(known, lambda t: F.size(g).between(t["lo"], t["hi"]))
-        return F.transform(fits, lambda t: F.struct((-2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + F.size(t["grams"]))).alias("less"), t["name"].alias("name"), t["k"].alias("k")))
+        return F.transform(
+            fits,
+            lambda t: F.struct(
+                (-2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + F.size(t["grams"]))).alias("less"),
+                t["name"].alias("name"),
+                t["k"].alias("k"),
+            ),
+        )
 
     def runs(pairs: Column, found: Column) -> Column:
         """The matches of runs of words with templates that are not among those found."""
         open_ = F.filter(known, lambda t: ~F.exists(found, lambda m: m["k"] == t["k"]))
         near = _let(F.array_intersect(pairs, every), lambda c: F.filter(open_, lambda t: F.size(F.array_intersect(c, t["grams"])) >= t["lo"]))
-        search = lambda ts: _let(_places(pairs), lambda p: F.transform(ts, lambda t: F.struct(_best_run(p, t).alias("less"), t["name"].alias("name"), t["k"].alias("k"))))
+        search = lambda ts: _let(
+            _places(pairs),
+            lambda p: F.transform(ts, lambda t: F.struct(_best_run(p, t).alias("less"), t["name"].alias("name"), t["k"].alias("k"))),
+        )
         return _let(near, lambda ts: F.when(F.size(ts) > 0, F.filter(search(ts), lambda m: m["less"] <= -threshold)).otherwise(F.slice(found, 1, 0)))
 
     found = F.filter(F.flatten(F.transform("grams", compare)), lambda m: m["less"] <= -threshold)

@@ -153,7 +153,11 @@ def train(docs: DataFrame, is_train: Column, vocabulary: tuple[list[bytes], np.n
     """
     spark = ship(docs.sparkSession)
     words = count_words(docs.select(F.col(f"`{text_col}`").alias("text"), F.coalesce(is_train, F.lit(False)).alias("is_train")))
-    stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("texts")).first()
+    stats = words.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+        F.count_if(F.col("c") > 0).alias("v"),
+        F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("texts"),
+    ).first()
     pieces, prior = vocabulary
     p, end = prior, 0.5
     seen = words.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", "c")
@@ -235,7 +239,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", hot_words: int
     shared = spark.sparkContext.broadcast((words, c > 0, logs))
     carry = [x for x in (docs.columns if carry is None else carry) if x.lower() not in MADE]
     given, names, at_text = with_text(docs, carry, text_col)
-    kinds = {"m_tokens": T.LongType(), "m_known": T.LongType(), "m_base": T.DoubleType(), "m_score": T.DoubleType(), "m_mix": T.DoubleType(), "m_rare": T.ArrayType(T.BinaryType())}
+    kinds = {
+        "m_tokens": T.LongType(),
+        "m_known": T.LongType(),
+        "m_base": T.DoubleType(),
+        "m_score": T.DoubleType(),
+        "m_mix": T.DoubleType(),
+        "m_rare": T.ArrayType(T.BinaryType()),
+    }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known, logs = shared.value

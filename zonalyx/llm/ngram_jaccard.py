@@ -67,7 +67,19 @@ _CACHE_BYTES, _WORD_COST, _SEEN = 16 << 20, 120, 100_000
 #: Shingles and sets that a task packs at once; a set's number in a pack is a short.
 _PACK, _PACK_SETS = 3 << 19, 32_000
 _BATCH = 100_000
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+_FACTORS = np.array(
+    [
+        0x9E3779B97F4A7C15,
+        0xC2B2AE3D27D4EB4F,
+        0x165667B19E3779F9,
+        0xD6E8FEB86659FD93,
+        0xA0761D6478BD642F,
+        0xE7037ED1A0B428DB,
+        0x8EBC6AF09C88C6E3,
+        0x589965CC75374CC3,
+    ],
+    np.uint64,
+)
 
 
 class _WordHashes(dict):
@@ -154,7 +166,10 @@ def _first_pass(size: int, kind: pa.DataType):
                     sketch += _sketched(todo)
                     todo, held = [], 0
             empty = [pa.nulls(len(n), t) for t in types[5:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), batch.column(2), pa.array(n, types[2]), pa.array(cls, types[3]), pa.array(parts, types[4]), *empty], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(kind), batch.column(2), pa.array(n, types[2]), pa.array(cls, types[3]), pa.array(parts, types[4]), *empty],
+                names=names,
+            )
         sketch += _sketched(todo)
         used = [b for b in range(len(sketch) // _BLOCK) if sketch[b * _BLOCK : (b + 1) * _BLOCK].any()]
         blobs = [zlib.compress(sketch[b * _BLOCK : (b + 1) * _BLOCK].tobytes(), 1) for b in used]
@@ -277,7 +292,10 @@ def _counted(shared, bits: int):
             token, at, key = token[key > 1] + (to << 32), at[key > 1], key[key > 1]
         for k in range(0, len(token), _BATCH):
             p = slice(k, k + _BATCH)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[p], cls[at[p]], n[at[p]], n_tokens[at[p]], key[p])], names=["sh", "cls", "n", "n_tokens", "key"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (token[p], cls[at[p]], n[at[p]], n_tokens[at[p]], key[p])],
+                names=["sh", "cls", "n", "n_tokens", "key"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows = None, []
@@ -302,7 +320,10 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, total: int, documents: int, s
     level = np.where(counts >= limit, counts, 0).astype(np.uint32)
     hot_parts = int(level.sum(dtype=np.int64)) // ENTRIES + 1
     shared = docs.sparkSession.sparkContext.broadcast(level)
-    packs = docs.select("text").mapInArrow(_packs(shared, size, bits, hot_parts), "to int, low array<int>, wide array<long>, who array<short>, cls array<long>, n array<int>, n_tokens array<int>")
+    packs = docs.select("text").mapInArrow(
+        _packs(shared, size, bits, hot_parts),
+        "to int, low array<int>, wide array<long>, who array<short>, cls array<long>, n array<int>, n_tokens array<int>",
+    )
     partitions = min(MAX_PARTITIONS, (1 << bits) + hot_parts)
     dealt = packs.repartitionById(partitions, F.col("to") % partitions).sortWithinPartitions("to")
     found = dealt.mapInArrow(_counted(shared, bits), "sh long, cls long, n int, n_tokens int, key long")
@@ -353,7 +374,11 @@ def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
 
 def _star_pairs(rows: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
     """(a, b): each class with the partner from another component that it shares most prefix shingles with as their centre."""
-    centre = rows.groupBy("sh").agg(F.max(F.struct("deg", "comp", "cls", "n")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    centre = rows.groupBy("sh").agg(
+        F.max(F.struct("deg", "comp", "cls", "n")).alias("c"),
+        F.min("comp").alias("lo"),
+        F.max("comp").alias("hi"),
+    ).where("lo != hi")
     pairs = rows.join(_by_part(rows, centre), ["sh", "part"]).where((F.col("comp") != F.col("c.comp")) & _lengths_fit("n", "c.n", percent))
     pairs = pairs.groupBy(F.col("cls").alias("b"), F.col("c.cls").alias("a")).agg(F.count(F.lit(1)).alias("k"))
     best = _untried(pairs, tried).groupBy("b").agg(F.max(F.struct("k", "a")).alias("m"))
@@ -369,7 +394,16 @@ def _open_pairs(rows: DataFrame, tried: DataFrame | None, classes: DataFrame, pe
     sizes = rows.groupBy("sh", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("sh").agg(F.max(F.struct("m", "comp"))["comp"].alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     index = F.col("n") - F.ceil(F.col("n") * 2 * percent / F.lit(float(100 + percent)) - 1e-9) + 1
-    marked = rows.join(_by_part(rows, mixed), ["sh", "part"]).select("sh", "part", "cls", "n", "pos", "comp", (F.col("comp") != F.col("top")).alias("minor"), (F.col("pos") < index).alias("short"))
+    marked = rows.join(_by_part(rows, mixed), ["sh", "part"]).select(
+        "sh",
+        "part",
+        "cls",
+        "n",
+        "pos",
+        "comp",
+        (F.col("comp") != F.col("top")).alias("minor"),
+        (F.col("pos") < index).alias("short"),
+    )
     marked = keep(marked.join(classes.select("cls", "parts"), "cls"), "jaccard-open")
     x = marked.where("minor").withColumn("part", F.explode(F.when(F.col("part") > 0, F.sequence(F.lit(1), F.lit(HOT_PARTS))).otherwise(F.array(F.lit(0)))))
     x = x.select("sh", "part", *(F.col(c).alias(f"a_{c}") for c in ("cls", "n", "pos", "comp", "short", "parts")))
@@ -446,7 +480,12 @@ def _components_of(docs: DataFrame, first: DataFrame, size: int, percent: int, s
     """(cls, rep, copies, n, parts) of every class, and (cls, component) of those that have links, None where none has."""
     spark = docs.sparkSession
     rows = first.where("cls is not null")
-    grouped = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("parts").alias("parts"))
+    grouped = rows.groupBy("cls").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep"),
+        F.count(F.lit(1)).alias("copies"),
+        F.any_value("n").alias("n"),
+        F.any_value("parts").alias("parts"),
+    )
     classes = keep(grouped, "jaccard-classes")
     sums = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("documents")).first()
     entries = keep(_prefixes(docs, _sketch(first), sums.n, sums.documents, size, percent), "jaccard-prefixes")
@@ -455,7 +494,11 @@ def _components_of(docs: DataFrame, first: DataFrame, size: int, percent: int, s
     links, labels, tried, step = None, None, None, 0
     while True:
         last, now = step >= star_rounds, _labelled(live, labels)
-        pairs = _open_pairs(now, tried, classes, percent).withColumn("ok", F.lit(True)) if last else _with_bound(_star_pairs(now, tried, percent), classes, percent)
+        pairs = _open_pairs(now, tried, classes, percent).withColumn("ok", F.lit(True)) if last else _with_bound(
+            _star_pairs(now, tried, percent),
+            classes,
+            percent,
+        )
         pairs = keep(pairs, "jaccard-pairs")
         n_pairs, n_links = pairs.count(), 0
         if n_pairs:
@@ -479,7 +522,10 @@ def _found(df: DataFrame, text_col: str, id_col: str, size: int, percent: int, s
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     kind = docs.schema["doc_id"].dataType
-    made = docs.select("doc_id", "text", "th").mapInArrow(_first_pass(size, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, th long, n long, cls long, parts array<int>, block int, blob binary")
+    made = docs.select("doc_id", "text", "th").mapInArrow(
+        _first_pass(size, to_arrow_type(kind)),
+        f"doc_id {kind.simpleString()}, th long, n long, cls long, parts array<int>, block int, blob binary",
+    )
     first = keep(made, "jaccard-docs")
     rows = first.where("block is null").select("doc_id", "th", "n", "cls")
     classes, labels = _components_of(docs, first, size, percent, star_rounds)
@@ -498,7 +544,15 @@ def _found(df: DataFrame, text_col: str, id_col: str, size: int, percent: int, s
     return said.join(hot, "cls").unionByName(rest).unionByName(none)
 
 
-def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, size: int = SHINGLE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def near_duplicates(
+    df: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    *,
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    star_rounds: int = STAR_ROUNDS,
+) -> DataFrame:
     """One row per input row: id, n_shingles, class_id (null without words), component_id.
 
     component_id is the smallest id reachable by links, the row's own included.
@@ -512,7 +566,15 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return got.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), least.alias("component_id"))
 
 
-def drop_near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, size: int = SHINGLE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def drop_near_duplicates(
+    df: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    *,
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    star_rounds: int = STAR_ROUNDS,
+) -> DataFrame:
     """df with one row of each component: the smallest id, of equal ids the smallest hash of the text.
 
     Rows are told apart by id and text, so rows with null or repeated ids are

@@ -50,7 +50,14 @@ def slot_rows(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n_s
     split = sums.where(F.col("n") > MIN_SPLIT_ROWS).select("slot", parts.alias("parts")).where("parts > 1")
     # one row per slot at most, n_slots is fixed
     cut = rows.join(F.broadcast(split), "slot", "left")
-    return cut.select("id", "size", "text_crc32", "slot", "uid", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("parts"))).cast("int").alias("part"))
+    return cut.select(
+        "id",
+        "size",
+        "text_crc32",
+        "slot",
+        "uid",
+        F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("parts"))).cast("int").alias("part"),
+    )
 
 
 def slot_sums(rows: DataFrame) -> list[tuple[int, int, int, int]]:

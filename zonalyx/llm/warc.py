@@ -55,7 +55,10 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", body_col: str = "htm
     )
     base = base.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     keys = keep(base.select("page_id", "digest", "payload_bytes"), "warc-keys")
-    groups = keys.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = keys.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(
+        F.min("page_id").alias("first"),
+        F.count(F.lit(1)).alias("n"),
+    )
     groups = keep(groups.where("n > 1").select("digest", "payload_bytes", "first", "n"), "warc-groups")
     # digests of repeated payloads; few enough to broadcast, or the pages are shuffled by digest
     small = groups.count() <= BROADCAST_ROWS
@@ -120,7 +123,14 @@ def candidates(content: bytes, block: int = BLOCK) -> list[tuple[int, int, dict,
     return out
 
 
-_FIELDS = [("page_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("declared", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64())]
+_FIELDS = [
+    ("page_id", pa.string()),
+    ("record_type", pa.string()),
+    ("refers_to", pa.string()),
+    ("declared", pa.string()),
+    ("digest", pa.string()),
+    ("payload_bytes", pa.int64()),
+]
 _RECORD = "struct<page_id:string,record_type:string,refers_to:string,declared:string,digest:string,payload_bytes:long>"
 _SCAN = f"file string, block long, length long, entries array<long>, exits array<long>, offsets array<long>, successors array<long>, records array<{_RECORD}>"
 
@@ -136,7 +146,14 @@ def _parsed(content: bytes, header: dict, start: int, length: int) -> dict:
         digest, size = declared, int(size) if size.isdigit() else None
     else:
         digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
-    return {"page_id": name(b"warc-record-id"), "record_type": kind, "refers_to": name(b"warc-refers-to"), "declared": declared, "digest": digest, "payload_bytes": size}
+    return {
+        "page_id": name(b"warc-record-id"),
+        "record_type": kind,
+        "refers_to": name(b"warc-refers-to"),
+        "declared": declared,
+        "digest": digest,
+        "payload_bytes": size,
+    }
 
 
 def _scan(block: int):
@@ -153,9 +170,31 @@ def _scan(block: int):
                     for at, successor, *_ in reversed(found):
                         exit_of[at] = exit_of.get(successor, successor) if successor < (k + 1) * block else successor
                     offsets = [c[0] for c in found]
-                    rows.append({"file": file, "block": k, "length": len(data), "entries": offsets, "exits": [exit_of[o] for o in offsets], "offsets": offsets, "successors": [c[1] for c in found], "records": [_parsed(data, c[2], c[3], c[4]) for c in found]})
+                    rows.append(
+                        {
+                            "file": file,
+                            "block": k,
+                            "length": len(data),
+                            "entries": offsets,
+                            "exits": [exit_of[o] for o in offsets],
+                            "offsets": offsets,
+                            "successors": [c[1] for c in found],
+                            "records": [_parsed(data, c[2], c[3], c[4]) for c in found],
+                        }
+                    )
                 del data
-                schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("length", pa.int64()), ("entries", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("successors", pa.list_(pa.int64())), ("records", pa.list_(pa.struct(_FIELDS)))])
+                schema = pa.schema(
+                    [
+                        ("file", pa.string()),
+                        ("block", pa.int64()),
+                        ("length", pa.int64()),
+                        ("entries", pa.list_(pa.int64())),
+                        ("exits", pa.list_(pa.int64())),
+                        ("offsets", pa.list_(pa.int64())),
+                        ("successors", pa.list_(pa.int64())),
+                        ("records", pa.list_(pa.struct(_FIELDS))),
+                    ]
+                )
                 yield from pa.Table.from_pylist(rows, schema).to_batches()
 
     return run
@@ -163,7 +202,11 @@ def _scan(block: int):
 
 def _reached(scanned: DataFrame, block: int) -> DataFrame:
     """file, offset: where the chain from the start of each file enters its blocks."""
-    jumps = scanned.select("file", F.explode(F.arrays_zip("entries", "exits")).alias("j")).select("file", F.col("j.entries").alias("at"), F.col("j.exits").alias("to"))
+    jumps = scanned.select("file", F.explode(F.arrays_zip("entries", "exits")).alias("j")).select(
+        "file",
+        F.col("j.entries").alias("at"),
+        F.col("j.exits").alias("to"),
+    )
     # only a file's start and the exits of other blocks can be entries
     goals = jumps.select("file", F.col("to").alias("at")).union(scanned.select("file", F.lit(0).cast("long").alias("at"))).distinct()
     jumps = keep(jumps.join(goals, ["file", "at"], "left_semi"), "warc-jumps")
@@ -204,7 +247,10 @@ def read_warc(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     scanned = keep(files.mapInArrow(_scan(block), _SCAN), "warc-scan")
     entry = _reached(scanned, block).withColumn("block", F.floor(F.col("at") / block))
     rows = scanned.select("file", "block", "offsets", "successors", "records").join(entry, ["file", "block"])
-    return rows.mapInArrow(_walk, f"file string, offset long, page_id string, record_type string, refers_to string, declared string, digest string, payload_bytes long")
+    return rows.mapInArrow(
+        _walk,
+        f"file string, offset long, page_id string, record_type string, refers_to string, declared string, digest string, payload_bytes long",
+    )
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", url_col: str = "url", min_bytes: int = 0) -> DataFrame:
@@ -217,4 +263,10 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", body_col: str = "html"
     kind = pages.schema[id_col].dataType
     got = read_warc(spark, path)
     page = F.when(F.col("page_id") != "null", F.col("page_id")).cast(kind)
-    return got.select(page.alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return got.select(
+        page.alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
