@@ -256,9 +256,9 @@ def test_near_duplicates_in_many_blocks_with_hot_shingles(spark, monkeypatch):
 
 
 def test_near_copies_go_row_by_row(spark):
-    a, b = words(40, 1), words(40, 2)
+    a, b = words(80, 1), words(80, 2)
     copy = " ".join(near_copies(a, 1, 3))
-    data = [(1, " ".join(a)), (2, copy), (2, " ".join(b)), (None, " ".join(words(40, 4))), (None, " ".join(near_copies(words(40, 4), 1, 5))), (7, "same"), (7, "same"), (None, None), (None, None)]
+    data = [(1, " ".join(a)), (2, copy), (2, " ".join(b)), (None, " ".join(words(80, 4))), (None, " ".join(near_copies(words(80, 4), 1, 5))), (7, "same"), (7, "same"), (None, None), (None, None)]
     d = spark.createDataFrame([(k, t, "clash", "clash", "clash") for k, t in data], "doc_id long, text string, th string, __rid string, cls string")
     got = ngram_jaccard.drop_near_duplicates(d)
     assert got.columns == d.columns

@@ -58,7 +58,7 @@ MAX_PARTITIONS = 20_000
 PIVOTS = 16
 #: Document rows that may be broadcast to find the texts of candidates; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: A shingle that more than 1/HOT_SHARE of the documents have is dealt over HOT_PARTS tasks.
+#: A shingle that more than 1/HOT_SHARE of the documents have is dealt over parts, HOT_PARTS at most.
 HOT_SHARE, MIN_HOT, HOT_PARTS = 2000, 1000, 64
 
 _BLOCK = 4096
@@ -314,7 +314,7 @@ def _counted(shared, bits: int):
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, total: int, documents: int, size: int, percent: int) -> DataFrame:
-    """(sh, cls, n, pos, part): the prefix of each class without shingles that no other class has; part spreads hot ones."""
+    """(sh, cls, n, pos, of, part): the prefix of each class without shingles that no other class has; a hot shingle is dealt over parts 1 to `of`."""
     bits = max(0, math.ceil(math.log2(max(1, total / ENTRIES))))
     limit = max(MIN_HOT, documents // HOT_SHARE, 4 * total >> SKETCH_BITS)
     level = np.where(counts >= limit, counts, 0).astype(np.uint32)
@@ -329,8 +329,10 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, total: int, documents: int, s
     found = dealt.mapInArrow(_counted(shared, bits), "sh long, cls long, n int, n_tokens int, key long")
     back = F.row_number().over(Window.partitionBy("cls").orderBy(F.col("key").desc(), F.col("sh").desc()))
     prefix = found.withColumn("pos", F.col("n_tokens") - back).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9))
-    part = F.when(F.col("key") >= limit, F.pmod("cls", F.lit(HOT_PARTS)).cast("int") + 1).otherwise(0)
-    return prefix.select("sh", "cls", "n", "pos", part.alias("part"))
+    # as many parts as keep a part of a hot shingle about as large as the largest shingle that is not hot
+    hot = F.when(F.col("key") >= limit, F.least(F.lit(HOT_PARTS), F.floor(F.col("key") / limit) + 1).cast("int")).otherwise(0)
+    part = F.when(F.col("of") > 0, F.pmod(F.col("cls"), F.col("of")).cast("int") + 1).otherwise(0)
+    return prefix.withColumn("of", hot).select("sh", "cls", "n", "pos", "of", part.alias("part"))
 
 
 def _live(entries: DataFrame) -> DataFrame:
@@ -397,6 +399,7 @@ def _open_pairs(rows: DataFrame, tried: DataFrame | None, classes: DataFrame, pe
     marked = rows.join(_by_part(rows, mixed), ["sh", "part"]).select(
         "sh",
         "part",
+        "of",
         "cls",
         "n",
         "pos",
@@ -405,7 +408,7 @@ def _open_pairs(rows: DataFrame, tried: DataFrame | None, classes: DataFrame, pe
         (F.col("pos") < index).alias("short"),
     )
     marked = keep(marked.join(classes.select("cls", "parts"), "cls"), "jaccard-open")
-    x = marked.where("minor").withColumn("part", F.explode(F.when(F.col("part") > 0, F.sequence(F.lit(1), F.lit(HOT_PARTS))).otherwise(F.array(F.lit(0)))))
+    x = marked.where("minor").withColumn("part", F.explode(F.sequence(F.least(F.col("of"), F.lit(1)), F.col("of"))))
     x = x.select("sh", "part", *(F.col(c).alias(f"a_{c}") for c in ("cls", "n", "pos", "comp", "short", "parts")))
     y = marked.select("sh", "part", *(F.col(c).alias(f"b_{c}") for c in ("cls", "n", "pos", "comp", "short", "parts", "minor")))
     an, bn, ai, bi = F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos")
@@ -518,7 +521,7 @@ def _found(df: DataFrame, text_col: str, id_col: str, size: int, percent: int, s
     """(doc_id, th, n, cls, least): of every row, least being the first (id, hash of text) of its component."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    ship(df.sparkSession)
+    release(ship(df.sparkSession))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     kind = docs.schema["doc_id"].dataType
