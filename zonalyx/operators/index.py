@@ -54,6 +54,38 @@ class Recipe:
         )
 
 
+#: What the fields of a recipe may hold.
+CHOICES = {
+    "direction": ("positive", "negative", "none"),
+    "kind": ("number", "nonnegative", "proportion", "percentage"),
+    "normalise": ("none", "minmax", "zscore", "vector", "percentile_rank"),
+    "aggregate": ("sum", "mean", "weighted_sum"),
+    "missing": ("error", "drop_units", "median", "mean", "zero", "keep"),
+}
+
+
+def recipe_issues(recipe: Recipe) -> list[tuple[str, str]]:
+    """(field, what is wrong) of a recipe, before any table is read; nothing of a sound one."""
+    out = [] if recipe.variables else [("variables", "none")]
+    names = [v.name for v in recipe.variables]
+    out += [("variables", f"{n} is given twice") for n in sorted({n for n in names if names.count(n) > 1})]
+    out += [(f, f"unknown: {getattr(recipe, f)}") for f in ("normalise", "aggregate", "missing") if getattr(recipe, f) not in CHOICES[f]]
+    for v in recipe.variables:
+        out += [(f"{v.name}.{f}", f"unknown: {getattr(v, f)}") for f in ("direction", "kind") if getattr(v, f) not in CHOICES[f]]
+        if recipe.aggregate == "weighted_sum" and v.weight is None:
+            out.append((f"{v.name}.weight", "absent"))
+    if recipe.classes < 1:
+        out.append(("classes", f"not positive: {recipe.classes}"))
+    return out
+
+
+def checked(recipe: Recipe) -> Recipe:
+    found = recipe_issues(recipe)
+    if found:
+        raise ContractError("; ".join(f"{field}: {what}" for field, what in found))
+    return recipe
+
+
 # -- one variable -------------------------------------------------------------------------------
 
 
@@ -200,6 +232,7 @@ def explain(output: DataFrame, zone: str) -> dict:
 
 def additive_index(df: DataFrame, recipe: Recipe) -> DataFrame:
     """Impute, normalise, orient, combine: id, oriented variables and score."""
+    checked(recipe)
     names = [v.name for v in recipe.variables]
     df, _ = impute(df, names, recipe.missing, recipe.flags)
     df = normalise(df, names, recipe.normalise)

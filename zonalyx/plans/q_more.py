@@ -99,6 +99,13 @@ def _(spark, d):
     return spark.createDataFrame([(k,) for k in sorted(ix.INDICES) if ix.get_index(k.upper().replace("_", "-")) is ix.INDICES[k]], "name string")
 
 
+@query("r224_recipe_contract", "SELECT * FROM (VALUES ('variables', 'a is given twice'), ('normalise', 'unknown: cubic'), ('missing', 'unknown: guess'), ('a.weight', 'absent'), ('a.direction', 'unknown: up'), ('a.weight', 'absent'), ('classes', 'not positive: 0')) t(field, issue)")
+def _(spark, d):
+    """A recipe with a fault in each field."""
+    r = ix.Recipe("faulty", (ix.Variable("a"), ix.Variable("a", direction="up")), normalise="cubic", missing="guess", classes=0)
+    return spark.createDataFrame(ix.recipe_issues(r), "field string, issue string")
+
+
 # -- validators with planted faults -----------------------------------------------------------------
 
 
