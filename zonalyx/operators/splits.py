@@ -38,21 +38,23 @@ def spatial_blocks(df: DataFrame, zone: str, x: str, y: str, bins: int = 5, part
     return z.join(F.broadcast(sizes.withColumn("split", split).select("block", "split")), "block").select(zone, "block", "split")
 
 
-#: Columns of the panel that may never be features.
+#: Parts of names of columns that a forecast may not use.
 FORBIDDEN = (
-    "svi_score_raw",
-    "sovi_score_raw",
-    "sovi_rank",
-    "sovi_percentile",
+    "same_month_water_drainage",
+    "water_drainage_binary_same_month",
+    "share_water_drainage",
+    "share_water_drainage_requests",
+    "total_311_count_all",
+    "reporting_retro__",
+    "same_month_reporting_retrospective",
 )
 #: Marks of names that tell the target or the future.
 MARKS = ("target", "future", "next_", "_complete", "observed", "predicted")
 
 
-def leaking_columns(columns: list[str], target: str, forbidden: tuple[str, ...] = (), marks: tuple[str, ...] = MARKS) -> list[str]:
-    """The target, columns that are forbidden, and those whose name has a mark."""
-    deny = {target.lower(), *(f.lower() for f in forbidden)}
-    return [c for c in columns if c.lower() in deny or any(m in c.lower() for m in marks)]
+def leaking_columns(columns: list[str], target: str, forbidden: tuple[str, ...] = FORBIDDEN, marks: tuple[str, ...] = MARKS) -> list[str]:
+    """The target, and columns with a forbidden part or a mark in their name."""
+    return [c for c in columns if c.lower() == target.lower() or any(m in c.lower() for m in (*forbidden, *marks))]
 
 
 def leaking_lineage(lineage: DataFrame, target: str, feature: str = "feature", source: str = "source", lag: str = "lag") -> DataFrame:

@@ -198,9 +198,9 @@ def _(spark, d):
     return sp.spatial_blocks(table(spark, d, "supplier").withColumn("y", F.col("s_suppkey") * 37 % 101), "s_suppkey", "s_acctbal", "y")
 
 
-@query("r203_leaking_columns", "SELECT 'target_next_3' AS column_name UNION ALL SELECT 'y'")
+@query("r203_leaking_columns", "SELECT 'target_next_3' AS column_name UNION ALL SELECT 'y' UNION ALL SELECT 'share_water_drainage_lag'")
 def _(spark, d):
-    found = sp.leaking_columns(["zone_id", "y", "y_lag_1", "target_next_3"], "y")
+    found = sp.leaking_columns(["zone_id", "y", "y_lag_1", "target_next_3", "share_water_drainage_lag"], "y")
     return spark.createDataFrame([(c,) for c in found], "column_name string")
 
 
