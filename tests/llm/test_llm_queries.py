@@ -95,3 +95,17 @@ def test_benchmark_index_of_a_real_size():
             index = decontaminate.Index(10)
     assert len(sizes) >= 2 and all(0.4 < real / said < 1.3 for said, real in sizes)
     assert time.perf_counter() - began < 30
+
+
+def test_chat_tables_with_clashing_columns(spark):
+    from zonalyx.llm import chat_format
+
+    mine = [F.lit("mine").alias(c) for c in ("__t", "__print", "__record", "layout", "formatted", "loss_spans", "position")]
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", None), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string").select("*", *mine)
+    got = sorted(map(tuple, chat_format.turns_from_table(rows).select("conv_id", "turn", "role", "text").collect()), key=str)
+    assert got == [(1, 0, "user", "a"), (1, 1, "assistant", ""), (None, 0, "user", "x")]
+    assert chat_format.digest(chat_format.format_turns(chat_format.turns_from_table(rows))).count() == 2
+    record = '{"messages": [{"role": "user", "content": "q"}]}'
+    json = spark.createDataFrame([(1, record), (1, record), (2, None), (3, "{")], "id long, record string").select("*", *mine)
+    said = chat_format.turns_from_json(json, "record", "id").where("text <> ''")
+    assert [r.text for r in said.collect()] == ["q", "q"]
