@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,19 +206,31 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     got = sample.select("text", "lang", "order").mapInArrow(_features, "lang string, order long, at array<int>, n array<int>")
     table = keep(got, "language-sample").toArrow().sort_by([("order", "ascending")])
     number = {lang: k for k, lang in enumerate(languages)}
-    docs = []
-    for lang, at, n in zip(table.column("lang").to_pylist(), table.column("at"), table.column("n"), strict=True):
-        at, n = np.asarray(at.values), np.asarray(n.values)
-        docs.append((number[lang], at, n / max(1, n.sum()) * idf[at]))
-    kept_out = docs[::5] if len(docs) >= 20 else []
-    fitted = [d for k, d in enumerate(docs) if k % 5] if kept_out else docs
+    y = np.array([number[lang] for lang in table.column("lang").to_pylist()], np.int64)
+    # flat arrays and views of them: a few large blocks of the driver's memory, which are given back
+    sizes = np.asarray(pc.list_value_length(table.column("at")).combine_chunks())
+    ends = np.cumsum(sizes)
+    at = np.asarray(pc.list_flatten(table.column("at")).combine_chunks())
+    x = np.asarray(pc.list_flatten(table.column("n")).combine_chunks()).astype(np.float64)
+    del table
+    row = np.repeat(np.arange(len(y)), sizes)
+    x *= idf[at]
+    x /= np.maximum(1, np.bincount(row, x / idf[at], len(y)))[row]
     # shares are small numbers: the learning rate is set for inputs scaled to length 1
-    norm = [(y, at, x / max(1e-12, float(np.linalg.norm(x)))) for y, at, x in fitted]
-    scale = float(np.mean([1 / max(1e-12, np.linalg.norm(x)) for _, _, x in fitted]))
-    w, bias = fit_ftrl(norm, len(languages))
+    length = np.maximum(1e-12, np.sqrt(np.bincount(row, x * x, len(y))))
+    x /= length[row]
+    del row
+    docs = [(int(k), at[end - n : end], x[end - n : end]) for k, n, end in zip(y, sizes, ends, strict=True)]
+    out = np.arange(0, len(docs), 5) if len(docs) >= 20 else np.zeros(0, int)
+    fitted = np.setdiff1d(np.arange(len(docs)), out)
+    scale = float(np.mean(1 / length[fitted]))
+    w, bias = fit_ftrl([docs[k] for k in fitted], len(languages))
     w = w * scale
-    logits = np.array([x @ w[at] + bias for _, at, x in kept_out]).reshape(len(kept_out), len(languages))
-    return Model(languages, idf, w, bias, fit_temperature(logits, np.array([y for y, _, _ in kept_out], int)))
+    logits = np.array([length[k] * (docs[k][2] @ w[docs[k][1]]) + bias for k in out]).reshape(len(out), len(languages))
+    temperature = fit_temperature(logits, y[out])
+    del docs, at, x
+    pa.default_memory_pool().release_unused()
+    return Model(languages, idf, w, bias, temperature)
 
 
 #: What predict adds.

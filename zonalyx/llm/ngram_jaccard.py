@@ -317,7 +317,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, total: int, documents: int, s
     """(sh, cls, n, pos, of, part): the prefix of each class without shingles that no other class has; a hot shingle is dealt over parts 1 to `of`."""
     bits = max(0, math.ceil(math.log2(max(1, total / ENTRIES))))
     limit = max(MIN_HOT, documents // HOT_SHARE, 4 * total >> SKETCH_BITS)
-    level = np.where(counts >= limit, counts, 0).astype(np.uint32)
+    level = np.where(counts >= limit, counts, np.uint32(0))
     hot_parts = int(level.sum(dtype=np.int64)) // ENTRIES + 1
     shared = docs.sparkSession.sparkContext.broadcast(level)
     packs = docs.select("text").mapInArrow(
