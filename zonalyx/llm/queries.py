@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ over the whole tables."""
+"""The queries op1_ to op13_ over the whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalyx.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, license_scan, lm_score, ngram_jaccard, sharding, warc
+from zonalyx.llm import bpe, centroids, chat_format, decontaminate, exact_dedup, language_id, license_scan, lm_score, mixing, ngram_jaccard, prefix_trie, sharding, warc
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -105,6 +105,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector's cluster after three rounds of 16 centroids; vectors of another length or with gaps are left out."""
+    found = centroids.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64.0, seed=1)
+    return centroids.digest(found).withColumnRenamed("id", "vec_id")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct start of the conversations, rebuilt with up to five turns of the first of their hundred."""
+    c = F.col("conv_id")
+    numbered = prefix_trie.number_turns(_table(spark, sf_dir, "conversations"))
+    turns, ids = prefix_trie.rebuilt(numbered, F.crc32(c.cast("string").cast("binary")) % 6, c - c % 100, 5)
+    return prefix_trie.prefix_trie(turns, ids)
+
+
+def op13_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it; null texts have none, the null source is one of its own."""
+    got = mixing.mix(_table(spark, sf_dir, "documents"))
+    return got.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sharding": op2_sharding,
@@ -116,6 +136,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_mix_sources": op13_mix_sources,
 }
 
 
@@ -167,6 +190,32 @@ def _base32_sha1(data: str) -> str:
     return " || ".join(digits)
 
 
+def _clusters_sql(rounds: int = 3) -> str:
+    parts = [
+        """kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "x AS MATERIALIZED (SELECT r, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM kept)",
+        """start AS (SELECT v, row_number() OVER (ORDER BY sha256(concat('1:', vec_id)), v) - 1 AS j FROM kept),
+        c0 AS MATERIALIZED (SELECT j, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM start WHERE j < 16)""",
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (
+            SELECT r, arg_min(j, (d, j)) AS j, min(d) AS d
+            FROM (SELECT r, j, sum((x.x - c.x) * (x.x - c.x)) AS d FROM x JOIN c{k} c USING (i) GROUP BY r, j) GROUP BY r)""")
+        if k < rounds:
+            parts.append(f"""s{k} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM x JOIN a{k} USING (r) GROUP BY j, i),
+        c{k + 1} AS MATERIALIZED (
+            SELECT j, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{k} LEFT JOIN s{k} USING (j, i))""")
+    return f"""
+        WITH {", ".join(parts)},
+        sha AS (SELECT j, sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY j)
+        SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM kept JOIN a{rounds} USING (r) JOIN sha USING (j)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": rf"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
@@ -229,4 +278,37 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id IS DISTINCT FROM lead THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id IS DISTINCT FROM lead THEN lead END AS refers_to
         FROM p""",
+    "op11_centroid_clusters": _clusters_sql(),
+    "op12_prefix_trie": """
+        WITH said AS (
+            SELECT conv_id, sha256(concat(strlen(coalesce(role, '')), ':', role, text)) AS s, length(coalesce(text, '')) AS chars, turn
+            FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, s, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, s) AS p FROM said),
+        ids AS (
+            SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base,
+                   xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), generate_series(1, 8)),
+                           lambda y, k: xor(y >> 1, CAST(3988292384 AS BIGINT) * (y & 1)))), CAST(4294967295 AS BIGINT)) % 6 AS h
+            FROM own),
+        turns AS (
+            SELECT conv_id, s, chars, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS p FROM (
+                SELECT ids.conv_id, 0 AS part, p, s, chars FROM ids JOIN own ON own.conv_id = base AND p <= h
+                UNION ALL SELECT conv_id, 1, p, s, chars FROM ids JOIN own USING (conv_id) WHERE p > h)),
+        starts AS (
+            SELECT conv_id, p AS depth, string_agg(s, '') OVER (PARTITION BY conv_id ORDER BY p) AS said, chars, count(*) OVER (PARTITION BY conv_id) AS n FROM turns
+            UNION ALL SELECT conv_id, 0, '', 0, coalesce(n, 0) FROM ids LEFT JOIN (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1) USING (conv_id)),
+        starting AS (SELECT conv_id, depth, chars, n, min(conv_id) OVER (PARTITION BY depth, said) AS node FROM starts),
+        nodes AS (
+            SELECT node, depth, count(*) AS n_convs, any_value(chars) AS chars,
+                   coalesce(string_agg(CASE WHEN n = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends, max(n) = depth AS leaf
+            FROM starting GROUP BY node, depth),
+        up AS (
+            SELECT nodes.*, starting.node AS parent FROM nodes LEFT JOIN starting ON starting.conv_id = nodes.node AND starting.depth = nodes.depth - 1),
+        kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY 1, 2),
+        below AS (
+            SELECT starting.node, starting.depth, sum(CAST(leaf AS BIGINT)) AS n_leaves, sum((n_convs - 1) * nodes.chars) AS saved_tokens
+            FROM nodes JOIN starting ON starting.conv_id = nodes.node AND starting.depth <= nodes.depth GROUP BY 1, 2)
+        SELECT node AS conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children,
+               CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+        FROM up JOIN below USING (node, depth) LEFT JOIN kids USING (node, depth)""",
 }
