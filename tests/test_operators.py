@@ -245,8 +245,6 @@ def test_metrics_edge_cases(spark):
     assert me.kendall(d, ["s"], "k").first().kendall == 1.0
     one = d.withColumn("label", F.lit(1))
     assert me.auroc(one.where("predicted is not null"), ["s"], "label", "predicted").first().auroc is None
-    p = me.permutation_p(d.dropna(), "k", "observed", "predicted", 20).first()
-    assert p.permutations == 20 and 0 < p.p_value <= 1
 
 
 def test_graph(spark):

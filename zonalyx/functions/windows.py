@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from zonalyx.operators.ranges import hot_limit, rank_of, rank_table, spread_join
 from zonalyx.operators.store import dense_id, keep
 
 #: Rows up to which a rank over the whole table is one window.
@@ -21,46 +22,39 @@ def rank_over(
     method: str = "min",
     rows: int | None = None,
 ) -> DataFrame:
-    """df with the rank (long) of value from 1, NULL for NULL; method min, max, average or dense.
+    """df with the rank (long) of value from 1, in each group of by; NULL for NULL; method min, max, average or dense.
 
-    Inside groups (by) it is a window. A whole table longer than SINGLE_WINDOW_ROWS
-    is range-partitioned by value and written to the shared folder; ranks are those
-    in the range, shifted by the number of rows in the ranges before it, so no task
-    gets all rows. rows: the table's length, where the caller knows it.
+    Tables longer than SINGLE_WINDOW_ROWS are written, and the ranks of their distinct
+    values come from sums over ranges (rank_table): neither a group nor a value that
+    many rows share lies in one task. rows: the table's length, where the caller knows it.
     """
-    order = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
-    if by or (df.count() if rows is None else rows) <= SINGLE_WINDOW_ROWS:
-        keys = [F.col(b) for b in by or []]
-        return _ranked(df, Window.partitionBy(*keys, F.col(value).isNull()), value, out, order, method, F.lit(0))
-    # equal values share a range
-    ranged = keep(df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "rank")
-    unit = F.count_distinct(value) if method == "dense" else F.count(value)
-    total, offsets = 0, []
-    for r in sorted(ranged.groupBy("__range").agg(unit).collect()):
-        offsets += [F.lit(r[0]), F.lit(total)]
-        total += r[1]
-    offset = F.element_at(F.create_map(*offsets), F.col("__range"))
-    return _ranked(ranged, Window.partitionBy("__range", F.col(value).isNull()), value, out, order, method, offset).drop("__range")
-
-
-def _ranked(df: DataFrame, part: WindowSpec, value: str, out: str, order: Column, method: str, offset: Column) -> DataFrame:
-    w = part.orderBy(order)
-    if method == "dense":
-        rank = F.dense_rank().over(w)
-    else:
-        rank = F.rank().over(w)
-        if method != "min":
-            ties = F.count(F.lit(1)).over(w.rangeBetween(0, 0))
-            rank = rank + (ties - 1) / (2 if method == "average" else 1)
-    kind = "double" if method == "average" else "long"
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), (rank + offset).cast(kind)))
+    return _ranked(df, value, out, by or [], ascending, method, rows).drop("__n")
 
 
-def _values(df: DataFrame, value: str, by: list[str] | None, rows: int | None) -> Column:
-    """The number of values: of the group, of a short table by a window, else by a pass."""
-    if by or (rows is not None and rows <= SINGLE_WINDOW_ROWS):
-        return F.count(value).over(Window.partitionBy(*(by or [])))
-    return F.lit(df.agg(F.count(value)).first()[0])
+def _ranked(df: DataFrame, value: str, out: str, by: list[str], ascending: bool, method: str, rows: int | None) -> DataFrame:
+    """df with the rank and, as __n, the number of values of the group."""
+    order = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
+    kind = "double" if method == "average" else "long"
+    known = F.col(value).isNotNull()
+    rows = df.count() if rows is None else rows
+    if rows <= SINGLE_WINDOW_ROWS:
+        w = Window.partitionBy(*by, known).orderBy(order)
+        if method == "dense":
+            rank = F.dense_rank().over(w)
+        else:
+            ties = F.count(F.lit(1)).over(w.rangeBetween(0, 0))
+            rank = F.rank().over(w) + {"min": F.lit(0), "max": ties - 1, "average": (ties - 1) / 2}[method]
+        return df.withColumn(out, F.when(known, rank.cast(kind))).withColumn("__n", F.count(value).over(Window.partitionBy(*by)))
+    df = keep(df, "rank")
+    table = keep(rank_table(df, by, value, order=order), "ranks")
+    values = F.sum(F.when(known, F.col("n")).otherwise(0)).alias("__n")
+    if by:
+        groups = table.groupBy(*by).agg(values, F.count(F.lit(1)).alias("__rows"))
+        table = spread_join(table, groups, by, "__rows", hot_limit(rows)).drop("__rows")
+    else:
+        table = table.withColumn("__n", F.lit(table.agg(values).first()[0] or 0))
+    ranks = table.select(*by, value, F.when(known, rank_of(method).cast(kind)).alias(out), "__n", F.col("n").alias("__ties"))
+    return spread_join(df, ranks, [*by, value], "__ties", hot_limit(rows)).drop("__ties")
 
 
 def percentile_rank(
@@ -77,18 +71,15 @@ def percentile_rank(
 
     With rows at hand, ranks of a short table are columns only and start no job.
     """
-    rows = df.count() if rows is None and not by else rows
-    ranked = rank_over(df, value, "__rank", by, ascending, method, rows)
-    n = _values(df, value, by, rows)
+    n = F.col("__n")
     share = F.when(n > 1, (F.col("__rank") - 1) / (n - 1)).otherwise(F.lit(single))
-    return ranked.withColumn(out, F.when(F.col(value).isNotNull(), share)).drop("__rank")
+    return _ranked(df, value, "__rank", by or [], ascending, method, rows).withColumn(out, F.when(F.col(value).isNotNull(), share)).drop("__rank", "__n")
 
 
 def competition_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """Rank of the largest first; all NULLs share the rank after the last value."""
-    rows = df.count() if rows is None and not by else rows
-    ranked = rank_over(df, value, out, by, ascending=False, rows=rows)
-    return ranked.withColumn(out, F.coalesce(F.col(out), _values(df, value, by, rows) + 1).cast("long"))
+    ranked = _ranked(df, value, out, by or [], False, "min", rows)
+    return ranked.withColumn(out, F.coalesce(F.col(out), F.col("__n") + 1).cast("long")).drop("__n")
 
 
 def position(value: str, key: str, by: list[str]) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from zonalyx.functions.windows import competition_rank
 from zonalyx.operators.frames import ContractError, assert_unique
+from zonalyx.operators.quantiles import quantiles
+from zonalyx.operators.store import keep
 
 
 def sum_or_null(x: Column) -> Column:
@@ -68,20 +70,21 @@ def reconcile(df: DataFrame, aliases: list[str], out: str, tolerance: float = 1e
 def winsorise(df: DataFrame, column: str, q: float | None) -> DataFrame:
     if q is None:
         return df
-    cap = df.agg(F.percentile(column, F.lit(q))).first()[0]
+    cap = quantiles(df, column, [q]).first()[0]
     return df if cap is None else df.withColumn(column, F.when(F.col(column) > cap, cap).otherwise(F.col(column)))
 
 
 def surge_months(df: DataFrame, period: str, value: str, q: float) -> DataFrame:
     """Months whose total is at or above the quantile q of all months' totals."""
     totals = df.groupBy(period).agg(F.sum(value).alias("total"))
-    limit = totals.agg(F.percentile("total", F.lit(q)).alias("cut"))
+    limit = quantiles(totals, "total", [q], names=["cut"])
     return totals.crossJoin(F.broadcast(limit)).where("total >= cut").drop("cut")
 
 
 def value_counts(df: DataFrame, column: str, missing: str = "<MISSING>") -> DataFrame:
     c = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(missing)).alias(column)).agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = df.count()
+    return c.withColumn("share", F.col("n") / F.lit(total))
 
 
 def missingness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -136,8 +139,10 @@ def burden(df: DataFrame, zone: str, period: str, y: str, score: str, population
         F.max(population).alias("population"),
     )
     g = g.withColumn("rate", F.when(F.col("population") > 0, F.col("total") / F.col("population") * 1000.0))
+    g = keep(g, "burden")
+    rows = g.count()
     for c in ("total", "mean", "rate"):
-        g = competition_rank(g, c, f"{c}_rank")
+        g = competition_rank(g, c, f"{c}_rank", rows=rows)
     return g
 
 

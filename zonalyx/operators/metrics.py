@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonalyx.operators.frames import lookup_side
-from zonalyx.operators.store import dense_id
+from zonalyx.operators.ranges import hot_limit, null_safe_join, rank_of, rank_table, running, spread_join
+from zonalyx.operators.store import dense_id, keep
 
 EPS = 1e-9
 
@@ -54,15 +55,23 @@ def negative_binomial_log_likelihood(df: DataFrame, y: str, mu: str, alpha: floa
     return total
 
 
-def average_ranks(df: DataFrame, column: str, out: str, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(column)
-    ties = F.count(F.lit(1)).over(w.rangeBetween(0, 0))
-    return df.withColumn(out, F.rank().over(w) + (ties - 1) / 2)
-
-
 def spearman(df: DataFrame, by: list[str], y: str = "observed", p: str = "predicted") -> DataFrame:
-    r = average_ranks(average_ranks(finite_pairs(df, y, p), y, "__y", by), p, "__p", by)
-    return r.groupBy(*by).agg(correlation("__y", "__p").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    """spearman and n by group, from average ranks; NULL where either side does not vary.
+
+    Rows are counted by pair of values; the ranks of both sides come from sums over
+    ranges and are joined to the pairs, so ties are one row and no group is one task.
+    """
+    pairs = keep(finite_pairs(df, y, p).groupBy(*by, y, p).agg(F.count(F.lit(1)).alias("__w")), "pairs")
+    limit = hot_limit(pairs.count())
+    for column, out in ((y, "__a"), (p, "__b")):
+        ranks = rank_table(pairs, by, column, F.col("__w")).select(*by, column, rank_of("average").alias(out), F.col("rows").alias("__rows"))
+        pairs = spread_join(pairs, keep(ranks, "ranks"), [*by, column], "__rows", limit).drop("__rows")
+    w, a, b = F.col("__w"), F.col("__a"), F.col("__b")
+    s = {"n": w, "a": w * a, "b": w * b, "aa": w * a * a, "bb": w * b * b, "ab": w * a * b}
+    g = pairs.groupBy(*by).agg(*[F.sum(c).alias(f"__s{k}") for k, c in s.items()])
+    n, sa, sb = F.col("__sn"), F.col("__sa"), F.col("__sb")
+    spread = F.sqrt(n * F.col("__saa") - sa * sa) * F.sqrt(n * F.col("__sbb") - sb * sb)
+    return g.select(*by, F.try_divide(n * F.col("__sab") - sa * sb, F.nullif(spread, F.lit(0.0))).alias("spearman"), n.alias("n"))
 
 
 def kendall(df: DataFrame, by: list[str], key: str, y: str = "observed", p: str = "predicted") -> DataFrame:
@@ -71,42 +80,59 @@ def kendall(df: DataFrame, by: list[str], key: str, y: str = "observed", p: str
     Two rows with different ranks of p differ first in one bit of them. So for each
     bit, rows that agree in the bits above it are sorted by y, and those with the bit
     count those without it before them (and the other way round): concordant and
-    discordant pairs, in n log n.
+    discordant pairs, in n log n. Counts before are sums over ranges of (group, bit,
+    bits above, y), so the highest bit, which takes whole groups, is many tasks too.
     """
-    w = lambda c: Window.partitionBy(*by).orderBy(c)
-    r = finite_pairs(df, y, p).select(*by, y, p, F.dense_rank().over(w(y)).cast("long").alias("__y"), (F.dense_rank().over(w(p)) - 1).cast("long").alias("__p"))
+    pairs = keep(finite_pairs(df, y, p).groupBy(*by, y, p).agg(F.count(F.lit(1)).alias("__w")), "pairs")
+    limit = hot_limit(pairs.count())
+    places = keep(rank_table(pairs, by, p, F.col("__w")), "ranks")
+    ties = lambda t, out: t.groupBy(*by).agg(F.sum("n").alias("__n"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias(out), F.max("values_before").alias("__top"), F.sum("rows").alias("__pairs"))
+    group = keep(ties(places, "__tp"), "groups")
+    ranked = spread_join(pairs, places.select(*by, p, F.col("values_before").alias("__r"), "rows"), [*by, p], "rows", limit).drop("rows")
+    ranked = spread_join(ranked, group.select(*by, "__top", "__pairs"), by, "__pairs", limit)
     # as many bits as the longest group needs
     bits = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("__top") + 1.0)).cast("int") - 1, F.lit(0)))
-    b = r.withColumn("__top", F.max("__p").over(Window.partitionBy(*by))).withColumn("__b", F.explode(bits)).withColumn(
-        "__on",
-        F.getbit("__p", F.col("__b")).cast("long"),
-    )
-    same = Window.partitionBy(*by, "__b", F.expr("shiftright(__p, __b + 1)")).orderBy("__y").rangeBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.when(F.col("__on") == 1, F.sum(1 - F.col("__on")).over(same)).otherwise(-F.sum("__on").over(same)), F.lit(0))
-    score = b.withColumn("__s", before).groupBy(*by).agg(F.sum("__s").cast("double").alias("__c"))
-    n = F.count(F.lit(1))
-    ties = lambda c, out: r.groupBy(*by, c).agg(n.alias("t")).groupBy(*by).agg(
-        (F.sum("t") * (F.sum("t") - 1) / 2 - F.sum(F.col("t") * (F.col("t") - 1) / 2)).alias(out)
-    )
-    some = r.groupBy(*by).agg(n.alias("__n")).where("__n > 1").drop("__n")
-    g = score.join(some, by).join(ties(y, "__ny"), by).join(ties(p, "__np"), by)
-    return g.select(*by, F.try_divide(F.col("__c"), F.nullif(F.sqrt(F.col("__ny") * F.col("__np")), F.lit(0.0))).alias("kendall"))
+    each = ranked.withColumn("__b", F.explode(bits))
+    on = F.getbit("__r", F.col("__b")).cast("long")
+    above = [*by, "__b", "__above"]
+    counted = each.withColumn("__above", F.expr("shiftright(__r, __b + 1)")).groupBy(*above, y).agg(F.sum(on * F.col("__w")).alias("__on"), F.sum((1 - on) * F.col("__w")).alias("__off"))
+    before = running(counted, above, [F.col(y)], {"__ons": F.col("__on"), "__offs": F.col("__off")}, "kendall")
+    real = lambda c: F.col(c).cast("double")
+    gain = real("__on") * (real("__offs") - real("__off")) - real("__off") * (real("__ons") - real("__on"))
+    score = before.groupBy(*by).agg(F.sum(gain).alias("__c"))
+    sides = null_safe_join(group, ties(rank_table(pairs, by, y, F.col("__w")), "__ty").select(*by, "__ty"), by)
+    g = null_safe_join(score, sides, by).where("__n > 1")
+    all_pairs = real("__n") * (F.col("__n") - 1) / 2
+    scale = F.sqrt((all_pairs - F.col("__ty")) * (all_pairs - F.col("__tp")))
+    return g.select(*by, F.try_divide(F.col("__c"), F.nullif(scale, F.lit(0.0))).alias("kendall"))
+
+
+def _largest(d: DataFrame, by: list[str], key: str, column: str, k: int) -> DataFrame:
+    """The k first rows of each group by falling column, then key, with their place; each task passes on k rows of a group at most."""
+    return d.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(column).desc(), key))).where(F.col("__place") <= k)
 
 
 def top_k(df: DataFrame, by: list[str], key: str, k: int | None = None, share: float | None = None, y: str = "observed", p: str = "predicted") -> DataFrame:
-    """Overlap, precision, recall and Jaccard of the k largest by y and by p (or the share of n, rounded up)."""
-    d = finite_pairs(df, y, p)
-    place = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(F.col(c).desc(), key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    limit = F.least(F.lit(k), n) if k else F.greatest(F.lit(1), F.ceil(n * share))
-    r = d.withColumn("__ry", place(y)).withColumn("__rp", place(p)).withColumn("__k", limit)
-    hit = (F.col("__ry") <= F.col("__k")) & (F.col("__rp") <= F.col("__k"))
-    g = r.groupBy(*by).agg(
-        F.max("__k").cast("long").alias("k"),
-        F.count_if(hit).alias("hits"),
-        F.count_if((F.col("__rp") <= F.col("__k")) & (F.col(y) > 0)).alias("relevant_hits"),
-        F.count_if(F.col(y) > 0).alias("relevant"),
-    )
+    """Overlap, precision, recall and Jaccard of the k largest by y and by p (or the share of n, rounded up).
+
+    key tells the rows of a group apart. A number k is cut in the tasks that read the
+    rows; a share has no bound, so places are then counted over ranges.
+    """
+    d = finite_pairs(df, y, p).select(*by, key, y, p)
+    sizes = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col(y) > 0).alias("relevant"))
+    if k:
+        sizes = sizes.withColumn("__k", F.least(F.lit(k), F.col("__n")).cast("long"))
+        first = lambda c: _largest(d, by, key, c, k)
+    else:
+        d, sizes = keep(d, "pairs"), keep(sizes.withColumn("__k", F.greatest(F.lit(1), F.ceil(F.col("__n") * share)).cast("long")), "groups")
+        limit = hot_limit(d.count())
+        places = lambda c: running(d, by, [F.col(c).desc(), F.col(key)], {"__place": F.lit(1).cast("long")}, "places")
+        first = lambda c: spread_join(places(c), sizes.select(*by, "__k", "__n"), by, "__n", limit).where("__place <= __k")
+    best = first(p)
+    both = null_safe_join(first(y).select(*by, key), best.select(*by, key), [*by, key]).groupBy(*by).agg(F.count(F.lit(1)).alias("hits"))
+    hit = best.groupBy(*by).agg(F.count_if(F.col(y) > 0).alias("relevant_hits"))
+    g = null_safe_join(null_safe_join(sizes, both, by, "left"), hit, by, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    g = g.withColumnRenamed("__k", "k")
     return g.select(
         *by,
         "k",
@@ -118,33 +144,43 @@ def top_k(df: DataFrame, by: list[str], key: str, k: int | None = None, share: f
     )
 
 
-def ndcg(df: DataFrame, by: list[str], key: str, k: int, y: str = "observed", p: str = "predicted") -> DataFrame:
-    """Linear gains over log2(place + 1), negatives at 0; NULL if the ideal is 0."""
-    d = finite_pairs(df, y, p)
-    place = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(F.col(c).desc(), key))
-    gain = F.greatest(F.col(y).cast("double"), F.lit(0.0))
-    r = d.withColumn("__ry", place(y)).withColumn("__rp", place(p))
-    part = lambda c: F.sum(F.when(F.col(c) <= k, gain / F.log2(F.col(c) + 1.0)).otherwise(0.0))
-    g = r.groupBy(*by).agg(part("__rp").alias("dcg"), part("__ry").alias("ideal"))
+def ndcg(df: DataFrame, by: list[str], key: str, k: int, y: str = "observed", p: str = "predicted", shift: bool = False) -> DataFrame:
+    """Linear gains over log2(place + 1); NULL if the ideal is 0.
+
+    Negatives count as 0, or, with shift, all gains of a group rise by its least value
+    if that is negative. Each task passes on k rows of a group at most.
+    """
+    d = finite_pairs(df, y, p).select(*by, key, y, p)
+    value = F.col(y).cast("double")
+    part = lambda c, out: _largest(d, by, key, c, k).groupBy(*by).agg(
+        F.sum(F.greatest(value, F.lit(0.0)) / F.log2(F.col("__place") + 1.0)).alias(out),
+        F.sum(value / F.log2(F.col("__place") + 1.0)).alias(f"{out}_whole"),
+        F.sum(1 / F.log2(F.col("__place") + 1.0)).alias(f"{out}_ones"),
+    )
+    g = null_safe_join(part(p, "dcg"), part(y, "ideal"), by)
+    if shift:
+        low = d.groupBy(*by).agg(F.least(F.min(value), F.lit(0.0)).alias("__low"))
+        g = null_safe_join(g, low, by).withColumns({c: F.col(f"{c}_whole") - F.col("__low") * F.col(f"{c}_ones") for c in ("dcg", "ideal")})
     return g.select(*by, "dcg", F.try_divide(F.col("dcg"), F.nullif(F.col("ideal"), F.lit(0.0))).alias("ndcg"))
 
 
 def auroc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    """Rank-sum with average ranks; NULL with one class."""
-    r = average_ranks(df, score, "__r", by)
+    """Rank-sum with average ranks; NULL with one class. Rows are counted by score; what lies below a score is a sum over ranges."""
     pos = F.col(label) > 0
-    g = r.groupBy(*by).agg(F.sum(F.when(pos, F.col("__r"))).alias("__s"), F.count_if(pos).alias("__a"), F.count_if(~pos).alias("__b"))
-    return g.select(
-        *by,
-        F.when((F.col("__a") > 0) & (F.col("__b") > 0), (F.col("__s") - F.col("__a") * (F.col("__a") + 1) / 2) / (F.col("__a") * F.col("__b"))).alias("auroc"),
-    )
+    counts = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.count_if(pos).alias("__pos"), F.count_if(~pos).alias("__neg"))
+    below = running(counts, by, [F.col(score).asc_nulls_first()], {"__upto": F.col("n")}, "scores")
+    rank = F.col("__upto") - F.col("n") + (F.col("n") + 1) / 2
+    g = below.groupBy(*by).agg(F.sum(F.when(F.col("__pos") > 0, F.col("__pos") * rank)).alias("__s"), F.sum("__pos").alias("__a"), F.sum("__neg").alias("__b"))
+    a, b = F.col("__a").cast("double"), F.col("__b").cast("double")
+    return g.select(*by, F.when((a > 0) & (b > 0), (F.col("__s") - a * (a + 1) / 2) / (a * b)).alias("auroc"))
 
 
 def average_precision(df: DataFrame, by: list[str], key: str, label: str, score: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc(), key)
-    hit = (F.col(label) > 0).cast("int")
-    r = df.withColumn("__n", F.row_number().over(w)).withColumn("__tp", F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.groupBy(*by).agg(F.avg(F.when(F.col(label) > 0, F.col("__tp") / F.col("__n"))).alias("average_precision"))
+    """Mean over the positive rows of the share of positives down to them, in the order of falling score, then key; counts are sums over ranges."""
+    rows = df.select(*by, key, score, (F.col(label) > 0).alias("__pos"))
+    hit = F.coalesce(F.col("__pos").cast("long"), F.lit(0))
+    r = running(rows, by, [F.col(score).desc(), F.col(key)], {"__n": F.lit(1).cast("long"), "__tp": hit}, "scores")
+    return r.groupBy(*by).agg(F.avg(F.when(F.col("__pos"), F.col("__tp") / F.col("__n"))).alias("average_precision"))
 
 
 def classification(label: str, score: str, threshold: float = 0.5) -> list[Column]:
@@ -192,43 +228,6 @@ def long_metrics(wide: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     return wide.select(*by, F.explode(rows).alias("m")).select(*by, "m.*")
 
 
-def _draw(spark, n: int) -> DataFrame:
-    return spark.range(n).withColumnRenamed("id", "replicate")
-
-
-def permutation_p(df: DataFrame, key: str, x: str, y: str, n: int = 200, seed: int = 42) -> DataFrame:
-    """observed, p_value, exceed, permutations of |pearson| under n shuffles of y against x.
-
-    A shuffle numbers rows once by key and once by a hash of replicate and key, and
-    pairs equal numbers; replicates are dealt over tasks.
-    """
-    rows = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    many = _draw(df.sparkSession, n).repartition("replicate").crossJoin(lookup_side(rows))  # n copies of the rows, which is what is asked for
-    a = many.select("replicate", "x", F.row_number().over(Window.partitionBy("replicate").orderBy("k")).alias("i"))
-    b = many.select("replicate", "y", F.row_number().over(Window.partitionBy("replicate").orderBy(F.xxhash64("replicate", "k", F.lit(seed)), "k")).alias("i"))
-    null = a.join(b, ["replicate", "i"]).groupBy("replicate").agg(correlation("x", "y").alias("r"))
-    seen = rows.agg(correlation("x", "y").alias("observed"))
-    both = null.crossJoin(F.broadcast(seen))
-    exceed = F.count_if(F.abs("r") >= F.abs("observed"))
-    return both.agg(
-        F.first("observed").alias("observed"),
-        exceed.alias("exceed"),
-        F.count(F.lit(1)).alias("permutations"),
-        ((exceed + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"),
-    )
-
-
-def bootstrap_mean(df: DataFrame, key: str, value: str, n: int = 200, seed: int = 42) -> DataFrame:
-    """low, middle and high (2.5, 50, 97.5 percent) of the mean under n resamplings with replacement."""
-    rows = dense_id(df.select(key, F.col(value).cast("double").alias("v")), "i", key).select((F.col("i") + 1).alias("i"), "v")
-    size = df.count()
-    draws = _draw(df.sparkSession, n).repartition("replicate").withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(max(size, 1)))))
-    draws = draws.withColumn("i", (F.pmod(F.xxhash64("replicate", "d", F.lit(seed)), F.lit(max(size, 1))) + 1))
-    means = draws.join(lookup_side(rows), "i").groupBy("replicate").agg(F.avg("v").alias("m"))
-    q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return means.agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"))
-
-
 # -- rankings of zones ----------------------------------------------------------------------------
 
 

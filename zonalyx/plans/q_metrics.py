@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from zonalyx.operators import metrics as me
+from zonalyx.operators import resample as rs
 from zonalyx.operators import splits as sp
 from zonalyx.plans.base import PANEL, SPLIT, TRAIN_END, VALIDATION_END, ZONES, Register, panel, r6, table, zones
 from zonalyx.streaming import events as st
@@ -121,18 +122,51 @@ def _(spark, d):
     return me.long_metrics(g, ["split"], ["mae", "pearson"]).withColumn("metric_value", r6("metric_value"))
 
 
-@query(
-    "r179_permutation_null",
-    f"WITH {PANEL}, {ZONES}, t AS (SELECT zone_id, sum(y) AS y FROM panel GROUP BY 1) SELECT round(corr(population, y), 6) AS observed, CAST(100 AS BIGINT) AS permutations FROM zones JOIN t USING (zone_id)",
-)
+#: The 31-bit number of a text, as resample.md5_number makes it.
+_MD5 = lambda text: f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {rs.P}"
+
+_WALK = f"""{PANEL}, {ZONES}, t AS (SELECT zone_id, population AS x, y, total FROM zones JOIN (SELECT zone_id, sum(y) AS y, sum(total) AS total FROM panel GROUP BY 1) USING (zone_id)),
+    n AS (SELECT row_number() OVER (ORDER BY zone_id) - 1 AS i, x, y, total FROM t), size AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS side FROM n),
+    draw AS (SELECT r, k, 1 + {_MD5("'42:' || r || ':' || k || ':a'")} % {rs.P - 1} AS a, {_MD5("'42:' || r || ':' || k || ':b'")} AS b FROM generate_series(0, 99) r(r), generate_series(0, {rs.ROUNDS - 1}) k(k)),
+    walk(r, i, k, left_, right_) AS (
+        SELECT r, i, 0, i // side, i % side FROM n, size, generate_series(0, 99) r(r)
+        UNION ALL
+        SELECT w.r, w.i, CASE WHEN w.k < {rs.ROUNDS} THEN w.k + 1 ELSE 0 END, CASE WHEN w.k < {rs.ROUNDS} THEN right_ ELSE left_ END,
+               CASE WHEN w.k < {rs.ROUNDS} THEN (left_ + (a * right_ + b) % {rs.P} % side) % side ELSE right_ END
+        FROM walk w LEFT JOIN draw ON draw.r = w.r AND draw.k = w.k, size WHERE w.k < {rs.ROUNDS} OR left_ * side + right_ >= size.n),
+    met AS (SELECT w.r, n.x, m.y, m.total FROM walk w JOIN n USING (i), size JOIN n m ON m.i = left_ * side + right_ WHERE w.k = {rs.ROUNDS} AND left_ * side + right_ < size.n)"""
+
+
+def _null_sql(target: str) -> str:
+    return f"""SELECT '{target}' AS target, round(any_value(observed), 6) AS observed, round((1 + count(*) FILTER (abs(c) >= abs(observed) - 1e-12)) / 101.0, 6) AS p_value,
+        round((1 + count(*) FILTER (c >= observed - 1e-12)) / 101.0, 6) AS p_greater, count(*) FILTER (abs(c) >= abs(observed) - 1e-12) AS exceed, count(*) AS permutations,
+        round(avg(c), 6) AS null_mean, round(stddev_samp(c), 6) AS null_deviation, round(quantile_cont(c, 0.025), 6) AS low, round(quantile_cont(c, 0.975), 6) AS high
+    FROM (SELECT r, corr(x, {target}) AS c FROM met GROUP BY r), (SELECT corr(x, {target}) AS observed FROM n)"""
+
+
+def _zone_totals(spark, d):
+    t = panel(spark, d).groupBy("zone_id").agg(F.sum("y").alias("y"), F.sum("total").alias("total"))
+    return t.join(zones(spark, d), "zone_id")
+
+
+@query("r179_permutation_null", f"WITH RECURSIVE {_WALK} {_null_sql('y')} UNION ALL {_null_sql('total')}")
 def _(spark, d):
-    t = panel(spark, d).groupBy("zone_id").agg(F.sum("y").alias("y")).join(zones(spark, d), "zone_id")
-    return me.permutation_p(t, "zone_id", "population", "y", 100).select(r6("observed", "observed"), "permutations")
+    g = rs.permutation_null(_zone_totals(spark, d), "zone_id", "population", ["y", "total"], 100)
+    rounded = [r6(c, c) for c in ("observed", "p_value", "p_greater", "null_mean", "null_deviation", "low", "high")]
+    return g.select("target", *rounded, "exceed", "permutations")
+
+
+_COUNTS = f"""draw AS (SELECT r, 1 + {_MD5("'42:' || r || ':a'")} % {rs.P - 1} AS a, {_MD5("'42:' || r || ':b'")} AS b FROM generate_series(0, 99) r(r)),
+    w AS (SELECT r, value, event_type, len(list_filter({rs.poisson_steps()}, lambda s: (({_MD5("CAST(event_id AS VARCHAR)")}) * a + b) % {rs.P} >> 15 >= s)) AS w FROM events, draw),
+    m AS (SELECT r, sum(w * value) / sum(w) AS mean, sum(w * value) FILTER (event_type = 'click') / sum(w) FILTER (event_type = 'click') AS clicks FROM w GROUP BY r)"""
+_INTERVAL = lambda c, name: f"SELECT '{name}' AS \"column\", count({c}) AS replicates, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS deviation, round(quantile_cont({c}, 0.025), 6) AS low, round(quantile_cont({c}, 0.5), 6) AS middle, round(quantile_cont({c}, 0.975), 6) AS high FROM m"
 
 
-@query("r180_bootstrap_interval")
+@query("r180_bootstrap_interval", f"WITH {_COUNTS} {_INTERVAL('mean', 'value')} UNION ALL {_INTERVAL('clicks', 'click_value')}")
 def _(spark, d):
-    return me.bootstrap_mean(zones(spark, d), "zone_id", "balance", 100)
+    e = table(spark, d, "events").select("event_id", "value", F.when(F.col("event_type") == "click", F.col("value")).alias("click_value"))
+    g = rs.bootstrap_means(e, "event_id", ["value", "click_value"], 100)
+    return g.select("column", "replicates", *[r6(c, c) for c in ("mean", "deviation", "low", "middle", "high")])
 
 
 @query("r182_prediction_contract", "SELECT CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS missing, CAST(3 AS BIGINT) AS parts")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonalyx.functions import scalar as s
+from zonalyx.operators.quantiles import quantiles
 from zonalyx.operators.spatial import point_in_polygon
 from zonalyx.plans.base import PANEL, Register, panel, r6, table
 
@@ -239,7 +240,8 @@ def _(spark, d):
 
 @query("r151_exact_quantiles", "SELECT event_type, round(median(value), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(r6(F.median("value"), "median"), r6(F.percentile("value", F.lit(0.9)), "p90"))
+    q = quantiles(table(spark, d, "events"), "value", [0.5, 0.9], ["event_type"], ["median", "p90"])
+    return q.select("event_type", r6("median", "median"), r6("p90", "p90"))
 
 
 @query(
