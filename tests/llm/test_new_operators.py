@@ -11,7 +11,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from zonalyx.llm import centroids, mixing, prefix_trie, spread
+from tests.llm.helpers import table
+from zonalyx.llm import centroids, chat_format, license_scan, mixing, prefix_trie, spread
+from zonalyx.operators import ranges
 
 # -- clustering ---------------------------------------------------------------------------------
 
@@ -122,8 +124,8 @@ def spark_trie(spark, rows, every=100):
 
 
 def test_trie_against_all_starts(spark, monkeypatch):
-    monkeypatch.setattr(spread, "MIN_HOT_ROWS", 4)
-    monkeypatch.setattr(spread, "HOT_SHARE", 8)
+    monkeypatch.setattr(ranges, "MIN_HOT_ROWS", 4)
+    monkeypatch.setattr(ranges, "HOT_SHARE", 8)
     r = random.Random(5)
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", r.choice("abc") * (1 + t)) for c in range(-30, 230) for t in range(r.randrange(1, 8))]
     rows += [(c, t, "user", f"same {t}") for c in range(400, 460) for t in range(9)]  # copies, the last place differs for some
@@ -174,7 +176,7 @@ def water(sizes, most=3.0):
 
 def test_mix_meets_targets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 40)
-    monkeypatch.setattr(spread, "MIN_HOT_ROWS", 50)
+    monkeypatch.setattr(ranges, "MIN_HOT_ROWS", 50)
     r = random.Random(2)
     text = lambda n: " ".join(["w"] * n)
     rows = [(k, text(r.choice([1, 5, 20, 90])), r.choice(["a", "b", "b", "b", "b", "c", "d"])) for k in range(900)]
@@ -216,3 +218,68 @@ def test_flight_keeps_expectations():
         assert abs(sum(p * row[1] for row, p in left) - 0.3 * sum(sizes)) < 1e-6 and abs(sum(p for _, p in left) - 12) < 1e-6
         hits.update({row[0]: p for row, p in left})
     assert all(abs(hits[k] / 3000 - 0.3) < 0.04 for k in range(40))
+
+
+# -- licence scan and chat records ----------------------------------------------------------------
+
+
+def test_runs_of_words_against_every_run(spark):
+    """Texts that repeat parts of a template in every way, against all runs of consecutive words."""
+    r = random.Random(12)
+    templates = (("A", "one two three four five six seven eight nine ten eleven twelve"), ("B", "red blue red green blue red yellow black white red blue grey"))
+    sets = {n: set(license_scan.bigram_set(t)) for n, t in templates}
+    vocabulary = sorted({w for _, t in templates for w in t.split()}) + ["x", "y"]
+
+    def text():
+        out = []
+        for _ in range(r.randrange(1, 9)):
+            part = list(r.choice(templates)[1].split())
+            for _ in range(r.randrange(3)):
+                part[r.randrange(len(part))] = r.choice(vocabulary)
+            out += part[r.randrange(4) : 12 - r.randrange(4)] + [r.choice(vocabulary) for _ in range(r.randrange(3))]
+        return " ".join(out)
+
+    texts = [text() for _ in range(250)]
+    for threshold in (0.7, 0.9):
+        got = {x.doc_id: (x.licenses, x.best_dice) for x in license_scan.scan_licenses(table(spark, texts), threshold=threshold, templates=templates).collect()}
+        for k, t in enumerate(texts):
+            g = [f"{a} {b}" for a, b in zip(t.split(), t.split()[1:], strict=False)]
+            best = {n: max((2 * len(set(g[i:j]) & b) / (len(set(g[i:j])) + len(b)) for i in range(len(g)) for j in range(i + 1, len(g) + 1)), default=0) for n, b in sets.items()}
+            assert got[k][0] == ",".join(sorted(n for n, x in best.items() if x >= threshold))
+            if got[k][0]:
+                whole = {n: 2 * len(set(g) & b) / (len(set(g)) + len(b)) for n, b in sets.items()}
+                assert got[k][1] == pytest.approx(max(x if x >= threshold else best[n] for n, x in whole.items() if best[n] >= threshold))
+
+
+def test_licence_scan_is_linear_in_a_text_that_repeats_a_changed_notice(spark):
+    import time
+
+    words_of = dict((n, t) for n, t in license_scan.TEMPLATES if len(t) > 400)["MIT"].split()
+    took = []
+    for size in (200_000, 2_000_000):
+        for fixed in (True, False):
+            out, n = [], 0
+            while n < size:
+                part = [(f"changed{0 if fixed else len(out) + k}" if k % 13 == 5 else w) for k, w in enumerate(words_of)]
+                out += part
+                n += sum(map(len, part)) + len(part)
+            began = time.perf_counter()
+            assert license_scan.scan_licenses(table(spark, [" ".join(out)])).first().n_units == 1
+            took.append(time.perf_counter() - began)
+    assert max(took[2:]) < 60
+
+
+def test_records_whose_members_differ(spark):
+    said = [
+        '{"messages":[{"role":"system"},{"role":"user","content":"q"}]}',
+        '{"messages":[{"role":"user","content":null},null,{"content":"a","role":"assistant","id":3}]}',
+        '{"conversations":[{"from":"human"},{"value":"only value"}]}',
+        '{"messages":[{"role":"user"}]}',
+        '{"messages":[]}',
+        '{"prompt":"p","messages":7,"completion":"c"}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(said)), "id long, record string")
+    got = sorted(((x.conv_id, x.turn, x.role, x.text) for x in chat_format.turns_from_json(rows, "record", "id").collect()), key=str)
+    assert [g[1:] for g in got if g[0] == 0] == [(0, "system", ""), (1, "user", "q")]
+    assert [g[3] for g in got if g[0] == 1][-1] == "a" and [g[2:] for g in got if g[0] == 2] == [("user", ""), ("", "only value")]
+    assert [g[1:] for g in got if g[0] in (3, 4)] == [(None, None, None)] * 2

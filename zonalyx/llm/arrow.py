@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonalyx.operators.ship import ship
+
+__all__ = ["BATCH_BYTES", "ship", "small_batches", "utf8", "with_text"]
+
 #: Bytes of text that a function works on at once, about; one long text is a batch of its own.
 BATCH_BYTES = 4 << 20
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once per application; their Python need not have it installed."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        path = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(path)
-        _shipped.add(app)
-    return spark
-
 
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""

@@ -94,10 +94,11 @@ def _under(field: str):
 
 
 def json_fingerprint(record: Column) -> Column:
-    """The fingerprint of a JSON record; lists count by their first member. Null for what is no object."""
+    """The fingerprint of a JSON record; a list counts by the keys of all its members. Null for what is no object."""
     found = [F.json_object_keys(record)]
     for field in sorted({layout.items[0] for layout in LAYOUTS if layout.items}):
-        keys = F.json_object_keys(F.get_json_object(record, f"$.{field}[0]"))
+        members = F.from_json(record, f"struct<`{field}`:array<map<string,string>>>")[field]
+        keys = F.array_distinct(F.flatten(F.transform(F.filter(members, lambda m: m.isNotNull()), F.map_keys)))
         found.append(F.coalesce(F.transform(keys, _under(field)), F.array().cast("array<string>")))
     known = F.array_intersect(F.concat(*found), F.array(*map(F.lit, KNOWN_PATHS)))
     return F.sha2(F.array_join(F.array_sort(known), "\n"), 256)

@@ -12,9 +12,8 @@ holds one of a few anchor words without which too few of B's bigrams are left;
 units without any anchor are not cut into words.
 
 Runs of words are compared only where the whole text holds as many of B's bigrams as
-a match needs. The best run begins with one of B's bigrams (else it is no worse
-without its first word), and none has more distinct bigrams than B's bounds allow;
-runs that do so are all compared, so this is exact too.
+a match needs. None has more distinct bigrams than B's bounds allow, and those that may
+be best begin and end at few places (_best_run), so this is exact and linear in the text.
 
 Everything is one projection: no shuffle, and a row holds no more than its document.
 """
@@ -32,6 +31,8 @@ from zonalyx.llm.license_templates import TEMPLATES
 #: Words: digits, ASCII letters and whatever is outside ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 THRESHOLD = 0.9
+#: A run is widened fourfold up to so many times, which is more than a value can hold.
+WIDENED = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,12 +77,14 @@ def _bigrams(words: Column) -> Column:
 
 
 def _places(pairs: Column) -> Column:
-    """(p, before, b) of each bigram b in order: its place and the place of the same bigram before it, or -1."""
+    """(p, before, after, b) of each bigram b in order: its place and those of the same bigram before it (or -1) and after it (or the end)."""
 
     def linked(s: Column) -> Column:
         def one(e: Column, i: Column) -> Column:
-            last = F.get(s, i - 1)
-            return F.struct(e["p"].alias("p"), F.when(last["b"] == e["b"], last["p"]).otherwise(-1).alias("before"), e["b"].alias("b"))
+            last, following = F.get(s, i - 1), F.get(s, i + 1)
+            before = F.when(last["b"] == e["b"], last["p"]).otherwise(-1)
+            after = F.when(following["b"] == e["b"], following["p"]).otherwise(F.size(s))
+            return F.struct(e["p"].alias("p"), before.alias("before"), after.alias("after"), e["b"].alias("b"))
 
         return F.array_sort(F.transform(s, one))
 
@@ -89,13 +92,24 @@ def _places(pairs: Column) -> Column:
 
 
 def _best_run(places: Column, t: Column) -> Column:
-    """The least -Dice of template t over all runs of consecutive words; null if no bigram is t's."""
+    """The least -Dice of template t over all runs of consecutive words; null if no bigram is t's.
+
+    Of the best runs take a shortest: its first bigram is one of t's and does not come
+    again in it. Let it reach back over the block of t's bigrams that it begins in,
+    which makes it no worse. So a run begins with a block, and ends before the last
+    of the places where a bigram of the block comes next. These spans add up to the
+    length of the text times the size of t at most, however often the text repeats.
+    """
 
     def search(q: Column) -> Column:
-        def run(start: Column) -> Column:
+        def run(block: Column) -> Column:
+            start = block["p"]
+            span = F.array_max(F.transform(F.slice(q, start + 1, block["length"]), lambda e: e["after"])) - start
             # bigrams that are new since the start; the bound is on these, however many repeats lie between
-            new = lambda n: F.filter(F.slice(q, start["p"] + 1, n), lambda e: e["before"] < start["p"])
-            steps = _let(new(4 * t["hi"]), lambda v: F.when((F.size(v) >= t["hi"]) | (start["p"] + 4 * t["hi"] >= F.size(q)), v).otherwise(new(F.size(q))))
+            new = lambda n: F.filter(F.slice(q, start + 1, F.least(n, span)), lambda e: e["before"] < start)
+            wide = lambda k: (4 * t["hi"] * F.pow(F.lit(4), k)).cast("int")
+            enough = lambda v, k: (F.size(v) >= t["hi"]) | (wide(k - 1) >= span)
+            steps = F.aggregate(F.sequence(F.lit(1), F.lit(WIDENED)), new(4 * t["hi"]), lambda v, k: F.when(enough(v, k), v).otherwise(new(wide(k))))
 
             def step(z: Column, e: Column) -> Column:
                 a, x = z["a"] + 1, z["x"] + e["hit"]
@@ -103,10 +117,14 @@ def _best_run(places: Column, t: Column) -> Column:
 
             return F.aggregate(F.slice(steps, 1, t["hi"]), F.struct(F.lit(0).alias("a"), F.lit(0).alias("x"), F.lit(0.0).alias("less")), step)["less"]
 
-        return F.array_min(F.transform(F.filter(q, lambda e: e["hit"] == 1), run))
+        hit = lambda e: F.coalesce(e["hit"], F.lit(0)) == 1
+        starts = F.filter(q, lambda e, i: hit(e) & ~hit(F.get(q, i - 1)))
+        ends = F.filter(q, lambda e, i: hit(e) & ~hit(F.get(q, i + 1)))
+        blocks = F.zip_with(starts, ends, lambda a, b: F.struct(a["p"].alias("p"), (b["p"] - a["p"] + 1).alias("length")))
+        return F.array_min(F.transform(blocks, run))
 
     return _let(
-        F.transform(places, lambda e: F.struct(e["p"].alias("p"), e["before"].alias("before"), F.array_contains(t["grams"], e["b"]).cast("int").alias("hit"))),
+        F.transform(places, lambda e: F.struct(e["p"].alias("p"), e["before"].alias("before"), e["after"].alias("after"), F.array_contains(t["grams"], e["b"]).cast("int").alias("hit"))),
         search,
     )
 
@@ -125,7 +143,8 @@ def scan_licenses(
     a run of words does. licenses: identifiers of the matched templates, distinct, sorted, comma-joined
     (empty without a match). best_license is the one with the largest coefficient,
     of equal ones the first by name; null without a match. Null and empty texts
-    have no units. Repeated rows are scanned each.
+    have no units. Repeated rows are scanned each. Time is linear in the length of a
+    text, whatever it repeats.
     """
     sets = [(name, bigram_set(text)) for name, text in templates]
     table = [(name, grams, *size_bounds(len(grams), threshold)) for name, grams in sets if grams]

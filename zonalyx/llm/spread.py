@@ -1,57 +1,5 @@
-"""Joins and running sums in which no key, however frequent, lands in one task."""
+"""Joins and sums that no key holds in one task, as everywhere in the library."""
 
-from __future__ import annotations
+from zonalyx.operators.ranges import hot_limit, running, spread_join
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from zonalyx.llm.store import keep
-
-#: A key with more than 1/HOT_SHARE of all rows is joined by broadcast; there are HOT_SHARE such keys at most.
-HOT_SHARE = 4096
-MIN_HOT_ROWS = 256
-
-
-def hot_limit(rows: int) -> int:
-    """Rows above which a key of a table with so many rows is hot."""
-    return max(MIN_HOT_ROWS, rows // HOT_SHARE)
-
-
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], weight: str, limit: int) -> DataFrame:
-    """Inner join of many with one, where keys are unique in one and weight counts their rows in many.
-
-    Keys of more than limit rows are few, as their rows add up to the table's:
-    they are sent to the rows of many, which stay where they are. The others are
-    shuffled. Null keys match nothing.
-    """
-    hot, rest = one.where(F.col(weight) > limit), one.where(F.col(weight) <= limit)
-    return many.join(F.broadcast(hot), keys).unionByName(many.join(rest, keys))
-
-
-def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], tag: str) -> DataFrame:
-    """df with one column per entry of sums: its sum over the rows of the group up to and with this one.
-
-    Rows are range-partitioned by group and order and written; a range is summed on
-    its own, and what a group has in the ranges before it is added. Only groups that
-    reach over a border of ranges need that, one or two a range.
-    """
-    ranged = keep(df.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()), tag)
-    group = F.struct(*by)
-    ends = sorted((r for r in ranged.groupBy("__p").agg(F.min(group).alias("low"), F.max(group).alias("high")).collect()), key=lambda r: r[0])
-    torn = {tuple(a.high) for a, b in zip(ends, ends[1:], strict=False) if a.high == b.low}
-    w = Window.partitionBy("__p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.select("*", *[F.sum(c).over(w).alias(name) for name, c in sums.items()])
-    if torn:
-        spark, types = df.sparkSession, {f.name: f.dataType.simpleString() for f in df.schema.fields}
-        keys = spark.createDataFrame(sorted(torn), ", ".join(f"{b} {types[b]}" for b in by))
-        held = ranged.join(F.broadcast(keys), by).groupBy("__p", *by).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
-        before, rows = {}, []
-        for r in sorted(held.collect(), key=lambda r: r[0]):
-            key = tuple(r[b] for b in by)
-            had = before.get(key, (0,) * len(sums))
-            rows.append((r[0], *key, *had))
-            before[key] = tuple(x + (r[name] or 0) for x, name in zip(had, sums, strict=True))
-        shift = spark.createDataFrame(rows, f"__p int, {', '.join(f'{b} {types[b]}' for b in by)}, {', '.join(f'__{name} long' for name in sums)}")
-        out = out.join(F.broadcast(shift), ["__p", *by], "left")
-        out = out.withColumns({name: F.col(name) + F.coalesce(F.col(f"__{name}"), F.lit(0)) for name in sums}).drop(*[f"__{name}" for name in sums])
-    return out.drop("__p")
+__all__ = ["hot_limit", "running", "spread_join"]
