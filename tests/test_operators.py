@@ -169,6 +169,7 @@ def _ring(*xy):
 
 def test_polygons_with_holes_and_bays(spark):
     from zonalyx.operators import spatial as sl
+    from zonalyx.operators.planar import region
 
     outer, hole = _ring((0, 0), (10, 0), (10, 10), (0, 10), (0, 0)), _ring((3, 3), (3, 6), (6, 6), (6, 3), (3, 3))
     bay = _ring((20, 0), (30, 0), (30, 10), (25, 2), (20, 10), (20, 0))
@@ -179,9 +180,9 @@ def test_polygons_with_holes_and_bays(spark):
     assert got == {1: ("a", sl.WITHIN, 1), 2: (None, sl.UNMATCHED, 0), 3: (None, sl.UNMATCHED, 0), 4: ("b", sl.WITHIN, 1), 5: ("a", sl.FALLBACK, 2), 6: ("a", sl.FALLBACK, 1), 7: (None, sl.UNMATCHED, 0), 8: ("a", sl.FALLBACK, 2), 9: (None, sl.UNMATCHED, 0)}
     assert sorted(values(sl.adjacent(z, "zone"), "source", "target")) == [("a", "c"), ("b", "c"), ("c", "a"), ("c", "b")]
     assert sorted(values(sl.adjacent_by_length(z, "zone"), "source", "target", "shared_length")) == [("a", "c", 10.0), ("b", "c", 10.0)]
-    assert sl.overlap_area([outer, hole], [outer, hole]) == pytest.approx(91) and sl.overlap_area([bay], [bay]) == pytest.approx(60)
-    assert sl.overlap_area([outer, hole], [_ring((2, 2), (2, 5), (5, 5), (5, 2), (2, 2))]) == pytest.approx(5)
-    assert sl.overlap_area([bay], [_ring((22, 5), (28, 5), (28, 10), (22, 10), (22, 5))]) == pytest.approx(_bay_above())
+    assert region([outer, hole], [outer, hole])[1] == pytest.approx(91) and region([bay], [bay])[1] == pytest.approx(60)
+    assert region([outer, hole], [_ring((2, 2), (2, 5), (5, 5), (5, 2), (2, 2))])[1] == pytest.approx(5)
+    assert region([bay], [_ring((22, 5), (28, 5), (28, 10), (22, 10), (22, 5))])[1] == pytest.approx(_bay_above())
     ok = z.where("rings is not null").select("zone", sl.valid_polygon(F.col("rings")).alias("v"))
     assert dict(values(ok, "zone", "v")) == {"a": True, "b": True, "c": True}
 
@@ -193,7 +194,7 @@ def _bay_above():
 
 
 def test_projections_at_their_origins(spark):
-    from zonalyx.operators import spatial as sl
+    from zonalyx.functions import projections as sl
 
     at = lambda f, lon, lat: spark.range(1).select(*[c.alias(n) for c, n in zip(f(F.lit(lon), F.lit(lat)), "xy", strict=True)]).first()
     x, y = at(sl.lambert_conic, -91.866666666666667, 63.390675)

@@ -221,22 +221,29 @@ def grid_ring(cell: Column, size: int = 25) -> Column:
     return F.array(point(x, y), point(x + size, y), point(x + size, y + size), point(x, y + size), point(x, y))
 
 
-def _cross(ring: Column, f) -> Column:
-    """Sum of f(p, q) over a ring's edges."""
+def _cross(ring: Column, f, near: bool = False) -> Column:
+    """Sum of f(p, q) over a ring's edges; near: points count from the ring's first one, which keeps small rings far from 0 exact."""
     n = F.size(ring)
+    if near:
+        ring = F.transform(ring, lambda p: F.struct((p["x"] - ring[0]["x"]).alias("x"), (p["y"] - ring[0]["y"]).alias("y")))
     pairs = F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), f)
     return F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v)
 
 
+def ring_signed_area(ring: Column) -> Column:
+    """Positive if the ring turns left."""
+    return _cross(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"], near=True) / 2
+
+
 def ring_area(ring: Column) -> Column:
-    return F.abs(_cross(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])) / 2
+    return F.abs(ring_signed_area(ring))
 
 
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
-    twice = _cross(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
-    cx = _cross(ring, lambda p, q: (p["x"] + q["x"]) * (p["x"] * q["y"] - q["x"] * p["y"]))
-    cy = _cross(ring, lambda p, q: (p["y"] + q["y"]) * (p["x"] * q["y"] - q["x"] * p["y"]))
-    return cx / (3 * twice), cy / (3 * twice)
+    twice = _cross(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"], near=True)
+    cx = _cross(ring, lambda p, q: (p["x"] + q["x"]) * (p["x"] * q["y"] - q["x"] * p["y"]), near=True)
+    cy = _cross(ring, lambda p, q: (p["y"] + q["y"]) * (p["x"] * q["y"] - q["x"] * p["y"]), near=True)
+    return ring[0]["x"] + cx / (3 * twice), ring[0]["y"] + cy / (3 * twice)
 
 
 def ring_bounds(ring: Column) -> list[Column]:

@@ -11,11 +11,15 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonalyx.functions.scalar import in_ring, ring_area
 from zonalyx.operators.frames import ContractError
+from zonalyx.operators.planar import region
+from zonalyx.operators.ship import ship
 
 WITHIN = "centroid_within_polygon"
 FALLBACK = "centroid_intersects_polygon_boundary_fallback"
@@ -70,15 +74,16 @@ def edges_meet(a: Column, b: Column) -> Column:
     return cross | touch
 
 
-def polygons_meet(p: Column, q: Column) -> Column:
-    """Whether two polygons touch or overlap."""
+def polygons_meet(p: Column, q: Column, p_edges: Column | None = None, q_edges: Column | None = None) -> Column:
+    """Whether two polygons touch or overlap; edges: those that come into question."""
     first = lambda rings: rings[0][0]
-    meet = F.exists(edges_of(p), lambda a: F.exists(edges_of(q), lambda b: edges_meet(a, b)))
+    others = edges_of(q) if q_edges is None else q_edges
+    meet = F.exists(edges_of(p) if p_edges is None else p_edges, lambda a: F.exists(others, lambda b: edges_meet(a, b)))
     return meet | inside(first(p)["x"], first(p)["y"], q) | inside(first(q)["x"], first(q)["y"], p)
 
 
 def shared_length(p: Column, q: Column, tolerance: float = TOLERANCE) -> Column:
-    """Length of the boundary that two polygons share; a common point alone is 0."""
+    """Length that two arrays of edges share; a common point alone is 0."""
 
     def common(a: Column, b: Column) -> Column:
         dx, dy = a["x1"] - a["x0"], a["y1"] - a["y0"]
@@ -90,8 +95,8 @@ def shared_length(p: Column, q: Column, tolerance: float = TOLERANCE) -> Column:
         same = off(b["x0"], b["y0"]) & off(b["x1"], b["y1"])
         return F.coalesce(F.when(same & (part > 0), part * F.sqrt(square)), F.lit(0.0))
 
-    inner = lambda a: F.aggregate(edges_of(q), F.lit(0.0), lambda n, b: n + common(a, b))
-    return F.aggregate(edges_of(p), F.lit(0.0), lambda n, a: n + inner(a))
+    inner = lambda a: F.aggregate(q, F.lit(0.0), lambda n, b: n + common(a, b))
+    return F.aggregate(p, F.lit(0.0), lambda n, a: n + inner(a))
 
 
 def valid_polygon(rings: Column) -> Column:
@@ -111,7 +116,7 @@ def valid_polygon(rings: Column) -> Column:
 def repair(rings: Column) -> Column:
     """Rings closed, without points that repeat the one before, and without rings of no area; NULL if none is left.
 
-    A ring that crosses itself is not cut: valid_polygon tells.
+    A ring that crosses itself is not cut here (valid_polygon tells) but by cut_crossings.
     """
 
     def mended(r: Column) -> Column:
@@ -206,14 +211,16 @@ def _candidates(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
         spread = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
         return box(df, p).withColumn("gx", spread(f"{p}_x0", f"{p}_x1")).withColumn("gy", spread(f"{p}_y0", f"{p}_y1"))
 
+    def near(p: str, q: str) -> Column:
+        """Edges of one polygon that reach the other's bounds: no other edge can meet it."""
+        x0, y0, x1, y1 = (F.col(f"{q}_{c}") for c in ("x0", "y0", "x1", "y1"))
+        reach = lambda e: (F.greatest(e["x0"], e["x1"]) >= x0) & (F.least(e["x0"], e["x1"]) <= x1) & (F.greatest(e["y0"], e["y1"]) >= y0) & (F.least(e["y0"], e["y1"]) <= y1)
+        return F.filter(edges_of(F.col(f"{p}_rings")), reach)
+
     low = lambda c: F.floor(F.greatest(f"a_{c}", f"b_{c}") / size)
     meet = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
-    return cells(a, "a").join(cells(b, "b"), ["gx", "gy"]).where(meet & (F.col("gx") == low("x0")) & (F.col("gy") == low("y0"))).select(
-        "a_id",
-        "a_rings",
-        "b_id",
-        "b_rings",
-    )
+    met = cells(a, "a").join(cells(b, "b"), ["gx", "gy"]).where(meet & (F.col("gx") == low("x0")) & (F.col("gy") == low("y0")))
+    return met.select("a_id", "a_rings", "b_id", "b_rings", near("a", "b").alias("a_near"), near("b", "a").alias("b_near"))
 
 
 def _named(df: DataFrame, key: str) -> DataFrame:
@@ -223,7 +230,7 @@ def _named(df: DataFrame, key: str) -> DataFrame:
 def adjacent(polygons: DataFrame, key: str, size: float | None = None) -> DataFrame:
     """(source, target), both directions, of polygons that touch in a point at least or overlap."""
     p = _named(polygons, key)
-    met = _candidates(p, p, size or cell_size(polygons)).where((F.col("a_id") != F.col("b_id")) & polygons_meet(F.col("a_rings"), F.col("b_rings")))
+    met = _candidates(p, p, size or cell_size(polygons)).where((F.col("a_id") != F.col("b_id")) & polygons_meet(*map(F.col, ("a_rings", "b_rings", "a_near", "b_near"))))
     return met.select(F.col("a_id").alias("source"), F.col("b_id").alias("target"))
 
 
@@ -231,89 +238,42 @@ def adjacent_by_length(polygons: DataFrame, key: str, least: float = 0.0, size:
     """(source, target, shared_length) with source < target and a common boundary of more than 0 and at least `least`."""
     p = _named(polygons, key)
     met = _candidates(p, p, size or cell_size(polygons)).where("a_id < b_id")
-    met = met.select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), shared_length(F.col("a_rings"), F.col("b_rings")).alias("shared_length"))
+    met = met.select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), shared_length(F.col("a_near"), F.col("b_near")).alias("shared_length"))
     return met.where((F.col("shared_length") > 0) & (F.col("shared_length") >= least))
 
 
 # -- overlay --------------------------------------------------------------------------------------
 
 
-def _clip(subject: list[tuple[float, float]], triangle: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """The part of a convex polygon inside a triangle that turns left."""
-    for (ax, ay), (bx, by) in zip(triangle, triangle[1:] + triangle[:1], strict=True):
-        out, n = [], len(subject)
-        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in subject]
-        for k in range(n):
-            (px, py), (qx, qy), s, t = subject[k - 1], subject[k], side[k - 1], side[k]
-            if (s >= 0) != (t >= 0):
-                u = s / (s - t)
-                out.append((px + u * (qx - px), py + u * (qy - py)))
-            if t >= 0:
-                out.append((qx, qy))
-        subject = out
-        if not subject:
-            break
-    return subject
-
-
-def _twice_area(points: list[tuple[float, float]]) -> float:
-    return sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(points, points[1:] + points[:1], strict=True))
-
-
-def _fan(rings: list, ox: float, oy: float) -> list[tuple[int, list[tuple[float, float]]]]:
-    """Signed triangles from one point over all edges; outer rings turn left, holes right, by nesting depth."""
-    out = []
-    plain = [[(p["x"] - ox, p["y"] - oy) for p in r] for r in rings]
-    for k, r in enumerate(plain):
-        x, y = r[0]
-        depth = sum(_holds(other, x, y) for j, other in enumerate(plain) if j != k)
-        turn = (1 if _twice_area(r) > 0 else -1) * (1 if depth % 2 == 0 else -1)
-        for p, q in zip(r, r[1:], strict=False):
-            double = p[0] * q[1] - q[0] * p[1]
-            if double:
-                t = [(0.0, 0.0), p, q] if double > 0 else [(0.0, 0.0), q, p]
-                out.append((turn if double > 0 else -turn, t))
-    return out
-
-
-def _holds(ring: list[tuple[float, float]], x: float, y: float) -> bool:
-    odd = False
-    for (x0, y0), (x1, y1) in zip(ring, ring[1:], strict=False):
-        if (y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0:
-            odd = not odd
-    return odd
-
-
-def overlap_area(p: list, q: list) -> float:
-    """Area that two polygons (lists of rings of x, y) have in common: signed triangles against signed triangles."""
-    ox, oy = p[0][0]["x"], p[0][0]["y"]
-    second = _fan(q, ox, oy)
-    total = sum(s * t * _twice_area(_clip(a, b)) for s, a in _fan(p, ox, oy) for t, b in second)
-    return abs(total) / 2
+RINGS = "array<array<struct<x: double, y: double>>>"
+
+
+def _points(rings: list) -> list:
+    return [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
 
 
 def overlay(sources: DataFrame, targets: DataFrame, source: str, target: str, size: float | None = None) -> DataFrame:
-    """(source, target, overlap, share_of_target, share_of_source) of polygons with a common area.
+    """(source, target, overlap, share_of_target, share_of_source, rings) of polygons with a common area.
 
+    rings are those of the common area, outer ones turning left and holes right;
     share_of_target is the overlap over all overlaps of the target, share_of_source
-    that over the source's own area.
+    that over the source's own area. Each pair is one cut of the plane (planar).
     """
+    ship(sources.sparkSession)
     a, b = _named(sources, source), _named(targets, target)
-    met = _candidates(a, b, size or max(cell_size(sources), cell_size(targets)))
+    met = _candidates(a, b, size or max(cell_size(sources), cell_size(targets))).select("a_id", "a_rings", "b_id", "b_rings")
 
-    def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.DataFrame(
-                {
-                    "s": part.a_id,
-                    "t": part.b_id,
-                    "overlap": [overlap_area(p, q) for p, q in zip(part.a_rings, part.b_rings, strict=True)],
-                    "area": [overlap_area(p, p) for p in part.a_rings],
-                }
-            )
+            own: dict = {}  # of the batch's sources
+            for k, p in zip(part.a_id, part.a_rings, strict=True):
+                if k not in own:
+                    own[k] = region(p)[1]
+            got = [region(p, q) for p, q in zip(part.a_rings, part.b_rings, strict=True)]
+            yield pd.DataFrame({"s": part.a_id, "t": part.b_id, "overlap": [g[1] for g in got], "area": part.a_id.map(own), "rings": [_points(g[0]) for g in got]})
 
     kinds = dict(a.dtypes)["id"], dict(b.dtypes)["id"]
-    got = met.mapInPandas(areas, f"s {kinds[0]}, t {kinds[1]}, overlap double, area double").where(F.col("overlap") > TOLERANCE * F.col("area"))
+    got = met.mapInPandas(cut, f"s {kinds[0]}, t {kinds[1]}, overlap double, area double, rings {RINGS}").where(F.col("overlap") > TOLERANCE * F.col("area"))
     of_target = F.sum("overlap").over(Window.partitionBy("t"))
     return got.select(
         F.col("s").alias(source),
@@ -321,9 +281,29 @@ def overlay(sources: DataFrame, targets: DataFrame, source: str, target: str, si
         "overlap",
         (F.col("overlap") / of_target).alias("share_of_target"),
         (F.col("overlap") / F.col("area")).alias("share_of_source"),
+        "rings",
     )
 
 
+def cut_crossings(polygons: DataFrame, rings: str = "rings") -> DataFrame:
+    """polygons with every geometry as rings that cross neither themselves nor another, what is inside by odd-even unchanged; NULL without an area.
+
+    A ring that crosses itself becomes several; points that repeat, spikes and lines
+    there and back go. Outer rings turn left, holes right.
+    """
+    ship(polygons.sparkSession)
+    at = polygons.columns.index(rings)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_points(region(r)[0]) if r else [] for r in batch.column(at).to_pylist()]
+            column = pa.array([m or None for m in made], pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+            yield pa.RecordBatch.from_arrays([column if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+
+    schema = T.StructType([T.StructField(f.name, T._parse_datatype_string(RINGS)) if f.name == rings else f for f in polygons.schema.fields])
+    return polygons.mapInArrow(cut, schema)
+
+
 def pairwise_distances(points: DataFrame, key: str, x: str = "x", y: str = "y", most: int = 5_000) -> DataFrame:
     """(source, target, distance) of all ordered pairs, which is what is asked for; more than `most` points raise an error."""
     small = points.select(key, x, y).limit(most + 1)
@@ -335,48 +315,3 @@ def pairwise_distances(points: DataFrame, key: str, x: str = "x", y: str = "y",
         F.col(y).alias("by"),
     )
     return a.crossJoin(F.broadcast(b)).select("source", "target", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("distance"))
-
-
-# -- projections ----------------------------------------------------------------------------------
-
-#: GRS 80, and the parameters of EPSG:3347 and EPSG:32188.
-GRS80 = (6378137.0, 1 / 298.257222101)
-STATCAN_LAMBERT = {"lat1": 49.0, "lat2": 77.0, "lat0": 63.390675, "lon0": -91.866666666666667, "x0": 6200000.0, "y0": 3000000.0}
-MTM8 = {"lon0": -73.5, "k0": 0.9999, "x0": 304800.0, "y0": 0.0}
-
-
-def lambert_conic(lon: Column, lat: Column, p: dict = STATCAN_LAMBERT) -> tuple[Column, Column]:
-    """Degrees to metres of a Lambert conformal conic with two standard parallels."""
-    import math
-
-    a, f = GRS80
-    e = math.sqrt(f * (2 - f))
-    m = lambda d: math.cos(math.radians(d)) / math.sqrt(1 - (e * math.sin(math.radians(d))) ** 2)
-    t = lambda d: math.tan(math.pi / 4 - math.radians(d) / 2) / (
-        (1 - e * math.sin(math.radians(d))) / (1 + e * math.sin(math.radians(d)))
-    ) ** (e / 2)
-    n = math.log(m(p["lat1"]) / m(p["lat2"])) / math.log(t(p["lat1"]) / t(p["lat2"]))
-    scale = a * m(p["lat1"]) / (n * t(p["lat1"]) ** n)
-    rho0 = scale * t(p["lat0"]) ** n
-    s = F.sin(F.radians(lat)) * e
-    here = F.tan(F.lit(math.pi / 4) - F.radians(lat) / 2) / F.pow((1 - s) / (1 + s), F.lit(e / 2))
-    rho, turn = F.pow(here, F.lit(n)) * scale, F.radians(lon - p["lon0"]) * n
-    return rho * F.sin(turn) + p["x0"], F.lit(rho0) - rho * F.cos(turn) + p["y0"]
-
-
-def transverse_mercator(lon: Column, lat: Column, p: dict = MTM8) -> tuple[Column, Column]:
-    """Degrees to metres of a transverse Mercator projection, by the series in the third flattening up to its third power."""
-    import math
-
-    a, f = GRS80
-    n = f / (2 - f)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    c = 2 * math.sqrt(n) / (1 + n)
-    s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - F.atanh(s * c) * c)
-    turn = F.radians(lon - p["lon0"])
-    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
-    east = reduce(lambda z, k: z + F.cos(xi * 2 * (k + 1)) * F.sinh(eta * 2 * (k + 1)) * alpha[k], range(3), eta)
-    north = reduce(lambda z, k: z + F.sin(xi * 2 * (k + 1)) * F.cosh(eta * 2 * (k + 1)) * alpha[k], range(3), xi)
-    return east * (p["k0"] * radius) + p["x0"], north * (p["k0"] * radius) + p["y0"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from zonalyx.functions import projections as pj
 from zonalyx.functions import scalar as s
 from zonalyx.operators import graph as g
 from zonalyx.operators import spatial as sp
@@ -84,9 +85,9 @@ def _(spark, d):
     "r042_overlay",
     """WITH s AS (SELECT n_nationkey AS source, n_nationkey % 5 * 10.0 AS x0, n_nationkey // 5 * 10.0 AS y0, 10.0 AS w, 10.0 AS h FROM nation),
     t AS (SELECT n_nationkey AS target, n_nationkey % 5 * 7.0 + 3 AS x0, n_nationkey // 5 * 13.0 - 2 AS y0, 7.0 AS w, 13.0 AS h FROM nation),
-    o AS (SELECT source, target, greatest(least(s.x0 + s.w, t.x0 + t.w) - greatest(s.x0, t.x0), 0) * greatest(least(s.y0 + s.h, t.y0 + t.h) - greatest(s.y0, t.y0), 0) AS overlap FROM s, t)
+    o AS (SELECT source, target, greatest(least(s.x0 + s.w, t.x0 + t.w) - greatest(s.x0, t.x0), 0) * greatest(least(s.y0 + s.h, t.y0 + t.h) - greatest(s.y0, t.y0), 0) AS overlap, greatest(s.x0, t.x0) AS x0, least(s.y0 + s.h, t.y0 + t.h) AS y1 FROM s, t)
     SELECT source, target, CAST(round(overlap, 6) AS DOUBLE) AS overlap, CAST(round(overlap / sum(overlap) OVER (PARTITION BY target), 6) AS DOUBLE) AS share_of_target,
-    CAST(round(overlap / 100, 6) AS DOUBLE) AS share_of_source FROM o WHERE overlap > 0""",
+    CAST(round(overlap / 100, 6) AS DOUBLE) AS share_of_source, CAST(round(overlap, 6) AS DOUBLE) AS ring_area, CAST(x0 AS DOUBLE) AS x0, CAST(y1 AS DOUBLE) AS y1, 1 AS n_rings, 4 AS corners FROM o WHERE overlap > 0""",
 )
 def _(spark, d):
     def grid(name, w, h, dx, dy):
@@ -98,7 +99,10 @@ def _(spark, d):
         return n.select(F.col("n_nationkey").alias(name), F.array(turned).alias("rings"))
 
     o = sp.overlay(grid("source", 10.0, 10.0, 0.0, 0.0), grid("target", 7.0, 13.0, 3.0, -2.0), "source", "target")
-    return o.select("source", "target", *[r6(c, c) for c in ("overlap", "share_of_target", "share_of_source")])
+    ring = F.col("rings")[0]
+    box = s.ring_bounds(ring)
+    ends = [r6(box[0], "x0"), r6(box[3], "y1"), F.size("rings").alias("n_rings"), (F.size(ring) - 1).alias("corners")]
+    return o.select("source", "target", *[r6(c, c) for c in ("overlap", "share_of_target", "share_of_source")], r6(s.ring_signed_area(ring), "ring_area"), *ends)
 
 
 @query(
@@ -139,15 +143,92 @@ _LCC = """k AS (SELECT 6378137.0 AS a, 1 / 298.257222101 AS f), q AS (SELECT *,
     FROM (SELECT *, tan(pi() / 4 - radians(lat) / 2) / pow((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat))), e / 2) AS t FROM p, r)""",
 )
 def _(spark, d):
-    x, y = sp.lambert_conic(F.col("c_acctbal") / 1000 - 80, F.col("c_nationkey") + 45.0)
+    x, y = pj.lambert_conic(F.col("c_acctbal") / 1000 - 80, F.col("c_nationkey") + 45.0)
     return table(spark, d, "customer").select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query("r154_mtm", "SELECT c_custkey, 304800.0 AS x_on_axis, c_nationkey > 0 AS north FROM customer")
+_TM = """WITH k AS (SELECT 6378137.0 AS a, 1 / 298.257222101 AS f), q AS (SELECT *, sqrt(f * (2 - f)) AS e, f / (2 - f) AS n FROM k),
+    c AS (SELECT *, [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280] AS al,
+        0.9999 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64) AS ka FROM q),
+    p AS (SELECT c_custkey, -75.5 + c_custkey % 5 AS lon, 44.0 + c_nationkey * 0.7 + c_acctbal / 20000 AS lat FROM customer),
+    t AS (SELECT *, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, radians(lon + 73.5) AS w FROM p, c),
+    u AS (SELECT *, atan2(t, cos(w)) AS xi, atanh(sin(w) / sqrt(1 + t * t)) AS eta FROM t),
+    m AS (SELECT *, ka * (eta + list_sum(list_transform([1, 2, 3, 4], lambda k: al[k] * cos(2 * k * xi) * sinh(2 * k * eta)))) + 304800 AS x,
+        ka * (xi + list_sum(list_transform([1, 2, 3, 4], lambda k: al[k] * sin(2 * k * xi) * cosh(2 * k * eta)))) AS y FROM u)"""
+
+
+def _around_axis(spark, d):
+    """Customers at five longitudes from two degrees west of the axis to two east."""
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", (F.col("c_custkey") % 5 - 75.5).alias("lon"), (F.col("c_nationkey") * 0.7 + F.col("c_acctbal") / 20000 + 44.0).alias("lat"))
+
+
+@query("r154_mtm", f"{_TM} SELECT c_custkey, round(x, 3) AS x, round(y, 3) AS y FROM m")
+def _(spark, d):
+    x, y = pj.transverse_mercator(F.col("lon"), F.col("lat"))
+    return _around_axis(spark, d).select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query(
+    "r154_inverse",
+    f"{_TM} SELECT c_custkey, round(lon, 8) + 0 AS lon, round(lat, 8) AS lat, round(lon, 8) + 0 AS conic_lon, round(lat, 8) AS conic_lat FROM m",
+)
+def _(spark, d):
+    """Back from both projections to the degrees that they came from."""
+    p = _around_axis(spark, d).withColumn("m", F.struct(*[c.alias(n) for c, n in zip(pj.transverse_mercator(F.col("lon"), F.col("lat")), "xy", strict=True)]))
+    p = p.withColumn("l", F.struct(*[c.alias(n) for c, n in zip(pj.lambert_conic(F.col("lon"), F.col("lat")), "xy", strict=True)]))
+    (a, b), (c, e) = pj.transverse_inverse(F.col("m.x"), F.col("m.y")), pj.lambert_inverse(F.col("l.x"), F.col("l.y"))
+    return p.select("c_custkey", *[F.round(v, 8).alias(n) for v, n in ((a, "lon"), (b, "lat"), (c, "conic_lon"), (e, "conic_lat"))])
+
+
+@query("r155_centroid_lonlat", f"{_TM} SELECT c_custkey, round(lon, 8) + 0 AS lon, round(lat, 8) AS lat, CAST(1000.0 * (c_custkey % 4 + 1) AS DOUBLE) AS area FROM m")
 def _(spark, d):
-    lat = F.col("c_nationkey").cast("double")
-    x, y = sp.transverse_mercator(F.lit(-73.5), lat)
-    return table(spark, d, "customer").select("c_custkey", F.round(x, 3).alias("x_on_axis"), (y > 1.0).alias("north"))
+    """Centroids, in degrees, of rectangles given in metres of the conic."""
+    p = _around_axis(spark, d).withColumn("c", F.struct(*[c.alias(n) for c, n in zip(pj.lambert_conic(F.col("lon"), F.col("lat")), "xy", strict=True)]))
+    w, h = 25.0 * (F.col("c_custkey") % 4 + 1), F.lit(10.0)
+    ring = F.array(*[_point(F.col("c.x") + w * a, F.col("c.y") + h * b) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
+    r = F.col("ring")
+    p = p.select("c_custkey", ring.alias("ring"))
+    lon, lat = pj.lambert_inverse(*s.ring_centroid(r))
+    return p.select("c_custkey", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"), F.round(s.ring_area(r), 3).alias("area"))
+
+
+_SHIFT = (-10.0, 158.0, 187.0, 0.1, -0.2, 0.3, 1.5)
+
+
+@query(
+    "r154_datum_shift",
+    """WITH p AS (SELECT c_custkey, radians(-75.5 + c_custkey % 5) AS lon, radians(44.0 + c_nationkey * 0.7 + c_acctbal / 20000) AS lat, 6378206.4 AS a, 1 / 294.978698214 AS f FROM customer),
+    n AS (SELECT *, a / sqrt(1 - sin(lat) * sin(lat) * f * (2 - f)) AS n FROM p),
+    g AS (SELECT c_custkey, n * cos(lat) * cos(lon) AS x, n * cos(lat) * sin(lon) AS y, n * (1 - f) * (1 - f) * sin(lat) AS z,
+        radians(0.1 / 3600) AS rx, radians(-0.2 / 3600) AS ry, radians(0.3 / 3600) AS rz, 1.0000015 AS m FROM n)
+    SELECT c_custkey, round((x - y * rz + z * ry) * m - 10, 3) AS x, round((x * rz + y - z * rx) * m + 158, 3) AS y, round((y * rx - x * ry + z) * m + 187, 3) AS z FROM g""",
+)
+def _(spark, d):
+    """Clarke 1866 to GRS 80 by seven parameters; compared as metres from the earth's centre."""
+    p = _around_axis(spark, d)
+    p = p.withColumn("g", F.struct(*[c.alias(n) for c, n in zip(pj.datum_shift(F.col("lon"), F.col("lat"), _SHIFT), ("lon", "lat", "h"), strict=True)]))
+    x, y, z = pj.geocentric(F.col("g.lon"), F.col("g.lat"), F.col("g.h"), pj.GRS80)
+    return p.select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(z, 3).alias("z"))
+
+
+@query(
+    "r156_cut_crossings",
+    """WITH b AS (SELECT c_custkey, c_nationkey + 1.0 AS w, c_custkey % 7 + 1.0 AS h, c_custkey % 3 AS k FROM customer)
+    SELECT c_custkey, CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 2 END AS n_rings, round(CASE k WHEN 0 THEN w * h / 2 WHEN 1 THEN w * h ELSE w * h * 8 END, 6) AS area,
+        CASE k WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 4 END AS corners, true AS valid FROM b""",
+)
+def _(spark, d):
+    """0: a bow tie, two triangles; 1: a rectangle with a spike and a repeated point; 2: a rectangle whose ring runs on around a hole."""
+    w, h = F.col("c_nationkey") + 1.0, F.col("c_custkey") % 7 + 1.0
+    at = lambda *points: F.array(*[_point(w * x, h * y) for x, y in points])
+    k = F.col("c_custkey") % 3
+    ring = F.when(k == 0, at((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))).when(k == 1, at((0, 0), (1, 0), (3, 0), (1, 0), (1, 1), (1, 1), (0, 1))).otherwise(
+        at((0, 0), (3, 0), (3, 3), (0, 3), (0, 0), (1, 1), (1, 2), (2, 2), (2, 1), (1, 1), (0, 0))
+    )
+    cut = sp.cut_crossings(table(spark, d, "customer").select("c_custkey", F.array(ring).alias("rings")))
+    area = F.abs(F.aggregate("rings", F.lit(0.0), lambda n, r: n + s.ring_signed_area(r)))
+    return cut.select("c_custkey", F.size("rings").alias("n_rings"), F.round(area, 6).alias("area"), (F.array_max(F.transform("rings", F.size)) - 1).alias("corners"), sp.valid_polygon(F.col("rings")).alias("valid"))
 
 
 @query(

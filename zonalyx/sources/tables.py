@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonalyx.sources import split_csv
 
 #: Names that Spark has for encodings.
 ENCODINGS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252", "utf-16": "UTF-16"}
@@ -92,18 +93,29 @@ def probe_separator(lines: list[str], candidates: str = ",;\t|") -> str:
 
 
 def read_csv_probed(spark: SparkSession, path: str, corrupt: str | None = None, encodings: tuple[str, ...] = ("utf-8", "latin-1")) -> DataFrame:
-    """A CSV whose encoding is decided on all of its bytes and whose separator on its first lines.
+    """A CSV whose encoding and separator are decided on all of its lines, by the tasks that read them.
 
+    Quoted fields may hold line feeds and files are cut over tasks all the same
+    (split_csv); UTF-16, whose lines cannot be cut at bytes, is read by one task a file.
     No row is dropped: one with too few fields has NULLs. With `corrupt`, a column
     of that name holds the text of rows with too many or too few fields, NULL for
     others, so that callers may leave them out.
     """
-    encoding = probe_encoding(_stream(spark, path), encodings)
-    head = next(_stream(spark, path), b"").decode(encoding, "ignore")
-    lines = head.splitlines()[:50]
-    sep = probe_separator(lines)
-    if not lines:
-        raise ValueError(f"{path} is empty")
+    lines = split_csv.raw_lines(spark, path)
+    wide = [e for e in encodings if e.startswith("utf-16")]
+    if wide:
+        encoding = probe_encoding(_stream(spark, path), encodings)
+        if encoding in wide:
+            return _read_whole_csv(spark, path, encoding, corrupt)
+    else:
+        encoding = split_csv.encoding_of(lines, encodings)
+    rows = split_csv.records(lines, encoding)
+    return split_csv.parse(rows, split_csv.separator_of(rows), corrupt)
+
+
+def _read_whole_csv(spark: SparkSession, path: str, encoding: str, corrupt: str | None) -> DataFrame:
+    """A file a task; the separator is that of its first lines."""
+    sep = probe_separator(next(_stream(spark, path), b"").decode(encoding, "ignore").splitlines()[:50])
     options = {"header": True, "encoding": ENCODINGS[encoding], "sep": sep, "multiLine": True, "escape": '"'}
     plain = spark.read.options(**options).csv(path)
     if corrupt is None:
@@ -451,7 +463,9 @@ def write_index(
     standard_output and intermediate_output (each Parquet and CSV), metadata and
     validation_report (each JSON and YAML), missing_data_report, run_report, and a
     CSV for each extra table. Reports hold a row per variable or issue, not per zone.
+    All of them go to the store that Spark writes the tables to.
     """
+    put = lambda where, text: write_bytes(df.sparkSession, where, text.encode())
     files = {"standard_output": f"{path}/standard_output.csv"}
     write_both(df, f"{path}/standard_output")
     if intermediate is not None:
@@ -467,13 +481,13 @@ def write_index(
     }
     for label, value in reports.items():
         files[f"{label}_json"], files[f"{label}_yaml"] = f"{path}/{label}.json", f"{path}/{label}.yaml"
-        write_text(files[f"{label}_json"], canonical_json(value))
-        write_text(files[f"{label}_yaml"], yaml_text(value))
+        put(files[f"{label}_json"], canonical_json(value))
+        put(files[f"{label}_yaml"], yaml_text(value))
     files["missing_data_report_json"] = f"{path}/missing_data_report.json"
-    write_text(files["missing_data_report_json"], canonical_json([r.asDict() for r in missing.collect()] if missing is not None else []))
+    put(files["missing_data_report_json"], canonical_json([r.asDict() for r in missing.collect()] if missing is not None else []))
     files["run_report"] = f"{path}/run_report.md"
     listed = "\n".join(["", "## Files", "", *[f"- {k}: {v}" for k, v in sorted(files.items())], ""])
-    write_text(files["run_report"], report(str(metadata.get("name", "index")), df, order) + listed)
+    put(files["run_report"], report(str(metadata.get("name", "index")), df, order) + listed)
     return files
 
 
