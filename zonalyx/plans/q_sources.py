@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from zonalyx.operators.store import new_path
-from zonalyx.plans.base import Register, table, zones
+from zonalyx.plans.base import ZONES, Register, r6, table, zones
 from zonalyx.sources import tables as src
 
 query = Register()
@@ -154,6 +154,67 @@ def _(spark, d):
     )
 
 
+_TRIANGLES = """WITH sq AS (SELECT DISTINCT CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT) AS x0, CAST(floor(c_custkey / 1000.0) * 1000 AS BIGINT) AS y0 FROM customer),
+    tri AS (SELECT x0, y0, h, x0 || '_' || y0 || h AS zone FROM sq, (VALUES ('L'), ('U')) t(h))"""
+
+
+def _shapes(spark, d):
+    """Triangles of the squares that hold customers, every fifth without geometry; names, numbers, a truth value and a date."""
+    from zonalyx.plans.q_spatial import _triangles
+
+    t = _triangles(spark, d)
+    x0 = F.split("zone", "_")[0].cast("long")
+    return t.select(
+        "zone", x0.alias("x0"), (x0 / 3.0).alias("third"), (x0 > 0).alias("east"), F.date_add(F.lit("2020-01-01").cast("date"), (x0 / 1000).cast("int")).alias("day"),
+        F.when(x0 % 5000 != 0, F.col("rings")).alias("rings"),
+    )
+
+
+@query(
+    "r007_shapefile",
+    f"""{_TRIANGLES} SELECT zone, x0, round(x0 / 3.0, 6) AS third, x0 > 0 AS east, strftime(DATE '2020-01-01' + CAST(x0 // 1000 AS INTEGER), '%Y-%m-%d') AS day,
+    CASE WHEN x0 % 5000 <> 0 THEN 4 END AS points, CASE WHEN x0 % 5000 <> 0 THEN -500000.0 END AS area, CASE WHEN x0 % 5000 <> 0 THEN x0 + 1000.0 END AS max_x FROM tri""",
+)
+def _(spark, d):
+    """Written as Shapefiles, one a task, and read back by ranges of records; outer rings turn right there."""
+    from zonalyx.functions.scalar import ring_signed_area
+    from zonalyx.sources import shapes
+
+    path = new_path(spark, "shapefile")
+    shapes.write_shapefile(_shapes(spark, d), path)
+    r = F.col("rings")[0]
+    return shapes.read_shapefile(spark, path).select(
+        "zone", "x0", r6("third", "third"), "east", F.date_format("day", "yyyy-MM-dd").alias("day"), F.size(r).alias("points"), ring_signed_area(r).alias("area"), F.array_max(F.transform(r, lambda q: q["x"])).alias("max_x")
+    )
+
+
+@query(
+    "r007_geopackage",
+    f"""{_TRIANGLES} SELECT zone, x0, round(x0 / 3.0, 6) AS third, x0 > 0 AS east, CASE WHEN x0 % 5000 <> 0 THEN 4 END AS points,
+    CASE WHEN x0 % 5000 <> 0 THEN 500000.0 END AS area, CASE WHEN x0 % 5000 <> 0 THEN CAST(y0 AS DOUBLE) END AS min_y FROM tri""",
+)
+def _(spark, d):
+    """Written as GeoPackages, one a task, and read back by ranges of rows."""
+    from zonalyx.functions.scalar import ring_signed_area
+    from zonalyx.sources import shapes
+
+    path = new_path(spark, "geopackage")
+    shapes.write_geopackage(_shapes(spark, d).drop("day"), path, layer="zones", srs="3347")
+    r = F.col("rings")[0]
+    got = shapes.read_geopackage(spark, path, layer="zones")
+    return got.select("zone", "x0", r6("third", "third"), "east", F.size(r).alias("points"), ring_signed_area(r).alias("area"), F.array_min(F.transform(r, lambda q: q["y"])).alias("min_y"))
+
+
+@query("r015_geopackage_points", "SELECT c_custkey, c_name AS name, c_acctbal AS x, CAST(c_custkey AS DOUBLE) AS y FROM customer")
+def _(spark, d):
+    from zonalyx.sources import shapes
+
+    path = new_path(spark, "geopackage")
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.struct(F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y")).alias("point"))
+    shapes.write_geopackage(c, path)
+    return shapes.read_geopackage(spark, path).select("c_custkey", "name", "point.x", "point.y")
+
+
 @query("r008_json_lines", "SELECT event_id, event_type, value FROM events")
 def _(spark, d):
     path = new_path(spark, "json")
@@ -236,7 +297,9 @@ def _(spark, d):
 
 @query(
     "r018_index_outputs",
-    "SELECT * FROM (VALUES ('intermediate_output'), ('metadata_json'), ('metadata_yaml'), ('missing_data_report_json'), ('run_report'), ('standard_output'), ('factor_summary'), ('validation_report_json'), ('validation_report_yaml')) t(label)",
+    f"""WITH {ZONES}, n AS (SELECT CAST(count(*) AS VARCHAR) AS n FROM zones)
+    SELECT label, CASE label WHEN 'standard_output' THEN n WHEN 'intermediate_output' THEN n WHEN 'metadata_json' THEN 'factors,' || n WHEN 'validation_report_json' THEN 'true' WHEN 'missing_data_report_json' THEN '4' WHEN 'run_report' THEN '12' END AS said
+    FROM n, (VALUES ('intermediate_output'), ('metadata_json'), ('missing_data_report_json'), ('run_report'), ('standard_output'), ('validation_report_json')) t(label)""",
 )
 def _(spark, d):
     from zonalyx.operators import aggregates as ag
@@ -261,7 +324,21 @@ def _(spark, d):
         missing=ag.missingness(z, FOUR),
         extra={"factor_summary": summary},
     )
-    return spark.createDataFrame([(k,) for k in files], "label string")
+    text = lambda k: spark.read.text(files[k], wholetext=True)
+    rows = lambda k: spark.read.option("header", True).csv(files[k]).agg(F.count(F.lit(1)).cast("string").alias("said"))
+    said = {
+        "standard_output": rows("standard_output"),
+        "intermediate_output": rows("intermediate_output"),
+        "metadata_json": text("metadata_json").select(F.concat_ws(",", F.get_json_object("value", "$.name"), F.get_json_object("value", "$.rows")).alias("said")),
+        "validation_report_json": text("validation_report_json").select(F.get_json_object("value", "$.is_valid").alias("said")),
+        "missing_data_report_json": text("missing_data_report_json").select(F.json_array_length("value").cast("string").alias("said")),
+        "run_report": spark.read.text(files["run_report"]).where("value LIKE '|%'").agg(F.count(F.lit(1)).cast("string").alias("said")),
+    }
+    parts = [df.select(F.lit(k).alias("label"), "said") for k, df in said.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("r019_report", "SELECT CAST(27 AS BIGINT) AS table_rows")
