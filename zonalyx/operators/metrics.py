@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonalyx.operators.frames import lookup_side
+from zonalyx.functions.special import digamma, lgamma, trigamma
 from zonalyx.operators.ranges import hot_limit, null_safe_join, rank_of, rank_table, running, spread_join
 from zonalyx.operators.store import dense_id, keep
 
@@ -41,18 +41,39 @@ def regression(y: str = "observed", p: str = "predicted") -> list[Column]:
     ]
 
 
-def negative_binomial_log_likelihood(df: DataFrame, y: str, mu: str, alpha: float) -> float | None:
-    """Sum of NB2 log likelihoods; the counts' ln(gamma) terms come from a table of the distinct counts."""
-    r = 1 / alpha
-    rows = df.groupBy(F.col(y).alias("k")).agg(
-        F.sum(-r * F.ln(1 + alpha * F.col(mu)) + F.col(y) * (F.ln(alpha * F.col(mu)) - F.ln(1 + alpha * F.col(mu)))).alias("s"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    total = None
-    for row in rows.toLocalIterator():
-        k = float(row.k)
-        total = (total or 0.0) + row.s + row.n * (math.lgamma(k + r) - math.lgamma(r) - math.lgamma(k + 1))
-    return total
+def negative_binomial(y: str, mu: str, alpha: Column | float) -> Column:
+    """The NB2 log likelihood of each row's count: mean mu, variance mu + alpha mu^2."""
+    k, m, r = F.col(y).cast("double"), F.greatest(F.col(mu).cast("double"), F.lit(EPS)), 1.0 / (alpha if isinstance(alpha, Column) else F.lit(float(alpha)))
+    return lgamma(k + r) - lgamma(r) - lgamma(k + 1.0) - r * F.log1p(m / r) + k * (F.ln(m) - F.ln(m + r))
+
+
+def fitted_dispersion(df: DataFrame, y: str, mu: str, steps: int = 60) -> float | None:
+    """The alpha that maximises the sum of NB2 log likelihoods; None without counts, 0.0 where counts spread less than Poisson's.
+
+    Newton's method on ln(r), r = 1 / alpha; a step is one aggregate of the first two
+    derivatives, and is cut to a factor of e.
+    """
+    k, m = F.col(y).cast("double"), F.greatest(F.col(mu).cast("double"), F.lit(EPS))
+    rows = df.where(k.isNotNull() & F.col(mu).isNotNull())
+    s = rows.agg(F.count(F.lit(1)).alias("n"), F.sum((k - m) * (k - m) - k).alias("over"), F.sum(m * m).alias("mm")).first()
+    if not s.n:
+        return None
+    if s.over <= 0:
+        return 0.0
+    t = math.log(s.mm / s.over)
+    for _ in range(steps):
+        r = F.lit(math.exp(t))
+        first = digamma(k + r) - digamma(r) + F.ln(r / (r + m)) + 1 - (k + r) / (r + m)
+        second = trigamma(k + r) - trigamma(r) + 1.0 / r - 2.0 / (r + m) + (k + r) / ((r + m) * (r + m))
+        a, b = rows.agg(F.sum(first), F.sum(second)).first()
+        slope, curve = a * math.exp(t), b * math.exp(2 * t) + a * math.exp(t)
+        move = -slope / curve if curve < 0 else math.copysign(1.0, slope)
+        t += max(-1.0, min(1.0, move))
+        if abs(move) < 1e-10:
+            break
+        if t > 30:  # Poisson is as good
+            return 0.0
+    return math.exp(-t)
 
 
 def spearman(df: DataFrame, by: list[str], y: str = "observed", p: str = "predicted") -> DataFrame:

@@ -8,6 +8,7 @@ from zonalyx.functions import scalar as s
 from zonalyx.operators import frames as fr
 from zonalyx.operators import graph as g
 from zonalyx.operators import index as ix
+from zonalyx.operators import models as mo
 from zonalyx.operators import splits as sp
 from zonalyx.operators import validate as va
 from zonalyx.plans.base import PANEL, SPLIT, TRAIN_END, VALIDATION_END, ZONES, Register, panel, r6, table, zones
@@ -166,6 +167,65 @@ def _(spark, d):
     return m.transform(v).select("zone_id", O, r6("prediction", "predicted"))
 
 
+def _counts(spark, d):
+    """Orders of nations by month with split, month and two figures of the nation."""
+    j = panel(spark, d).join(zones(spark, d).select("zone_id", "population", "balance"), "zone_id")
+    return j.withColumn("month", F.substring(O, 6, 2).cast("int")).withColumn("split", sp.temporal(F.col(O), TRAIN_END, VALIDATION_END))
+
+
+ALPHAS = (0.0, 1.0, 100.0, 10_000.0)
+
+
+@query(
+    "r195_ridge_path",
+    f"""WITH {PANEL}, {ZONES}, j AS (SELECT {SPLIT} AS split, population * 1.0 AS a, CAST(substr(period_month, 6, 2) AS INTEGER) * 1.0 AS b, y * 1.0 AS y FROM panel JOIN zones USING (zone_id)),
+    t AS (SELECT * FROM j WHERE split = 'train'), s AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) AS cab, covar_pop(a, y) AS cay, covar_pop(b, y) AS cby FROM t),
+    w AS (SELECT *, n + alpha AS d, n * cab / (sa * sb) AS o, n * cay / sa AS p, n * cby / sb AS q FROM s, (VALUES (0.0), (1.0), (100.0), (10000.0)) v(alpha)),
+    c AS (SELECT alpha, (p * d - q * o) / (d * d - o * o) / sa AS wa, (q * d - p * o) / (d * d - o * o) / sb AS wb, ma, mb, my FROM w),
+    e AS (SELECT alpha, wa, wb, my - wa * ma - wb * mb AS b0 FROM c), l AS (SELECT alpha, avg(pow(y - b0 - wa * a - wb * b, 2)) AS loss FROM e, j WHERE split = 'validation' GROUP BY 1)
+    SELECT alpha, round(wa, 6) AS population, round(wb, 6) AS month, round(b0, 6) AS intercept, round(loss, 6) AS loss, loss = (SELECT min(loss) FROM l) AS chosen FROM e JOIN l USING (alpha)""",
+)
+def _(spark, d):
+    m = mo.ridge_path(_counts(spark, d), ["population", "month"], "y", list(ALPHAS))
+    rows = [(a, round(w[0], 6), round(w[1], 6), round(b, 6), round(loss, 6), k == m.best) for k, (a, w, b, loss) in enumerate(zip(m.alphas, m.weights, m.intercepts, m.losses, strict=True))]
+    return spark.createDataFrame(rows, "alpha double, population double, month double, intercept double, loss double, chosen boolean")
+
+
+@query(
+    "r195_poisson_path",
+    f"""WITH {PANEL}, {ZONES}, j AS (SELECT {SPLIT} AS split, population, y FROM panel JOIN zones USING (zone_id)), t AS (SELECT * FROM j WHERE split = 'train')
+    SELECT 'gradient' AS what, 0.0 AS v UNION ALL SELECT 'total', round(sum(y), 4) FROM t UNION ALL SELECT 'weights shrink', 1.0""",
+)
+def _(spark, d):
+    """What holds at the optimum: the slope without a penalty is 0, totals agree, and a larger penalty gives smaller weights."""
+    c = _counts(spark, d)
+    m = mo.poisson_path(c, ["population", "month"], "y", [0.0, 0.1, 10.0])
+    t = c.where("split = 'train'").withColumn("mu", m.predict(0))
+    s = t.agg(F.sum((F.col("y") - F.col("mu")) * F.col("population")).alias("g"), F.sum("mu").alias("total")).first()
+    size = [abs(w[0]) + abs(w[1]) for w in m.weights]
+    rows = [("gradient", round(abs(s.g), 3)), ("total", round(s.total, 4)), ("weights shrink", float(size[0] > size[1] > size[2]))]
+    return spark.createDataFrame(rows, "what string, v double")
+
+
+@query(
+    "r196_boosted_counts",
+    f"""WITH {PANEL}, {ZONES}, t AS (SELECT population * 1.0 AS population, CAST(substr(period_month, 6, 2) AS INTEGER) * 1.0 AS month, y * 1.0 AS y FROM panel JOIN zones USING (zone_id) WHERE {SPLIT} = 'train'),
+    b AS (SELECT avg(y) AS mu, count(*) AS n FROM t), f AS (SELECT 0 AS k, population AS x, y FROM t UNION ALL SELECT 1, month, y FROM t),
+    r AS (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY x) AS i, count(*) OVER (PARTITION BY k) AS n FROM f),
+    cuts AS (SELECT DISTINCT k, x AS cut FROM r, generate_series(1, 7) s(s) WHERE i = greatest(1, ceil(s / 8.0 * n))),
+    g AS (SELECT c.k, cut, count(*) FILTER (x <= cut) AS nl, count(*) FILTER (x > cut) AS nr, sum(mu - y) FILTER (x <= cut) AS gl, sum(mu - y) FILTER (x > cut) AS gr, any_value(mu) AS mu FROM cuts c JOIN f USING (k), b GROUP BY 1, 2),
+    v AS (SELECT *, round((gl * gl / (mu * nl) + gr * gr / (mu * nr) - (gl + gr) * (gl + gr) / (mu * (nl + nr))) / 2, 9) AS gain FROM g WHERE nl >= 20 AND nr >= 20)
+    SELECT CASE k WHEN 0 THEN 'population' ELSE 'month' END AS feature, cut, round(gain, 6) AS gain, round(-0.1 * gl / (mu * nl), 6) AS left_value, round(-0.1 * gr / (mu * nr), 6) AS right_value, true AS falls
+    FROM v ORDER BY v.gain DESC, k, cut LIMIT 1""",
+)
+def _(spark, d):
+    """The first tree's first split, and whether boosting lowers the validation loss."""
+    m = mo.boost(_counts(spark, d), ["population", "month"], "y", trees=6, depth=1, bins=8, patience=6)
+    t = m.trees[0]
+    row = (m.features[t.feature[0]], t.cut[0], round(t.gain[0], 6), round(t.value[t.left[0]], 6), round(t.value[t.right[0]], 6), bool(min(m.losses[1:]) < m.losses[0]))
+    return spark.createDataFrame([row], "feature string, cut double, gain double, left_value double, right_value double, falls boolean")
+
+
 @query("r196_tree_models")
 def _(spark, d):
     from pyspark.ml.feature import VectorAssembler

@@ -42,11 +42,29 @@ def _(spark, d):
 
 @query(
     "r170_negative_binomial",
-    f"WITH {PRED}, m AS (SELECT observed AS k, predicted + 1.0 AS mu FROM pred) SELECT round(sum(-2 * ln(1 + 0.5 * mu) + k * (ln(0.5 * mu) - ln(1 + 0.5 * mu)) + lgamma(k + 2.0) - lgamma(2.0) - lgamma(k + 1.0)), 3) AS log_likelihood FROM m",
+    f"WITH {PRED}, m AS (SELECT split, observed AS k, predicted + 1.0 AS mu FROM pred) SELECT split, round(avg(-2 * ln(1 + 0.5 * mu) + k * (ln(0.5 * mu) - ln(1 + 0.5 * mu)) + lgamma(k + 2.0) - lgamma(2.0) - lgamma(k + 1.0)), 6) AS log_likelihood, count(*) AS n FROM m GROUP BY 1",
 )
 def _(spark, d):
     p = predictions(spark, d).withColumn("mu", F.col("predicted") + 1.0)
-    return spark.createDataFrame([(round(me.negative_binomial_log_likelihood(p, "observed", "mu", 0.5), 3),)], "log_likelihood double")
+    return p.groupBy("split").agg(r6(F.avg(me.negative_binomial("observed", "mu", 0.5)), "log_likelihood"), F.count(F.lit(1)).alias("n"))
+
+
+_LL = lambda a: f"(SELECT sum(lgamma(k + {a}) - lgamma({a}) + {a} * ln({a} / ({a} + mu)) + k * ln(mu / ({a} + mu))) FROM m)"
+
+
+@query(
+    "r170_dispersion",
+    f"""WITH RECURSIVE {PRED}, m AS (SELECT observed AS k, predicted + 1.0 AS mu FROM pred),
+    g(step, low, high) AS (
+        SELECT 0, CAST(-12 AS DOUBLE), CAST(12 AS DOUBLE)
+        UNION ALL SELECT step + 1, CASE WHEN a < b THEN low + (high - low) / 3 ELSE low END, CASE WHEN a < b THEN high ELSE high - (high - low) / 3 END
+        FROM (SELECT *, {_LL("exp(low + (high - low) / 3)")} AS a, {_LL("exp(high - (high - low) / 3)")} AS b FROM g WHERE step < 60))
+    SELECT round(exp(-(low + high) / 2), 4) AS alpha FROM g WHERE step = 60""",
+)
+def _(spark, d):
+    """Newton's dispersion, against a search by thirds."""
+    p = predictions(spark, d).withColumn("mu", F.col("predicted") + 1.0)
+    return spark.createDataFrame([(me.fitted_dispersion(p, "observed", "mu"),)], "alpha double").select(F.round("alpha", 4).alias("alpha"))
 
 
 _R = lambda c: f"rank() OVER (PARTITION BY split ORDER BY {c}) + (count(*) OVER (PARTITION BY split, {c}) - 1) / 2.0"
