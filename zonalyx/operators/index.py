@@ -79,6 +79,24 @@ def recipe_issues(recipe: Recipe) -> list[tuple[str, str]]:
     return out
 
 
+def recipe_table_issues(rows: DataFrame, recipe: str = "recipe") -> DataFrame:
+    """recipe, field, issue of recipes in a table, one row a variable: variable, direction, weight, and normalise, aggregate, missing, classes of the recipe."""
+    unknown = lambda f: ~F.coalesce(F.col(f).isin(*CHOICES[f]), F.lit(False))
+    said = lambda f: F.concat(F.lit("unknown: "), F.coalesce(F.col(f), F.lit("null")))
+    found = lambda when, field, issue: F.when(when, F.struct(field.alias("field"), issue.alias("issue")))
+    of_variable = [
+        found(unknown("direction"), F.concat("variable", F.lit(".direction")), said("direction")),
+        found((F.col("aggregate") == "weighted_sum") & F.col("weight").isNull(), F.concat("variable", F.lit(".weight")), F.lit("absent")),
+        found(F.col("times") > 1, F.lit("variables"), F.concat("variable", F.lit(" is given twice"))),
+    ]
+    first = [F.min(f).alias(f) for f in ("normalise", "aggregate", "missing", "classes")]
+    one = rows.groupBy(recipe, "variable", "direction", "weight", "aggregate").agg(F.count(F.lit(1)).alias("times"))
+    of_recipe = [found(unknown(f), F.lit(f), said(f)) for f in ("normalise", "aggregate", "missing")]
+    of_recipe.append(found(F.coalesce(F.col("classes") < 1, F.lit(True)), F.lit("classes"), F.concat(F.lit("not positive: "), F.coalesce(F.col("classes").cast("string"), F.lit("null")))))
+    parts = [df.select(recipe, F.explode(F.array_compact(F.array(*issues))).alias("i")).select(recipe, "i.*") for df, issues in ((one, of_variable), (rows.groupBy(recipe).agg(*first), of_recipe))]
+    return parts[0].unionByName(parts[1])
+
+
 def checked(recipe: Recipe) -> Recipe:
     found = recipe_issues(recipe)
     if found:

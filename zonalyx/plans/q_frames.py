@@ -33,9 +33,16 @@ def _(spark, d):
     )
 
 
-@query("r017_config_fingerprint", """SELECT sha256('{"index":"rank","variables":["a","b"]}') AS fingerprint""")
+@query(
+    "r017_config_fingerprint",
+    """SELECT c_custkey, sha256('{"index":"' || lower(c_mktsegment) || '","variables":["balance","nation"],"weights":{"a":' || c_nationkey || ',"b":null}}') AS fingerprint FROM customer""",
+)
 def _(spark, d):
-    return spark.createDataFrame([(src.fingerprint({"variables": ["a", "b"], "index": "rank"}),)], "fingerprint string")
+    """A configuration a customer, with keys in no order; its fingerprint is that of the canonical text."""
+    c = table(spark, d, "customer")
+    weights = F.struct(F.lit(None).cast("int").alias("b"), F.col("c_nationkey").alias("a"))
+    config = F.struct(F.array(F.lit("balance"), F.lit("nation")).alias("variables"), weights.alias("weights"), F.lower("c_mktsegment").alias("index"))
+    return c.select("c_custkey", src.fingerprint_of(config, c.select(config.alias("c")).schema["c"].dataType).alias("fingerprint"))
 
 
 @query("r020_rename_reorder", "SELECT c_nationkey AS zone_id, c_custkey AS unit_id FROM customer")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from zonalyx.functions import scalar as s
@@ -258,10 +259,18 @@ def _(spark, d):
     return sp.spatial_blocks(table(spark, d, "supplier").withColumn("y", F.col("s_suppkey") * 37 % 101), "s_suppkey", "s_acctbal", "y")
 
 
-@query("r203_leaking_columns", "SELECT 'target_next_3' AS column_name UNION ALL SELECT 'y' UNION ALL SELECT 'share_water_drainage_lag'")
+@query(
+    "r203_leaking_columns",
+    f"""WITH {PANEL}, w AS (SELECT y, lag(y) OVER w AS y_lag_1, lead(y) OVER w AS target_next_1, total AS share_water_drainage_lag FROM panel WINDOW w AS (PARTITION BY zone_id ORDER BY period_month))
+    SELECT 'y' AS column_name, count(y) AS n FROM w UNION ALL SELECT 'target_next_1', count(target_next_1) FROM w UNION ALL SELECT 'share_water_drainage_lag', count(share_water_drainage_lag) FROM w""",
+)
 def _(spark, d):
-    found = sp.leaking_columns(["zone_id", "y", "y_lag_1", "target_next_3", "share_water_drainage_lag"], "y")
-    return spark.createDataFrame([(c,) for c in found], "column_name string")
+    """Of a table of features, the columns that a forecast must not use, with the values that they hold."""
+    w = Window.partitionBy("zone_id").orderBy(O)
+    t = panel(spark, d).select("zone_id", "y", F.lag("y").over(w).alias("y_lag_1"), F.lead("y").over(w).alias("target_next_1"), F.col("total").alias("share_water_drainage_lag"))
+    found = sp.leaking_columns(t.columns, "y")
+    held = t.agg(*[F.count(c).alias(c) for c in found])
+    return held.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in found])).alias("s")).select("s.*")
 
 
 # -- validators ---------------------------------------------------------------------------------
@@ -355,11 +364,11 @@ def _(spark, d):
 
 @query(
     "r104_mutual_flag",
-    "WITH p AS (SELECT i AS source, (i + k) % 25 AS target FROM generate_series(0, 24) t(i), (VALUES (1), (5), (24)) u(k)) SELECT source, target, EXISTS (SELECT 1 FROM p q WHERE q.source = p.target AND q.target = p.source) AS mutual FROM p",
+    "WITH p AS (SELECT DISTINCT l_partkey AS source, l_suppkey AS target FROM lineitem) SELECT source, target, EXISTS (SELECT 1 FROM p q WHERE q.source = p.target AND q.target = p.source) AS mutual FROM p",
 )
 def _(spark, d):
-    p = spark.range(25).select(F.col("id").alias("source")).withColumn("target", F.explode(F.array(*[(F.col("source") + k) % 25 for k in (1, 5, 24)])))
-    return g.mutual(p)
+    """Parts point to their suppliers; numbers that point to each other are mutual."""
+    return g.mutual(table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).distinct())
 
 
 @query(
@@ -468,11 +477,11 @@ def _(spark, d):
 
 @query(
     "r222_horizon_features",
-    "SELECT CAST(h AS BIGINT) AS h, round(ln(1 + h), 6) AS h_log, round(sin(ln(1 + h)), 6) AS h_sin_0, round(cos(ln(1 + h) / 2), 6) AS h_cos_1 FROM generate_series(1, 12) t(h)",
+    "SELECT p_partkey, round(ln(1 + p_size), 6) AS h_log, round(sin(ln(1 + p_size)), 6) AS h_sin_0, round(cos(ln(1 + p_size) / 2), 6) AS h_cos_1 FROM part",
 )
 def _(spark, d):
-    f = s.horizon_features(F.col("h"))
-    return spark.range(1, 13).withColumnRenamed("id", "h").select("h", r6(f[0], "h_log"), r6(f[1], "h_sin_0"), r6(f[4], "h_cos_1"))
+    f = s.horizon_features(F.col("p_size"))
+    return table(spark, d, "part").select("p_partkey", r6(f[0], "h_log"), r6(f[1], "h_sin_0"), r6(f[4], "h_cos_1"))
 
 
 @query(

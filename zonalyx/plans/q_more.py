@@ -11,7 +11,7 @@ from zonalyx.operators import metrics as me
 from zonalyx.operators import splits as sp
 from zonalyx.operators import validate as va
 from zonalyx.plans.base import PANEL, SPLIT, TRAIN_END, ZONES, Register, panel, r6, table, zones
-from zonalyx.plans.q_index import _N, FOUR, O, _edges, _nodes
+from zonalyx.plans.q_index import _N, FOUR, RANK_RECIPE, O, _edges, _nodes
 
 query = Register()
 
@@ -94,16 +94,35 @@ def _(spark, d):
     )
 
 
-@query("r191_index_registry", "SELECT * FROM (VALUES ('additive'), ('factor_based'), ('rank_based')) t(name)")
+@query("r191_index_registry", f"WITH {ZONES} SELECT name, count(*) AS n, count(*) AS scored FROM zones, (VALUES ('additive'), ('factor_based'), ('rank_based')) t(name) GROUP BY 1")
 def _(spark, d):
-    return spark.createDataFrame([(k,) for k in sorted(ix.INDICES) if ix.get_index(k.upper().replace("_", "-")) is ix.INDICES[k]], "name string")
+    """Every index of the registry, by a name written otherwise, over all zones."""
+    z, out = zones(spark, d), []
+    recipes = {"additive": ix.Recipe("sum", tuple(ix.Variable(c, weight=0.25) for c in FOUR)), "rank_based": RANK_RECIPE, "factor_based": FACTORS}
+    for name in sorted(ix.INDICES):
+        got = ix.get_index(name.upper().replace("_", "-"))(z, recipes[name])
+        got = got[0] if isinstance(got, tuple) else got
+        out.append(got.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.count("score").alias("scored")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("r224_recipe_contract", "SELECT * FROM (VALUES ('variables', 'a is given twice'), ('normalise', 'unknown: cubic'), ('missing', 'unknown: guess'), ('a.weight', 'absent'), ('a.direction', 'unknown: up'), ('a.weight', 'absent'), ('classes', 'not positive: 0')) t(field, issue)")
+@query(
+    "r224_recipe_contract",
+    """WITH r AS (SELECT p_partkey AS recipe, p_partkey % 4 AS k, p_size % 3 AS m, p_size - 3 AS classes FROM part)
+    SELECT recipe, 'a.direction' AS field, 'unknown: up' AS issue FROM r WHERE k = 1 UNION ALL SELECT recipe, 'normalise', 'unknown: cubic' FROM r WHERE k = 2
+    UNION ALL SELECT recipe, 'missing', 'unknown: null' FROM r WHERE k = 3 UNION ALL SELECT recipe, 'a.weight', 'absent' FROM r WHERE m = 0
+    UNION ALL SELECT recipe, 'variables', 'a is given twice' FROM r WHERE m = 1 UNION ALL SELECT recipe, 'classes', 'not positive: ' || classes FROM r WHERE classes < 1""",
+)
 def _(spark, d):
-    """A recipe with a fault in each field."""
-    r = ix.Recipe("faulty", (ix.Variable("a"), ix.Variable("a", direction="up")), normalise="cubic", missing="guess", classes=0)
-    return spark.createDataFrame(ix.recipe_issues(r), "field string, issue string")
+    """A recipe a part, in rows of variables, with faults by its numbers."""
+    p = table(spark, d, "part").withColumn("k", F.col("p_partkey") % 4).withColumn("m", F.col("p_size") % 3)
+    variable = lambda name: F.struct(F.lit(name).alias("variable"), F.when((F.col("k") == 1) & F.lit(name == "a"), "up").otherwise("positive").alias("direction"), F.when((F.col("m") != 0) | F.lit(name != "a"), 0.5).alias("weight"))
+    both = F.when(F.col("m") == 1, F.array(variable("a"), variable("b"), variable("a"))).otherwise(F.array(variable("a"), variable("b")))
+    rows = p.select(
+        F.col("p_partkey").alias("recipe"), F.when(F.col("k") == 2, "cubic").otherwise("minmax").alias("normalise"), F.lit("weighted_sum").alias("aggregate"),
+        F.when(F.col("k") != 3, "error").alias("missing"), (F.col("p_size") - 3).alias("classes"), F.explode(both).alias("v"),
+    )
+    return ix.recipe_table_issues(rows.select("*", "v.*").drop("v"))
 
 
 # -- validators with planted faults -----------------------------------------------------------------
@@ -328,14 +347,19 @@ def _(spark, d):
 
 @query(
     "r213_prior_matrix",
-    "SELECT CAST(i AS INTEGER) AS relation_index, CASE WHEN i < 10 THEN i / 10.0 ELSE 0.0 END AS flood, CASE WHEN i BETWEEN 5 AND 20 THEN 0.5 ELSE 0.0 END AS heat FROM generate_series(0, 22) t(i)",
+    """WITH f AS (SELECT CAST(s_suppkey % 23 AS INTEGER) AS i, avg(s_acctbal) / 10000 AS p FROM supplier WHERE s_suppkey % 23 < 10 GROUP BY 1), h AS (SELECT CAST(c_custkey % 23 AS INTEGER) AS i, avg(c_acctbal) / 10000 AS p FROM customer WHERE c_custkey % 23 BETWEEN 5 AND 20 GROUP BY 1)
+    SELECT CAST(t.i AS INTEGER) AS relation_index, round(coalesce(f.p, 0), 6) AS flood, round(coalesce(h.p, 0), 6) AS heat FROM generate_series(0, 22) t(i) LEFT JOIN f ON f.i = t.i LEFT JOIN h ON h.i = t.i""",
 )
 def _(spark, d):
-    r = g.relation_table(spark)
-    i = F.col("relation_index")
-    flood = r.where(i < 10).select("relation", F.lit("flood").alias("hazard"), (i / 10.0).alias("prior"))
-    heat = r.where(i.between(5, 20)).select("relation", F.lit("heat").alias("hazard"), F.lit(0.5).alias("prior"))
-    return g.prior_matrix(flood.unionByName(heat), ["flood", "heat"]).select("relation_index", "flood", "heat")
+    """Priors that are means of suppliers' and of customers' balances, by relation."""
+    r = g.relation_table(spark).select("relation_index", "relation")
+
+    def priors(name, key, value, hazard, low, high):
+        t = table(spark, d, name).select((F.col(key) % 23).cast("int").alias("relation_index"), F.col(value).alias("v")).where(F.col("relation_index").between(low, high))
+        return t.groupBy("relation_index").agg((F.avg("v") / 10000).alias("prior")).join(F.broadcast(r), "relation_index").select("relation", F.lit(hazard).alias("hazard"), "prior")
+
+    both = priors("supplier", "s_suppkey", "s_acctbal", "flood", 0, 9).unionByName(priors("customer", "c_custkey", "c_acctbal", "heat", 5, 20))
+    return g.prior_matrix(both, ["flood", "heat"]).select("relation_index", r6("flood", "flood"), r6("heat", "heat"))
 
 
 @query(

@@ -234,15 +234,15 @@ def _(spark, d):
     return a.select("vec_id", F.size("embedding").cast("long").alias("width"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first"), "mask")
 
 
-@query("r012_latest_path", "SELECT 'b' AS chosen, CAST(25 AS BIGINT) AS rows")
+@query("r012_latest_path", "SELECT 'b' AS chosen, c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1, 2")
 def _(spark, d):
-    """The first of several places that exists; of a pattern, the newest."""
+    """The first of several places that exists; of a pattern, the newest, which here holds fewer segments than the older one."""
     path = new_path(spark, "latest")
-    n = table(spark, d, "nation")
-    for name in ("a", "b"):
-        n.write.parquet(f"{path}/run-{name}")
+    c = table(spark, d, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
+    c.write.parquet(f"{path}/run-a")
+    c.where("c_mktsegment <> 'BUILDING'").write.parquet(f"{path}/run-b")
     found = src.first_existing([f"{path}/none", f"{path}/run-*"], spark)
-    return spark.read.parquet(found).agg(F.lit(found.rstrip("/")[-1]).alias("chosen"), F.count(F.lit(1)).alias("rows"))
+    return spark.read.parquet(found).groupBy(F.lit(found.rstrip("/")[-1]).alias("chosen"), "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
 @query("r013_both_formats", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, true AS same FROM nation")

@@ -435,6 +435,21 @@ def fingerprint(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
+def _sorted(value: Column, kind: T.DataType) -> Column:
+    """value with the fields of its structs in the order of their names."""
+    if isinstance(kind, T.StructType):
+        fields = [_sorted(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _sorted(x, kind.elementType))
+    return value
+
+
+def fingerprint_of(value: Column, kind: T.StructType) -> Column:
+    """The fingerprint of each row's struct: SHA-256 of its JSON, keys sorted, nulls kept."""
+    return F.sha2(F.to_json(_sorted(value, kind), {"ignoreNullFields": "false"}), 256)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """path, length, sha256 of each file."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
