@@ -12,7 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import table
-from zonalyx.llm import centroids, chat_format, license_scan, mixing, prefix_trie, spread
+from zonalyx.llm import centroids, chat_format, license_scan, mixing, prefix_trie, warc
 from zonalyx.operators import ranges
 
 # -- clustering ---------------------------------------------------------------------------------
@@ -147,7 +147,7 @@ def test_trie_of_turns_that_part_late_and_of_nothing(spark):
 def test_running_sums_over_torn_groups(spark):
     rows = [(k % 3 if k % 5 else 7, k, k % 11) for k in range(4000)]
     d = spark.createDataFrame(rows, "g long, o long, x long").repartition(6)
-    got = spread.running(d, ["g"], [F.col("o")], {"upto": F.col("x"), "n": F.lit(1).cast("long")}, "test").collect()
+    got = ranges.running(d, ["g"], [F.col("o")], {"upto": F.col("x"), "n": F.lit(1).cast("long")}, "test").collect()
     sums, counts, want = Counter(), Counter(), []
     for g, o, x in sorted(rows):
         sums[g] += x
@@ -283,3 +283,22 @@ def test_records_whose_members_differ(spark):
     assert [g[1:] for g in got if g[0] == 0] == [(0, "system", ""), (1, "user", "q")]
     assert [g[3] for g in got if g[0] == 1][-1] == "a" and [g[2:] for g in got if g[0] == 2] == [("user", ""), ("", "only value")]
     assert [g[1:] for g in got if g[0] in (3, 4)] == [(None, None, None)] * 2
+
+
+# -- archives -------------------------------------------------------------------------------------
+
+
+def test_archives_of_pages_of_very_different_sizes(spark, tmp_path):
+    sizes = [10] * 400 + [9_000] * 30 + [150_000] * 6 + [3_000_000]
+    rows = [(k, f"http://x/{k}", chr(97 + k % 26) * n if k % 5 else "same" * (n // 4)) for k, n in enumerate(sizes)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    plan = warc.plan_records(d)
+    path = warc.write_warc(plan, str(tmp_path / "w"), archive_bytes=200_000, mean_bytes=sum(sizes) / len(sizes), max_bytes=max(sizes))
+    held = sorted(f.stat().st_size for f in (tmp_path / "w").glob("part-*"))
+    assert held[-1] < 3_010_000 and held[-2] < 16 * 200_000 + 200_000 and len(held) < 80
+    assert warc.read_warc(spark, path).count() == len(rows)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(d).collect()}
+    first = {}
+    for k, _, html in rows:
+        first.setdefault(html, k)
+    assert got == {k: (len(h), "response" if first[h] == k else "revisit", None if first[h] == k else first[h]) for k, _, h in rows}

@@ -25,6 +25,8 @@ from zonalyx.llm.store import keep, new_path
 
 MAGIC = b"WARC/1.1\r\n"
 BLOCK = 4 << 20
+#: Payloads of one archive differ in size by this factor at most, beyond the mean.
+SIZE_STEP = 16
 #: Bytes that the writer aims at in one archive; an archive is read by one task.
 ARCHIVE_BYTES = 32 << 20
 #: Revisits that may be broadcast to the writing tasks; beyond, the pages are shuffled once.
@@ -44,8 +46,8 @@ def base32_sha1(data: Column) -> Column:
 def plan_records(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", url_col: str = "url", min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, digest, payload_bytes, record_type, refers_to.
 
-    Of records with equal payloads of at least min_bytes, the smallest id is the
-    response and the others revisit it; rows that share that smallest id are all
+    Of records with equal payloads (by SHA-1, SHA-256 and length) of at least min_bytes,
+    the smallest id is the response and the others revisit it; rows that share that smallest id are all
     responses. Null payload counts as empty, a null id is never the smallest.
     """
     base = pages.select(
@@ -54,15 +56,16 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", body_col: str = "htm
         F.coalesce(F.col(f"`{body_col}`"), F.lit("")).alias("payload"),
     )
     base = base.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
-    keys = keep(base.select("page_id", "digest", "payload_bytes"), "warc-keys")
-    groups = keys.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(
+    base = base.withColumn("sha256", F.sha2("payload", 256))
+    keys = keep(base.select("page_id", "digest", "sha256", "payload_bytes"), "warc-keys")
+    groups = keys.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "sha256", "payload_bytes").agg(
         F.min("page_id").alias("first"),
         F.count(F.lit(1)).alias("n"),
     )
-    groups = keep(groups.where("n > 1").select("digest", "payload_bytes", "first", "n"), "warc-groups")
+    groups = keep(groups.where("n > 1").select("digest", "sha256", "payload_bytes", "first", "n"), "warc-groups")
     # digests of repeated payloads; few enough to broadcast, or the pages are shuffled by digest
     small = groups.count() <= BROADCAST_ROWS
-    joined = base.join(F.broadcast(groups) if small else groups, ["digest", "payload_bytes"], "left")
+    joined = base.join(F.broadcast(groups) if small else groups, ["digest", "sha256", "payload_bytes"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id", "url", "payload", "digest", "payload_bytes",
@@ -96,13 +99,28 @@ def _record(kind: Column) -> Column:
     )
 
 
-def write_warc(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, mean_bytes: float | None = None) -> str:
-    """Archives under path, from what plan_records gives; no row is moved between tasks."""
-    writer = records.select(_record(F.col("record_type")).alias("value")).write.option("lineSep", "\n")
-    if mean_bytes:
-        writer = writer.option("maxRecordsPerFile", max(1, int(archive_bytes / (mean_bytes + 500))))
-    writer.text(path)
-    return path
+def write_warc(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, mean_bytes: float | None = None, max_bytes: int | None = None) -> str:
+    """Archives under path, from what plan_records gives; no row is moved between tasks.
+
+    With mean_bytes and max_bytes, payloads' sizes, an archive has SIZE_STEP times
+    archive_bytes at most, or a single record: payloads of up to SIZE_STEP times the
+    mean are written first, then those of up to SIZE_STEP times more, and so on, each
+    with as many records a file as their size allows.
+    """
+    text = records.select(_record(F.col("record_type")).alias("value"), "payload_bytes")
+    low, high = -1, int(SIZE_STEP * max(mean_bytes, 500)) if mean_bytes else None
+    while True:
+        part = text.where(F.col("payload_bytes") > low) if low >= 0 else text
+        last = high is None or max_bytes is None or high >= max_bytes
+        part = part if last else part.where(F.col("payload_bytes") <= high)
+        writer = part.select("value").write.mode("append").option("lineSep", "\n")
+        if mean_bytes:
+            usual = mean_bytes if low < 0 else low
+            writer = writer.option("maxRecordsPerFile", max(1, int(archive_bytes / (usual + 500))))
+        writer.text(path)
+        if last:
+            return path
+        low, high = high, high * SIZE_STEP
 
 
 def candidates(content: bytes, block: int = BLOCK) -> list[tuple[int, int, dict, int, int]]:
@@ -258,8 +276,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", body_col: str = "html"
     spark = pages.sparkSession
     records = plan_records(pages, id_col, body_col, url_col, min_bytes)
     body = F.octet_length(F.coalesce(F.col(f"`{body_col}`"), F.lit("")))
-    mean = pages.agg(F.avg(body)).first()[0] or 0.0
-    path = write_warc(records, new_path(spark, "warc"), mean_bytes=mean)
+    mean, most = pages.agg(F.avg(body), F.max(body)).first()
+    path = write_warc(records, new_path(spark, "warc"), mean_bytes=mean or 0.0, max_bytes=most)
     kind = pages.schema[id_col].dataType
     got = read_warc(spark, path)
     page = F.when(F.col("page_id") != "null", F.col("page_id")).cast(kind)
