@@ -291,6 +291,34 @@ def pool_history(values: list[str], masks: list[str], kind: str, empty: float |
     return F.coalesce(found, F.lit(empty).cast("double"))
 
 
+def pool_attention(values: list[str], masks: list[str], logits: list[list[Column]], reduction: str = "mean", head_weights: list[float] | None = None, empty: float | None = None) -> Column:
+    """Attention over slots: in each head (a logit a slot) the softmax of valid slots weighs their values; heads are averaged, plainly or by head_weights.
+
+    Slots that are masked, or have no value or logit, get no weight; where none is
+    left, `empty`. reduction: single_head, mean or weighted_mean.
+    """
+    if reduction == "single_head" and len(logits) != 1 or reduction == "weighted_mean" and len(head_weights or ()) != len(logits):
+        raise ValueError(f"{len(logits)} heads do not fit {reduction!r}")
+    if reduction not in ("single_head", "mean", "weighted_mean"):
+        raise ValueError(f"unknown reduction {reduction!r}")
+    share = [w / sum(head_weights) for w in head_weights] if reduction == "weighted_mean" else [1.0 / len(logits)] * len(logits)
+    total = F.lit(0.0)
+    for head, part in zip(logits, share, strict=True):
+        slots = [
+            F.when(F.coalesce(F.col(m).cast("boolean"), F.lit(False)) & F.col(v).isNotNull() & z.isNotNull(), F.struct(z.cast("double").alias("z"), F.col(v).cast("double").alias("v")))
+            for v, m, z in zip(values, masks, head, strict=True)
+        ]
+        valid = F.array_compact(F.array(*slots))
+        most = F.array_max(F.transform(valid, lambda e: e["z"]))
+        sums = F.aggregate(
+            F.transform(valid, lambda e: F.struct(F.exp(e["z"] - most).alias("w"), e["v"].alias("v"))),  # noqa: B023
+            F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("s")),
+            lambda a, e: F.struct((a["w"] + e["w"]).alias("w"), (a["s"] + e["w"] * e["v"]).alias("s")),
+        )
+        total = total + F.try_divide(sums["s"], F.nullif(sums["w"], F.lit(0.0))) * part
+    return F.coalesce(total, F.lit(empty).cast("double"))
+
+
 # -- registries ---------------------------------------------------------------------------------
 
 #: Names of relations, in the order of their indices.

@@ -102,6 +102,15 @@ def _(spark, d):
     return me.ndcg(predictions(spark, d), [O], "zone_id", 10).select(O, r6("ndcg", "ndcg"))
 
 
+@query("r173_ndcg_shifted", f"""WITH {PRED}, v AS (SELECT zone_id, period_month, observed - 8 AS observed, predicted, least(min(observed - 8) OVER (PARTITION BY period_month), 0) AS low FROM pred),
+    r AS (SELECT *, row_number() OVER (PARTITION BY period_month ORDER BY observed DESC, zone_id) AS ry, row_number() OVER (PARTITION BY period_month ORDER BY predicted DESC, zone_id) AS rp FROM v)
+    SELECT period_month, round(sum((observed - low) / log2(rp + 1)) FILTER (rp <= 10) / nullif(sum((observed - low) / log2(ry + 1)) FILTER (ry <= 10), 0), 6) AS ndcg FROM r GROUP BY 1""")
+def _(spark, d):
+    """Gains that may be negative, raised by the least of the month."""
+    p = predictions(spark, d).withColumn("observed", F.col("observed") - 8)
+    return me.ndcg(p, [O], "zone_id", 10, shift=True).select(O, r6("ndcg", "ndcg"))
+
+
 _LAB = f"{PRED}, lab AS (SELECT *, CAST(observed > 7 AS INTEGER) AS label, predicted / 20.0 AS score FROM pred)"
 
 

@@ -416,4 +416,31 @@ def _(spark, d):
     )
 
 
+@query(
+    "r221_attention_pooling",
+    f"""WITH {PANEL}, l AS (SELECT zone_id, period_month, lag(y, 3) OVER z AS a, lag(y, 2) OVER z AS b, lag(y, 1) OVER z AS c FROM panel WINDOW z AS (PARTITION BY zone_id ORDER BY period_month)),
+    m AS (SELECT zone_id, period_month, a, CASE WHEN b % 2 = 0 THEN b END AS b, c FROM l),
+    s AS (SELECT zone_id, period_month, t.v, exp(t.z) AS e, exp(t.v / 10.0) AS f FROM m, LATERAL (VALUES (a, 0.0), (b, 0.5), (c, 1.0)) t(v, z) WHERE t.v IS NOT NULL),
+    h AS (SELECT zone_id, period_month, sum(v * e) / sum(e) AS x, sum(v * f) / sum(f) AS y FROM s GROUP BY 1, 2)
+    SELECT m.zone_id, m.period_month, round(x, 6) AS single, round((x + y) / 2, 6) AS mean_of_two, round(coalesce(0.75 * x + 0.25 * y, -1), 6) AS weighted FROM m LEFT JOIN h USING (zone_id, period_month)""",
+)
+def _(spark, d):
+    """Three months back: one head by recency, another by the counts themselves."""
+    from zonalyx.functions.windows import lag
+
+    p = panel(spark, d)
+    for name, k in (("a", 3), ("b", 2), ("c", 1)):
+        p = p.withColumn(name, lag("y", k, ["zone_id"], O))
+    p = p.withColumn("am", F.lit(True)).withColumn("bm", F.col("b") % 2 == 0).withColumn("cm", F.lit(True))
+    v, m = ["a", "b", "c"], ["am", "bm", "cm"]
+    recent, size = [F.lit(0.0), F.lit(0.5), F.lit(1.0)], [F.col(c) / 10.0 for c in v]
+    return p.select(
+        "zone_id",
+        O,
+        r6(g.pool_attention(v, m, [recent], "single_head"), "single"),
+        r6(g.pool_attention(v, m, [recent, size]), "mean_of_two"),
+        r6(g.pool_attention(v, m, [recent, size], "weighted_mean", [3.0, 1.0], -1.0), "weighted"),
+    )
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql
