@@ -7,9 +7,11 @@ read again instead of computed again, and no state lives on one machine only.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import uuid
 import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 #: Used where the session names no folder, as in local tests.
 DEFAULT_DIR = "/tmp/checkpoints"
 
+_recording: list[list[str]] = []
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -32,9 +35,27 @@ def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/zonalyx/{tag}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
+    for paths in _recording:
+        paths.append(path)
     return path
 
 
+@contextlib.contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Within, every new path is added to paths, for drop() once what was made of them is written elsewhere."""
+    _recording.append(paths)
+    try:
+        yield
+    finally:
+        _recording.remove(paths)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete what lies at recorded paths."""
+    while paths:
+        _delete(spark, paths.pop())
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
