@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zonalyx.functions import projections as pj
 from zonalyx.operators import spatial as sl
-from zonalyx.operators.planar import region
+from zonalyx.operators.planar import region, regions
 
 
 def ring(*xy):
@@ -120,3 +120,31 @@ def test_projections_there_and_back(spark):
     assert far.where("m between 1 and 300 and h < 300").count() == d.count()
     same = d.select(F.struct(*[c.alias(n) for c, n in zip(pj.datum_shift(lon, lat, (0.0,) * 7, pj.GRS80, pj.GRS80), "xyz", strict=True)]).alias("g"), lon, lat)
     assert same.where((F.abs(F.col("g.x") - lon) > metre) | (F.abs(F.col("g.y") - lat) > 5 * metre) | (F.abs("g.z") > 1e-6)).count() == 0
+
+
+def test_planes_cut_together_are_cut_as_alone():
+    draw = random.Random(5)
+    some = lambda n: ring(*[(draw.randint(0, 6), draw.randint(0, 6)) for _ in range(n)])
+    planes = [([some(draw.randint(0, 12)) for _ in range(draw.randint(0, 3))],) for _ in range(200)] + [(None,), ([None],), ([some(40)],)]
+    for got, polygons in zip(regions(planes), planes, strict=True):
+        rings, area = region(*polygons)
+        assert got[1] == area and len(got[0]) == len(rings) and all((a == b).all() for a, b in zip(got[0], rings, strict=True))
+    pairs = [([some(7)], [some(9)]) for _ in range(50)]
+    assert [g[1] for g in regions(pairs)] == [region(*p)[1] for p in pairs]
+
+
+def test_small_polygons_of_one_file_are_cut_by_many_tasks_together(spark):
+    bow = lambda k: [ring((0, 0), (k, k), (k, 0), (0, k), (0, 0))]
+    many = spark.createDataFrame([(k, bow(k % 9 + 1.0) if k % 10 else None) for k in range(3000)], "zone long, rings array<array<struct<x: double, y: double>>>").coalesce(1)
+    cut = sl.cut_crossings(many)
+    assert cut.rdd.getNumPartitions() >= 4
+    got = {r.zone: r.rings for r in cut.collect()}
+    assert len(got) == 3000 and all((got[k] is None) if k % 10 == 0 else sorted(round(shoelace([p.asDict() for p in q]), 9) for q in got[k]) == [(k % 9 + 1) ** 2 / 4] * 2 for k in got)
+    planes = [(bow(k % 9 + 1.0),) for k in range(2000)]
+    began = time.perf_counter()
+    regions(planes)
+    together = time.perf_counter() - began
+    began = time.perf_counter()
+    for p in planes[:200]:
+        region(*p)
+    assert together < 5 * (time.perf_counter() - began)

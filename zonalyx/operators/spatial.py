@@ -10,15 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonalyx.functions.scalar import in_ring, ring_area
 from zonalyx.operators.frames import ContractError
-from zonalyx.operators.planar import region
+from zonalyx.operators.planar import cut_planes, regions, ring_edges
 from zonalyx.operators.ship import ship
 
 WITHIN = "centroid_within_polygon"
@@ -265,11 +267,9 @@ def overlay(sources: DataFrame, targets: DataFrame, source: str, target: str, si
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            own: dict = {}  # of the batch's sources
-            for k, p in zip(part.a_id, part.a_rings, strict=True):
-                if k not in own:
-                    own[k] = region(p)[1]
-            got = [region(p, q) for p, q in zip(part.a_rings, part.b_rings, strict=True)]
+            first = part.drop_duplicates("a_id")  # of the batch's sources
+            own = dict(zip(first.a_id, (g[1] for g in regions([(p,) for p in first.a_rings])), strict=True))
+            got = regions(list(zip(part.a_rings, part.b_rings, strict=True)))
             yield pd.DataFrame({"s": part.a_id, "t": part.b_id, "overlap": [g[1] for g in got], "area": part.a_id.map(own), "rings": [_points(g[0]) for g in got]})
 
     kinds = dict(a.dtypes)["id"], dict(b.dtypes)["id"]
@@ -289,19 +289,39 @@ def cut_crossings(polygons: DataFrame, rings: str = "rings") -> DataFrame:
     """polygons with every geometry as rings that cross neither themselves nor another, what is inside by odd-even unchanged; NULL without an area.
 
     A ring that crosses itself becomes several; points that repeat, spikes and lines
-    there and back go. Outer rings turn left, holes right.
+    there and back go. Outer rings turn left, holes right. Rows are dealt over tasks
+    first, as they are much work and few bytes.
     """
     ship(polygons.sparkSession)
     at = polygons.columns.index(rings)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_points(region(r)[0]) if r else [] for r in batch.column(at).to_pylist()]
-            column = pa.array([m or None for m in made], pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+            column = cut_column(batch.column(at))
             yield pa.RecordBatch.from_arrays([column if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
     schema = T.StructType([T.StructField(f.name, T._parse_datatype_string(RINGS)) if f.name == rings else f for f in polygons.schema.fields])
-    return polygons.mapInArrow(cut, schema)
+    return dealt(polygons).mapInArrow(cut, schema)
+
+
+def cut_column(polygons: pa.ListArray) -> pa.ListArray:
+    """cut_crossings of a column of polygons."""
+    r = polygons.flatten()
+    points = r.flatten()
+    x, y = (c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in points.flatten())
+    of_ring, of_point = (pc.list_parent_indices(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (polygons, r))
+    e, ring = ring_edges(x, y, of_point)
+    got, length, plane, _area = cut_planes(e, of_ring[ring], np.zeros(len(e), np.int64), len(polygons), 1)
+    struct = pa.StructArray.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["x", "y"])
+    made = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), struct)
+    n = np.bincount(plane, minlength=len(polygons))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), made, mask=pa.array(n == 0))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df over as many tasks as a shuffle has, whatever its files."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
 def pairwise_distances(points: DataFrame, key: str, x: str = "x", y: str = "y", most: int = 5_000) -> DataFrame:
