@@ -59,3 +59,12 @@ def test_segments_reach_the_last_user(spark, tmp_path):
     spark.createDataFrame([(k, k % 300, 1.0) for k in range(600)], "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = registry.queries()["r214_segments"](spark, str(tmp_path)).toPandas()
     assert sorted(got.segment) == list(range(300)) and got.n.sum() == 600
+
+
+def test_points_on_borders_of_cells_are_in_the_cell_that_begins_there(spark, duck, tmp_path):
+    balances = [3000.0, 2999.99, 2000.0, -1000.0, -999.99, 0.0, -0.01, 1000.0, 999.99, None]
+    rows = [(k, balances[k % 10]) for k in [*range(40), *range(990, 1010), *range(1990, 2010)]]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.queries()["r040_point_in_polygon"](spark, str(tmp_path)).toPandas()
+    sql = registry.oracle_sql()["r040_point_in_polygon"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert canon(got) == canon(duck.sql(sql).df())

@@ -158,19 +158,23 @@ def with_cells(polygons: DataFrame, size: float, rings: str = "rings") -> DataFr
 # -- joins ----------------------------------------------------------------------------------------
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, key: str, zone: str, x: str = "x", y: str = "y", size: float | None = None) -> DataFrame:
+def point_in_polygon(
+    points: DataFrame, polygons: DataFrame, key: str, zone: str, x: str = "x", y: str = "y", size: float | None = None, half_open: bool = False
+) -> DataFrame:
     """points with zone, method and n_zones.
 
     A point strictly inside polygons gets the smallest zone of them (WITHIN);
     n_zones tells how many there are. One inside none, but on the boundary of some,
     gets the smallest of those (FALLBACK). All others, and points without
     coordinates, have a NULL zone (UNMATCHED). key must tell points apart.
+    With half_open a polygon holds its lower and left edges, not its upper and right
+    ones: where polygons tile the plane, a point on a common edge is in one of them.
     """
     size = size or cell_size(polygons)
     p = points.select(key, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     p = p.withColumn("gx", F.floor(F.col("__x") / size)).withColumn("gy", F.floor(F.col("__y") / size)).where("gx is not null and gy is not null")
     z = with_cells(polygons.select(F.col(zone).alias("__zone"), "rings"), size)
-    edge = on_boundary(F.col("__x"), F.col("__y"), F.col("rings"))
+    edge = F.lit(False) if half_open else on_boundary(F.col("__x"), F.col("__y"), F.col("rings"))
     met = p.join(z, ["gx", "gy"]).select(key, "__zone", edge.alias("__edge"), inside(F.col("__x"), F.col("__y"), F.col("rings")).alias("__in"))
     met = met.where("__edge or __in")
     g = met.groupBy(key).agg(
