@@ -89,6 +89,23 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Rows that a task sorts or hashes at once where by_rows() deals them.
+ROWS_A_TASK = 500_000
+
+
+def by_rows(df: DataFrame, *keys: str, rows: int | None = None, most: int = ROWS_A_TASK) -> DataFrame:
+    """df hashed by keys over so many tasks that each has some `most` rows, of all rows (counted where not given).
+
+    Spark merges shuffled partitions by their compressed bytes, of which few make many
+    rows of long integers; a number of partitions that is asked for stays.
+    """
+    return df.repartition(tasks_for(df.sparkSession, df.count() if rows is None else rows, most), *keys)
+
+
+def tasks_for(spark: SparkSession, rows: int, most: int = ROWS_A_TASK) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // most))
+
+
 def dense_id(df: DataFrame, out: str, *keys: str | Column) -> DataFrame:
     """0-based number of each row in the order of keys.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from zonalyx.operators import aggregates as ag
 from zonalyx.operators import frames as fr
+from zonalyx.operators.store import by_rows
 from zonalyx.plans.base import PANEL, SPLIT, TRAIN_END, VALIDATION_END, ZONES, Register, panel, r6, table, zones
 from zonalyx.operators import splits as sp
 
@@ -46,7 +47,8 @@ def _(spark, d):
     "SELECT l_orderkey, max(l_quantity) FILTER (l_linenumber = 1) AS \"1\", max(l_quantity) FILTER (l_linenumber = 2) AS \"2\" FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) GROUP BY 1",
 )
 def _(spark, d):
-    flat = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
+    lines = by_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey")
+    flat = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
     return ag.unstack(flat, ["l_orderkey"], "l_linenumber", "l_quantity", [1, 2])
 
 
