@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonalyx.functions.scalar import month_of, month_ordinal, normal_name
-from zonalyx.operators.store import dense_id, keep  # noqa: F401  part of this module's operators
+from zonalyx.operators.store import ROWS_A_TASK, by_rows, dense_id, keep  # noqa: F401  part of this module's operators
 
 #: Rows of a lookup side that may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -252,7 +252,8 @@ def nearest(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     flat = keep(points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "nearest")
     gridded = flat.withColumn("level", level).withColumn("cx", cell("x", float(x0))).withColumn("cy", cell("y", float(y0)))
     counts = gridded.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > k)
-    own = gridded.join(counts, ["level", "cx", "cy"]).groupBy("id").agg(F.max(F.struct("level", "x", "y", "cx", "cy")).alias("g")).select("id", "g.*")
+    held = by_rows(gridded.join(counts, ["level", "cx", "cy"]), "id", rows=GRID_LEVELS * n, most=ROWS_A_TASK // 4)
+    own = held.groupBy("id").agg(F.max(F.struct("level", "x", "y", "cx", "cy")).alias("g")).select("id", "g.*")
     step = F.explode(F.sequence(F.lit(-2), F.lit(2)))
     asked = keep(
         own.withColumn("dx", step).withColumn("dy", step).select(
@@ -272,7 +273,10 @@ def nearest(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     other = other.join(asked.select("level", "cx", "cy").distinct(), ["level", "cx", "cy"], "left_semi")
     other = other.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), "level", "cx", "cy")
     d = F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2))
-    near = asked.join(other, ["level", "cx", "cy"]).where("id <> target").select(F.col("id").alias("source"), "target", d.alias("distance"))
+    # a cell that is asked has few points, so pairs are as many as cells asked times some k
+    cells = ["level", "cx", "cy"]
+    asked, other = (by_rows(c, *cells, rows=25 * n, most=ROWS_A_TASK // 25) for c in (asked, other))
+    near = asked.join(other, cells).where("id <> target").select(F.col("id").alias("source"), "target", d.alias("distance"))
     w = Window.partitionBy("source").orderBy("distance", "target")
     return near.withColumn("knn_rank", F.row_number().over(w)).where(F.col("knn_rank") <= k)
 
