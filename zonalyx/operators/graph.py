@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonalyx.operators.components import components
 from zonalyx.operators.frames import dense_id, lookup_side, union_all
-from zonalyx.operators.store import discard, keep
+from zonalyx.operators.store import by_rows, discard, keep
 
 #: What an edge type is.
 KINDS = {"lag_1": "temporal", "lag_12": "temporal", "knn": "spatial", "adjacency": "spatial", "placebo": "placebo"}
@@ -82,8 +82,12 @@ def regime(edges: DataFrame, name: str) -> DataFrame:
     return edges.where(F.col("edge_type").isin([t for t, kind in KINDS.items() if kind in REGIMES[name]]))
 
 
-def mutual(edges: DataFrame) -> DataFrame:
-    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target")).distinct().withColumn("__b", F.lit(True))
+def mutual(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """edges with mutual: whether there is an edge back. rows: how many edges there are, if known."""
+    n = edges.count() if rows is None else rows
+    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    edges, back = (by_rows(e, "source", "target", rows=n) for e in (edges, back))
+    back = back.distinct().withColumn("__b", F.lit(True))
     return edges.join(back, ["source", "target"], "left").withColumn("mutual", F.coalesce("__b", F.lit(False))).drop("__b")
 
 

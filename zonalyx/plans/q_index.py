@@ -368,7 +368,8 @@ def _(spark, d):
 )
 def _(spark, d):
     """Parts point to their suppliers; numbers that point to each other are mutual."""
-    return g.mutual(table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).distinct())
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"))
+    return g.mutual(lines, rows=lines.count()).distinct()
 
 
 @query(
