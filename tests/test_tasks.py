@@ -1,10 +1,11 @@
 """Sorts and hashes of a task stay small, whatever the bytes that Spark counts."""
 
+import os
 import re
 
 from zonalyx.operators import frames as fr
 from zonalyx.operators import graph as g
-from zonalyx.operators.store import ROWS_A_TASK, by_rows
+from zonalyx.operators.store import ROWS_A_TASK, by_rows, dense_id, recorded
 from zonalyx.plans import registry
 
 
@@ -36,3 +37,21 @@ def test_pairs_of_neighbours_are_dealt_by_points(spark):
     near = fr.nearest(p, "id", "x", "y", 3)
     assert dealt(near, "level") and set(dealt(near, "level")) == {12}
     assert near.count() == 27000
+
+
+def test_rows_are_numbered_without_a_second_shuffle(spark):
+    d = spark.range(5000).selectExpr("id", "id * 7919 % 1000 as k").repartition(7)
+    n = dense_id(d, "n", "k", "id")
+    assert "Exchange" not in n._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(n.collect(), key=lambda r: r.n)
+    assert [r.n for r in rows] == list(range(5000)) and [(r.k, r.id) for r in rows] == sorted((r.k, r.id) for r in rows)
+    assert dense_id(d.where("id < 0"), "n", "k").count() == 0
+
+
+def test_rewiring_leaves_its_result_only(spark):
+    e = spark.range(301).selectExpr("id as source", "(id * 31 + 7) % 301 as target")
+    paths = []
+    with recorded(paths):
+        got = g.rewire(e, rounds=3)
+        assert got.count() == e.selectExpr("least(source, target) u", "greatest(source, target) v").where("u <> v").distinct().count()
+    assert sum(os.path.isdir(p) for p in paths) == 1

@@ -120,40 +120,35 @@ def rewire(pairs: DataFrame, seed: int = 42, rounds: int = 5) -> DataFrame:
     e = keep(e, "rewire")
     for k in range(rounds):
         hashed = e.withColumn("h", F.xxhash64("u", "v", F.lit(seed), F.lit(k)))
-        numbered = dense_id(hashed, "i", "h", "u", "v").withColumn("pair", F.floor(F.col("i") / 2))
-        two = numbered.groupBy("pair").agg(
-            F.min(F.struct("i", "u", "v", "h")).alias("p"),
-            F.max(F.struct("i", "u", "v", "h")).alias("q"),
-            F.count(F.lit(1)).alias("n"),
-        ).where("n = 2")
-        turn = F.col("p.h") % 2 == 0
-        c, d = F.when(turn, F.col("q.u")).otherwise(F.col("q.v")), F.when(turn, F.col("q.v")).otherwise(F.col("q.u"))
-        made = two.select(
-            "pair",
-            "p",
-            "q",
-            F.explode(F.array(F.struct(F.col("p.u").alias("a"), d.alias("b")), F.struct(c.alias("a"), F.col("p.v").alias("b")))).alias("m"),
+        numbered = dense_id(hashed, "i", "h", "u", "v")
+        of = lambda c, k: F.max(F.when(F.col("i") % 2 == k, F.col(c)))
+        two = numbered.groupBy(F.floor(F.col("i") / 2).alias("pair")).agg(
+            *[of(c, k).alias(f"{p}{c}") for k, p in ((0, "p"), (1, "q")) for c in ("u", "v")],
+            of("h", 0).alias("h"),
         )
-        made = keep(
-            made.select(
+        turn = F.col("h") % 2 == 0
+        c, d = F.when(turn, F.col("qu")).otherwise(F.col("qv")), F.when(turn, F.col("qv")).otherwise(F.col("qu"))
+        edge = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+        # the edges of a pair as they are and, unless its second one is missing, as they would be
+        two = keep(
+            two.select(
                 "pair",
-                F.col("p.u").alias("pu"),
-                F.col("p.v").alias("pv"),
-                F.col("q.u").alias("qu"),
-                F.col("q.v").alias("qv"),
-                F.least("m.a", "m.b").alias("u"),
-                F.greatest("m.a", "m.b").alias("v"),
+                F.array(edge("pu", "pv"), F.when(F.col("qu").isNotNull(), edge("qu", "qv"))).alias("old"),
+                F.when(F.col("qu").isNotNull(), F.array(edge("pu", d), edge(c, "pv"))).alias("made"),
             ),
             "rewire",
         )
-        clash = made.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or u = v").select("u", "v").unionByName(e.select("u", "v"))
-        bad = made.join(clash.distinct(), ["u", "v"]).select("pair").distinct()
-        good = made.join(bad, "pair", "left_anti")
-        gone = good.select(
-            F.explode(F.array(F.struct(F.col("pu").alias("u"), F.col("pv").alias("v")), F.struct(F.col("qu").alias("u"), F.col("qv").alias("v")))).alias("g")
-        ).select("g.*").distinct()
-        new = keep(e.join(gone, ["u", "v"], "left_anti").unionByName(good.select("u", "v")), "rewire")
-        discard(e, made)
+        discard(numbered)
+        # of an edge that is made: by how many pairs, and whether there is one already
+        made = two.select("pair", F.explode("made").alias("m")).select("pair", "m.*", F.lit(False).alias("there"))
+        both = made.unionByName(e.select(F.lit(-1).cast("long").alias("pair"), "u", "v", F.lit(True).alias("there")))
+        same = Window.partitionBy("u", "v")
+        both = both.withColumn("clash", (F.col("u") == F.col("v")) | (F.count(F.lit(1)).over(same) > 1))
+        bad = both.where("clash and not there").select("pair").distinct().withColumn("bad", F.lit(True))
+        stay = F.col("bad").isNotNull() | F.col("made").isNull()
+        after = two.join(bad, "pair", "left").select(F.explode(F.when(stay, F.filter("old", lambda x: x.isNotNull())).otherwise(F.col("made"))).alias("m"))
+        new = keep(after.select("m.*"), "rewire")
+        discard(e, two)
         e = new
     return e.toDF("source", "target")
 

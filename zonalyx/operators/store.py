@@ -13,7 +13,7 @@ import uuid
 import weakref
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used where the session names no folder, as in local tests.
@@ -111,16 +111,21 @@ def dense_id(df: DataFrame, out: str, *keys: str | Column) -> DataFrame:
 
     Rows are range-partitioned by keys and written to the shared folder; a row's
     number is its place in its range after the rows of the ranges before, so the
-    sort is spread over all tasks and nothing is held in executors.
+    sort is spread over all tasks and nothing is held in executors. Like what keep()
+    returns, the table can be discarded.
     """
-    ranged = keep(df.repartitionByRange(*[F.col(k) if isinstance(k, str) else k for k in keys]).withColumn("__p", F.spark_partition_id()), "dense-id")
-    sizes = sorted((r[0], r[1]) for r in ranged.groupBy("__p").count().collect())
+    ranges = df.repartitionByRange(*[F.col(k) if isinstance(k, str) else k for k in keys]).sortWithinPartitions(*keys)
+    # a range's number and, in the lower 33 bits, the row's place in it
+    ranged = keep(ranges.withColumn("__at", F.monotonically_increasing_id()), "dense-id")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r[0], r[1]) for r in ranged.groupBy(part.alias("p")).count().collect())
     offsets, total = [], 0
     for p, n in sizes:
         offsets += [F.lit(p), F.lit(total)]
         total += n
     if not offsets:
         return df.withColumn(out, F.lit(0).cast("long"))
-    w = Window.partitionBy("__p").orderBy(*keys)
-    number = F.element_at(F.create_map(*offsets), F.col("__p")) + F.row_number().over(w) - 1
-    return ranged.withColumn(out, number.cast("long")).drop("__p")
+    number = F.element_at(F.create_map(*offsets), part) + place
+    numbered = ranged.withColumn(out, number.cast("long")).drop("__at")
+    _paths[numbered] = _paths[ranged]
+    return numbered
