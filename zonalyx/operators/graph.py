@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonalyx.operators.components import components
 from zonalyx.operators.frames import dense_id, lookup_side, union_all
-from zonalyx.operators.store import by_rows, discard, keep
+from zonalyx.operators.store import by_rows, discard, keep, tasks_for
 
 #: What an edge type is.
 KINDS = {"lag_1": "temporal", "lag_12": "temporal", "knn": "spatial", "adjacency": "spatial", "placebo": "placebo"}
@@ -109,50 +109,90 @@ def connected(edges: DataFrame, a: str = "source", b: str = "target") -> DataFra
     return found.unionByName(alone.withColumn("component", F.col("node")))
 
 
+#: Edges that a bucket of hashes has, about; a task takes many buckets.
+BUCKET = 20_000
+
+
+def _two_by_two(e: DataFrame, h: Column, n: int) -> DataFrame:
+    """(pair, pu, pv, qu, qv): the n rows (u, v) two by two in the order of h, u, v; the last of an odd n has no q.
+
+    A bucket is a range of the hash h, which deals rows evenly. Rows are shuffled once, to
+    their bucket's task; a bucket's first row whose partner is the last one of the bucket
+    before is looked up there.
+    """
+    spark, bits = e.sparkSession, max(1, (n // BUCKET).bit_length())
+    b = F.shiftright(h, 64 - bits)
+    starts, firsts, total, before = [], [], 0, None
+    for bucket, size, least in sorted(e.groupBy(b.alias("b")).agg(F.count(F.lit(1)), F.min(h)).collect()):
+        starts.append((bucket, total))
+        if total % 2:
+            firsts.append((before, least))
+        total, before = total + size, bucket
+    starts, firsts = spark.createDataFrame(starts, "b long, start long"), spark.createDataFrame(firsts, "b long, h long")
+    firsts = e.withColumn("h", h).join(F.broadcast(firsts), "h").groupBy("b").agg(F.min(F.struct("u", "v")).alias("first"))
+    w = Window.partitionBy("b").orderBy("h", "u", "v")
+    rows = e.repartition(tasks_for(spark, n), b).withColumn("b", b).withColumn("h", h)
+    rows = rows.select("b", "u", "v", F.row_number().over(w).alias("place"), F.lead("u").over(w).alias("qu"), F.lead("v").over(w).alias("qv"))
+    rows = rows.join(F.broadcast(starts), "b").withColumn("i", F.col("start") + F.col("place") - 1).where("i % 2 = 0").join(F.broadcast(firsts), "b", "left")
+    return rows.select(
+        F.shiftright("i", 1).alias("pair"),
+        F.col("u").alias("pu"),
+        F.col("v").alias("pv"),
+        F.coalesce("qu", "first.u").alias("qu"),
+        F.coalesce("qv", "first.v").alias("qv"),
+    )
+
+
 def rewire(pairs: DataFrame, seed: int = 42, rounds: int = 5) -> DataFrame:
     """(source, target), source < target: a random graph in which every node keeps its degree.
 
     In each round edges are numbered in the order of a hash and taken two by two; a
     pair swaps ends unless that makes a loop, an edge that there is, or one that
     another pair makes. Loops and repeated edges of the input are dropped first.
+    A round shuffles each edge by its hash and, old and made, by its ends; which pairs
+    stay comes back as a bit each.
     """
     e = pairs.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).where("u <> v").distinct()
     e = keep(e, "rewire")
-    for k in range(rounds):
-        hashed = e.withColumn("h", F.xxhash64("u", "v", F.lit(seed), F.lit(k)))
-        numbered = dense_id(hashed, "i", "h", "u", "v")
-        of = lambda c, k: F.max(F.when(F.col("i") % 2 == k, F.col(c)))
-        two = numbered.groupBy(F.floor(F.col("i") / 2).alias("pair")).agg(
-            *[of(c, k).alias(f"{p}{c}") for k, p in ((0, "p"), (1, "q")) for c in ("u", "v")],
-            of("h", 0).alias("h"),
-        )
-        turn = F.col("h") % 2 == 0
+    n = e.count()
+    for k in range(rounds if n else 0):
+        hashed = lambda u, v, k=k: F.xxhash64(u, v, F.lit(seed), F.lit(k))
+        two = keep(_two_by_two(e, hashed("u", "v"), n), "rewire")
+        turn = hashed("pu", "pv") % 2 == 0
         c, d = F.when(turn, F.col("qu")).otherwise(F.col("qv")), F.when(turn, F.col("qv")).otherwise(F.col("qu"))
         edge = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-        # the edges of a pair as they are and, unless its second one is missing, as they would be
-        two = keep(
-            two.select(
-                "pair",
-                F.array(edge("pu", "pv"), F.when(F.col("qu").isNotNull(), edge("qu", "qv"))).alias("old"),
-                F.when(F.col("qu").isNotNull(), F.array(edge("pu", d), edge(c, "pv"))).alias("made"),
-            ),
-            "rewire",
-        )
-        discard(numbered)
-        # of an edge that is made: by how many pairs, and whether there is one already
-        made = two.select("pair", F.explode("made").alias("m")).select("pair", "m.*", F.lit(False).alias("there"))
-        both = made.unionByName(e.select(F.lit(-1).cast("long").alias("pair"), "u", "v", F.lit(True).alias("there")))
-        same = Window.partitionBy("u", "v")
-        both = both.withColumn("clash", (F.col("u") == F.col("v")) | (F.count(F.lit(1)).over(same) > 1))
-        bad = both.where("clash and not there").select("pair").distinct().withColumn("bad", F.lit(True))
-        stay = F.col("bad").isNotNull() | F.col("made").isNull()
-        after = two.join(bad, "pair", "left").select(F.explode(F.when(stay, F.filter("old", lambda x: x.isNotNull())).otherwise(F.col("made"))).alias("m"))
+        old, made = F.array(edge("pu", "pv"), edge("qu", "qv")), F.array(edge("pu", d), edge(c, "pv"))
+        # edges that are made, and, without a pair, those that there are
+        both = two.where("qu is not null").select("pair", F.explode(made).alias("m")).select("pair", "m.*")
+        both = by_rows(both.unionByName(e.select(F.lit(None).cast("long").alias("pair"), "u", "v")), "u", "v", rows=2 * n)
+        clash = (F.col("u") == F.col("v")) | (F.count(F.lit(1)).over(Window.partitionBy("u", "v")) > 1)
+        block, at = F.bitmap_bucket_number("pair"), F.bitmap_bit_position("pair")
+        bad = both.withColumn("clash", clash).where("clash and pair is not null").select("pair", block.alias("block"))
+        # dealt before bits are set: tasks that set some of each block's would grow with the square of the edges
+        bad = keep(by_rows(bad, "block", rows=n).groupBy("block").agg(F.bitmap_construct_agg(at).alias("bits")), "rewire")
+        byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+        stay = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+        after = two.withColumn("block", block).join(bad, "block", "left")
+        after = after.select(F.explode(F.when(F.col("qu").isNull(), F.array(edge("pu", "pv"))).when(stay, old).otherwise(made)).alias("m"))
         new = keep(after.select("m.*"), "rewire")
-        discard(e, two)
+        discard(e, two, bad)
         e = new
     return e.toDF("source", "target")
 
 
+def undirected_degrees(edges: DataFrame) -> DataFrame:
+    """node, degree, loops, repeats (ends that lead where another end of the node leads); a loop has both ends at its node."""
+    u, v = F.least("source", "target"), F.greatest("source", "target")
+    e = edges.groupBy(u.alias("u"), v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    loop = F.col("u") == F.col("v")
+    ends = e.select(F.explode(F.when(loop, F.array("u")).otherwise(F.array("u", "v"))).alias("node"), F.when(loop, F.col("n") * 2).otherwise(F.col("n")).alias("n"), loop.alias("loop"))
+    return ends.groupBy("node").agg(
+        F.sum("n").alias("degree"),
+        F.sum(F.when(F.col("loop"), F.col("n")).otherwise(F.lit(0))).alias("loops"),
+        F.sum(F.col("n") - 1).alias("repeats"),
+    )
+
+
 def neighbour_mean(edges: DataFrame, features: DataFrame, columns: list[str], weighted: bool = True, by_type: bool = False) -> DataFrame:
     """Per target node sum(w h) / max(sum(w), 1), w not negative; unweighted sum(h) / max(degree, 1).
 
